@@ -138,13 +138,28 @@ NA_TOKENS = [
 
 
 def linspace(lo: float, hi: float, n: int) -> list[float]:
-    """numpy.linspace as plain doubles (lo + i*(hi-lo)/(n-1))."""
+    """numpy.linspace as plain doubles: i*step + lo, last point exactly hi."""
     if n == 1:
         return [lo]
     step = (hi - lo) / (n - 1)
+    out = [i * step + lo for i in range(n)]
+    out[-1] = hi
+    return out
+
+
+def arange(lo: float, hi: float, step: float) -> list[float]:
+    """numpy.arange for floats: lo + i*step while below hi."""
+    import math
+    n = int(math.ceil((hi - lo) / step))
     return [lo + i * step for i in range(n)]
 
 
+def simplex_weights(step: float = 0.1) -> list[tuple[float, float, float]]:
+    """Weight triples on a step grid whose sum is 1 within 1e-9, in loop order."""
+    vals = arange(0.0, 1.0 + step, step)
+    return [(a, b, c) for a in vals for b in vals for c in vals if abs(a + b + c - 1.0) < 1e-9]
+
+
 def threshold_grid(n: int) -> list[float]:
     return linspace(THRESH_LO, THRESH_HI, n)
 

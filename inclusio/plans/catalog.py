@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import q_prepare  # noqa: F401
+from . import q_decide, q_prepare  # noqa: F401
 from .registry import REGISTRY
 
 
