@@ -81,7 +81,7 @@ def decode_target(c) -> Column:
     pairs = []
     for code, name in enumerate(C.TARGET_LABELS):
         pairs += [F.lit(code).cast("bigint"), F.lit(name)]
-    return F.element_at(F.create_map(*pairs), _c(c).cast("bigint"))
+    return F.try_element_at(F.create_map(*pairs), _c(c).cast("bigint"))
 
 
 # decimal number as pandas' to_numeric reads it (Spark also takes 12d, 0x1p3)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import q_decide, q_prepare, q_profile  # noqa: F401
+from . import q_decide, q_encode, q_prepare, q_profile  # noqa: F401
 from .registry import REGISTRY
 
 
