@@ -42,5 +42,22 @@ def argmax_class(*cols) -> Column:
 
 
 def grid_bucket(p, grid: list[float]) -> Column:
-    """Number of grid points <= p: p >= grid[j] exactly when bucket > j."""
-    return reduce(add, [(_c(p) >= F.lit(float(g))).cast("int") for g in grid])
+    """Number of grid points <= p: p >= grid[j] exactly when bucket > j.
+
+    For an evenly spaced grid the index comes from one division and is then
+    corrected by exact comparisons with its neighbours (floating rounding can
+    only move it by one), so the expression stays small inside codegen.
+    """
+    n = len(grid)
+    x = _c(p)
+    if n < 3:
+        return reduce(add, [(x >= F.lit(float(g))).cast("int") for g in grid])
+    step = (grid[-1] - grid[0]) / (n - 1)
+    if max(abs((grid[i + 1] - grid[i]) - step) for i in range(n - 1)) > 1e-9 * max(1.0, abs(step)):
+        return reduce(add, [(x >= F.lit(float(g))).cast("int") for g in grid])
+    arr = F.array(*[F.lit(float(g)) for g in grid])
+    c0 = F.least(F.greatest(F.floor((x - F.lit(grid[0])) / F.lit(step)) + 1, F.lit(0)), F.lit(n)).cast("int")
+    # grid[c0] (0-based) is element c0 + 1 of the array
+    up = F.when((c0 < n) & (F.element_at(arr, F.least(c0 + 1, F.lit(n))) <= x), c0 + 1).otherwise(c0)
+    down = F.when((up > 0) & (F.element_at(arr, F.greatest(up, F.lit(1))) > x), up - 1).otherwise(up)
+    return down.cast("int")
