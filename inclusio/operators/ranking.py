@@ -74,3 +74,26 @@ def average_pct_rank(df: DataFrame, id_col: str, group_col: str, value_cols: dic
     ranked = long.join(ranks, ["which", "g", "v"], "left")
     wide = ranked.groupBy(id_col).pivot("which", names).agg(F.first("pct"))
     return wide
+
+
+def rank_table(vals: DataFrame, group_cols: list[str], num_partitions: int | None = None) -> DataFrame:
+    """From ``(*group_cols, v, _n)`` distinct-value counts to ``(*group_cols, v, pct)``."""
+    pref = exclusive_prefix_sum(vals, group_cols, ["v"], "_n", num_partitions)
+    return pref.select(*group_cols, "v",
+                       ((F.col("_before") + (F.col("_n") + 1) / 2.0) / F.col("_group_total")).alias("pct"))
+
+
+def pct_rank_column(df: DataFrame, group_col: str, value, out_col: str,
+                    num_partitions: int | None = None) -> DataFrame:
+    """Single-column form: append ``out_col`` to ``df`` with one join on (group, value).
+
+    A value shared by many rows is one row of the rank table; on the big side
+    such a hot key is split by AQE's skew-join handling.
+    """
+    v = F.col(value) if isinstance(value, str) else value
+    base = df.withColumn("__g", F.col(group_col)).withColumn("__v", v)
+    vals = (base.where(F.col("__g").isNotNull() & F.col("__v").isNotNull())
+            .groupBy(F.col("__g").alias("g"), F.col("__v").alias("v")).agg(F.count(F.lit(1)).alias("_n")))
+    ranks = rank_table(vals, ["g"], num_partitions)
+    out = base.join(ranks, (F.col("__g") == F.col("g")) & (F.col("__v") == F.col("v")), "left")
+    return out.select(*df.columns, F.col("pct").alias(out_col))

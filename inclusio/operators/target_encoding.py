@@ -23,6 +23,8 @@ from .. import config as C
 
 LITERAL_LIMIT = 20_000
 BROADCAST_LIMIT = 2_000_000
+# literal maps are searched linearly: keep them for low-cardinality columns only
+MAX_MAP_SIZE = 64
 
 
 def _long(df: DataFrame, cols: list[str], keep: list[str]) -> DataFrame:
@@ -91,18 +93,29 @@ def fit_out_of_fold(df: DataFrame, fold_col: str = "fold", cols: list[str] = C.T
 
 def transform(df: DataFrame, enc: DataFrame, glob: DataFrame, cols: list[str] = C.TARGET_ENCODE_COLS,
               fold_col: str | None = None, id_col: str = C.ID_COL, n_classes: int = C.N_CLASSES,
-              literal_limit: int = LITERAL_LIMIT, broadcast_limit: int = BROADCAST_LIMIT) -> DataFrame:
+              literal_limit: int = LITERAL_LIMIT, broadcast_limit: int = BROADCAST_LIMIT,
+              max_map_size: int = MAX_MAP_SIZE) -> DataFrame:
     """Add ``<col>_te_<c>`` for every encoded column and class.
 
     With ``fold_col`` each row uses the encodings of its own fold's complement
-    (the held-out encoding).
+    (the held-out encoding).  Plan choice by the measured size of ``enc``:
+    few values per column -> literal maps (one projection, no join); else one
+    left join per column, broadcast while the table is under
+    ``broadcast_limit`` rows (no shuffle of ``df``), shuffle join above.
     """
     # the size check that picks the plan: fetch at most literal_limit + 1 rows
     head = enc.limit(literal_limit + 1).collect()
     if len(head) <= literal_limit:
-        return _transform_literal(df, head, glob.collect(), cols, fold_col, n_classes)
-    size = enc.count()
-    return _transform_join(df, enc, glob, cols, fold_col, id_col, n_classes, size <= broadcast_limit)
+        sizes = {}
+        for r in head:
+            key = (r["column_name"], r["fold"] if fold_col else None)
+            sizes[key] = sizes.get(key, 0) + 1
+        if not sizes or max(sizes.values()) <= max_map_size:
+            return _transform_literal(df, head, glob.collect(), cols, fold_col, n_classes)
+        size = len(head)
+    else:
+        size = enc.count()
+    return _transform_join(df, enc, glob, cols, fold_col, n_classes, size <= broadcast_limit)
 
 
 def _transform_literal(df, rows, grows, cols, fold_col, n_classes):
@@ -133,23 +146,31 @@ def _transform_literal(df, rows, grows, cols, fold_col, n_classes):
     return df.select("*", *out)
 
 
-def _transform_join(df, enc, glob, cols, fold_col, id_col, n_classes, broadcast):
-    keep = [id_col] + ([fold_col] if fold_col else [])
-    long = _long(df, cols, keep)
-    fk = [F.col(fold_col).alias("fold")] if fold_col else []
-    long = long.select(id_col, *fk, "column_name", "value")
-    e = enc.select(*(["fold"] if fold_col else []), "column_name", "value",
-                   *[f"enc_{c}" for c in range(n_classes)])
-    j = long.join(F.broadcast(e) if broadcast else e, [*(["fold"] if fold_col else []), "column_name", "value"], "left")
+def _transform_join(df, enc, glob, cols, fold_col, n_classes, broadcast):
+    """One left join per encoded column on ``([fold,] value)``."""
+    out = df
+    for col in cols:
+        e = enc.where(F.col("column_name") == col).select(
+            *([F.col("fold").alias("__fold")] if fold_col else []), F.col("value").alias("__v"),
+            *[F.col(f"enc_{c}").alias(f"__e{c}") for c in range(n_classes)])
+        e = F.broadcast(e) if broadcast else e
+        cond = F.col(col).cast("double") == F.col("__v")
+        if fold_col:
+            cond = cond & (F.col(fold_col) == F.col("__fold"))
+        out = out.join(e, cond, "left").drop("__v", *(["__fold"] if fold_col else []))
+        out = out.withColumnsRenamed({f"__e{c}": f"{col}_te_{c}__raw" for c in range(n_classes)})
     if fold_col:
-        j = j.join(F.broadcast(glob), "fold", "left")
+        g = F.broadcast(glob.select(F.col("fold").alias("__gfold"), *[f"g{c}" for c in range(n_classes)]))
+        out = out.join(g, F.col(fold_col) == F.col("__gfold"), "left").drop("__gfold")
+        gcol = {c: F.col(f"g{c}") for c in range(n_classes)}
     else:
-        j = j.select("*", *[glob.select(f"g{c}").scalar().alias(f"g{c}") for c in range(n_classes)])
-    vals = j.select(id_col, "column_name", *[F.coalesce(f"enc_{c}", f"g{c}").alias(f"te_{c}")
-                                              for c in range(n_classes)])
-    wide = vals.groupBy(id_col).pivot("column_name", cols).agg(*[F.first(f"te_{c}").alias(f"te_{c}")
-                                                                 for c in range(n_classes)])
-    return df.join(wide, id_col, "left")
+        gcol = {c: glob.select(f"g{c}").scalar() for c in range(n_classes)}
+    filled = [F.coalesce(F.col(f"{col}_te_{c}__raw"), gcol[c]).alias(f"{col}_te_{c}")
+              for col in cols for c in range(n_classes)]
+    drop = [f"{col}_te_{c}__raw" for col in cols for c in range(n_classes)] + \
+        ([f"g{c}" for c in range(n_classes)] if fold_col else [])
+    keep = [c for c in out.columns if c not in drop]
+    return out.select(*keep, *filled)
 
 
 def encoded_columns(cols: list[str] = C.TARGET_ENCODE_COLS, n_classes: int = C.N_CLASSES) -> list[str]:

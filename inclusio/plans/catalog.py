@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import q_decide, q_encode, q_models, q_prepare, q_profile  # noqa: F401
+from . import q_decide, q_encode, q_models, q_prepare, q_profile, q_scale  # noqa: F401
 from .registry import REGISTRY
 
 

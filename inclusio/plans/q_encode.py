@@ -82,25 +82,27 @@ def q_ordinal_targets(spark, sf_dir):
 
 
 # ------------------------------------------------------------ target encoding
-def _fit_sql(src: str = "tcl", folded: bool = False) -> str:
+def _fit_sql(src: str = "tcl", folded: bool = False, cols=TE_COLS, label: str = "Target",
+             n_folds: int = C.N_FOLDS) -> str:
     """CTEs: ``te_l`` long, ``te_v`` value stats, ``te_g`` globals, ``te_enc`` encodings."""
     fsel = "fold, " if folded else ""
-    long = " UNION ALL ".join(f"SELECT {fsel}'{c}' AS column_name, CAST({c} AS DOUBLE) AS value, Target FROM {src}"
-                              for c in TE_COLS)
+    long = " UNION ALL ".join(f"SELECT {fsel}'{c}' AS column_name, CAST({c} AS DOUBLE) AS value, {label} AS Target "
+                              f"FROM {src}" for c in cols)
     hits = ", ".join(f"count_if(Target = {k}) AS h{k}" for k in range(3))
+    hits_src = ", ".join(f"count_if({label} = {k}) AS h{k}" for k in range(3))
     if not folded:
         return (f"te_l AS ({long}),\n"
                 f"te_v AS (SELECT column_name, value, count(*) AS n, {hits} FROM te_l WHERE value IS NOT NULL "
                 "GROUP BY column_name, value),\n"
                 f"te_g AS (SELECT {', '.join(f'h{k} / n AS g{k}' for k in range(3))} FROM "
-                f"(SELECT count(*) AS n, {hits} FROM {src}) t),\n"
+                f"(SELECT count(*) AS n, {hits_src} FROM {src}) t),\n"
                 "te_enc AS (SELECT column_name, value, n, " + ", ".join(
                     f"(n * (h{k} / n) + 10e0 * g{k}) / (n + 10e0) AS enc_{k}" for k in range(3)) +
                 " FROM te_v, te_g)")
     return (f"te_l AS ({long}),\n"
             f"te_v AS (SELECT fold, column_name, value, count(*) AS n, {hits} FROM te_l WHERE value IS NOT NULL "
             "GROUP BY fold, column_name, value),\n"
-            f"te_fg AS (SELECT fold, count(*) AS n, {hits} FROM {src} GROUP BY fold),\n"
+            f"te_fg AS (SELECT fold, count(*) AS n, {hits_src} FROM {src} GROUP BY fold),\n"
             "te_tg AS (SELECT sum(n) AS tn, " + ", ".join(f"sum(h{k}) AS th{k}" for k in range(3)) + " FROM te_fg),\n"
             "te_g AS (SELECT fold, " + ", ".join(f"(th{k} - h{k}) / (tn - n) AS g{k}" for k in range(3)) +
             " FROM te_fg, te_tg),\n"
@@ -108,16 +110,16 @@ def _fit_sql(src: str = "tcl", folded: bool = False) -> str:
             " FROM te_v GROUP BY column_name, value),\n"
             "te_c AS (SELECT f.fold, tv.column_name, tv.value, tv.tn - COALESCE(v.n, 0) AS n, " +
             ", ".join(f"tv.th{k} - COALESCE(v.h{k}, 0) AS h{k}" for k in range(3)) +
-            " FROM te_tv tv CROSS JOIN (SELECT * FROM range(0, 5) r(fold)) f "
+            f" FROM te_tv tv CROSS JOIN (SELECT * FROM range(0, {n_folds}) r(fold)) f "
             "LEFT JOIN te_v v ON v.fold = f.fold AND v.column_name = tv.column_name AND v.value = tv.value),\n"
             "te_enc AS (SELECT c.fold, column_name, value, n, " + ", ".join(
                 f"(n * (h{k} / n) + 10e0 * g{k}) / (n + 10e0) AS enc_{k}" for k in range(3)) +
             " FROM te_c c JOIN te_g g ON c.fold = g.fold WHERE n > 0)")
 
 
-def _apply_sql(src: str, folded: bool = False, keep: str = "t.ID") -> str:
+def _apply_sql(src: str, folded: bool = False, keep: str = "t.ID", cols=TE_COLS) -> str:
     joins, sel = [], []
-    for i, c in enumerate(TE_COLS):
+    for i, c in enumerate(cols):
         fcond = f"e{i}.fold = t.fold AND " if folded else ""
         joins.append(f"LEFT JOIN te_enc e{i} ON {fcond}e{i}.column_name = '{c}' AND e{i}.value = CAST(t.{c} AS DOUBLE)")
         for k in range(3):
