@@ -14,6 +14,9 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window, functions as F
 
 
+BROADCAST_ROWS = 1_000_000
+
+
 def _partitions(df: DataFrame, n: int | None) -> int:
     if n:
         return n
@@ -26,26 +29,44 @@ def exclusive_prefix_sum(df: DataFrame, group_cols: list[str], order_cols: list[
     """Add ``out_col`` = sum of weights of the rows of the same group that come
     strictly before this row in ``order_cols`` order, and ``total_col`` = the
     group's total weight.  ``order_cols`` must be unique within a group.
+
+    Plan: one range shuffle on (group, order); the slice is persisted so the
+    per-slice totals and the rows see the same partitioning.  Unweighted
+    (row counting): rows are sorted inside each slice and numbered with
+    ``monotonically_increasing_id`` - no second shuffle.  Weighted: a window
+    per (slice, group), i.e. one more shuffle spread over all slices.
     """
-    w = F.col(weight_col) if weight_col else F.lit(1).cast("bigint")
     keys = group_cols + order_cols
-    # one range shuffle; persisted so both uses below see the same slices
-    r = (df.withColumn("_w", w)
-         .repartitionByRange(_partitions(df, num_partitions), *keys)
-         .withColumn("_pid", F.spark_partition_id())
-         .persist(StorageLevel.MEMORY_AND_DISK))
-    slice_w = Window.partitionBy("_pid", *group_cols).orderBy(*order_cols).rowsBetween(
-        Window.unboundedPreceding, -1)
-    local = r.withColumn("_local", F.coalesce(F.sum("_w").over(slice_w), F.lit(0)))
-    totals = r.groupBy("_pid", *group_cols).agg(F.sum("_w").alias("_slice_total"))
+    ranged = df.repartitionByRange(_partitions(df, num_partitions), *keys)
+    if weight_col is None:
+        r = (ranged.sortWithinPartitions(*keys)
+             .withColumn("_pid", F.spark_partition_id())
+             .withColumn("_mid", F.monotonically_increasing_id())
+             .persist(StorageLevel.MEMORY_AND_DISK))
+        totals = r.groupBy("_pid", *group_cols).agg(F.count(F.lit(1)).alias("_slice_total"),
+                                                    F.min("_mid").alias("_first"))
+        local = r.withColumn("_w", F.lit(1))
+        local_expr = F.col("_mid") - F.col("_first")
+    else:
+        r = (ranged.withColumn("_w", F.col(weight_col))
+             .withColumn("_pid", F.spark_partition_id())
+             .persist(StorageLevel.MEMORY_AND_DISK))
+        slice_w = Window.partitionBy("_pid", *group_cols).orderBy(*order_cols).rowsBetween(
+            Window.unboundedPreceding, -1)
+        local = r.withColumn("_local", F.coalesce(F.sum("_w").over(slice_w), F.lit(0)))
+        totals = r.groupBy("_pid", *group_cols).agg(F.sum("_w").alias("_slice_total"))
+        local_expr = F.col("_local")
+    # at most (slices x groups) rows; its size is checked before it is broadcast
     before_w = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (totals
                .withColumn("_offset", F.coalesce(F.sum("_slice_total").over(before_w), F.lit(0)))
                .withColumn(total_col, F.sum("_slice_total").over(Window.partitionBy(*group_cols)))
                .drop("_slice_total"))
+    n_off = offsets.count()
+    offsets = F.broadcast(offsets) if n_off <= BROADCAST_ROWS else offsets
     out = local.join(offsets, ["_pid", *group_cols], "inner")
-    return (out.withColumn(out_col, F.col("_offset") + F.col("_local"))
-            .drop("_pid", "_local", "_offset", "_w"))
+    return (out.withColumn(out_col, (F.col("_offset") + local_expr).cast("bigint"))
+            .drop("_pid", "_local", "_offset", "_w", "_mid", "_first"))
 
 
 def average_pct_rank(df: DataFrame, id_col: str, group_col: str, value_cols: dict[str, object],

@@ -147,7 +147,14 @@ def _transform_literal(df, rows, grows, cols, fold_col, n_classes):
 
 
 def _transform_join(df, enc, glob, cols, fold_col, n_classes, broadcast):
-    """One left join per encoded column on ``([fold,] value)``."""
+    """One left join per encoded column on ``([fold,] value)``.
+
+    The fitted table is checkpointed first (to the shared checkpoint folder):
+    it is joined once per column, and a cut lineage keeps each join's plan
+    small.  Global shares have one row per fold at most and become literals.
+    """
+    enc = enc.checkpoint(eager=True)
+    grows = glob.collect()
     out = df
     for col in cols:
         e = enc.where(F.col("column_name") == col).select(
@@ -160,17 +167,16 @@ def _transform_join(df, enc, glob, cols, fold_col, n_classes, broadcast):
         out = out.join(e, cond, "left").drop("__v", *(["__fold"] if fold_col else []))
         out = out.withColumnsRenamed({f"__e{c}": f"{col}_te_{c}__raw" for c in range(n_classes)})
     if fold_col:
-        g = F.broadcast(glob.select(F.col("fold").alias("__gfold"), *[f"g{c}" for c in range(n_classes)]))
-        out = out.join(g, F.col(fold_col) == F.col("__gfold"), "left").drop("__gfold")
-        gcol = {c: F.col(f"g{c}") for c in range(n_classes)}
+        fkey = F.col(fold_col).cast("bigint")
+        gcol = {c: F.try_element_at(F.create_map(*[x for r in grows for x in (F.lit(int(r["fold"])).cast("bigint"),
+                                                                              F.lit(float(r[f"g{c}"])))]), fkey)
+                for c in range(n_classes)}
     else:
-        gcol = {c: glob.select(f"g{c}").scalar() for c in range(n_classes)}
+        gcol = {c: F.lit(float(grows[0][f"g{c}"])) for c in range(n_classes)}
     filled = [F.coalesce(F.col(f"{col}_te_{c}__raw"), gcol[c]).alias(f"{col}_te_{c}")
               for col in cols for c in range(n_classes)]
-    drop = [f"{col}_te_{c}__raw" for col in cols for c in range(n_classes)] + \
-        ([f"g{c}" for c in range(n_classes)] if fold_col else [])
-    keep = [c for c in out.columns if c not in drop]
-    return out.select(*keep, *filled)
+    drop = {f"{col}_te_{c}__raw" for col in cols for c in range(n_classes)}
+    return out.select(*[c for c in out.columns if c not in drop], *filled)
 
 
 def encoded_columns(cols: list[str] = C.TARGET_ENCODE_COLS, n_classes: int = C.N_CLASSES) -> list[str]:

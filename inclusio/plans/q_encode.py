@@ -169,9 +169,10 @@ def q_te_full(spark, sf_dir):
 
 
 def _folded_train(spark, sf_dir):
+    """Cleaned train rows with their fold (folds numbered on the same rows, no self-join)."""
     c = train_clean(spark, sf_dir)
-    fo = SY.with_folds(SY.train_rows(cleaned(spark, sf_dir))).select("ID", "fold")
-    return c.join(fo, "ID", "inner")
+    c = c.select("*", SY.key_of().alias("k"), F.col(C.TARGET_COL).alias("y"))
+    return SY.with_folds(c).drop("k", "y")
 
 
 @register("target_encode_oof", sql=lambda: SY.oof_cte() + ",\ntcl AS (SELECT clean.*, fo.fold FROM clean JOIN fo "
@@ -179,6 +180,7 @@ def _folded_train(spark, sf_dir):
           _apply_sql("tcl", True, "t.ID, t.fold"), bench=True)
 def q_te_oof(spark, sf_dir):
     """Held-out encodings: each row encoded with statistics of the other folds only."""
-    d = _folded_train(spark, sf_dir)
+    # read by the fit, the size check and the transform: materialise once, lineage cut
+    d = _folded_train(spark, sf_dir).checkpoint(eager=True)
     enc, g = TE.fit_out_of_fold(d, "fold")
     return TE.transform(d, enc, g, fold_col="fold").select("ID", "fold", *_r9(OUT_TE))

@@ -69,7 +69,8 @@ def q_li_folds(spark, sf_dir):
           _apply_sql("lf", True, ", ".join(f"t.{k}" for k in KEY) + ", t.fold", LI_TE_COLS), bench=True)
 def q_li_te(spark, sf_dir):
     """Held-out encodings of five lineitem columns against the return flag."""
-    d = li_folds(spark, sf_dir, LI_TE_COLS)
+    # read by the fit, the size check and the transform: materialise once, lineage cut
+    d = li_folds(spark, sf_dir, LI_TE_COLS).checkpoint(eager=True)
     enc, g = TE.fit_out_of_fold(d, "fold", LI_TE_COLS, label="y")
     out = TE.transform(d, enc, g, LI_TE_COLS, fold_col="fold")
     return out.select(*KEY, "fold", *[F.round(c, 9).alias(c) for c in OUT_TE])
