@@ -490,3 +490,28 @@ def q_validate(spark, sf_dir):
     sub = q_submission(spark, sf_dir)
     sample = cleaned(spark, sf_dir).where(F.col("split") == "test").select("ID")
     return validate_submission(sub, sample).drop("columns_ok")
+
+
+@register("weight_threshold_cross", sql=lambda: SY.oof_cte() + ",\n" + _weights_sql() + ",\n" +
+          grid_values_sql(C.threshold_grid(30)) + """,
+bl AS (SELECT wi, w_lgb, y, w_lgb * lgb_p1 + w_xgb * xgb_p1 AS p1, w_lgb * lgb_p2 + w_xgb * xgb_p2 AS p2
+       FROM oof CROSS JOIN wts),
+preds AS (SELECT wi, w_lgb, g2.t AS t_high, g1.t AS t_med, y,
+          CASE WHEN p2 >= g2.t THEN 2 WHEN p1 >= g1.t THEN 1 ELSE 0 END AS pred
+          FROM bl CROSS JOIN grid g2 CROSS JOIN grid g1),
+cnt AS (SELECT wi, w_lgb, t_high, t_med, """ + counts_sql() + """ FROM preds GROUP BY wi, w_lgb, t_high, t_med)
+SELECT wi, w_lgb, t_med, t_high, round(""" + f1_sql()[0] + """, 9) AS f1_weighted FROM cnt""")
+def q_weight_threshold_cross(spark, sf_dir):
+    """Every (weight, t_med, t_high) point scored: 20 x 30 x 30 from one aggregate over the rows;
+    the grid meets the small per-weight cube, never the data."""
+    grid = C.threshold_grid(N_SEARCH)
+    o = SY.oof_table(spark, sf_dir)
+    wt = F.explode(F.array(*[F.struct(F.lit(i).alias("wi"), F.lit(w).alias("w_lgb"), F.lit(1.0 - w).alias("w_xgb"))
+                             for i, w in enumerate(WEIGHTS)])).alias("w")
+    ex = o.select("y", "lgb_p1", "lgb_p2", "xgb_p1", "xgb_p2", wt).select(
+        "y", "w.wi", "w.w_lgb",
+        (F.col("w.w_lgb") * F.col("lgb_p1") + F.col("w.w_xgb") * F.col("xgb_p1")).alias("p1"),
+        (F.col("w.w_lgb") * F.col("lgb_p2") + F.col("w.w_xgb") * F.col("xgb_p2")).alias("p2"))
+    sc = _search(ex, F.col("p1"), F.col("p2"), grid, keys=["wi", "w_lgb"])
+    sc = SR.with_grid_values(sc, grid, {"t_med": "j1", "t_high": "j2"})
+    return sc.select("wi", "w_lgb", "t_med", "t_high", F.round("f1_weighted", 9).alias("f1_weighted"))
