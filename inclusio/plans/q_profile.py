@@ -194,8 +194,9 @@ def q_group_high(spark, sf_dir):
 
 @register("binary_positive_rate", sql=lambda: S.clean_cte() + """,
 t AS (SELECT CAST(Target >= 1 AS BIGINT) AS y_A, CAST(Target = 2 AS BIGINT) AS y_B FROM clean WHERE split = 'train')
-SELECT 'y_A' AS column_name, CAST(0 AS BIGINT) AS column_pos, sum(y_A) AS positives, round(avg(y_A), 9) AS rate FROM t
-UNION ALL SELECT 'y_B', CAST(1 AS BIGINT), sum(y_B), round(avg(y_B), 9) FROM t""")
+SELECT 'y_A' AS column_name, CAST(0 AS BIGINT) AS column_pos, CAST(sum(y_A) AS BIGINT) AS positives,
+       round(avg(y_A), 9) AS rate FROM t
+UNION ALL SELECT 'y_B', CAST(1 AS BIGINT), CAST(sum(y_B) AS BIGINT), round(avg(y_B), 9) FROM t""")
 def q_binary_rate(spark, sf_dir):
     c = FO.ordinal_targets(cleaned(spark, sf_dir).where(F.col("split") == "train"))
     r = P.binary_positive_rate(c, ["y_A", "y_B"])
