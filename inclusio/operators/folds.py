@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .. import config as C
-from .ranking import exclusive_prefix_sum
+from .ranking import BROADCAST_ROWS, exclusive_prefix_sum
 
 
 def class_weights(df: DataFrame, label_col: str = C.TARGET_COL, n_classes: int = C.N_CLASSES) -> DataFrame:
@@ -32,11 +32,13 @@ def stratum_index(df: DataFrame, stratum_col: str, order_cols: list[str],
     ``_offset`` (rows in strata sorting before this one)."""
     pref = exclusive_prefix_sum(df, [stratum_col], order_cols, None, num_partitions,
                                 out_col="_in_stratum", total_col="_stratum_n")
-    # one row per stratum: tiny, broadcast
     sizes = df.groupBy(stratum_col).agg(F.count(F.lit(1)).alias("_cnt"))
+    # one row per stratum; the window runs on that small table only
     offsets = sizes.select(stratum_col, (F.sum("_cnt").over(Window.orderBy(stratum_col)) - F.col("_cnt"))
                            .alias("_offset"))
-    return pref.join(F.broadcast(offsets), stratum_col, "inner")
+    if offsets.count() <= BROADCAST_ROWS:  # size checked before broadcasting
+        offsets = F.broadcast(offsets)
+    return pref.join(offsets, stratum_col, "inner")
 
 
 def stratified_folds(df: DataFrame, stratum_col: str = C.TARGET_COL, order_cols: list[str] | None = None,

@@ -42,7 +42,12 @@ def cube_scores(cells: DataFrame, n: int, keys=()) -> DataFrame:
     Works on the cube only (``|keys| * 3 * (n+1)^2`` rows at most).
     """
     keys = list(keys)
-    key_rows = cells.select(*keys).distinct()
+    if keys:
+        # the cube is tiny; persisted so the key list and the counts come from one pass over the data
+        cells = cells.persist()
+        key_rows = cells.select(*keys).distinct()
+    else:
+        key_rows = cells.sparkSession.range(1).select()
     dense = (key_rows.select(*keys, F.explode(F.array(*[F.lit(c) for c in range(3)])).alias("y"))
              .select("*", F.explode(F.sequence(F.lit(0), F.lit(n))).alias("b2"))
              .select("*", F.explode(F.sequence(F.lit(0), F.lit(n))).alias("b1")))
@@ -70,18 +75,11 @@ def cube_scores(cells: DataFrame, n: int, keys=()) -> DataFrame:
     return counts.select("*", sc["f1_weighted"].alias("f1_weighted"), sc["f1_macro"].alias("f1_macro"))
 
 
-def first_best(scores: DataFrame, metric: str, order: list[str], default: dict | None = None) -> DataFrame:
-    """The first point (in ``order``) with the largest ``metric``; strictly
-    positive scores only, else the ``default`` row (the reference starts from
-    score 0 and keeps a point only when it is strictly better)."""
-    best = scores.where(F.col(metric) > 0).orderBy(F.desc(metric), *[F.asc(c) for c in order]).limit(1)
-    if default is None:
-        return best
-    spark = scores.sparkSession
-    cols = best.columns
-    drow = spark.createDataFrame([tuple(default.get(c) for c in cols)], best.schema)
-    both = best.withColumn("_pri", F.lit(0)).unionByName(drow.withColumn("_pri", F.lit(1)))
-    return both.orderBy(F.desc(metric), "_pri").limit(1).drop("_pri")
+def first_best(scores: DataFrame, metric: str, order: list[str]) -> DataFrame:
+    """The first point (in ``order``) with the largest ``metric``, strictly
+    positive scores only (the reference starts from score 0 and keeps a point
+    only when it is strictly better; no row means it keeps its defaults)."""
+    return scores.where(F.col(metric) > 0).orderBy(F.desc(metric), *[F.asc(c) for c in order]).limit(1)
 
 
 def with_grid_values(df: DataFrame, grid: list[float], pairs: dict[str, str]) -> DataFrame:

@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import config as C
+from ..session import reliable_checkpoint
 
 LITERAL_LIMIT = 20_000
 BROADCAST_LIMIT = 2_000_000
@@ -153,7 +154,7 @@ def _transform_join(df, enc, glob, cols, fold_col, n_classes, broadcast):
     it is joined once per column, and a cut lineage keeps each join's plan
     small.  Global shares have one row per fold at most and become literals.
     """
-    enc = enc.checkpoint(eager=True)
+    enc = reliable_checkpoint(enc)
     grows = glob.collect()
     out = df
     for col in cols:

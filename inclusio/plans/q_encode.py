@@ -11,6 +11,7 @@ from ..sources import io as IO
 from . import synthetic as SY
 from .q_prepare import cleaned
 from .registry import register
+from ..session import reliable_checkpoint
 
 TE_COLS = C.TARGET_ENCODE_COLS
 OUT_TE = [f"{c}_te_{k}" for c in TE_COLS for k in range(3)]
@@ -181,6 +182,6 @@ def _folded_train(spark, sf_dir):
 def q_te_oof(spark, sf_dir):
     """Held-out encodings: each row encoded with statistics of the other folds only."""
     # read by the fit, the size check and the transform: materialise once, lineage cut
-    d = _folded_train(spark, sf_dir).checkpoint(eager=True)
+    d = reliable_checkpoint(_folded_train(spark, sf_dir))
     enc, g = TE.fit_out_of_fold(d, "fold")
     return TE.transform(d, enc, g, fold_col="fold").select("ID", "fold", *_r9(OUT_TE))

@@ -23,6 +23,7 @@ from ..sources import survey_view as SV
 from . import sql_text as S
 from .q_prepare import featured
 from .registry import register
+from ..session import reliable_checkpoint
 
 K_FOLDS = 3
 
@@ -32,7 +33,7 @@ def _base(spark, sf_dir):
     checkpoint folder: every fit below reads this table again."""
     f = featured(spark, sf_dir)
     f = f.select("*", F.substring("ID", 4, 1 << 20).cast("bigint").alias("k"))
-    return f.checkpoint(eager=True)
+    return reliable_checkpoint(f)
 
 
 def _feature_cols(df):
@@ -87,7 +88,7 @@ def q_early_stopping(spark, sf_dir):
 @register("oof_predictions")
 def q_oof(spark, sf_dir):
     """Every train row scored exactly once by each learner fitted without its fold."""
-    base = _train_with_folds(_base(spark, sf_dir)).checkpoint(eager=True)
+    base = reliable_checkpoint(_train_with_folds(_base(spark, sf_dir)))
     return MD.oof_predictions(base, _feature_cols(base), "fold", encoder=_te_encoder)
 
 
@@ -125,7 +126,7 @@ def q_search(spark, sf_dir):
     """Random search: sampled parameter trials x k-fold class-weighted GBT; objective is macro F1
     after the threshold search on the out-of-fold probabilities."""
     base = _train_with_folds(_base(spark, sf_dir))
-    base = FO.sample_weights(base, C.TARGET_COL, "w").checkpoint(eager=True)
+    base = reliable_checkpoint(FO.sample_weights(base, C.TARGET_COL, "w"))
     cols = _feature_cols(base.drop("w"))
     grid = C.threshold_grid(30)
     rows = []

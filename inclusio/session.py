@@ -47,3 +47,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         conf_dir = tempfile.mkdtemp(prefix="inclusio-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return conf_dir
+
+
+def reliable_checkpoint(df):
+    """``df.checkpoint(eager=True)`` into the shared checkpoint folder (set from the
+    session's ``spark.checkpoint.dir`` first if the context has none yet)."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
