@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .. import config as C
-from .ranking import BROADCAST_ROWS, exclusive_prefix_sum
+from .ranking import exclusive_prefix_sum
+
+LITERAL_STRATA = 10_000
 
 
 def class_weights(df: DataFrame, label_col: str = C.TARGET_COL, n_classes: int = C.N_CLASSES) -> DataFrame:
-    """Balanced weights n / (k * count_c): ``(label, n, weight)``.  Small: one row per class."""
+    """Balanced weights n / (k * count_c): ``(label, n, weight)``.  Small: one row per class;
+    the total is a scalar subquery over that table."""
     counts = df.where(F.col(label_col).isNotNull()).groupBy(label_col).agg(F.count(F.lit(1)).alias("n"))
-    total = F.sum("n").over(Window.partitionBy())
+    total = counts.agg(F.sum("n")).scalar()
     return counts.select(F.col(label_col), "n", (total / (n_classes * F.col("n"))).alias("weight"))
 
 
@@ -33,12 +36,23 @@ def stratum_index(df: DataFrame, stratum_col: str, order_cols: list[str],
     pref = exclusive_prefix_sum(df, [stratum_col], order_cols, None, num_partitions,
                                 out_col="_in_stratum", total_col="_stratum_n")
     sizes = df.groupBy(stratum_col).agg(F.count(F.lit(1)).alias("_cnt"))
-    # one row per stratum; the window runs on that small table only
-    offsets = sizes.select(stratum_col, (F.sum("_cnt").over(Window.orderBy(stratum_col)) - F.col("_cnt"))
-                           .alias("_offset"))
-    if offsets.count() <= BROADCAST_ROWS:  # size checked before broadcasting
-        offsets = F.broadcast(offsets)
-    return pref.join(offsets, stratum_col, "inner")
+    head = sizes.limit(LITERAL_STRATA + 1).collect()  # size check: strata are few by nature
+    if len(head) <= LITERAL_STRATA:
+        acc, pairs = 0, []
+        for r in sorted(head, key=lambda r: (r[0] is not None, r[0])):  # ascending, NULL first
+            if r[0] is not None:
+                pairs += [F.lit(r[0]), F.lit(acc).cast("bigint")]
+            else:
+                null_off = acc
+            acc += r["_cnt"]
+        off = F.try_element_at(F.create_map(*pairs), F.col(stratum_col)) if pairs else F.lit(None).cast("bigint")
+        if any(r[0] is None for r in head):
+            off = F.when(F.col(stratum_col).isNull(), F.lit(null_off).cast("bigint")).otherwise(off)
+        return pref.withColumn("_offset", off)
+    # many strata: the same skew-safe prefix sum over the (stratum, count) table
+    offs = exclusive_prefix_sum(sizes.withColumn("_all", F.lit(0)), ["_all"], [stratum_col], "_cnt",
+                                num_partitions, out_col="_offset").select(stratum_col, "_offset")
+    return pref.join(offs, stratum_col, "inner")
 
 
 def stratified_folds(df: DataFrame, stratum_col: str = C.TARGET_COL, order_cols: list[str] | None = None,

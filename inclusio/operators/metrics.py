@@ -156,5 +156,6 @@ def probability_ranges(df: DataFrame, probs: list[str], y="y") -> DataFrame:
 
 
 def predicted_rate_by_group(df: DataFrame, group: str, pred="pred", cls: int = 2) -> DataFrame:
-    return df.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(pred) == cls).alias("n_pred"),
+    """Per known group (missing group left out, as the per-country report does)."""
+    return df.where(F.col(group).isNotNull()).groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(pred) == cls).alias("n_pred"),
                                  (F.count_if(F.col(pred) == cls) / F.count(F.lit(1))).alias("pred_rate"))

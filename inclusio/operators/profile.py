@@ -7,7 +7,7 @@ result, so the data is scanned once whatever the number of columns.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .. import config as C
 
@@ -41,8 +41,8 @@ def value_proportions(df: DataFrame, col: str, domain: list | None = None) -> Da
     if domain is not None:
         dom = df.sparkSession.createDataFrame([(v,) for v in domain], ["value"])
         vc = dom.join(F.broadcast(vc), "value", "left").na.fill(0, ["n"])
-    # vc has one row per distinct value: the total is a window over that small table
-    total = F.sum("n").over(Window.partitionBy())
+    # vc has one row per distinct value: the total is a scalar subquery over that small table
+    total = vc.agg(F.sum("n")).scalar()
     return vc.select("value", "n", (F.col("n") / total).alias("share"))
 
 

@@ -429,7 +429,7 @@ def q_fold_metrics(spark, sf_dir):
 
 @register("predicted_rate_by_group", sql=lambda: scored_cte() + """
 SELECT country, count(*) AS n, count_if(pred = 2) AS n_pred, round(count_if(pred = 2) / count(*), 9) AS pred_rate
-FROM sc GROUP BY country""")
+FROM sc WHERE country IS NOT NULL GROUP BY country""")
 def q_pred_rate(spark, sf_dir):
     r = M.predicted_rate_by_group(scored(spark, sf_dir), "country")
     return r.select("country", "n", "n_pred", F.round("pred_rate", 9).alias("pred_rate"))

@@ -116,3 +116,22 @@ def test_oof_equals_refit_and_does_not_leak(spark, labelled):
     f0 = oof["fold"] == 0
     assert np.allclose(oof.loc[f0, cols].to_numpy(), oof2.loc[f0, cols].to_numpy(), atol=1e-12)
     assert not np.allclose(oof.loc[~f0, cols].to_numpy(), oof2.loc[~f0, cols].to_numpy())
+
+
+def test_many_strata_path_matches(spark, labelled, monkeypatch):
+    a = FO.stratified_folds(labelled, "Target", n_folds=5).orderBy("ID").select("ID", "fold").collect()
+    monkeypatch.setattr(FO, "LITERAL_STRATA", 0)
+    b = FO.stratified_folds(labelled, "Target", n_folds=5).orderBy("ID").select("ID", "fold").collect()
+    assert a == b
+
+
+def test_hot_group_is_split_across_slices(spark):
+    """One group holding 90 % of the rows is range-partitioned over many tasks."""
+    rows = [(0 if i % 10 else 1, i) for i in range(20000)]
+    df = spark.createDataFrame(rows, "g int, k bigint")
+    ranged = df.repartitionByRange(8, "g", "k").withColumn("pid", F.spark_partition_id())
+    slices = ranged.where("g = 0").select("pid").distinct().count()
+    assert slices >= 6
+    out = exclusive_prefix_sum(df, ["g"], ["k"], num_partitions=8).where("g = 0")
+    got = out.agg(F.min("_before"), F.max("_before"), F.countDistinct("_before")).first()
+    assert (got[0], got[1], got[2]) == (0, 17999, 18000)
