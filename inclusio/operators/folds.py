@@ -51,7 +51,7 @@ def stratum_index(df: DataFrame, stratum_col: str, order_cols: list[str],
         return pref.withColumn("_offset", off)
     # many strata: the same skew-safe prefix sum over the (stratum, count) table
     offs = exclusive_prefix_sum(sizes.withColumn("_all", F.lit(0)), ["_all"], [stratum_col], "_cnt",
-                                num_partitions, out_col="_offset").select(stratum_col, "_offset")
+                                num_partitions, out_col="_soff").select(stratum_col, F.col("_soff").alias("_offset"))
     return pref.join(offs, stratum_col, "inner")
 
 
