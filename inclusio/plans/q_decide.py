@@ -43,7 +43,7 @@ def ens_sql(c: int, w=W_LGB) -> str:
 
 def scored(spark, sf_dir):
     o = SY.oof_table(spark, sf_dir)
-    e = o.select(C.ID_COL, "fold", "country", "y", *[ens_expr(c).alias(f"p{c}") for c in range(3)])
+    e = o.select(C.ID_COL, "country", "y", *[ens_expr(c).alias(f"p{c}") for c in range(3)])
     return e.withColumn("pred", D.apply_thresholds("p1", "p2", T_MED, T_HIGH))
 
 
@@ -85,7 +85,7 @@ def q_synth(spark, sf_dir):
 @register("keyed_align", sql=lambda: SY.oof_cte() + """
 SELECT o.ID, o.fold, o.y, c.country, c.has_credit_card FROM oof o JOIN clean c ON o.ID = c.ID""")
 def q_keyed_align(spark, sf_dir):
-    o = SY.oof_table(spark, sf_dir).select("ID", "fold", "y")
+    o = SY.oof_table(spark, sf_dir, folds=True).select("ID", "fold", "y")
     c = cleaned(spark, sf_dir).select("ID", "country", "has_credit_card")
     return o.join(c, "ID", "inner")
 
@@ -407,7 +407,7 @@ c AS (SELECT m, {counts_sql()} FROM a GROUP BY m)
 SELECT m, n, round({f1_sql()[0]}, 9) AS f1_weighted FROM c""")
 def q_leaderboard(spark, sf_dir):
     from .q_prepare import cleaned as cl
-    lp = SY.long_probs(SY.with_folds(SY.train_rows(cl(spark, sf_dir))))
+    lp = SY.long_probs(SY.train_rows(cl(spark, sf_dir)))
     a = lp.withColumn("pred", D.argmax_class("p_low", "p_med", "p_high"))
     return M.f1_scores(a, keys=["m"]).select("m", "n", F.round("f1_weighted", 9).alias("f1_weighted"))
 

@@ -249,7 +249,7 @@ def q_first_best(spark, sf_dir):
     """First model (in model order) with the most correct argmax predictions."""
     from ..functions.decide import argmax_class
     from . import synthetic as SY
-    lp = SY.long_probs(SY.with_folds(SY.train_rows(cleaned(spark, sf_dir))))
+    lp = SY.long_probs(SY.train_rows(cleaned(spark, sf_dir)))
     c = (lp.withColumn("pred", argmax_class("p_low", "p_med", "p_high"))
          .groupBy("m").agg(F.count_if(F.col("y") == F.col("pred")).alias("correct")))
     return c.orderBy(F.desc("correct"), F.asc("m")).limit(1)

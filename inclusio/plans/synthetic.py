@@ -58,18 +58,23 @@ def wide_probs(folded: DataFrame) -> DataFrame:
 
 
 def long_probs(folded: DataFrame) -> DataFrame:
+    """Long form ``(ID, [fold,] country, y, m, p_low, p_med, p_high)``."""
+    keep = [C.ID_COL, *(["fold"] if "fold" in folded.columns else []), "country", "y"]
     st = []
     for m in range(len(MODELS)):
         p0, p1, p2 = prob_exprs(m)
         st.append(F.struct(F.lit(m).cast("bigint").alias("m"), p0.alias("p_low"), p1.alias("p_med"),
                            p2.alias("p_high")))
-    return (folded.select(C.ID_COL, "fold", "country", "y", F.explode(F.array(*st)).alias("s"))
-            .select(C.ID_COL, "fold", "country", "y", "s.m", "s.p_low", "s.p_med", "s.p_high"))
+    return (folded.select(*keep, F.explode(F.array(*st)).alias("s"))
+            .select(*keep, "s.m", "s.p_low", "s.p_med", "s.p_high"))
 
 
-def oof_table(spark, sf_dir) -> DataFrame:
+def oof_table(spark, sf_dir, folds: bool = False) -> DataFrame:
+    """Wide probabilities of the train rows; the fold column (a range shuffle)
+    only when the query uses it."""
     from .q_prepare import cleaned
-    return wide_probs(with_folds(train_rows(cleaned(spark, sf_dir))))
+    rows = train_rows(cleaned(spark, sf_dir))
+    return wide_probs(with_folds(rows) if folds else rows)
 
 
 # ------------------------------------------------------------------- SQL side
