@@ -28,22 +28,32 @@ BROADCAST_LIMIT = 2_000_000
 MAX_MAP_SIZE = 64
 
 
-def _long(df: DataFrame, cols: list[str], keep: list[str]) -> DataFrame:
-    arr = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("value"))
-                              for c in cols]))
-    return df.select(*keep, arr.alias("s")).select(*keep, "s.column_name", "s.value")
+ROWS = "__rows__"  # pseudo-column: every row counted once, value 0
+
+
+def _long(df: DataFrame, cols: list[str], keep: list[str], with_rows: bool = False) -> DataFrame:
+    items = [F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("value")) for c in cols]
+    if with_rows:
+        items.append(F.struct(F.lit(ROWS).alias("column_name"), F.lit(0.0).alias("value")))
+    return df.select(*keep, F.explode(F.array(*items)).alias("s")).select(*keep, "s.column_name", "s.value")
 
 
 def fit_counts(df: DataFrame, cols: list[str], label: str = C.TARGET_COL, fold_col: str | None = None,
                n_classes: int = C.N_CLASSES) -> tuple[DataFrame, DataFrame]:
-    """(value stats, global stats), both keyed by ``fold`` when ``fold_col`` is given."""
+    """(value stats, global stats), both keyed by ``fold`` when ``fold_col`` is given.
+
+    One aggregate produces both: the global row counts ride along as the
+    pseudo-column ``__rows__``.  The result (distinct values x folds) is small
+    and persisted, so the stats are read back without another data pass.
+    """
     keep = [label] + ([fold_col] if fold_col else [])
     fk = [F.col(fold_col).alias("fold")] if fold_col else []
-    long = _long(df.where(F.col(label).isNotNull()), cols, keep)
+    long = _long(df.where(F.col(label).isNotNull()), cols, keep, with_rows=True)
     hits = [F.count_if(F.col(label) == c).alias(f"h{c}") for c in range(n_classes)]
-    vals = long.where(F.col("value").isNotNull()).groupBy(*fk, "column_name", "value").agg(
-        F.count(F.lit(1)).alias("n"), *hits)
-    glob = df.where(F.col(label).isNotNull()).groupBy(*fk).agg(F.count(F.lit(1)).alias("n"), *hits)
+    counts = (long.where(F.col("value").isNotNull()).groupBy(*fk, "column_name", "value")
+              .agg(F.count(F.lit(1)).alias("n"), *hits).persist())
+    vals = counts.where(F.col("column_name") != ROWS)
+    glob = counts.where(F.col("column_name") == ROWS).drop("column_name", "value")
     return vals, glob
 
 
