@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import config as C
+from .quantiles import exact_quantiles
 
 CLASSES = list(range(C.N_CLASSES))
 
@@ -116,8 +117,9 @@ def class_probability_stats(df: DataFrame, prob: str, threshold: float, y="y", p
     t = F.col(y) == cls
     missed = t & (F.col(pred) != cls)
     p = F.col(prob)
+    med = exact_quantiles(df.where(t), [], prob, {"median_p": 0.5})
     return df.agg(
-        F.avg(F.when(t, p)).alias("mean_p"), F.median(F.when(t, p)).alias("median_p"),
+        F.avg(F.when(t, p)).alias("mean_p"), med.select("median_p").scalar().alias("median_p"),
         F.min(F.when(t, p)).alias("min_p"), F.max(F.when(t, p)).alias("max_p"),
         F.avg(F.when(t, (p >= threshold).cast("double"))).alias("share_above"),
         F.avg(F.when(missed, p)).alias("missed_mean_p"), F.max(F.when(missed, p)).alias("missed_max_p"),
@@ -147,12 +149,13 @@ def boundary_confusion(df: DataFrame, y="y", pred="pred") -> DataFrame:
 
 
 def probability_ranges(df: DataFrame, probs: list[str], y="y") -> DataFrame:
-    """mean / median / max of each class probability by true class (long table)."""
+    """mean / exact median / max of each class probability by true class (long table)."""
     st = F.explode(F.array(*[F.struct(F.lit(i).cast("bigint").alias("prob_class"), F.col(p).alias("p"))
                              for i, p in enumerate(probs)]))
     long = df.select(F.col(y).alias("y"), st.alias("s")).select("y", "s.prob_class", "s.p")
-    return long.groupBy("y", "prob_class").agg(F.avg("p").alias("mean_p"), F.median("p").alias("median_p"),
-                                               F.max("p").alias("max_p"))
+    mom = long.groupBy("y", "prob_class").agg(F.avg("p").alias("mean_p"), F.max("p").alias("max_p"))
+    med = exact_quantiles(long, ["y", "prob_class"], "p", {"median_p": 0.5})
+    return mom.join(med, ["y", "prob_class"], "left").select("y", "prob_class", "mean_p", "median_p", "max_p")
 
 
 def predicted_rate_by_group(df: DataFrame, group: str, pred="pred", cls: int = 2) -> DataFrame:

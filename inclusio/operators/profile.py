@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from .. import config as C
+from .quantiles import exact_quantiles
 
 
 def _stack(row_df: DataFrame, items: list[tuple[str, dict]]) -> DataFrame:
@@ -74,19 +75,29 @@ def column_info(df: DataFrame) -> DataFrame:
 
 
 def numeric_describe(df: DataFrame, cols: list[str] | None = None, exact: bool = True) -> DataFrame:
-    """count, mean, sample std, min, quartiles (linear interpolation), max per numeric column."""
+    """count, mean, sample std, min, quartiles (linear interpolation), max per numeric column.
+
+    Moments come from one wide aggregate; quartiles from the distributed exact
+    quantile over the stacked ``(column, value)`` table (or ``percentile_approx``).
+    """
     cols = cols or [c for c, t in df.dtypes if t in ("double", "float", "int", "bigint", "smallint")]
-    q = (lambda c, p: F.percentile(F.col(c), p)) if exact else (lambda c, p: F.percentile_approx(F.col(c), p, 10000))
     aggs = []
     for i, c in enumerate(cols):
         aggs += [F.count(c).alias(f"n{i}"), F.avg(c).alias(f"mean{i}"), F.stddev_samp(c).alias(f"std{i}"),
-                 F.min(c).cast("double").alias(f"min{i}"), q(c, 0.25).cast("double").alias(f"q1{i}"),
-                 q(c, 0.5).cast("double").alias(f"q2{i}"), q(c, 0.75).cast("double").alias(f"q3{i}"),
-                 F.max(c).cast("double").alias(f"max{i}")]
+                 F.min(c).cast("double").alias(f"min{i}"), F.max(c).cast("double").alias(f"max{i}")]
     agg = df.agg(*aggs)
-    items = [(c, {"count": f"n{i}", "mean": f"mean{i}", "std": f"std{i}", "min": f"min{i}", "p25": f"q1{i}",
-                  "p50": f"q2{i}", "p75": f"q3{i}", "max": f"max{i}"}) for i, c in enumerate(cols)]
-    return _stack(agg, items)
+    items = [(c, {"count": f"n{i}", "mean": f"mean{i}", "std": f"std{i}", "min": f"min{i}", "max": f"max{i}"})
+             for i, c in enumerate(cols)]
+    moments = _stack(agg, items)
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("x"))
+                                         for c in cols])).alias("s")).select("s.column_name", "s.x")
+    qs = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
+    if exact:
+        quart = exact_quantiles(long, ["column_name"], "x", qs)
+    else:
+        quart = long.groupBy("column_name").agg(*[F.percentile_approx("x", q, 10000).alias(n) for n, q in qs.items()])
+    out = moments.join(quart, "column_name", "left")
+    return out.select("column_name", "column_pos", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 def cardinality(df: DataFrame, cols: list[str] | None = None, exact: bool = True) -> DataFrame:
@@ -112,9 +123,12 @@ def yes_no_columns(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 
 
 def stats_by_target(df: DataFrame, value: str, target: str = C.TARGET_COL) -> DataFrame:
-    return df.where(F.col(target).isNotNull()).groupBy(target).agg(
-        F.avg(value).alias("mean"), F.median(value).alias("median"), F.stddev_samp(value).alias("std"),
-        F.count(value).alias("count"))
+    """mean / exact median / sample std / count of a numeric per class."""
+    base = df.where(F.col(target).isNotNull())
+    mom = base.groupBy(target).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"),
+                                   F.count(value).alias("count"))
+    med = exact_quantiles(base, [target], value, {"median": 0.5})
+    return mom.join(med, target, "left").select(target, "mean", "median", "std", "count")
 
 
 def crosstab_pct(df: DataFrame, cat: str, target: str = C.TARGET_COL, classes=None) -> DataFrame:
@@ -141,9 +155,10 @@ def histogram(df: DataFrame, cols: list[str], bins: int = 30) -> DataFrame:
 
 
 def boxplot_stats(df: DataFrame, value: str, group: str = C.TARGET_COL) -> DataFrame:
-    return df.where(F.col(group).isNotNull()).groupBy(group).agg(
-        F.percentile(value, 0.25).alias("q1"), F.percentile(value, 0.5).alias("median"),
-        F.percentile(value, 0.75).alias("q3"), F.min(value).alias("min"), F.max(value).alias("max"))
+    base = df.where(F.col(group).isNotNull())
+    q = exact_quantiles(base, [group], value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    mm = base.groupBy(group).agg(F.min(value).alias("min"), F.max(value).alias("max"))
+    return q.join(mm, group, "inner").select(group, "q1", "median", "q3", "min", "max")
 
 
 def feature_sanity(df: DataFrame, cols: list[str]) -> DataFrame:

@@ -96,3 +96,22 @@ def test_argmax_first_on_ties(spark):
 
 def test_simplex_grid():
     assert len(C.simplex_weights(0.1)) == 66 and len(C.simplex_weights(0.2)) == 21
+
+
+def test_exact_quantiles_match_numpy(spark):
+    from inclusio.operators.quantiles import exact_quantiles
+    rng = np.random.default_rng(5)
+    n = 3000
+    g = rng.choice([0, 1, 2], size=n, p=[0.8, 0.15, 0.05])   # one hot group
+    v = np.round(rng.normal(0, 3, n), 1)                      # many ties
+    v[:50] = np.nan
+    rows = [(int(g[i]), None if np.isnan(v[i]) else float(v[i])) for i in range(n)]
+    df = spark.createDataFrame(rows, "g int, v double")
+    qs = {"q10": 0.1, "q25": 0.25, "q50": 0.5, "q90": 0.9}
+    got = {r["g"]: r for r in exact_quantiles(df, ["g"], "v", qs, num_partitions=6).collect()}
+    for k in range(3):
+        x = v[(g == k) & ~np.isnan(v)]
+        for name, q in qs.items():
+            assert abs(got[k][name] - np.percentile(x, q * 100)) < 1e-9
+    allq = exact_quantiles(df, [], "v", {"m": 0.5}).first()["m"]
+    assert abs(allq - np.median(v[~np.isnan(v)])) < 1e-9
