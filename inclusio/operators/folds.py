@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from .. import config as C
-from .ranking import exclusive_prefix_sum
+from .ranking import exclusive_prefix_sum, prefix_sum_with_totals
 
 LITERAL_STRATA = 10_000
 
@@ -33,9 +33,10 @@ def stratum_index(df: DataFrame, stratum_col: str, order_cols: list[str],
                   num_partitions: int | None = None) -> DataFrame:
     """Adds ``_in_stratum`` (0-based position in stratum order), ``_stratum_n`` and
     ``_offset`` (rows in strata sorting before this one)."""
-    pref = exclusive_prefix_sum(df, [stratum_col], order_cols, None, num_partitions,
-                                out_col="_in_stratum", total_col="_stratum_n")
-    sizes = df.groupBy(stratum_col).agg(F.count(F.lit(1)).alias("_cnt"))
+    pref, totals = prefix_sum_with_totals(df, [stratum_col], order_cols, None, num_partitions,
+                                          out_col="_in_stratum", total_col="_stratum_n")
+    # stratum sizes from the prefix sum's slice totals (already materialised)
+    sizes = totals.select(stratum_col, F.col("_stratum_n").alias("_cnt"))
     head = sizes.limit(LITERAL_STRATA + 1).collect()  # size check: strata are few by nature
     if len(head) <= LITERAL_STRATA:
         acc, pairs = 0, []

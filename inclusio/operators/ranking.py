@@ -26,6 +26,14 @@ def _partitions(df: DataFrame, n: int | None) -> int:
 def exclusive_prefix_sum(df: DataFrame, group_cols: list[str], order_cols: list[str],
                          weight_col: str | None = None, num_partitions: int | None = None,
                          out_col: str = "_before", total_col: str = "_group_total") -> DataFrame:
+    """See ``prefix_sum_with_totals``; returns the rows only."""
+    return prefix_sum_with_totals(df, group_cols, order_cols, weight_col, num_partitions, out_col, total_col)[0]
+
+
+def prefix_sum_with_totals(df: DataFrame, group_cols: list[str], order_cols: list[str],
+                           weight_col: str | None = None, num_partitions: int | None = None,
+                           out_col: str = "_before", total_col: str = "_group_total"
+                           ) -> tuple[DataFrame, DataFrame]:
     """Add ``out_col`` = sum of weights of the rows of the same group that come
     strictly before this row in ``order_cols`` order, and ``total_col`` = the
     group's total weight.  ``order_cols`` must be unique within a group.
@@ -65,8 +73,10 @@ def exclusive_prefix_sum(df: DataFrame, group_cols: list[str], order_cols: list[
     n_off = offsets.count()
     offsets = F.broadcast(offsets) if n_off <= BROADCAST_ROWS else offsets
     out = local.join(offsets, ["_pid", *group_cols], "inner")
-    return (out.withColumn(out_col, (F.col("_offset") + local_expr).cast("bigint"))
-            .drop("_pid", "_local", "_offset", "_w", "_mid", "_first"))
+    out = (out.withColumn(out_col, (F.col("_offset") + local_expr).cast("bigint"))
+           .drop("_pid", "_local", "_offset", "_w", "_mid", "_first"))
+    # per-group totals, read from the persisted slices (no new pass over the input)
+    return out, totals.groupBy(*group_cols).agg(F.sum("_slice_total").alias(total_col))
 
 
 def average_pct_rank(df: DataFrame, id_col: str, group_col: str, value_cols: dict[str, object],

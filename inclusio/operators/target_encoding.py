@@ -129,31 +129,39 @@ def transform(df: DataFrame, enc: DataFrame, glob: DataFrame, cols: list[str] =
     return _transform_join(df, enc, glob, cols, fold_col, n_classes, size <= broadcast_limit)
 
 
+def _dlit(x: float) -> str:
+    """Exact double literal in Spark SQL (shortest round-trip repr)."""
+    return f"{float(x)!r}D" if x == x and abs(x) != float("inf") else f"CAST('{float(x)!r}' AS DOUBLE)"
+
+
+def _map_sql(pairs: list[tuple[str, str]], key_type: str, value_type: str) -> str:
+    if not pairs:
+        return f"CAST(map() AS MAP<{key_type}, {value_type}>)"
+    return "map(" + ", ".join(f"{k}, {v}" for k, v in pairs) + ")"
+
+
 def _transform_literal(df, rows, grows, cols, fold_col, n_classes):
     """``rows`` = fitted encodings (bounded by the caller's size check),
-    ``grows`` = global shares (one row, or one per fold)."""
-    fkey = F.col(fold_col).cast("bigint") if fold_col else None
+    ``grows`` = global shares (one row, or one per fold).  Each (column, class)
+    becomes one map literal written as SQL text (a single expression each)."""
     out = []
     for col in cols:
         mine = [r for r in rows if r["column_name"] == col]
-        x = F.col(col).cast("double")
+        x = f"CAST(`{col}` AS DOUBLE)"
         for c in range(n_classes):
             if fold_col:
-                folds = sorted(r["fold"] for r in grows)
-                outer, gpairs = [], []
-                for f in folds:
-                    inner = [y for r in mine if r["fold"] == f for y in (F.lit(float(r["value"])),
-                                                                         F.lit(float(r[f"enc_{c}"])))]
-                    m = F.create_map(*inner) if inner else F.create_map().cast("map<double,double>")
-                    outer += [F.lit(int(f)).cast("bigint"), m]
-                gpairs = [y for r in grows for y in (F.lit(int(r["fold"])).cast("bigint"), F.lit(float(r[f"g{c}"])))]
-                val = F.try_element_at(F.try_element_at(F.create_map(*outer), fkey), x)
-                e = F.coalesce(val, F.try_element_at(F.create_map(*gpairs), fkey))
+                outer = []
+                for f in sorted(r["fold"] for r in grows):
+                    inner = [(_dlit(r["value"]), _dlit(r[f"enc_{c}"])) for r in mine if r["fold"] == f]
+                    outer.append((f"{int(f)}L", _map_sql(inner, "DOUBLE", "DOUBLE")))
+                gmap = _map_sql([(f"{int(r['fold'])}L", _dlit(r[f"g{c}"])) for r in grows], "BIGINT", "DOUBLE")
+                fk = f"CAST(`{fold_col}` AS BIGINT)"
+                e = (f"coalesce(try_element_at(try_element_at({_map_sql(outer, 'BIGINT', 'MAP<DOUBLE, DOUBLE>')}, "
+                     f"{fk}), {x}), try_element_at({gmap}, {fk}))")
             else:
-                flat = [y for r in mine for y in (F.lit(float(r["value"])), F.lit(float(r[f"enc_{c}"])))]
-                m = F.create_map(*flat) if flat else F.create_map().cast("map<double,double>")
-                e = F.coalesce(F.try_element_at(m, x), F.lit(float(grows[0][f"g{c}"])))
-            out.append(e.alias(f"{col}_te_{c}"))
+                flat = [(_dlit(r["value"]), _dlit(r[f"enc_{c}"])) for r in mine]
+                e = f"coalesce(try_element_at({_map_sql(flat, 'DOUBLE', 'DOUBLE')}, {x}), {_dlit(grows[0][f'g{c}'])})"
+            out.append(F.expr(e).alias(f"{col}_te_{c}"))
     return df.select("*", *out)
 
 
