@@ -115,3 +115,16 @@ def test_exact_quantiles_match_numpy(spark):
             assert abs(got[k][name] - np.percentile(x, q * 100)) < 1e-9
     allq = exact_quantiles(df, [], "v", {"m": 0.5}).first()["m"]
     assert abs(allq - np.median(v[~np.isnan(v)])) < 1e-9
+
+
+def test_weight_search_not_worse_than_single_weights(spark):
+    """The blended optimum is at least the best score of every single weight setting."""
+    import __spark_entry__ as E
+    from conftest import SF_SMALL
+    from pyspark.sql import functions as F
+    best = E.queries()["weight_search"](spark, SF_SMALL).first()["f1_weighted"]
+    per_weight = (E.queries()["weight_threshold_cross"](spark, SF_SMALL)
+                  .groupBy("wi").agg(F.max("f1_weighted").alias("m")).collect())
+    assert len(per_weight) == 20
+    assert all(best >= r["m"] - 1e-9 for r in per_weight)
+    assert any(abs(best - r["m"]) < 1e-9 for r in per_weight)
