@@ -31,6 +31,16 @@ DEFAULT_PARAMS = {
 LEARNERS = ["gbt", "rf", "lr"]
 
 
+def sized_for_training(df: DataFrame, rows_per_partition: int = 500_000) -> DataFrame:
+    """Coalesce (no shuffle) to about ``rows_per_partition`` rows per partition,
+    at most ``spark.sql.shuffle.partitions``: MLlib runs several jobs per tree
+    level, so thousands of near-empty partitions cost more than the data."""
+    n = df.count()
+    cap = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    target = max(1, min(cap, -(-n // rows_per_partition)))
+    return df.coalesce(target) if df.rdd.getNumPartitions() > target else df
+
+
 def numeric_features(df: DataFrame, exclude=(C.ID_COL, C.TARGET_COL, "split", "fold", "y", "k")) -> list[str]:
     return [c for c, t in df.dtypes if c not in exclude and t in ("double", "int", "bigint", "float")]
 

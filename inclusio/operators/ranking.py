@@ -17,10 +17,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 BROADCAST_ROWS = 1_000_000
 
 
-def _partitions(df: DataFrame, n: int | None) -> int:
-    if n:
-        return n
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _range(df: DataFrame, n: int | None, keys: list[str]) -> DataFrame:
+    """Range shuffle on ``keys``; without an explicit count AQE may coalesce
+    small slices (it never merges large ones, so a hot group stays split)."""
+    return df.repartitionByRange(n, *keys) if n else df.repartitionByRange(*keys)
 
 
 def exclusive_prefix_sum(df: DataFrame, group_cols: list[str], order_cols: list[str],
@@ -45,7 +45,7 @@ def prefix_sum_with_totals(df: DataFrame, group_cols: list[str], order_cols: lis
     per (slice, group), i.e. one more shuffle spread over all slices.
     """
     keys = group_cols + order_cols
-    ranged = df.repartitionByRange(_partitions(df, num_partitions), *keys)
+    ranged = _range(df, num_partitions, keys)
     if weight_col is None:
         r = (ranged.sortWithinPartitions(*keys)
              .withColumn("_pid", F.spark_partition_id())

@@ -33,7 +33,7 @@ def _base(spark, sf_dir):
     checkpoint folder: every fit below reads this table again."""
     f = featured(spark, sf_dir)
     f = f.select("*", F.substring("ID", 4, 1 << 20).cast("bigint").alias("k"))
-    return reliable_checkpoint(f)
+    return MD.sized_for_training(reliable_checkpoint(f))
 
 
 def _feature_cols(df):
@@ -41,9 +41,11 @@ def _feature_cols(df):
 
 
 def _train_with_folds(base, n_folds=K_FOLDS):
+    """Train rows with their fold, materialised once (every fold fit reads them)."""
     tr = base.where(F.col("split") == "train")
-    return FO.stratified_folds(tr.withColumn("_ord", (F.col("k") * 7919) % 104729), C.TARGET_COL,
-                               ["_ord", "k"], n_folds).drop("_ord")
+    folded = FO.stratified_folds(tr.withColumn("_ord", (F.col("k") * 7919) % 104729), C.TARGET_COL,
+                                 ["_ord", "k"], n_folds).drop("_ord")
+    return MD.sized_for_training(reliable_checkpoint(folded))
 
 
 def _te_encoder(tr, va):
@@ -88,7 +90,7 @@ def q_early_stopping(spark, sf_dir):
 @register("oof_predictions")
 def q_oof(spark, sf_dir):
     """Every train row scored exactly once by each learner fitted without its fold."""
-    base = reliable_checkpoint(_train_with_folds(_base(spark, sf_dir)))
+    base = _train_with_folds(_base(spark, sf_dir))
     return MD.oof_predictions(base, _feature_cols(base), "fold", encoder=_te_encoder)
 
 
