@@ -103,7 +103,7 @@ def fit_out_of_fold(df: DataFrame, fold_col: str = "fold", cols: list[str] = C.T
 
 
 def transform(df: DataFrame, enc: DataFrame, glob: DataFrame, cols: list[str] = C.TARGET_ENCODE_COLS,
-              fold_col: str | None = None, id_col: str = C.ID_COL, n_classes: int = C.N_CLASSES,
+              fold_col: str | None = None, n_classes: int = C.N_CLASSES,
               literal_limit: int = LITERAL_LIMIT, broadcast_limit: int = BROADCAST_LIMIT,
               max_map_size: int = MAX_MAP_SIZE) -> DataFrame:
     """Add ``<col>_te_<c>`` for every encoded column and class.

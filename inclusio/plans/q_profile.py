@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import features as FX
-from ..operators import engineer as EN
 from ..operators import folds as FO
 from ..operators import profile as P
 from ..sources import survey_view as SV
