@@ -86,3 +86,21 @@ def with_grid_values(df: DataFrame, grid: list[float], pairs: dict[str, str]) ->
     """Map grid indices to threshold values through a literal array."""
     arr = F.array(*[F.lit(float(g)) for g in grid])
     return df.select("*", *[F.element_at(arr, F.col(j) + 1).alias(name) for name, j in pairs.items()])
+
+
+def blend_weight_search(df: DataFrame, y: str, a: tuple[str, str], b: tuple[str, str], weights: list[float],
+                        grid: list[float]) -> DataFrame:
+    """Scores of every (weight, t_high, t_med) for the blend w*a + (1-w)*b.
+
+    ``a``/``b`` name the (p_med, p_high) columns of the two models.  Each row is
+    expanded once per weight setting before the map-side combine, so the
+    shuffle carries only cube cells.  Columns: ``wi, w, j2, j1, f1_*``.
+    """
+    wt = F.explode(F.array(*[F.struct(F.lit(i).alias("wi"), F.lit(float(w)).alias("w"),
+                                      F.lit(1.0 - float(w)).alias("w2")) for i, w in enumerate(weights)]))
+    ex = df.select(F.col(y).alias("y"), *[F.col(c) for c in (*a, *b)], wt.alias("s")).select(
+        "y", "s.wi", "s.w",
+        (F.col("s.w") * F.col(a[0]) + F.col("s.w2") * F.col(b[0])).alias("__p1"),
+        (F.col("s.w") * F.col(a[1]) + F.col("s.w2") * F.col(b[1])).alias("__p2"))
+    cells = grid_cells(ex, F.col("__p1"), F.col("__p2"), "y", grid, keys=["wi", "w"])
+    return cube_scores(cells, len(grid), keys=["wi", "w"])

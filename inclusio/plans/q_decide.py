@@ -216,13 +216,8 @@ def q_weight_search(spark, sf_dir):
     """20 blend weights x 30^2 thresholds from one aggregate over the rows."""
     grid = C.threshold_grid(N_SEARCH)
     o = SY.oof_table(spark, sf_dir)
-    wt = F.explode(F.array(*[F.struct(F.lit(i).alias("wi"), F.lit(w).alias("w_lgb"), F.lit(1.0 - w).alias("w_xgb"))
-                             for i, w in enumerate(WEIGHTS)])).alias("w")
-    ex = o.select("y", "lgb_p1", "lgb_p2", "xgb_p1", "xgb_p2", wt).select(
-        "y", "w.wi", "w.w_lgb",
-        (F.col("w.w_lgb") * F.col("lgb_p1") + F.col("w.w_xgb") * F.col("xgb_p1")).alias("p1"),
-        (F.col("w.w_lgb") * F.col("lgb_p2") + F.col("w.w_xgb") * F.col("xgb_p2")).alias("p2"))
-    sc = _search(ex, F.col("p1"), F.col("p2"), grid, keys=["wi", "w_lgb"])
+    sc = SR.blend_weight_search(o, "y", ("lgb_p1", "lgb_p2"), ("xgb_p1", "xgb_p2"), WEIGHTS, grid)
+    sc = sc.withColumnRenamed("w", "w_lgb")
     return _best(sc, grid, "f1_weighted", ["wi", "j2", "j1"], keep=["wi", "w_lgb"])
 
 
@@ -506,12 +501,6 @@ def q_weight_threshold_cross(spark, sf_dir):
     the grid meets the small per-weight cube, never the data."""
     grid = C.threshold_grid(N_SEARCH)
     o = SY.oof_table(spark, sf_dir)
-    wt = F.explode(F.array(*[F.struct(F.lit(i).alias("wi"), F.lit(w).alias("w_lgb"), F.lit(1.0 - w).alias("w_xgb"))
-                             for i, w in enumerate(WEIGHTS)])).alias("w")
-    ex = o.select("y", "lgb_p1", "lgb_p2", "xgb_p1", "xgb_p2", wt).select(
-        "y", "w.wi", "w.w_lgb",
-        (F.col("w.w_lgb") * F.col("lgb_p1") + F.col("w.w_xgb") * F.col("xgb_p1")).alias("p1"),
-        (F.col("w.w_lgb") * F.col("lgb_p2") + F.col("w.w_xgb") * F.col("xgb_p2")).alias("p2"))
-    sc = _search(ex, F.col("p1"), F.col("p2"), grid, keys=["wi", "w_lgb"])
-    sc = SR.with_grid_values(sc, grid, {"t_med": "j1", "t_high": "j2"})
+    sc = SR.blend_weight_search(o, "y", ("lgb_p1", "lgb_p2"), ("xgb_p1", "xgb_p2"), WEIGHTS, grid)
+    sc = SR.with_grid_values(sc.withColumnRenamed("w", "w_lgb"), grid, {"t_med": "j1", "t_high": "j2"})
     return sc.select("wi", "w_lgb", "t_med", "t_high", F.round("f1_weighted", 9).alias("f1_weighted"))

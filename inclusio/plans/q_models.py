@@ -94,6 +94,22 @@ def q_oof(spark, sf_dir):
     return MD.oof_predictions(base, _feature_cols(base), "fold", encoder=_te_encoder)
 
 
+@register("oof_weight_search")
+def q_oof_weight_search(spark, sf_dir):
+    """The training flow end to end: out-of-fold GBT and forest probabilities (fold-local
+    encodings), then 20 blend weights x 30^2 thresholds from one aggregate, first best."""
+    base = _train_with_folds(_base(spark, sf_dir))
+    oof = MD.oof_predictions(base, _feature_cols(base), "fold", learners=["gbt", "rf"], encoder=_te_encoder)
+    wide = (oof.groupBy("ID", C.TARGET_COL).pivot("model", ["gbt", "rf"])
+            .agg(*[F.first(f"p{c}").alias(f"p{c}") for c in (1, 2)]))
+    grid = C.threshold_grid(30)
+    sc = SR.blend_weight_search(wide, C.TARGET_COL, ("gbt_p1", "gbt_p2"), ("rf_p1", "rf_p2"),
+                                C.linspace(0.3, 0.8, 20), grid)
+    best = SR.first_best(sc, "f1_weighted", ["wi", "j2", "j1"])
+    return SR.with_grid_values(best, grid, {"t_med": "j1", "t_high": "j2"}).select(
+        F.col("w").alias("w_gbt"), "t_med", "t_high", "f1_weighted")
+
+
 @register("feature_importance")
 def q_importance(spark, sf_dir):
     base = _base(spark, sf_dir)
