@@ -7,7 +7,8 @@ evaluates them with ``selectExpr`` over a DataFrame plan, DuckDB evaluates the
 same text as the oracle.  Work grows with ``customer`` and ``orders``.
 
 Answer column number i (0..29, order below) takes its value from
-``list[((3k^2 + (2i+5)k + (7i+1)) % prime_i) % len(list)]``.
+``list[((3k^2 + (2i+5)k + (7i+1)) % prime_i) % len(list)]``; the hash is
+evaluated on ``k % prime_i`` so that it cannot overflow at any key size.
 """
 
 from __future__ import annotations
@@ -51,7 +52,11 @@ def _sql_str(v):
 
 
 def _hash(i: int) -> str:
-    return f"((3*k*k + {2 * i + 5}*k + {7 * i + 1}) % {PRIMES[i]})"
+    """(3k^2 + (2i+5)k + (7i+1)) mod p_i, computed on k mod p_i: the same value for
+    every non-negative key, and no 64-bit overflow however large the key grows."""
+    p = PRIMES[i]
+    r = f"(k % {p})"
+    return f"((3*{r}*{r} + {2 * i + 5}*{r} + {7 * i + 1}) % {p})"
 
 
 def _answer_expr(i: int, name: str, answers) -> str:
