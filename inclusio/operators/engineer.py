@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .. import config as C
 from ..functions import features as FX
-from .ranking import average_pct_rank
+from .ranking import pct_rank_columns
 
 RANK_SUFFIX = "_country_rank"
 
@@ -49,13 +49,13 @@ def country_pct_rank(df: DataFrame, id_col: str = C.ID_COL, group_col: str = "co
     """``<col>_country_rank`` for the three money columns (average ties / non-missing count).
 
     Ranked on ``max(x, 0)``: same order as its log1p, without engine-specific
-    log rounding.  Returns the input with the rank columns appended.
+    log rounding.  Returns the input with the rank columns appended; rows are
+    matched by (country, value), so no unique row id is assumed.
     """
-    value_cols = value_cols or C.MONEY_COLS
+    del id_col  # kept for call compatibility
     vals = {f"{c}{RANK_SUFFIX}": F.when(F.col(c).isNotNull(), F.greatest(F.col(c), F.lit(0.0)))
-            for c in value_cols}
-    ranks = average_pct_rank(df, id_col, group_col, vals, num_partitions)
-    return df.join(ranks, id_col, "left").select(*df.columns, *vals.keys())
+            for c in (value_cols or C.MONEY_COLS)}
+    return pct_rank_columns(df, group_col, vals, num_partitions)
 
 
 def engineer_features(df: DataFrame, id_col: str = C.ID_COL, num_partitions: int | None = None) -> DataFrame:

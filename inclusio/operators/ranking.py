@@ -79,52 +79,50 @@ def prefix_sum_with_totals(df: DataFrame, group_cols: list[str], order_cols: lis
     return out, totals.groupBy(*group_cols).agg(F.sum("_slice_total").alias(total_col))
 
 
-def average_pct_rank(df: DataFrame, id_col: str, group_col: str, value_cols: dict[str, object],
-                     num_partitions: int | None = None) -> DataFrame:
-    """Percentile rank within group with average ties, pandas ``rank(pct=True)``.
+def rank_table(vals: DataFrame, group_cols: list[str], num_partitions: int | None = None) -> DataFrame:
+    """From ``(*group_cols, v, _n)`` distinct-value counts to ``(*group_cols, v, pct)``."""
+    pref = exclusive_prefix_sum(vals, group_cols, ["v"], "_n", num_partitions)
+    return pref.select(*group_cols, "v",
+                       ((F.col("_before") + (F.col("_n") + 1) / 2.0) / F.col("_group_total")).alias("pct"))
 
-    ``value_cols`` maps output column -> Column to rank.  Missing value or
-    missing group -> missing.  Returns ``(id_col, *outputs)`` for every input row.
 
-    Plan: values are stacked into a narrow long table ``(id, which, group, v)``;
-    distinct ``(which, group, v)`` are counted with map-side combine; the
-    skew-safe prefix sum gives the rows below each value; the rank table is
-    joined back on the value and pivoted by id (one shuffle on id).
+RANK_BROADCAST_ROWS = 2_000_000
+
+
+def pct_rank_columns(df: DataFrame, group_col: str, value_cols: dict, num_partitions: int | None = None,
+                     broadcast_rows: int = RANK_BROADCAST_ROWS) -> DataFrame:
+    """Append, for each ``out -> value`` in ``value_cols``, the average-tie
+    percentile rank of the value within ``group_col`` (pandas ``rank(pct=True)``;
+    missing value or group -> missing).
+
+    Plan: the value columns are stacked into a narrow ``(which, group, value)``
+    table and counted per distinct triple (map-side combine); one skew-safe
+    prefix sum ranks all of them; the rank table is joined back once per
+    column on (group, value), so no row id is needed and duplicate ids are
+    ranked per row.  The rank table's size is measured: below
+    ``broadcast_rows`` it is broadcast (``df`` is not shuffled), above it the
+    joins shuffle and AQE splits a hot value.
     """
     names = list(value_cols)
-    stacked = F.explode(F.array(*[
-        F.struct(F.lit(n).alias("which"), F.col(n).alias("v")) for n in names]))
-    base = df.select(F.col(id_col), F.col(group_col).alias("g"),
-                     *[F.col(c).alias(n) if isinstance(c, str) else c.alias(n) for n, c in value_cols.items()])
-    long = base.select(id_col, "g", stacked.alias("s")).select(id_col, "g", "s.which", "s.v")
+    cols = {n: (F.col(v) if isinstance(v, str) else v) for n, v in value_cols.items()}
+    stacked = F.explode(F.array(*[F.struct(F.lit(n).alias("which"), cols[n].cast("double").alias("v"))
+                                  for n in names]))
+    long = df.select(F.col(group_col).alias("g"), stacked.alias("s")).select("g", "s.which", "s.v")
     vals = (long.where(F.col("g").isNotNull() & F.col("v").isNotNull())
             .groupBy("which", "g", "v").agg(F.count(F.lit(1)).alias("_n")))
-    pref = exclusive_prefix_sum(vals, ["which", "g"], ["v"], "_n", num_partitions)
-    ranks = pref.select("which", "g", "v",
-                        ((F.col("_before") + (F.col("_n") + 1) / 2.0) / F.col("_group_total")).alias("pct"))
-    ranked = long.join(ranks, ["which", "g", "v"], "left")
-    wide = ranked.groupBy(id_col).pivot("which", names).agg(F.first("pct"))
-    return wide
-
-
-def rank_table(vals: DataFrame, group_cols: list[str], num_partitions: int | None = None) -> DataFrame:
-    """From ``(*group_cols, v, _n)`` distinct-value counts to ``(*group_cols, v, pct)``."""
-    pref = exclusive_prefix_sum(vals, group_cols, ["v"], "_n", num_partitions)
-    return pref.select(*group_cols, "v",
-                       ((F.col("_before") + (F.col("_n") + 1) / 2.0) / F.col("_group_total")).alias("pct"))
+    ranks = rank_table(vals, ["which", "g"], num_partitions).persist(StorageLevel.MEMORY_AND_DISK)
+    small = ranks.count() <= broadcast_rows
+    out = df.select("*", *[cols[n].cast("double").alias(f"__v_{i}") for i, n in enumerate(names)])
+    for i, n in enumerate(names):
+        r = ranks.where(F.col("which") == n).select(F.col("g").alias(f"__g_{i}"), F.col("v").alias(f"__r_{i}"),
+                                                    F.col("pct").alias(n))
+        r = F.broadcast(r) if small else r
+        cond = (F.col(group_col) == F.col(f"__g_{i}")) & (F.col(f"__v_{i}") == F.col(f"__r_{i}"))
+        out = out.join(r, cond, "left").drop(f"__g_{i}", f"__r_{i}", f"__v_{i}")
+    return out.select(*df.columns, *names)
 
 
 def pct_rank_column(df: DataFrame, group_col: str, value, out_col: str,
                     num_partitions: int | None = None) -> DataFrame:
-    """Single-column form: append ``out_col`` to ``df`` with one join on (group, value).
-
-    A value shared by many rows is one row of the rank table; on the big side
-    such a hot key is split by AQE's skew-join handling.
-    """
-    v = F.col(value) if isinstance(value, str) else value
-    base = df.withColumn("__g", F.col(group_col)).withColumn("__v", v)
-    vals = (base.where(F.col("__g").isNotNull() & F.col("__v").isNotNull())
-            .groupBy(F.col("__g").alias("g"), F.col("__v").alias("v")).agg(F.count(F.lit(1)).alias("_n")))
-    ranks = rank_table(vals, ["g"], num_partitions)
-    out = base.join(ranks, (F.col("__g") == F.col("g")) & (F.col("__v") == F.col("v")), "left")
-    return out.select(*df.columns, F.col("pct").alias(out_col))
+    """Single-column form of ``pct_rank_columns``."""
+    return pct_rank_columns(df, group_col, {out_col: value}, num_partitions)
