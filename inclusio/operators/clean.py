@@ -38,17 +38,21 @@ def clean_survey(df: DataFrame, is_train: bool = True) -> DataFrame:
     return df.select(*[clean_expr(n, t, is_train).alias(n) for n, t in df.dtypes])
 
 
-def missing_rates(df: DataFrame, exclude=(C.ID_COL, C.TARGET_COL, "split")) -> DataFrame:
-    """Long table ``(column_name, n_rows, n_missing, missing_rate)`` from one aggregate."""
-    cols = [c for c in df.columns if c not in exclude]
-    agg = df.agg(F.count(F.lit(1)).alias("__n"),
-                 *[F.count_if(F.col(c).isNull()).alias(f"m{i}") for i, c in enumerate(cols)])
+def missing_rates(df: DataFrame, exclude=(C.ID_COL, C.TARGET_COL, "split"), by: list[str] | None = None,
+                  columns: list[str] | None = None) -> DataFrame:
+    """Long table ``([*by,] column_name, column_pos, n_rows, n_missing, missing_rate)``
+    from one aggregate (one pass; grouped by ``by`` when given)."""
+    by = by or []
+    cols = columns or [c for c in df.columns if c not in exclude and c not in by]
+    g = df.groupBy(*by) if by else df.groupBy()
+    agg = g.agg(F.count(F.lit(1)).alias("__n"),
+                *[F.count_if(F.col(c).isNull()).alias(f"m{i}") for i, c in enumerate(cols)])
     stack = F.explode(F.array(*[
         F.struct(F.lit(c).alias("column_name"), F.lit(i).cast("bigint").alias("column_pos"),
                  F.col(f"m{i}").cast("bigint").alias("n_missing"))
         for i, c in enumerate(cols)]))
-    return (agg.select(F.col("__n").cast("bigint").alias("n_rows"), stack.alias("s"))
-            .select("s.column_name", "s.column_pos", "n_rows", "s.n_missing",
+    return (agg.select(*by, F.col("__n").cast("bigint").alias("n_rows"), stack.alias("s"))
+            .select(*by, "s.column_name", "s.column_pos", "n_rows", "s.n_missing",
                     (F.col("s.n_missing") / F.col("n_rows")).alias("missing_rate")))
 
 

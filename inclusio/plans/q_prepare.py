@@ -155,17 +155,13 @@ SELECT split, column_name, column_pos, n_rows, n_missing, n_missing / n_rows AS
        CAST(n_missing / n_rows > 0.2e0 AS BIGINT) AS flagged
 FROM per_split""")
 def q_missing_flags(spark, sf_dir):
-    """Per split (as the reference): missing count, rate and whether a flag is added."""
+    """Per split (as the reference): missing count, rate and whether a flag is added.
+    One aggregate grouped by split over the feature columns."""
     c = cleaned(spark, sf_dir)
-    out = None
-    for split in ("train", "test"):
-        part = c.filter(F.col("split") == split).drop("split")
-        if split == "test":
-            part = part.drop(C.TARGET_COL)
-        r = CL.missing_rates(part).withColumn("split", F.lit(split))
-        out = r if out is None else out.unionByName(r)
-    return out.select("split", "column_name", "column_pos", "n_rows", "n_missing", "missing_rate",
-                      (F.col("missing_rate") > C.MISSING_FLAG_RATE).cast("bigint").alias("flagged"))
+    feats = [x for x in c.columns if x not in (C.ID_COL, C.TARGET_COL, "split")]
+    r = CL.missing_rates(c, by=["split"], columns=feats)
+    return r.select("split", "column_name", "column_pos", "n_rows", "n_missing", "missing_rate",
+                    (F.col("missing_rate") > C.MISSING_FLAG_RATE).cast("bigint").alias("flagged"))
 
 
 # ------------------------------------------------------------- C: features

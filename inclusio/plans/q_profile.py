@@ -34,13 +34,12 @@ def _union(parts: list[str]) -> str:
 SELECT 'train' AS split, count(*) AS n_rows, CAST({len(TRAIN_COLS)} AS BIGINT) AS n_columns FROM survey WHERE split = 'train'
 UNION ALL SELECT 'test', count(*), CAST({len(TEST_COLS)} AS BIGINT) FROM survey WHERE split = 'test'""")
 def q_shape(spark, sf_dir):
-    out = None
-    for split in ("train", "test"):
-        d = SV.survey_split(spark, sf_dir, split)
-        r = d.agg(F.count(F.lit(1)).alias("n_rows")).select(
-            F.lit(split).alias("split"), "n_rows", F.lit(len(d.columns)).cast("bigint").alias("n_columns"))
-        out = r if out is None else out.unionByName(r)
-    return out
+    """Rows per split from one aggregate; columns per split from the schemas
+    (the test part has no Target column)."""
+    ncols = {sp: len(SV.survey_split(spark, sf_dir, sp).columns) for sp in ("train", "test")}
+    col_map = F.create_map(*[x for sp, n in ncols.items() for x in (F.lit(sp), F.lit(n).cast("bigint"))])
+    counts = SV.survey(spark, sf_dir).groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"))
+    return counts.select("split", "n_rows", F.element_at(col_map, F.col("split")).alias("n_columns"))
 
 
 @register("value_counts", sql=lambda: raw_train_sql() + """
