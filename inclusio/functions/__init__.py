@@ -1,0 +1 @@
+"""Column expressions: encoders, composite features, blends and decision rules."""

@@ -1,0 +1 @@
+"""DataFrame-in, DataFrame-out operators: cleaning, features, ranks, folds, encoding, search, metrics, training."""

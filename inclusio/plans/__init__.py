@@ -1,0 +1 @@
+"""The query catalogue: Spark builders and their oracle SQL."""
