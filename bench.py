@@ -7,6 +7,9 @@ the driver).  A warm-up pass runs the bench queries once on the smallest
 scale factor first, so JVM start-up, JIT and code generation (whose compiled
 classes are reused for identical plans) are not charged to whichever key
 happens to come first; the timed pass then measures steady-state query time.
+Each key is timed ``$BENCH_REPEAT`` times (default 2) with Spark's cache
+cleared before every run, and the fastest run is reported: the shared host
+steals CPU time, which makes single runs swing widely.
 """
 
 from __future__ import annotations
@@ -32,13 +35,17 @@ def main():
     if os.path.isdir(warm_dir):
         for k in keys:
             qs[k](spark, warm_dir).write.format("noop").mode("overwrite").save()
+    repeat = max(1, int(os.environ.get("BENCH_REPEAT", "2")))
     times = {}
     for k in keys:
-        spark.catalog.clearCache()  # no query profits from another one's persisted slices
-        t0 = time.time()
-        qs[k](spark, sf_dir).write.format("noop").mode("overwrite").save()
-        times[k] = round(time.time() - t0, 3)
-        print(f"# {k}: {times[k]}s", file=sys.stderr, flush=True)
+        runs = []
+        for _ in range(repeat):
+            spark.catalog.clearCache()  # no run profits from another one's persisted slices
+            t0 = time.time()
+            qs[k](spark, sf_dir).write.format("noop").mode("overwrite").save()
+            runs.append(time.time() - t0)
+        times[k] = round(min(runs), 3)
+        print(f"# {k}: {times[k]}s (runs: {', '.join(f'{r:.2f}' for r in runs)})", file=sys.stderr, flush=True)
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
     print(json.dumps({"metric": "total_query_seconds", "value": round(sum(times.values()), 3), "unit": "sec",
                       "queries": times, "sf": sf, "cpus": int(cpus)}))
