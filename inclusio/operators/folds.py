@@ -56,6 +56,20 @@ def stratum_index(df: DataFrame, stratum_col: str, order_cols: list[str],
     return pref.join(offs, stratum_col, "inner")
 
 
+def _join_back(df: DataFrame, numbered: DataFrame, stratum_col: str, order_cols: list[str]) -> DataFrame:
+    """Attach the per-row numbers computed on the narrow key back to the wide rows.
+
+    (stratum, order) is unique by contract, so this is a 1:1 join on a key with
+    no hot values; the stratum matches null-safely.
+    """
+    n = numbered.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate([stratum_col, *order_cols])],
+                        *[c for c in numbered.columns if c not in (stratum_col, *order_cols)])
+    cond = F.col(stratum_col).eqNullSafe(F.col("__k0"))
+    for i, c in enumerate(order_cols, start=1):
+        cond = cond & (F.col(c) == F.col(f"__k{i}"))
+    return df.join(n, cond, "inner").drop(*[f"__k{i}" for i in range(len(order_cols) + 1)])
+
+
 def stratified_folds(df: DataFrame, stratum_col: str = C.TARGET_COL, order_cols: list[str] | None = None,
                      n_folds: int = C.N_FOLDS, fold_col: str = "fold",
                      num_partitions: int | None = None) -> DataFrame:
@@ -63,15 +77,18 @@ def stratified_folds(df: DataFrame, stratum_col: str = C.TARGET_COL, order_cols:
 
     index = rows in earlier strata + position in own stratum; fold = index % k.
     Every stratum's fold sizes differ by at most one row.  ``order_cols``
-    default to a seeded hash of ``ID``.
+    default to a seeded hash of ``ID`` (with the id as tie-break).  Only the
+    narrow key (stratum, order) is range-shuffled and numbered; the fold is
+    joined back to the wide rows.
     """
     work = df
     if order_cols is None:
         work = df.select("*", *hash_order())
         order_cols = ["_h", "_tie"]
-    idx = stratum_index(work, stratum_col, order_cols, num_partitions)
-    out = idx.withColumn(fold_col, ((F.col("_offset") + F.col("_in_stratum")) % n_folds).cast("bigint"))
-    return out.drop("_in_stratum", "_stratum_n", "_offset", "_h", "_tie")
+    idx = stratum_index(work.select(stratum_col, *order_cols), stratum_col, order_cols, num_partitions)
+    numbered = idx.select(stratum_col, *order_cols,
+                          ((F.col("_offset") + F.col("_in_stratum")) % n_folds).cast("bigint").alias(fold_col))
+    return _join_back(work, numbered, stratum_col, order_cols).drop("_h", "_tie")
 
 
 def joint_stratum(*cols, sep: str = "_"):
@@ -82,9 +99,11 @@ def joint_stratum(*cols, sep: str = "_"):
 def stratified_split(df: DataFrame, stratum_col: str, order_cols: list[str], test_share: float = 0.2,
                      out_col: str = "is_holdout", num_partitions: int | None = None) -> DataFrame:
     """Per stratum, the first ``ceil(test_share * n)`` rows in order are held out."""
-    idx = stratum_index(df, stratum_col, order_cols, num_partitions)
-    return (idx.withColumn(out_col, (F.col("_in_stratum") < F.lit(test_share) * F.col("_stratum_n")).cast("bigint"))
-            .drop("_in_stratum", "_stratum_n", "_offset"))
+    idx = stratum_index(df.select(stratum_col, *order_cols), stratum_col, order_cols, num_partitions)
+    numbered = idx.select(stratum_col, *order_cols,
+                          (F.col("_in_stratum") < F.lit(test_share) * F.col("_stratum_n")).cast("bigint")
+                          .alias(out_col))
+    return _join_back(df, numbered, stratum_col, order_cols)
 
 
 def ordinal_targets(df: DataFrame, label_col: str = C.TARGET_COL) -> DataFrame:
