@@ -56,6 +56,17 @@ def stratum_index(df: DataFrame, stratum_col: str, order_cols: list[str],
     return pref.join(offs, stratum_col, "inner")
 
 
+NARROW_EXTRA_COLUMNS = 4
+
+
+def _is_narrow(df: DataFrame, stratum_col: str, order_cols: list[str]) -> bool:
+    """Few columns beyond the key: number the rows in place.  Wide rows: number
+    the narrow key only (it is what gets range-shuffled, sorted and persisted)
+    and join the result back."""
+    key = {stratum_col, *order_cols}
+    return len([c for c in df.columns if c not in key]) <= NARROW_EXTRA_COLUMNS
+
+
 def _join_back(df: DataFrame, numbered: DataFrame, stratum_col: str, order_cols: list[str]) -> DataFrame:
     """Attach the per-row numbers computed on the narrow key back to the wide rows.
 
@@ -85,9 +96,12 @@ def stratified_folds(df: DataFrame, stratum_col: str = C.TARGET_COL, order_cols:
     if order_cols is None:
         work = df.select("*", *hash_order())
         order_cols = ["_h", "_tie"]
+    fold = ((F.col("_offset") + F.col("_in_stratum")) % n_folds).cast("bigint").alias(fold_col)
+    if _is_narrow(work, stratum_col, order_cols):
+        idx = stratum_index(work, stratum_col, order_cols, num_partitions)
+        return idx.select(*work.columns, fold).drop("_h", "_tie")
     idx = stratum_index(work.select(stratum_col, *order_cols), stratum_col, order_cols, num_partitions)
-    numbered = idx.select(stratum_col, *order_cols,
-                          ((F.col("_offset") + F.col("_in_stratum")) % n_folds).cast("bigint").alias(fold_col))
+    numbered = idx.select(stratum_col, *order_cols, fold)
     return _join_back(work, numbered, stratum_col, order_cols).drop("_h", "_tie")
 
 
@@ -99,11 +113,11 @@ def joint_stratum(*cols, sep: str = "_"):
 def stratified_split(df: DataFrame, stratum_col: str, order_cols: list[str], test_share: float = 0.2,
                      out_col: str = "is_holdout", num_partitions: int | None = None) -> DataFrame:
     """Per stratum, the first ``ceil(test_share * n)`` rows in order are held out."""
+    flag = (F.col("_in_stratum") < F.lit(test_share) * F.col("_stratum_n")).cast("bigint").alias(out_col)
+    if _is_narrow(df, stratum_col, order_cols):
+        return stratum_index(df, stratum_col, order_cols, num_partitions).select(*df.columns, flag)
     idx = stratum_index(df.select(stratum_col, *order_cols), stratum_col, order_cols, num_partitions)
-    numbered = idx.select(stratum_col, *order_cols,
-                          (F.col("_in_stratum") < F.lit(test_share) * F.col("_stratum_n")).cast("bigint")
-                          .alias(out_col))
-    return _join_back(df, numbered, stratum_col, order_cols)
+    return _join_back(df, idx.select(stratum_col, *order_cols, flag), stratum_col, order_cols)
 
 
 def ordinal_targets(df: DataFrame, label_col: str = C.TARGET_COL) -> DataFrame:

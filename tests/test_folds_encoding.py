@@ -135,3 +135,13 @@ def test_hot_group_is_split_across_slices(spark):
     out = exclusive_prefix_sum(df, ["g"], ["k"], num_partitions=8).where("g = 0")
     got = out.agg(F.min("_before"), F.max("_before"), F.countDistinct("_before")).first()
     assert (got[0], got[1], got[2]) == (0, 17999, 18000)
+
+
+def test_wide_and_narrow_fold_paths_agree(spark, labelled, monkeypatch):
+    a = FO.stratified_folds(labelled, "Target", n_folds=5).orderBy("ID").select("ID", "fold").collect()
+    monkeypatch.setattr(FO, "NARROW_EXTRA_COLUMNS", 0)  # force numbering the key and joining back
+    b = FO.stratified_folds(labelled, "Target", n_folds=5).orderBy("ID").select("ID", "fold").collect()
+    c = FO.stratified_split(labelled, "Target", ["k"]).orderBy("ID").select("ID", "is_holdout").collect()
+    monkeypatch.setattr(FO, "NARROW_EXTRA_COLUMNS", 100)
+    d = FO.stratified_split(labelled, "Target", ["k"]).orderBy("ID").select("ID", "is_holdout").collect()
+    assert a == b and c == d
