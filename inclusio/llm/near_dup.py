@@ -185,24 +185,25 @@ def _verified(pairs: DataFrame, texts: DataFrame, weights, threshold: float) ->
     return exact_similarity(right.join(left, ["a", "block"]), weights).where(F.col("similarity") >= threshold)
 
 
-def _star_pairs(buckets: DataFrame) -> DataFrame:
-    """Each member of a bucket with the bucket's representative: that of the least hashed key,
-    the same one in all bands that a class of similar texts shares."""
-    ranked = buckets.select("band", "hash", "key", F.xxhash64("key").alias("rank"))
-    heads = (ranked.groupBy("band", "hash").agg(F.min(F.struct("rank", "key")).alias("head"), F.count(F.lit(1)).alias("n"))
-             .where("n > 1").select("band", "hash", F.col("head.key").alias("a"), "n"))
-    return (ranked.join(heads, ["band", "hash"]).where(F.col("key") != F.col("a"))
-            .groupBy("a", F.col("key").alias("b")).agg(F.max("n").alias("n")))
+def _shared_buckets(texts: DataFrame) -> DataFrame:
+    """(band, hash, key, total, head, n) of the texts in buckets of more than one text.  ``head`` is the
+    bucket's representative: the text of the least hashed key, the same one in all bands that a class
+    of similar texts shares."""
+    rows = texts.select("key", "total", F.xxhash64("key").alias("rank"), F.posexplode("bands").alias("band", "hash"))
+    heads = (rows.groupBy("band", "hash").agg(F.min(F.struct("rank", "key")).alias("head"), F.count(F.lit(1)).alias("n"))
+             .where("n > 1").select("band", "hash", F.col("head.key").alias("head"), "n"))
+    return rows.drop("rank").join(heads, ["band", "hash"])
 
 
 def _unsettled(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     """Members of the buckets that hold more than one class, with their class (``cls``), the
     bucket's largest class (``main``) and its number of members."""
-    m = buckets.join(labels.withColumnsRenamed({"node": "key", "label": "cls"}), "key", "left").withColumn("cls", F.coalesce("cls", "key"))
+    m = buckets.drop("head", "n").join(labels.withColumnsRenamed({"node": "key", "label": "cls"}), "key", "left").withColumn("cls", F.coalesce("cls", "key"))
+    m = staged(m, "classed")
     per = m.groupBy("band", "hash", "cls").agg(F.count(F.lit(1)).alias("n"))
     split = (per.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("classes"), F.max(F.struct("n", "cls")).alias("top"), F.sum("n").alias("members"))
              .where("classes > 1").select("band", "hash", F.col("top.cls").alias("main"), "members"))
-    return m.join(split, ["band", "hash"])
+    return staged(m.join(split, ["band", "hash"]), "unsettled")
 
 
 def _probe_pairs(m: DataFrame, least_ratio: float, turn: int) -> DataFrame:
@@ -319,28 +320,27 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     # one row per text that has words: the row of least doc_id stands for its copies
     texts = staged(signatures(rows_in, weights, bands, rows).groupBy("key").agg(
         F.min("rid").alias("rid"), F.first("total").alias("total"), F.first("bands").alias("bands")), "signatures")
-    buckets = texts.select("key", "total", F.posexplode("bands").alias("band", "hash"))
-    stars = staged(_star_pairs(buckets), "stars")
+    buckets = staged(_shared_buckets(texts), "buckets")
 
-    def bodies(keys: DataFrame) -> DataFrame:
-        """Texts of ``keys`` (key), found by key and row id together, so that the copies of one
-        text are dealt over many tasks."""
-        need = keys.select("key").distinct()
-        one = staged(texts.select("key", "rid").join(need, "key", "left_semi"), "wanted")
-        same = rows_in.join(one, ["key", "rid"], "left_semi")
-        return staged(same.groupBy("key", "rid").agg(F.first("text").alias("text")).drop("rid"), "texts")
+    # the texts that share a bucket, the only ones that are compared: read once, found by key and row
+    # id together, so that the copies of one text are dealt over many tasks
+    wanted = staged(texts.select("key", "rid").join(buckets.select("key").distinct(), "key", "left_semi"), "wanted")
+    bodies = staged(rows_in.join(wanted, ["key", "rid"], "left_semi")
+                    .groupBy("key", "rid").agg(F.first("text").alias("text")).drop("rid"), "texts")
 
     least_ratio = threshold * RATIO_SLACK
+    stars = staged(buckets.where("key != head").groupBy(F.col("head").alias("a"), F.col("key").alias("b"))
+                   .agg(F.max("n").alias("n")), "stars")
     checked = stars.select("a", "b")
-    links = staged(_verified(stars, bodies(stars.select(F.explode(F.array("a", "b")).alias("key"))), weights, threshold).select("a", "b"), "links")
+    links = staged(_verified(stars, bodies, weights, threshold).select("a", "b"), "links")
     labels = connected_components(links)
     for turn in range(PROBE_TURNS):
         pairs = staged(_probe_pairs(_unsettled(buckets, labels), least_ratio, turn).join(checked, ["a", "b"], "left_anti"), "pairs")
-        found = staged(_verified(pairs, bodies(pairs.select(F.explode(F.array("a", "b")).alias("key"))), weights, threshold).select("a", "b"), "links")
+        found = staged(_verified(pairs, bodies, weights, threshold).select("a", "b"), "links")
         checked, links = checked.unionByName(pairs.select("a", "b")), links.unionByName(found)
         labels = connected_components(links)
     tiles = staged(_tiles(_unsettled(buckets, labels), labels), "tiles")
-    found = staged(_tile_links(tiles, bodies(tiles), weights, threshold), "links")
+    found = staged(_tile_links(tiles, bodies, weights, threshold), "links")
     if not found.isEmpty():
         labels = connected_components(links.unionByName(found))
 
