@@ -83,9 +83,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs``, with all columns, without the rows that contain an item."""
-    keys = contaminated(docs, benchmark, threshold).select(F.col("text_key").alias("_leak_key")).distinct()
-    out = docs.withColumn("_leak_key", text_key(text_or_empty())).join(staged(keys, "leaks"), "_leak_key", "left_anti")
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    keys = staged(contaminated(docs, benchmark, threshold).select("text_key").distinct(), "leaks")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text_key(text_or_empty()).alias("text_key"))
+    return rows.join(keys, "text_key", "left_anti").select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def oracle() -> str:

@@ -363,8 +363,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
 
 def keep_one_per_class(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without all but one row of each near-duplicate class (the least doc_id stays)."""
-    kept = near_duplicates(docs, threshold).where("kept").select(
-        F.coalesce("doc_id", F.lit(NO_ID)).alias("_keep_rid"), F.col("text_key").alias("_keep_key"))
-    named = docs.withColumns({"_keep_rid": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_keep_key": text_key(text_or_empty())})
-    one = named.join(kept, ["_keep_rid", "_keep_key"], "left_semi").dropDuplicates(["_keep_rid", "_keep_key"])
-    return one.select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = near_duplicates(docs, threshold).where("kept").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("rid"), F.col("text_key").alias("key"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+                       F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("rid"), text_key(text_or_empty()).alias("key"))
+    one = rows.join(kept, ["rid", "key"], "left_semi").dropDuplicates(["rid", "key"])
+    return one.select(*[F.col("row")[c].alias(c) for c in docs.columns])

@@ -108,6 +108,7 @@ def test_odd_rows(odd_docs, no_docs):
                          (5, 5, 1, True), (6, 6, 1, True), (6, 6, 1, True), (7, 7, 1, True), (8, 8, 1, True), (9, 9, 1, True)], key=str)
     kept = nd.keep_one_per_class(odd_docs)
     assert kept.columns == odd_docs.columns and kept.count() == sum(r.kept for r in got)
+    assert kept.exceptAll(odd_docs).isEmpty()
     assert nd.near_duplicates(no_docs).collect() == [] and nd.keep_one_per_class(no_docs).collect() == []
 
 

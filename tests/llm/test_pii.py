@@ -62,8 +62,8 @@ def test_candidates_beyond_the_base_are_judged_by_labelers(spark):
     more = ["please call phone: 555-123-4567 today", "serial 300.1.2.3 of version 999.1.1.1", "mail anna [at] example [dot] com please"]
     rows = pii.report(spark.createDataFrame(list(enumerate(good + more)), "doc_id long, text string")).collect()
     by = {r.doc_id: r.spans for r in rows}
-    assert by[60] == "phone:20:32"
-    assert by[62] == "email:5:31"
+    assert by[60] == "phone:19:31"
+    assert by[62] == "email:5:32"
     assert by[61] == ""
 
 
