@@ -1,4 +1,4 @@
-"""Connected components by least labels, as joins and aggregates over staged tables."""
+"""Connected components by contraction, as joins and aggregates over staged tables."""
 
 from __future__ import annotations
 
@@ -8,25 +8,26 @@ from .common import staged
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, label) for every node of ``edges`` (a, b): label is the least node of its component.
+    """(node, label) for every node of ``edges`` (a, b) that has another node beside it; nodes of one
+    component, and only these, have the same label, which is one of them.
 
-    In each round a node, and the node that is its label, take the least label among the
-    neighbours; then every node takes the label of its label.  The number of rounds grows with
-    the logarithm of the longest path.  Each round is written to the shared folder."""
-    sym = staged(edges.select(F.col("a").alias("src"), F.col("b").alias("dst"))
-                 .union(edges.select("b", "a")), "edges")
-    labels = staged(sym.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("m"))
-                    .select("node", F.least("node", "m").alias("label")), "labels")
-    while True:
-        known = labels.select(F.col("node").alias("dst"), F.col("label").alias("seen"))
-        own = labels.select(F.col("node").alias("src"), F.col("label").alias("own"))
-        heard = sym.join(known, "dst").groupBy("src").agg(F.min("seen").alias("seen")).join(own, "src")
-        offers = (heard.select(F.col("src").alias("node"), "seen")
-                  .union(heard.select(F.col("own"), "seen")).groupBy("node").agg(F.min("seen").alias("seen")))
-        hooked = staged(labels.join(offers, "node", "left")
-                        .select("node", F.col("label").alias("old"), F.least("label", "seen").alias("label")), "hooked")
-        up = hooked.select(F.col("node").alias("label"), F.col("label").alias("top"))
-        labels = staged(hooked.join(up, "label").select("node", "old", F.least("label", "top").alias("label")), "labels")
-        if labels.where("old != label").isEmpty():
-            return labels.select("node", "label")
-        labels = labels.select("node", "label")
+    In each round every node goes to the node of least hash among itself and its neighbours, and the
+    graph is drawn anew between these.  The hash makes the order of the nodes random, so that the
+    graph shrinks by a factor in each round whatever the ids are; a star is done in one.  Each round
+    is written to the shared folder, and nothing but the question whether edges are left reaches the
+    driver."""
+    rows = edges.where("a != b")
+    left = staged(rows.select(F.col("a").alias("src"), F.col("b").alias("dst")).union(rows.select("b", "a")), "edges")
+    total = None
+    while total is None or not left.isEmpty():
+        step = staged(left.groupBy("src").agg(F.min(F.struct(F.xxhash64("dst").alias("h"), F.col("dst").alias("to"))).alias("near"))
+                      .select("src", F.least(F.struct(F.xxhash64("src").alias("h"), F.col("src").alias("to")), "near")["to"].alias("to")), "step")
+        if total is None:
+            total = step.select(F.col("src").alias("node"), F.col("to").alias("label"))
+        else:
+            moved = step.select(F.col("src").alias("label"), "to")
+            total = staged(total.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "components")
+        ends = [step.select(F.col("src").alias(end), F.col("to").alias(f"{end}_to")) for end in ("src", "dst")]
+        left = staged(left.join(ends[0], "src").join(ends[1], "dst").where("src_to != dst_to")
+                      .select(F.col("src_to").alias("src"), F.col("dst_to").alias("dst")).distinct(), "edges")
+    return total

@@ -36,7 +36,7 @@ PAIRS_PER_BLOCK = 1000
 RATIO_SLACK = 0.9
 #: Turns in which texts outside a bucket's largest class are compared with one member of it, before
 #: the rest is compared with all members: they settle most texts of large groups of copies.
-PROBE_TURNS = 2
+PROBE_TURNS = 1
 #: Texts of a tile's two sides in the last comparison.
 TILE_OUTSIDE = 256
 TILE_INSIDE = 1024
@@ -323,9 +323,10 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     buckets = staged(_shared_buckets(texts), "buckets")
 
     # the texts that share a bucket, the only ones that are compared: read once, found by key and row
-    # id together, so that the copies of one text are dealt over many tasks
+    # id together, so that the copies of one text are dealt over many tasks (by a merge join at any
+    # size, since the number of these texts grows with the corpus)
     wanted = staged(texts.select("key", "rid").join(buckets.select("key").distinct(), "key", "left_semi"), "wanted")
-    bodies = staged(rows_in.join(wanted, ["key", "rid"], "left_semi")
+    bodies = staged(rows_in.join(wanted.hint("merge"), ["key", "rid"], "left_semi")
                     .groupBy("key", "rid").agg(F.first("text").alias("text")).drop("rid"), "texts")
 
     least_ratio = threshold * RATIO_SLACK

@@ -112,7 +112,7 @@ def test_odd_rows(odd_docs, no_docs):
     assert nd.near_duplicates(no_docs).collect() == [] and nd.keep_one_per_class(no_docs).collect() == []
 
 
-@pytest.mark.parametrize("edges", [[(i, i + 1) for i in range(60)], [(1, 9), (9, 5), (5, 3), (7, 8)], [(0, i) for i in range(1, 50)], [(4, 3), (3, 4), (4, 3)]])
+@pytest.mark.parametrize("edges", [[(i, i + 1) for i in range(60)], [(1, 9), (9, 5), (5, 3), (7, 8)], [(0, i) for i in range(1, 50)], [(4, 3), (3, 4), (4, 3)], [(i, i + 1) for i in range(0, 400, 2)] + [(i, i + 1) for i in range(1, 399, 2)]])
 def test_connected_components(spark, edges):
     up = {n: n for e in edges for n in e}
 
@@ -123,5 +123,10 @@ def test_connected_components(spark, edges):
 
     for a, b in edges:
         up[max(top(a), top(b))] = min(top(a), top(b))
-    got = connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
-    assert {r.node: r.label for r in got} == {n: top(n) for n in up} and len(got) == len(up)
+    pairs = spark.createDataFrame(edges, "a long, b long")
+    got = connected_components(pairs).collect()
+    assert connected_components(pairs.limit(0)).collect() == []
+    assert sorted(r.node for r in got) == sorted(up)
+    label = {r.node: r.label for r in got}
+    assert all((label[a] == label[b]) == (top(a) == top(b)) for a in up for b in up)
+    assert all(top(n) == top(x) for n, x in label.items())
