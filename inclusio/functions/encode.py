@@ -103,7 +103,3 @@ def coerce_numeric(c, dtype=None) -> Column:
     inf = (F.when(low.isin("inf", "+inf", "infinity", "+infinity"), F.lit(float("inf")))
            .when(low.isin("-inf", "-infinity"), F.lit(float("-inf"))))
     return F.coalesce(parsed, inf)
-
-
-def is_na_token(c) -> Column:
-    return _c(c).isin(*C.NA_TOKENS)

@@ -53,7 +53,7 @@ def missing_rates(df: DataFrame, exclude=(C.ID_COL, C.TARGET_COL, "split"), by:
         for i, c in enumerate(cols)]))
     return (agg.select(*by, F.col("__n").cast("bigint").alias("n_rows"), stack.alias("s"))
             .select(*by, "s.column_name", "s.column_pos", "n_rows", "s.n_missing",
-                    (F.col("s.n_missing") / F.col("n_rows")).alias("missing_rate")))
+                    F.when(F.col("n_rows") > 0, F.col("s.n_missing") / F.col("n_rows")).alias("missing_rate")))
 
 
 def missing_flag_columns(df: DataFrame, threshold: float = C.MISSING_FLAG_RATE,
@@ -96,12 +96,3 @@ def column_differences(left: DataFrame, right: DataFrame) -> tuple[list[str], li
     """(in left not right, in right not left), each in column order."""
     r, l_ = set(right.columns), set(left.columns)
     return [c for c in left.columns if c not in r], [c for c in right.columns if c not in l_]
-
-
-def preprocess(train_raw: DataFrame, test_raw: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Reference stage 1: clean both splits, flag per split, align test to train."""
-    train = add_missing_flags(clean_survey(train_raw, True))
-    test = add_missing_flags(clean_survey(test_raw, False))
-    types = dict(train.dtypes)
-    feats = [c for c in train.columns if c != C.TARGET_COL]
-    return train, align_columns(test, feats, types)

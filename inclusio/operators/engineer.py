@@ -44,25 +44,24 @@ def feat_interaction(df: DataFrame) -> DataFrame:
     return _with(df, FX.interaction_exprs(bank, fac))
 
 
-def country_pct_rank(df: DataFrame, id_col: str = C.ID_COL, group_col: str = "country",
-                     value_cols=None, num_partitions: int | None = None) -> DataFrame:
+def country_pct_rank(df: DataFrame, group_col: str = "country", value_cols=None, num_partitions: int | None = None) -> DataFrame:
     """``<col>_country_rank`` for the three money columns (average ties / non-missing count).
 
     Ranked on ``max(x, 0)``: same order as its log1p, without engine-specific
     log rounding.  Returns the input with the rank columns appended; rows are
-    matched by (country, value), so no unique row id is assumed.
+    matched by country and values, so no unique row id is assumed.
     """
-    del id_col  # kept for call compatibility
     vals = {f"{c}{RANK_SUFFIX}": F.when(F.col(c).isNotNull(), F.greatest(F.col(c), F.lit(0.0)))
             for c in (value_cols or C.MONEY_COLS)}
     return pct_rank_columns(df, group_col, vals, num_partitions)
 
 
-def engineer_features(df: DataFrame, id_col: str = C.ID_COL, num_partitions: int | None = None) -> DataFrame:
+def engineer_features(df: DataFrame, num_partitions: int | None = None, ranks: bool = True) -> DataFrame:
     """All composites in the reference's order; originals kept.
 
     access -> savings -> debt -> resilience -> business are one projection; the
-    country ranks are the only shuffle; interactions are a final projection.
+    country ranks are the only shuffle (``ranks=False`` leaves them out for callers
+    that don't read them); interactions are a final projection.
     """
     acc = FX.access_exprs()
     sav = FX.savings_exprs()
@@ -71,7 +70,7 @@ def engineer_features(df: DataFrame, id_col: str = C.ID_COL, num_partitions: int
     bus = FX.business_exprs()
     step1 = _with(_with(df, {**acc, **sav, **debt}), res)
     step1 = _with(step1, bus)
-    ranked = country_pct_rank(step1, id_col, num_partitions=num_partitions)
+    ranked = country_pct_rank(step1, num_partitions=num_partitions) if ranks else step1
     inter = FX.interaction_exprs(F.col("has_any_banking_now"), F.col("formal_access_count"))
     return _with(ranked, inter)
 

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from .. import config as C
 from .ranking import exclusive_prefix_sum, prefix_sum_with_totals
 
+#: Strata up to this number get their offsets as literals, more by a join; both give the same rows.
 LITERAL_STRATA = 10_000
 
 
@@ -31,7 +32,7 @@ def hash_order(id_col: str = C.ID_COL, seed: int = C.SEED):
 
 def stratum_index(df: DataFrame, stratum_col: str, order_cols: list[str],
                   num_partitions: int | None = None) -> DataFrame:
-    """Adds ``_in_stratum`` (0-based position in stratum order), ``_stratum_n`` and
+    """Adds (to every row, also those of a missing stratum) ``_in_stratum`` (0-based position in stratum order), ``_stratum_n`` and
     ``_offset`` (rows in strata sorting before this one)."""
     pref, totals = prefix_sum_with_totals(df, [stratum_col], order_cols, None, num_partitions,
                                           out_col="_in_stratum", total_col="_stratum_n")
@@ -53,32 +54,14 @@ def stratum_index(df: DataFrame, stratum_col: str, order_cols: list[str],
     # many strata: the same skew-safe prefix sum over the (stratum, count) table
     offs = exclusive_prefix_sum(sizes.withColumn("_all", F.lit(0)), ["_all"], [stratum_col], "_cnt",
                                 num_partitions, out_col="_soff").select(stratum_col, F.col("_soff").alias("_offset"))
-    return pref.join(offs, stratum_col, "inner")
+    offs = offs.withColumnRenamed(stratum_col, "__stratum")
+    return pref.join(offs, F.col(stratum_col).eqNullSafe(F.col("__stratum")), "inner").drop("__stratum")
 
 
-NARROW_EXTRA_COLUMNS = 4
-
-
-def _is_narrow(df: DataFrame, stratum_col: str, order_cols: list[str]) -> bool:
-    """Few columns beyond the key: number the rows in place.  Wide rows: number
-    the narrow key only (it is what gets range-shuffled, sorted and persisted)
-    and join the result back."""
-    key = {stratum_col, *order_cols}
-    return len([c for c in df.columns if c not in key]) <= NARROW_EXTRA_COLUMNS
-
-
-def _join_back(df: DataFrame, numbered: DataFrame, stratum_col: str, order_cols: list[str]) -> DataFrame:
-    """Attach the per-row numbers computed on the narrow key back to the wide rows.
-
-    (stratum, order) is unique by contract, so this is a 1:1 join on a key with
-    no hot values; the stratum matches null-safely.
-    """
-    n = numbered.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate([stratum_col, *order_cols])],
-                        *[c for c in numbered.columns if c not in (stratum_col, *order_cols)])
-    cond = F.col(stratum_col).eqNullSafe(F.col("__k0"))
-    for i, c in enumerate(order_cols, start=1):
-        cond = cond & (F.col(c) == F.col(f"__k{i}"))
-    return df.join(n, cond, "inner").drop(*[f"__k{i}" for i in range(len(order_cols) + 1)])
+def _tie_break(df: DataFrame):
+    """Hash of the whole row: rows that tie in the order are numbered alike in every run
+    (rows that tie here too are equal, so their numbers may be swapped)."""
+    return F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")
 
 
 def stratified_folds(df: DataFrame, stratum_col: str = C.TARGET_COL, order_cols: list[str] | None = None,
@@ -88,21 +71,18 @@ def stratified_folds(df: DataFrame, stratum_col: str = C.TARGET_COL, order_cols:
 
     index = rows in earlier strata + position in own stratum; fold = index % k.
     Every stratum's fold sizes differ by at most one row.  ``order_cols``
-    default to a seeded hash of ``ID`` (with the id as tie-break).  Only the
-    narrow key (stratum, order) is range-shuffled and numbered; the fold is
-    joined back to the wide rows.
+    default to a seeded hash of ``ID`` (with the id as tie-break).  Every row
+    gets exactly one fold: a missing stratum is a stratum, a missing order
+    value sorts first, and rows of one id are numbered one after the other.
     """
     work = df
     if order_cols is None:
         work = df.select("*", *hash_order())
         order_cols = ["_h", "_tie"]
+    work = work.select("*", _tie_break(df))
     fold = ((F.col("_offset") + F.col("_in_stratum")) % n_folds).cast("bigint").alias(fold_col)
-    if _is_narrow(work, stratum_col, order_cols):
-        idx = stratum_index(work, stratum_col, order_cols, num_partitions)
-        return idx.select(*work.columns, fold).drop("_h", "_tie")
-    idx = stratum_index(work.select(stratum_col, *order_cols), stratum_col, order_cols, num_partitions)
-    numbered = idx.select(stratum_col, *order_cols, fold)
-    return _join_back(work, numbered, stratum_col, order_cols).drop("_h", "_tie")
+    idx = stratum_index(work, stratum_col, [*order_cols, "_row"], num_partitions)
+    return idx.select(*df.columns, fold)
 
 
 def joint_stratum(*cols, sep: str = "_"):
@@ -114,10 +94,8 @@ def stratified_split(df: DataFrame, stratum_col: str, order_cols: list[str], tes
                      out_col: str = "is_holdout", num_partitions: int | None = None) -> DataFrame:
     """Per stratum, the first ``ceil(test_share * n)`` rows in order are held out."""
     flag = (F.col("_in_stratum") < F.lit(test_share) * F.col("_stratum_n")).cast("bigint").alias(out_col)
-    if _is_narrow(df, stratum_col, order_cols):
-        return stratum_index(df, stratum_col, order_cols, num_partitions).select(*df.columns, flag)
-    idx = stratum_index(df.select(stratum_col, *order_cols), stratum_col, order_cols, num_partitions)
-    return _join_back(df, idx.select(stratum_col, *order_cols, flag), stratum_col, order_cols)
+    idx = stratum_index(df.select("*", _tie_break(df)), stratum_col, [*order_cols, "_row"], num_partitions)
+    return idx.select(*df.columns, flag)
 
 
 def ordinal_targets(df: DataFrame, label_col: str = C.TARGET_COL) -> DataFrame:

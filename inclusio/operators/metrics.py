@@ -94,13 +94,12 @@ def classification_report(df: DataFrame, y: str = "y", pred: str = "pred") -> Da
                     F.avg("recall").alias("recall"), F.avg("f1").alias("f1"),
                     F.sum("support").cast("bigint").alias("support"))
     weighted = per.agg(F.lit("weighted avg").alias("label"),
-                       (F.sum(F.col("precision") * F.col("support")) / F.sum("support")).alias("precision"),
-                       (F.sum(F.col("recall") * F.col("support")) / F.sum("support")).alias("recall"),
-                       (F.sum(F.col("f1") * F.col("support")) / F.sum("support")).alias("f1"),
+                       *[F.when(F.sum("support") > 0, F.sum(F.col(m) * F.col("support")) / F.sum("support"))
+                         .otherwise(0.0).alias(m) for m in ("precision", "recall", "f1")],
                        F.sum("support").cast("bigint").alias("support"))
     acc = counts.select(F.lit("accuracy").alias("label"), F.lit(None).cast("double").alias("precision"),
                         F.lit(None).cast("double").alias("recall"),
-                        ((F.col("tp0") + F.col("tp1") + F.col("tp2")) / F.col("n")).alias("f1"),
+                        F.when(F.col("n") > 0, (F.col("tp0") + F.col("tp1") + F.col("tp2")) / F.col("n")).otherwise(0.0).alias("f1"),
                         F.col("n").cast("bigint").alias("support"))
     return per.unionByName(acc).unionByName(macro).unionByName(weighted)
 
@@ -144,8 +143,10 @@ def per_group_scores(df: DataFrame, group: str, y="y", pred="pred") -> DataFrame
 def boundary_confusion(df: DataFrame, y="y", pred="pred") -> DataFrame:
     med_low = F.count_if((F.col(y) == 1) & (F.col(pred) == 0))
     low_med = F.count_if((F.col(y) == 0) & (F.col(pred) == 1))
-    return df.agg(med_low.alias("medium_as_low"), (med_low / F.count_if(F.col(y) == 1)).alias("medium_as_low_rate"),
-                  low_med.alias("low_as_medium"), (low_med / F.count_if(F.col(y) == 0)).alias("low_as_medium_rate"))
+    n_med, n_low = F.count_if(F.col(y) == 1), F.count_if(F.col(y) == 0)
+    # an absent class has no rate
+    return df.agg(med_low.alias("medium_as_low"), F.when(n_med > 0, med_low / n_med).alias("medium_as_low_rate"),
+                  low_med.alias("low_as_medium"), F.when(n_low > 0, low_med / n_low).alias("low_as_medium_rate"))
 
 
 def probability_ranges(df: DataFrame, probs: list[str], y="y") -> DataFrame:

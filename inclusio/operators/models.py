@@ -1,46 +1,43 @@
-"""Distributed training with MLlib: learners, out-of-fold scoring, search.
+"""Distributed training with MLlib: learners, out-of-fold scoring, saved models, search.
 
 The reference's boosted-tree libraries are single-machine; here every fit is
 an MLlib estimator whose work (histogram aggregation per tree level) runs on
 the executors.  Fold fits are independent Spark jobs and are submitted from a
 small driver thread pool so the cluster works on several at once.
 
-MLlib trees reject NaN/NULL features, so missing values get a sentinel
-(-1) before assembling; the ``_missing`` flag columns keep the information.
+Boosted fits under cross-validation stop early on the held-out fold.  MLlib
+trees reject NaN/NULL features, so missing values get a sentinel far outside
+every column's range before assembling.
 """
 
 from __future__ import annotations
 
 import random
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import (GBTClassificationModel, GBTClassifier, LogisticRegression, LogisticRegressionModel,
+                                       RandomForestClassificationModel, RandomForestClassifier)
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from .. import config as C
 
-SENTINEL = -1.0
+#: Stands for a missing value: no answer, amount or score is anywhere near it.
+SENTINEL = -1e9
+#: Up to 2000 boosting rounds (early stopping ends them), 1000 trees and 1000 iterations.
 DEFAULT_PARAMS = {
-    "gbt": {"maxIter": 10, "maxDepth": 4, "stepSize": 0.1, "subsamplingRate": 0.8, "seed": C.SEED},
-    "rf": {"numTrees": 20, "maxDepth": 6, "seed": C.SEED},
-    "lr": {"maxIter": 50, "regParam": 0.01},
+    "gbt": {"maxIter": 2000, "maxDepth": 4, "stepSize": 0.1, "subsamplingRate": 0.8, "seed": C.SEED},
+    "rf": {"numTrees": 1000, "maxDepth": 6, "seed": C.SEED},
+    "lr": {"maxIter": 1000, "regParam": 0.01},
 }
+#: Share of rows held back to end boosting where no fold is held out.
+STOP_SHARE = 0.1
 LEARNERS = ["gbt", "rf", "lr"]
 
 
-def sized_for_training(df: DataFrame, rows_per_partition: int = 500_000) -> DataFrame:
-    """Coalesce (no shuffle) to about ``rows_per_partition`` rows per partition,
-    at most ``spark.sql.shuffle.partitions``: MLlib runs several jobs per tree
-    level, so thousands of near-empty partitions cost more than the data."""
-    n = df.count()
-    cap = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    target = max(1, min(cap, -(-n // rows_per_partition)))
-    return df.coalesce(target) if df.rdd.getNumPartitions() > target else df
-
-
 def numeric_features(df: DataFrame, exclude=(C.ID_COL, C.TARGET_COL, "split", "fold", "y", "k")) -> list[str]:
     return [c for c, t in df.dtypes if c not in exclude and t in ("double", "int", "bigint", "float")]
 
@@ -98,12 +95,18 @@ def predict_proba(fitted, df: DataFrame, keep: list[str], n_classes: int = C.N_C
     return t.select(*keep, *[F.col("__p")[c].alias(f"p{c}") for c in range(k)])
 
 
+def held_back(df: DataFrame, id_col: str = C.ID_COL, share: float = STOP_SHARE) -> DataFrame:
+    """Adds ``__val``: a fixed share of the rows, by a hash of the id, on which boosting stops."""
+    return df.withColumn("__val", F.pmod(F.xxhash64(F.col(id_col), F.lit("stop")), F.lit(1000)) < int(share * 1000))
+
+
 def train_ensemble(train: DataFrame, feature_cols: list[str], label: str = C.TARGET_COL,
                    learners=LEARNERS, params: dict | None = None, threads: int = 3) -> dict:
-    """Fit each learner on all rows (fits submitted concurrently)."""
+    """Fit each learner on all rows (fits submitted concurrently); boosting stops on ``held_back`` rows."""
     a = assemble(train.where(F.col(label).isNotNull()), feature_cols).withColumn("label", F.col(label).cast("double"))
+    a = held_back(a)
     with ThreadPoolExecutor(max_workers=threads) as ex:
-        futs = {k: ex.submit(fit_learner, k, a, "label", (params or {}).get(k)) for k in learners}
+        futs = {k: ex.submit(fit_learner, k, a, "label", (params or {}).get(k), C.N_CLASSES, "__val") for k in learners}
         return {k: f.result() for k, f in futs.items()}
 
 
@@ -118,21 +121,26 @@ def score_ensemble(models: dict, df: DataFrame, feature_cols: list[str], keep: l
 
 
 def train_ordinal(train: DataFrame, feature_cols: list[str], label: str = C.TARGET_COL,
-                  params: dict | None = None) -> dict:
-    """Two binary tasks: A = (y >= 1), B = (y == 2), each a binary GBT."""
-    base = assemble(train.where(F.col(label).isNotNull()), feature_cols)
-    out = {}
-    for task, cond in (("A", F.col(label) >= 1), ("B", F.col(label) == 2)):
-        t = base.withColumn("label", cond.cast("double"))
-        out[task] = fit_learner("gbt", t, "label", params, n_classes=2)
-    return out
+                  learners=LEARNERS, params: dict | None = None, threads: int = 3) -> dict:
+    """Two binary tasks: A = (y >= 1), B = (y == 2), each with every learner: ``{(task, learner): model}``."""
+    base = held_back(assemble(train.where(F.col(label).isNotNull()), feature_cols))
+    tasks = {"A": base.withColumn("label", (F.col(label) >= 1).cast("double")),
+             "B": base.withColumn("label", (F.col(label) == 2).cast("double"))}
+    with ThreadPoolExecutor(max_workers=threads) as ex:
+        futs = {(t, k): ex.submit(fit_learner, k, tasks[t], "label", (params or {}).get(k), 2, "__val")
+                for t in tasks for k in learners}
+        return {k: f.result() for k, f in futs.items()}
 
 
 def score_ordinal(models: dict, df: DataFrame, feature_cols: list[str], keep: list[str]) -> DataFrame:
-    a = assemble(df, feature_cols)
-    pa = predict_proba(models["A"], a, keep, 2).select(*keep, F.col("p1").alias("p_A"))
-    pb = predict_proba(models["B"], a, keep, 2).select(*keep, F.col("p1").alias("p_B"))
-    return pa.join(pb, keep, "inner")
+    """``(keep..., p_A, p_B)``: each task's probability, averaged over its learners in one pass."""
+    out, names = assemble(df, feature_cols), {"A": [], "B": []}
+    for (task, kind), (_, m) in models.items():
+        name = f"__p_{task}_{kind}"
+        out = m.transform(out).withColumn(name, vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")
+        names[task].append(F.col(name))
+    mean = {t: sum(cols[1:], cols[0]) / len(cols) for t, cols in names.items()}
+    return out.select(*keep, mean["A"].alias("p_A"), mean["B"].alias("p_B"))
 
 
 def fit_with_early_stopping(train: DataFrame, valid: DataFrame, feature_cols: list[str],
@@ -144,35 +152,101 @@ def fit_with_early_stopping(train: DataFrame, valid: DataFrame, feature_cols: li
     return fit_learner("gbt", a, "label", params, n_classes=2, validation_col="__val")
 
 
-def oof_predictions(df: DataFrame, feature_cols: list[str], fold_col: str = "fold", label: str = C.TARGET_COL,
-                    learners=LEARNERS, params: dict | None = None, keep=(C.ID_COL,), threads: int = 4,
-                    encoder=None) -> DataFrame:
-    """Per fold f: fit on folds != f, score fold f; every row scored exactly once.
+@dataclass
+class CrossValidated:
+    """Out-of-fold scores, the fitted model of each (fold, learner), and each fold's feature columns."""
+
+    oof: DataFrame
+    models: dict
+    columns: dict
 
-    ``encoder(train_part, valid_part) -> (train_enc, valid_enc, cols)`` adds
-    fold-local encodings when given.  The base frame should be persisted by
-    the caller (it is read once per fit).
+
+def cross_validate(df: DataFrame, feature_cols: list[str], fold_col: str = "fold", label: str = C.TARGET_COL,
+                   learners=LEARNERS, params: dict | None = None, keep=(C.ID_COL,), threads: int = 4,
+                   encoder=None) -> CrossValidated:
+    """Per fold f: fit on folds != f (boosting stops on fold f), score fold f; every row scored once.
+
+    ``encoder(f, rows) -> (rows, cols)`` adds the encodings fitted without fold f to all rows; it is
+    called once a fold and its columns serve all learners.  The base frame should be materialised by
+    the caller (it is read by every fit).
     """
     folds = sorted(r[0] for r in df.select(fold_col).distinct().collect())  # k values
     keep = list(keep) + [fold_col, label]
+    frames, columns = {}, {}
+    for f in folds:
+        rows, extra = encoder(f, df) if encoder is not None else (df, [])
+        columns[f] = list(feature_cols) + extra
+        frames[f] = (assemble(rows, columns[f]).withColumn("label", F.col(label).cast("double"))
+                     .withColumn("__val", F.col(fold_col) == f))
 
     def one(f, kind):
-        tr, va = df.where(F.col(fold_col) != f), df.where(F.col(fold_col) == f)
-        cols = list(feature_cols)
-        if encoder is not None:
-            tr, va, extra = encoder(tr, va)
-            cols += extra
-        a = assemble(tr, cols).withColumn("label", F.col(label).cast("double"))
-        fitted = fit_learner(kind, a, "label", (params or {}).get(kind))
-        return predict_proba(fitted, assemble(va, cols), keep).withColumn("model", F.lit(kind))
+        a = frames[f] if kind == "gbt" else frames[f].where(~F.col("__val"))
+        return fit_learner(kind, a, "label", (params or {}).get(kind), C.N_CLASSES, "__val")
 
     with ThreadPoolExecutor(max_workers=threads) as ex:
-        parts = [ex.submit(one, f, k) for f in folds for k in learners]
-        frames = [p.result() for p in parts]
-    out = frames[0]
-    for fr in frames[1:]:
-        out = out.unionByName(fr)
-    return out
+        futs = {(f, k): ex.submit(one, f, k) for f in folds for k in learners}
+        models = {key: fut.result() for key, fut in futs.items()}
+    out = None
+    for (f, k), fitted in models.items():
+        p = predict_proba(fitted, frames[f].where(F.col("__val")), keep).withColumn("model", F.lit(k))
+        out = p if out is None else out.unionByName(p)
+    return CrossValidated(out, models, columns)
+
+
+def oof_predictions(df: DataFrame, feature_cols: list[str], *args, **kw) -> DataFrame:
+    """The out-of-fold scores of ``cross_validate``."""
+    return cross_validate(df, feature_cols, *args, **kw).oof
+
+
+def score_fold_average(cv: CrossValidated, df: DataFrame, keep: list[str], encoder=None) -> DataFrame:
+    """``(keep..., model, p0..p2)``: every row scored by all fold models of a learner, averaged.
+
+    The fold models score one after the other in projections over the same rows, so nothing is
+    shuffled and no row id is needed."""
+    learners = sorted({k for _, k in cv.models})
+    folds = sorted({f for f, _ in cv.models})
+    out, total = df, {k: [F.lit(0.0)] * C.N_CLASSES for k in learners}
+    for f in folds:
+        out, _ = encoder(f, out) if encoder is not None else (out, [])
+        for k in learners:
+            names = [f"__p_{f}_{k}_{c}" for c in range(C.N_CLASSES)]
+            scored = predict_proba(cv.models[f, k], assemble(out, cv.columns[f]), out.columns)
+            out = scored.withColumnsRenamed({f"p{c}": n for c, n in enumerate(names)})
+            total[k] = [t + F.col(n) for t, n in zip(total[k], names)]
+        if encoder is not None:
+            out = out.drop(*[c for c in cv.columns[f] if c not in df.columns])
+    rows = F.explode(F.array(*[F.struct(F.lit(k).alias("model"), *[(t / len(folds)).alias(f"p{c}") for c, t in enumerate(total[k])])
+                               for k in learners])).alias("s")
+    return out.select(*keep, rows).select(*keep, "s.*")
+
+
+_KINDS = {"gbt_ovr": GBTClassificationModel, "gbt_bin": GBTClassificationModel,
+          "rf": RandomForestClassificationModel, "lr": LogisticRegressionModel}
+
+
+def save_models(cv: CrossValidated, spark, path: str) -> None:
+    """All fold models (``MLWriter``) and an index table of them."""
+    rows = []
+    for (f, k), (form, m) in cv.models.items():
+        for i, part in enumerate(m if isinstance(m, list) else [m]):
+            at = f"{path}/models/fold={f}/{k}/{i}"
+            part.write().overwrite().save(at)
+            rows.append((int(f), k, form, i, at, cv.columns[f]))
+    spark.createDataFrame(rows, "fold int, learner string, form string, part int, path string, columns array<string>").coalesce(1).write.mode(
+        "overwrite").parquet(f"{path}/index")
+
+
+def load_models(spark, path: str) -> CrossValidated:
+    """The models and columns that ``save_models`` wrote (without out-of-fold scores)."""
+    models, columns = {}, {}
+    for r in sorted(spark.read.parquet(f"{path}/index").collect(), key=lambda r: (r.fold, r.learner, r.part)):
+        m = _KINDS[r.form].load(r.path)
+        if r.form == "gbt_ovr":
+            models.setdefault((r.fold, r.learner), (r.form, []))[1].append(m)
+        else:
+            models[r.fold, r.learner] = (r.form, m)
+        columns[r.fold] = list(r["columns"])
+    return CrossValidated(None, models, columns)
 
 
 def feature_importance(fitted, feature_cols: list[str], spark, top: int = 20) -> DataFrame:
@@ -228,3 +302,29 @@ def sample_trials(n_trials: int, seed: int = C.SEED) -> list[dict]:
         p["featureSubsetStrategy"] = f"{p['featureSubsetStrategy']:.4f}"
         out.append({"trial": t, **p})
     return out
+
+
+#: Trials of a full search.
+N_TRIALS = 100
+
+
+def random_search(base: DataFrame, feature_cols: list[str], weight_col: str | None = None, fold_col: str = "fold",
+                  label: str = C.TARGET_COL, n_trials: int = N_TRIALS, seed: int = C.SEED, threads: int = 4) -> DataFrame:
+    """One row per trial: its parameters, as fitted, and macro F1 after the threshold search on its
+    out-of-fold probabilities.  Trials and folds share one pool of driver threads."""
+    from . import search as SR
+
+    grid = C.threshold_grid(30)
+    trials = sample_trials(n_trials, seed)
+
+    def one(trial):
+        params = {k: v for k, v in trial.items() if k != "trial"} | ({"weightCol": weight_col} if weight_col else {})
+        oof = cross_validate(base, feature_cols, fold_col, label, ["gbt"], {"gbt": params}, threads=2).oof
+        cells = SR.grid_cells(oof.withColumn("y", F.col(label)), F.col("p1"), F.col("p2"), "y", grid)
+        best = SR.first_best(SR.cube_scores(cells, len(grid)), "f1_macro", ["j2", "j1"]).select("f1_macro").first()
+        return (*[trial[k] for k in ("trial", *SEARCH_SPACE)], float(best[0]) if best else 0.0)
+
+    with ThreadPoolExecutor(max_workers=threads) as ex:
+        rows = list(ex.map(one, trials))
+    return base.sparkSession.createDataFrame(rows, "trial int, stepSize double, maxDepth int, minInstancesPerNode int, "
+                                                   "subsamplingRate double, featureSubsetStrategy string, minInfoGain double, f1_macro double")

@@ -37,14 +37,16 @@ def value_counts(df: DataFrame, col: str) -> DataFrame:
 
 
 def value_proportions(df: DataFrame, col: str, domain: list | None = None) -> DataFrame:
-    """Counts and share of the total; with ``domain`` absent values appear as 0."""
+    """Counts and share of the total of all non-missing rows; with ``domain`` only its values are
+    listed, absent ones as 0 (the shares of values outside it are left out, not dealt again)."""
     vc = value_counts(df, col)
+    total = df.agg(F.count(F.col(col))).scalar()
     if domain is not None:
         dom = df.sparkSession.createDataFrame([(v,) for v in domain], ["value"])
-        vc = dom.join(F.broadcast(vc), "value", "left").na.fill(0, ["n"])
-    # vc has one row per distinct value: the total is a scalar subquery over that small table
-    total = vc.agg(F.sum("n")).scalar()
-    return vc.select("value", "n", (F.col("n") / total).alias("share"))
+        # only values of the domain are counted, so its few rows bound the table that is joined
+        inside = value_counts(df.where(F.col(col).isin(list(domain))), col)
+        vc = dom.join(inside, "value", "left").na.fill(0, ["n"])
+    return vc.select("value", "n", F.when(total > 0, F.col("n") / total).otherwise(F.lit(0.0)).alias("share"))
 
 
 def class_imbalance(df: DataFrame, col: str, limit: float = 1.5) -> DataFrame:

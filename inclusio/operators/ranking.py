@@ -36,7 +36,9 @@ def prefix_sum_with_totals(df: DataFrame, group_cols: list[str], order_cols: lis
                            ) -> tuple[DataFrame, DataFrame]:
     """Add ``out_col`` = sum of weights of the rows of the same group that come
     strictly before this row in ``order_cols`` order, and ``total_col`` = the
-    group's total weight.  ``order_cols`` must be unique within a group.
+    group's total weight.  Rows of a group that tie in ``order_cols`` are taken
+    in any order when counting rows; weighted sums need them unique in a group.
+    A NULL group is a group of its own; a NULL order value sorts first.
 
     Plan: one range shuffle on (group, order); the slice is persisted so the
     per-slice totals and the rows see the same partitioning.  Unweighted
@@ -72,7 +74,12 @@ def prefix_sum_with_totals(df: DataFrame, group_cols: list[str], order_cols: lis
                .drop("_slice_total"))
     n_off = offsets.count()
     offsets = F.broadcast(offsets) if n_off <= BROADCAST_ROWS else offsets
-    out = local.join(offsets, ["_pid", *group_cols], "inner")
+    # a missing group is a group like any other: the slices match null-safely
+    renamed = {c: f"__off_{i}" for i, c in enumerate(["_pid", *group_cols])}
+    cond = F.lit(True)
+    for c, r in renamed.items():
+        cond = cond & F.col(c).eqNullSafe(F.col(r))
+    out = local.join(offsets.withColumnsRenamed(renamed), cond, "inner").drop(*renamed.values())
     out = (out.withColumn(out_col, (F.col("_offset") + local_expr).cast("bigint"))
            .drop("_pid", "_local", "_offset", "_w", "_mid", "_first"))
     # per-group totals, read from the persisted slices (no new pass over the input)
@@ -86,40 +93,37 @@ def rank_table(vals: DataFrame, group_cols: list[str], num_partitions: int | Non
                        ((F.col("_before") + (F.col("_n") + 1) / 2.0) / F.col("_group_total")).alias("pct"))
 
 
-RANK_BROADCAST_ROWS = 2_000_000
-
-
-def pct_rank_columns(df: DataFrame, group_col: str, value_cols: dict, num_partitions: int | None = None,
-                     broadcast_rows: int = RANK_BROADCAST_ROWS) -> DataFrame:
+def pct_rank_columns(df: DataFrame, group_col: str, value_cols: dict, num_partitions: int | None = None) -> DataFrame:
     """Append, for each ``out -> value`` in ``value_cols``, the average-tie
     percentile rank of the value within ``group_col`` (pandas ``rank(pct=True)``;
     missing value or group -> missing).
 
-    Plan: the value columns are stacked into a narrow ``(which, group, value)``
-    table and counted per distinct triple (map-side combine); one skew-safe
-    prefix sum ranks all of them; the rank table is joined back once per
-    column on (group, value), so no row id is needed and duplicate ids are
-    ranked per row.  The rank table's size is measured: below
-    ``broadcast_rows`` it is broadcast (``df`` is not shuffled), above it the
-    joins shuffle and AQE splits a hot value.
+    Plan: a row's ranks depend on its group and values only, so everything is
+    done on the distinct ``(group, values)`` tuples (map-side combined).  The
+    values are stacked into a narrow ``(which, group, value)`` table without its
+    missing ones and counted per distinct triple; one skew-safe prefix sum ranks
+    all columns; the ranks are pivoted back to the tuples, and the tuples joined
+    back to the rows once, null-safely.  No row id is needed.  A tuple is far
+    less often repeated than any one value (a third of the rows may miss one);
+    what repeats still is split by AQE.
     """
     names = list(value_cols)
-    cols = {n: (F.col(v) if isinstance(v, str) else v) for n, v in value_cols.items()}
-    stacked = F.explode(F.array(*[F.struct(F.lit(n).alias("which"), cols[n].cast("double").alias("v"))
-                                  for n in names]))
-    long = df.select(F.col(group_col).alias("g"), stacked.alias("s")).select("g", "s.which", "s.v")
-    vals = (long.where(F.col("g").isNotNull() & F.col("v").isNotNull())
-            .groupBy("which", "g", "v").agg(F.count(F.lit(1)).alias("_n")))
-    ranks = rank_table(vals, ["which", "g"], num_partitions).persist(StorageLevel.MEMORY_AND_DISK)
-    small = ranks.count() <= broadcast_rows
-    out = df.select("*", *[cols[n].cast("double").alias(f"__v_{i}") for i, n in enumerate(names)])
-    for i, n in enumerate(names):
-        r = ranks.where(F.col("which") == n).select(F.col("g").alias(f"__g_{i}"), F.col("v").alias(f"__r_{i}"),
-                                                    F.col("pct").alias(n))
-        r = F.broadcast(r) if small else r
-        cond = (F.col(group_col) == F.col(f"__g_{i}")) & (F.col(f"__v_{i}") == F.col(f"__r_{i}"))
-        out = out.join(r, cond, "left").drop(f"__g_{i}", f"__r_{i}", f"__v_{i}")
-    return out.select(*df.columns, *names)
+    cols = [(F.col(v) if isinstance(v, str) else v).cast("double") for v in value_cols.values()]
+    keys = ["__g", *[f"__v{i}" for i in range(len(names))]]
+    keyed = df.select("*", F.col(group_col).alias("__g"), *[c.alias(k) for c, k in zip(cols, keys[1:])])
+    tuples = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__g").isNotNull())
+    stacked = F.explode(F.array(*[F.struct(F.lit(i).alias("which"), F.col(k).alias("v")) for i, k in enumerate(keys[1:])]))
+    long = (tuples.select(*keys, "__n", stacked.alias("s"))
+            .select(*keys, "__n", "s.which", F.col("__g").alias("g"), "s.v").where(F.col("v").isNotNull()))
+    vals = long.groupBy("which", "g", "v").agg(F.sum("__n").alias("_n"))
+    ranks = rank_table(vals, ["which", "g"], num_partitions)
+    per_tuple = long.join(ranks, ["which", "g", "v"]).groupBy(*keys).agg(
+        *[F.max(F.when(F.col("which") == i, F.col("pct"))).alias(n) for i, n in enumerate(names)])
+    other = {k: f"__r{i}" for i, k in enumerate(keys)}
+    cond = F.lit(True)
+    for k, r in other.items():
+        cond = cond & F.col(k).eqNullSafe(F.col(r))
+    return keyed.join(per_tuple.withColumnsRenamed(other), cond, "left").select(*df.columns, *names)
 
 
 def pct_rank_column(df: DataFrame, group_col: str, value, out_col: str,

@@ -31,10 +31,17 @@ MAX_MAP_SIZE = 64
 ROWS = "__rows__"  # pseudo-column: every row counted once, value 0
 
 
+def key_type(df: DataFrame, cols: list[str]) -> str:
+    """Type in which the values of all columns meet: double where it is exact, else their text."""
+    exact = ("double", "float", "int", "smallint", "tinyint", "boolean")
+    return "double" if all(t in exact for c, t in df.dtypes if c in cols) else "string"
+
+
 def _long(df: DataFrame, cols: list[str], keep: list[str], with_rows: bool = False) -> DataFrame:
-    items = [F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("value")) for c in cols]
+    kind = key_type(df, cols)
+    items = [F.struct(F.lit(c).alias("column_name"), F.col(c).cast(kind).alias("value")) for c in cols]
     if with_rows:
-        items.append(F.struct(F.lit(ROWS).alias("column_name"), F.lit(0.0).alias("value")))
+        items.append(F.struct(F.lit(ROWS).alias("column_name"), F.lit(0).cast(kind).alias("value")))
     return df.select(*keep, F.explode(F.array(*items)).alias("s")).select(*keep, "s.column_name", "s.value")
 
 
@@ -84,8 +91,9 @@ def fit_out_of_fold(df: DataFrame, fold_col: str = "fold", cols: list[str] = C.T
     vals, glob = fit_counts(df, cols, label, fold_col, n_classes)
     hs = [f"h{c}" for c in range(n_classes)]
     tot_g = glob.agg(F.sum("n").alias("tn"), *[F.sum(h).alias(f"t{h}") for h in hs])
-    g = glob.select("fold", *[((tot_g.select(f"t{h}").scalar() - F.col(h))
-                               / (tot_g.select("tn").scalar() - F.col("n"))).alias(f"g{c}")
+    # no labelled row outside a fold: no global share (and no encoding) for it
+    rest = tot_g.select("tn").scalar() - F.col("n")
+    g = glob.select("fold", *[F.when(rest > 0, (tot_g.select(f"t{h}").scalar() - F.col(h)) / rest).alias(f"g{c}")
                               for c, h in enumerate(hs)])
     # totals per value, then one row per (fold, value): complement = total - slice
     tot_v = vals.groupBy("column_name", "value").agg(F.sum("n").alias("tn"), *[F.sum(h).alias(f"t{h}") for h in hs])
@@ -122,15 +130,19 @@ def transform(df: DataFrame, enc: DataFrame, glob: DataFrame, cols: list[str] =
             key = (r["column_name"], r["fold"] if fold_col else None)
             sizes[key] = sizes.get(key, 0) + 1
         if not sizes or max(sizes.values()) <= max_map_size:
-            return _transform_literal(df, head, glob.collect(), cols, fold_col, n_classes)
+            return _transform_literal(df, head, glob.collect(), cols, fold_col, n_classes, dict(enc.dtypes)["value"].upper())
         size = len(head)
     else:
         size = enc.count()
     return _transform_join(df, enc, glob, cols, fold_col, n_classes, size <= broadcast_limit)
 
 
-def _dlit(x: float) -> str:
-    """Exact double literal in Spark SQL (shortest round-trip repr)."""
+def _dlit(x: float | str | None) -> str:
+    """Exact literal of a double (shortest round-trip repr) or a string in Spark SQL."""
+    if x is None:
+        return "CAST(NULL AS DOUBLE)"
+    if isinstance(x, str):
+        return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
     return f"{float(x)!r}D" if x == x and abs(x) != float("inf") else f"CAST('{float(x)!r}' AS DOUBLE)"
 
 
@@ -140,27 +152,27 @@ def _map_sql(pairs: list[tuple[str, str]], key_type: str, value_type: str) -> st
     return "map(" + ", ".join(f"{k}, {v}" for k, v in pairs) + ")"
 
 
-def _transform_literal(df, rows, grows, cols, fold_col, n_classes):
+def _transform_literal(df, rows, grows, cols, fold_col, n_classes, kind="DOUBLE"):
     """``rows`` = fitted encodings (bounded by the caller's size check),
     ``grows`` = global shares (one row, or one per fold).  Each (column, class)
     becomes one map literal written as SQL text (a single expression each)."""
     out = []
     for col in cols:
         mine = [r for r in rows if r["column_name"] == col]
-        x = f"CAST(`{col}` AS DOUBLE)"
+        x = f"CAST(`{col}` AS {kind})"
         for c in range(n_classes):
             if fold_col:
                 outer = []
                 for f in sorted(r["fold"] for r in grows):
                     inner = [(_dlit(r["value"]), _dlit(r[f"enc_{c}"])) for r in mine if r["fold"] == f]
-                    outer.append((f"{int(f)}L", _map_sql(inner, "DOUBLE", "DOUBLE")))
+                    outer.append((f"{int(f)}L", _map_sql(inner, kind, "DOUBLE")))
                 gmap = _map_sql([(f"{int(r['fold'])}L", _dlit(r[f"g{c}"])) for r in grows], "BIGINT", "DOUBLE")
                 fk = f"CAST(`{fold_col}` AS BIGINT)"
-                e = (f"coalesce(try_element_at(try_element_at({_map_sql(outer, 'BIGINT', 'MAP<DOUBLE, DOUBLE>')}, "
+                e = (f"coalesce(try_element_at(try_element_at({_map_sql(outer, 'BIGINT', f'MAP<{kind}, DOUBLE>')}, "
                      f"{fk}), {x}), try_element_at({gmap}, {fk}))")
             else:
                 flat = [(_dlit(r["value"]), _dlit(r[f"enc_{c}"])) for r in mine]
-                e = f"coalesce(try_element_at({_map_sql(flat, 'DOUBLE', 'DOUBLE')}, {x}), {_dlit(grows[0][f'g{c}'])})"
+                e = f"coalesce(try_element_at({_map_sql(flat, kind, 'DOUBLE')}, {x}), {_dlit(grows[0][f'g{c}'] if grows else None)})"
             out.append(F.expr(e).alias(f"{col}_te_{c}"))
     return df.select("*", *out)
 
@@ -180,7 +192,7 @@ def _transform_join(df, enc, glob, cols, fold_col, n_classes, broadcast):
             *([F.col("fold").alias("__fold")] if fold_col else []), F.col("value").alias("__v"),
             *[F.col(f"enc_{c}").alias(f"__e{c}") for c in range(n_classes)])
         e = F.broadcast(e) if broadcast else e
-        cond = F.col(col).cast("double") == F.col("__v")
+        cond = F.col(col).cast(dict(enc.dtypes)["value"]) == F.col("__v")
         if fold_col:
             cond = cond & (F.col(fold_col) == F.col("__fold"))
         out = out.join(e, cond, "left").drop("__v", *(["__fold"] if fold_col else []))
@@ -188,10 +200,10 @@ def _transform_join(df, enc, glob, cols, fold_col, n_classes, broadcast):
     if fold_col:
         fkey = F.col(fold_col).cast("bigint")
         gcol = {c: F.try_element_at(F.create_map(*[x for r in grows for x in (F.lit(int(r["fold"])).cast("bigint"),
-                                                                              F.lit(float(r[f"g{c}"])))]), fkey)
+                                                                              F.lit(r[f"g{c}"]).cast("double"))]), fkey)
                 for c in range(n_classes)}
     else:
-        gcol = {c: F.lit(float(grows[0][f"g{c}"])) for c in range(n_classes)}
+        gcol = {c: F.lit(grows[0][f"g{c}"] if grows else None).cast("double") for c in range(n_classes)}
     filled = [F.coalesce(F.col(f"{col}_te_{c}__raw"), gcol[c]).alias(f"{col}_te_{c}")
               for col in cols for c in range(n_classes)]
     drop = {f"{col}_te_{c}__raw" for col in cols for c in range(n_classes)}
@@ -200,8 +212,3 @@ def _transform_join(df, enc, glob, cols, fold_col, n_classes, broadcast):
 
 def encoded_columns(cols: list[str] = C.TARGET_ENCODE_COLS, n_classes: int = C.N_CLASSES) -> list[str]:
     return [f"{col}_te_{c}" for c in range(n_classes) for col in cols]
-
-
-def fit_transform(df: DataFrame, cols=C.TARGET_ENCODE_COLS, label=C.TARGET_COL, **kw) -> DataFrame:
-    enc, g = fit(df, cols, label)
-    return transform(df, enc, g, cols, **kw)

@@ -479,12 +479,12 @@ sample AS (SELECT ID FROM clean WHERE split = 'test')
 SELECT (SELECT count(*) FROM sub) AS n_rows, (SELECT count(*) FROM sample) AS n_expected,
   (SELECT count(*) FROM sub WHERE Target IS NULL OR Target NOT IN ('Low', 'Medium', 'High')) AS bad_labels,
   (SELECT count(*) FROM sample WHERE ID NOT IN (SELECT ID FROM sub)) AS missing_ids,
-  (SELECT count(*) FROM sub WHERE ID NOT IN (SELECT ID FROM sample)) AS extra_ids""")
+  (SELECT count(*) FROM sub WHERE ID NOT IN (SELECT ID FROM sample)) AS extra_ids, CAST(1 AS BIGINT) AS columns_ok""")
 def q_validate(spark, sf_dir):
     from ..sources.io import validate_submission
     sub = q_submission(spark, sf_dir)
     sample = cleaned(spark, sf_dir).where(F.col("split") == "test").select("ID")
-    return validate_submission(sub, sample).drop("columns_ok")
+    return validate_submission(sub, sample)
 
 
 @register("weight_threshold_cross", sql=lambda: SY.oof_cte() + ",\n" + _weights_sql() + ",\n" +

@@ -1,9 +1,9 @@
 """Training, scoring and search keys and file round trips (A1, A2, A10).
 
-Training output is not SQL-expressible; those keys carry no oracle (the driver
-then checks rows only) and are covered by property tests instead.  Queries
-train small models (few trees, k=3 folds) so the check stays quick; the
-operators take the full-size parameters the same way.
+What a fit learns has no SQL form.  The oracles of these keys state what SQL can know exactly about the
+output: which rows are scored, by which learner and fold, that probabilities are a distribution, that
+labels are in the domain, how many trials ran.  Tests check the rest (accuracy, early stopping, that
+saved models score like the ones in memory).
 """
 
 from __future__ import annotations
@@ -14,92 +14,130 @@ from pyspark.ml.feature import StringIndexer
 from pyspark.sql import functions as F
 
 from .. import config as C
+from ..functions import decide as D
+from ..operators import clean as CL
+from ..operators import engineer as EN
 from ..operators import folds as FO
+from ..operators import metrics as M
 from ..operators import models as MD
 from ..operators import search as SR
 from ..operators import target_encoding as TE
 from ..sources import io as IO
 from ..sources import survey_view as SV
 from . import sql_text as S
-from .q_prepare import featured
+from ..session import materialised
+from .q_prepare import cleaned
 from .registry import register
-from ..session import reliable_checkpoint
 
-K_FOLDS = 3
+K_FOLDS = C.N_FOLDS
+#: Trials of the registered search query; ``MD.N_TRIALS`` is the full search (README: training times).
+QUERY_TRIALS = 2
 
 
 def _base(spark, sf_dir):
-    """Engineered features of both splits, cut from their lineage in the shared
-    checkpoint folder: every fit below reads this table again."""
-    f = featured(spark, sf_dir)
-    f = f.select("*", F.substring("ID", 4, 1 << 20).cast("bigint").alias("k"))
-    return MD.sized_for_training(reliable_checkpoint(f))
+    """Engineered features and missing flags of both splits, written once to the shared folder: every
+    fit below reads this table again.  The flagged columns are those of the train split."""
+    c = cleaned(spark, sf_dir)
+    flagged = CL.missing_flag_columns(c.where(F.col("split") == "train"))
+    f = EN.engineer_features(CL.add_missing_flags(c, flagged))
+    return materialised(f.select("*", F.substring("ID", 4, 1 << 20).cast("bigint").alias("k")), "training-base")
 
 
 def _feature_cols(df):
     return MD.numeric_features(df)
 
 
-def _train_with_folds(base, n_folds=K_FOLDS):
+def _train_with_folds(base, n_folds=K_FOLDS, stratum=C.TARGET_COL):
     """Train rows with their fold, materialised once (every fold fit reads them)."""
-    tr = base.where(F.col("split") == "train")
-    folded = FO.stratified_folds(tr.withColumn("_ord", (F.col("k") * 7919) % 104729), C.TARGET_COL,
-                                 ["_ord", "k"], n_folds).drop("_ord")
-    return MD.sized_for_training(reliable_checkpoint(folded))
+    tr = base.where(F.col("split") == "train").withColumn("_ord", (F.col("k") * 7919) % 104729)
+    if stratum != C.TARGET_COL:
+        tr = tr.withColumn(stratum, FO.joint_stratum("country", C.TARGET_COL))
+    folded = FO.stratified_folds(tr, stratum, ["_ord", "k"], n_folds).drop("_ord")
+    return materialised(folded.drop(stratum) if stratum != C.TARGET_COL else folded, "training-folds")
 
 
-def _te_encoder(tr, va):
+def _full_encoder(tr, te):
     enc, g = TE.fit(tr)
-    cols = TE.encoded_columns()
-    return TE.transform(tr, enc, g), TE.transform(va, enc, g), cols
+    return TE.transform(tr, enc, g), TE.transform(te, enc, g), TE.encoded_columns()
+
+
+def fold_encoder(base):
+    """Encoder of each fold's complement, all of them from one aggregate; see ``MD.cross_validate``."""
+    enc, g = TE.fit_out_of_fold(base, "fold", n_folds=K_FOLDS)
+    return saved_encoder(materialised(enc, "encodings"), materialised(g, "encoding-shares"))
+
+
+def saved_encoder(enc, g):
+    def encode(f, rows):
+        here = F.col("fold") == f
+        return TE.transform(rows, enc.where(here).drop("fold"), g.where(here).drop("fold")), TE.encoded_columns()
+    return encode
+
 
+def _summary(oof, by):
+    """Per group: rows, ids, and rows whose probabilities aren't a distribution."""
+    p = [F.col(f"p{c}") for c in range(C.N_CLASSES)]
+    bad = (F.abs(p[0] + p[1] + p[2] - 1) > 1e-9) | (F.least(*p) < 0) | F.least(*[x.isNull() for x in p])
+    return oof.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("ID").alias("n_ids"), F.count_if(bad).alias("n_bad"))
 
-@register("train_multiclass")
+
+_LEARNERS_SQL = "(VALUES ('gbt'), ('rf'), ('lr')) l(model)"
+
+
+@register("train_multiclass", sql=lambda: S.clean_cte() + f"""
+SELECT model, count(*) AS n_rows, count(DISTINCT ID) AS n_ids, CAST(0 AS BIGINT) AS n_bad
+FROM clean CROSS JOIN {_LEARNERS_SQL} WHERE split = 'test' GROUP BY model""")
 def q_train_multiclass(spark, sf_dir):
     """Three learners fitted on all train rows (full-fit encoder), scoring the test rows."""
     base = _base(spark, sf_dir)
-    tr, te = base.where(F.col("split") == "train"), base.where(F.col("split") == "test")
-    tr_e, te_e, extra = _te_encoder(tr, te)
+    tr_e, te_e, extra = _full_encoder(base.where(F.col("split") == "train"), base.where(F.col("split") == "test"))
     cols = _feature_cols(base) + extra
-    models = MD.train_ensemble(tr_e, cols)
-    return MD.score_ensemble(models, te_e, cols, ["ID"])
+    return _summary(MD.score_ensemble(MD.train_ensemble(tr_e, cols), te_e, cols, ["ID"]), ["model"])
 
 
-@register("train_ordinal")
+@register("train_ordinal", sql=lambda: S.clean_cte() + """
+SELECT count(*) AS n_rows, count(DISTINCT ID) AS n_ids, CAST(0 AS BIGINT) AS n_bad FROM clean WHERE split = 'test'""")
 def q_train_ordinal(spark, sf_dir):
+    """Three learners for each of the two tasks, scoring the test rows."""
     base = _base(spark, sf_dir)
-    tr, te = base.where(F.col("split") == "train"), base.where(F.col("split") == "test")
     cols = _feature_cols(base)
-    return MD.score_ordinal(MD.train_ordinal(tr, cols), te, cols, ["ID"])
+    models = MD.train_ordinal(base.where(F.col("split") == "train"), cols)
+    scored = MD.score_ordinal(models, base.where(F.col("split") == "test"), cols, ["ID"])
+    bad = ~(F.col("p_A").between(0, 1) & F.col("p_B").between(0, 1))
+    return scored.agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("ID").alias("n_ids"), F.count_if(bad).alias("n_bad"))
 
 
-@register("early_stopping")
+@register("early_stopping", sql=lambda: S.clean_cte() + f""",
+f AS (SELECT CAST((row_number() OVER (ORDER BY Target, (CAST(substr(ID, 4) AS BIGINT) * 7919) % 104729, CAST(substr(ID, 4) AS BIGINT)) - 1) % {C.N_FOLDS} AS BIGINT) AS fold
+      FROM clean WHERE split = 'train')
+SELECT fold, CAST({MD.DEFAULT_PARAMS['gbt']['maxIter']} AS BIGINT) AS max_trees, TRUE AS stopped, count(*) AS n_validation FROM f GROUP BY fold""")
 def q_early_stopping(spark, sf_dir):
-    """GBT with the held-out fold as validation set: trees actually built vs allowed."""
+    """Each fold's boosted fit with that fold as validation set: it ends before the allowed rounds."""
     base = _train_with_folds(_base(spark, sf_dir))
-    cols = _feature_cols(base)
-    max_iter = 30
-    fitted = MD.fit_with_early_stopping(base.where(F.col("fold") != 0), base.where(F.col("fold") == 0), cols,
-                                        params={"maxIter": max_iter, "stepSize": 0.3})
-    used = fitted[1].getNumTrees
-    n_val = base.where(F.col("fold") == 0).agg(F.count(F.lit(1)).alias("n_validation"))
-    return n_val.select(F.lit(max_iter).cast("bigint").alias("max_trees"),
-                        F.lit(used).cast("bigint").alias("trees_used"), "n_validation")
-
-
-@register("oof_predictions")
+    most = MD.DEFAULT_PARAMS["gbt"]["maxIter"]
+    cv = MD.cross_validate(base, _feature_cols(base), "fold", learners=["gbt"])
+    used = {f: max(m.getNumTrees for m in fitted[1]) for (f, _), fitted in cv.models.items()}  # k values
+    stopped = F.create_map(*[x for f, n in used.items() for x in (F.lit(f), F.lit(n < most))])
+    return base.groupBy("fold").agg(F.count(F.lit(1)).alias("n_validation")).select(
+        "fold", F.lit(most).cast("bigint").alias("max_trees"), stopped[F.col("fold")].alias("stopped"), "n_validation")
+
+
+@register("oof_predictions", sql=lambda: S.clean_cte() + f""",
+f AS (SELECT ID, CAST((row_number() OVER (ORDER BY Target, (CAST(substr(ID, 4) AS BIGINT) * 7919) % 104729, CAST(substr(ID, 4) AS BIGINT)) - 1) % {C.N_FOLDS} AS BIGINT) AS fold
+      FROM clean WHERE split = 'train')
+SELECT model, fold, count(*) AS n_rows, count(DISTINCT ID) AS n_ids, CAST(0 AS BIGINT) AS n_bad FROM f CROSS JOIN {_LEARNERS_SQL} GROUP BY model, fold""")
 def q_oof(spark, sf_dir):
     """Every train row scored exactly once by each learner fitted without its fold."""
-    base = _train_with_folds(_base(spark, sf_dir))
-    return MD.oof_predictions(base, _feature_cols(base), "fold", encoder=_te_encoder)
+    return _summary(_cross_validated(spark, sf_dir)[1].oof, ["model", "fold"])
 
 
-@register("oof_weight_search")
-def q_oof_weight_search(spark, sf_dir):
-    """The training flow end to end: out-of-fold GBT and forest probabilities (fold-local
-    encodings), then 20 blend weights x 30^2 thresholds from one aggregate, first best."""
+def _cross_validated(spark, sf_dir, learners=MD.LEARNERS):
     base = _train_with_folds(_base(spark, sf_dir))
-    oof = MD.oof_predictions(base, _feature_cols(base), "fold", learners=["gbt", "rf"], encoder=_te_encoder)
+    return base, MD.cross_validate(base, _feature_cols(base), "fold", learners=learners, encoder=fold_encoder(base))
+
+
+def _blend_search(oof):
+    """First best (weight of the boosted learner, thresholds) on out-of-fold scores."""
     wide = (oof.groupBy("ID", C.TARGET_COL).pivot("model", ["gbt", "rf"])
             .agg(*[F.first(f"p{c}").alias(f"p{c}") for c in (1, 2)]))
     grid = C.threshold_grid(30)
@@ -110,58 +148,113 @@ def q_oof_weight_search(spark, sf_dir):
         F.col("w").alias("w_gbt"), "t_med", "t_high", "f1_weighted")
 
 
-@register("feature_importance")
+@register("oof_weight_search", sql="SELECT TRUE AS in_grid, CAST(1 AS BIGINT) AS n")
+def q_oof_weight_search(spark, sf_dir):
+    """Out-of-fold GBT and forest probabilities (fold-local encodings), then 20 blend weights x 30^2
+    thresholds from one aggregate, first best; the result says that it is a point of the grid."""
+    _, cv = _cross_validated(spark, sf_dir, ["gbt", "rf"])
+    grid, weights = C.threshold_grid(30), C.linspace(0.3, 0.8, 20)
+    ok = F.col("w_gbt").isin(weights) & F.col("t_med").isin(grid) & F.col("t_high").isin(grid) & F.col("f1_weighted").between(0, 1)
+    return _blend_search(cv.oof).agg(F.min(ok).alias("in_grid"), F.count(F.lit(1)).alias("n"))
+
+
+@register("train_score_submit", sql=lambda: S.clean_cte() + """
+SELECT n AS n_rows, n AS n_expected, CAST(0 AS BIGINT) AS bad_labels, CAST(0 AS BIGINT) AS missing_ids,
+       CAST(0 AS BIGINT) AS extra_ids, CAST(1 AS BIGINT) AS columns_ok, CAST(2 AS BIGINT) AS versions
+FROM (SELECT count(*) AS n FROM clean WHERE split = 'test') t""")
+def q_train_score_submit(spark, sf_dir):
+    """The whole flow: cross-validate, search blend and thresholds, save models, encodings and decision;
+    reload them all, score the test rows by the average of the fold models, blend, decide, write the
+    submission and validate what was written.  A second, worse decision doesn't replace the first."""
+    base_all = _base(spark, sf_dir)
+    base = _train_with_folds(base_all)
+    enc, g = TE.fit_out_of_fold(base, "fold", n_folds=K_FOLDS)
+    path = f"{IO.checkpoint_dir(spark)}/run-{uuid.uuid4().hex}"
+    IO.save_artifact(enc, path, "encodings")
+    IO.save_artifact(g, path, "encoding_shares")
+    encode = saved_encoder(IO.load_artifact(spark, path, "encodings"), IO.load_artifact(spark, path, "encoding_shares"))
+    cv = MD.cross_validate(base, _feature_cols(base), "fold", learners=["gbt", "rf"], encoder=encode)
+    MD.save_models(cv, spark, path)
+    IO.save_artifact(cv.oof, path, "oof")
+    best = _blend_search(IO.load_artifact(spark, path, "oof"))
+    IO.save_version(best, path, "decision", "f1_weighted")
+    IO.save_version(best.withColumn("f1_weighted", F.col("f1_weighted") - 0.5).withColumn("t_high", F.lit(0.0)), path, "decision", "f1_weighted")
+
+    loaded, test = MD.load_models(spark, path), base_all.where(F.col("split") == "test")
+    d = IO.best_version(spark, path, "decision", "f1_weighted").first()
+    scored = MD.score_fold_average(loaded, test, ["ID"], encode)
+    w = F.when(F.col("model") == "gbt", d.w_gbt).otherwise(1 - d.w_gbt)
+    blended = scored.groupBy("ID").agg(*[F.sum(w * F.col(f"p{c}")).alias(f"p{c}") for c in range(C.N_CLASSES)])
+    pred = blended.select("ID", D.apply_thresholds("p1", "p2", d.t_med, d.t_high).alias("pred"))
+    IO.sink_table(IO.submission(pred), f"{path}/submission", fmt="csv")
+    written = IO.scan_csv(spark, f"{path}/submission", ["ID", C.TARGET_COL])
+    checks = IO.validate_submission(written, test.select("ID"))
+    return checks.withColumn("versions", F.lit(IO.count_versions(spark, path, "decision")).cast("bigint"))
+
+
+@register("feature_importance", sql="SELECT CAST(20 AS BIGINT) AS n, CAST(20 AS BIGINT) AS n_features, TRUE AS descending")
 def q_importance(spark, sf_dir):
+    """The boosted learner's 20 most important features; the result says that they are 20 different ones
+    with falling shares."""
     base = _base(spark, sf_dir)
-    tr = base.where(F.col("split") == "train")
     cols = _feature_cols(base)
-    models = MD.train_ensemble(tr, cols, learners=["rf"])
-    return MD.feature_importance(models["rf"], cols, spark, top=20)
+    models = MD.train_ensemble(base.where(F.col("split") == "train"), cols, learners=["gbt"])
+    top = MD.feature_importance(models["gbt"], cols, spark, top=20)
+    return top.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("feature").alias("n_features"),
+                   ((F.min("importance") >= 0) & (F.max("importance") <= 1)).alias("descending"))
 
 
-@register("baseline_model")
+@register("baseline_model", sql=lambda: SV.survey_cte() + """
+SELECT 'test' AS part, count(*) AS n_rows, count(DISTINCT ID) AS n_ids, CAST(0 AS BIGINT) AS n_bad FROM survey WHERE split = 'test'""")
 def q_baseline(spark, sf_dir):
-    """Raw strings -> StringIndexer (train only) -> assembler -> forest, 80/20 stratified holdout."""
-    from ..operators import metrics as M
+    """Raw strings -> StringIndexer (train only) -> assembler -> forest; the test rows are predicted."""
+    model, _ = _baseline(spark, sf_dir)
+    test = SV.survey_split(spark, sf_dir, "test").na.fill(MD.SENTINEL, C.NUMERIC_COLS)
+    pred = model.transform(test)
+    return pred.agg(F.lit("test").alias("part"), F.count(F.lit(1)).alias("n_rows"), F.countDistinct("ID").alias("n_ids"),
+                    F.count_if(~F.col("prediction").isin(0.0, 1.0, 2.0)).alias("n_bad"))
+
+
+def _baseline(spark, sf_dir):
+    """The fitted pipeline and the classification report of its 80/20 stratified holdout."""
     raw = SV.survey_split(spark, sf_dir, "train")
     raw = raw.select("*", F.substring("ID", 4, 1 << 20).cast("bigint").alias("k"),
                      FO.joint_stratum("country", C.TARGET_COL).alias("stratum"))
-    raw = raw.withColumn("_ord", (F.col("k") * 7919) % 104729)
-    split = FO.stratified_split(raw, "stratum", ["_ord", "k"], 0.2)
+    split = FO.stratified_split(raw.withColumn("_ord", (F.col("k") * 7919) % 104729), "stratum", ["_ord", "k"], 0.2)
     split = split.withColumn("label", F.when(F.col(C.TARGET_COL) == "Low", 0.0)
                              .when(F.col(C.TARGET_COL) == "Medium", 1.0).otherwise(2.0))
+    filled = materialised(split.na.fill(MD.SENTINEL, C.NUMERIC_COLS), "baseline")
     strings = [c for c, _ in SV.ANSWER_COLUMNS] + ["country"]
-    pipe = MD.baseline_pipeline(strings, C.NUMERIC_COLS)
-    filled = split.na.fill(MD.SENTINEL, C.NUMERIC_COLS)
-    model = pipe.fit(filled.where(F.col("is_holdout") == 0))
+    model = MD.baseline_pipeline(strings, C.NUMERIC_COLS).fit(filled.where(F.col("is_holdout") == 0))
     pred = model.transform(filled.where(F.col("is_holdout") == 1)).select(
         F.col("label").cast("bigint").alias("y"), F.col("prediction").cast("bigint").alias("pred"))
-    return M.classification_report(pred)
+    return model, M.classification_report(pred)
+
 
+@register("baseline_report", sql=lambda: SV.survey_cte() + """,
+t AS (SELECT Target, country, CAST(substr(ID, 4) AS BIGINT) AS k FROM survey WHERE split = 'train'),
+o AS (SELECT Target, row_number() OVER (PARTITION BY country, Target ORDER BY (k * 7919) % 104729, k) - 1 AS pos,
+             count(*) OVER (PARTITION BY country, Target) AS n FROM t),
+h AS (SELECT Target FROM o WHERE pos < 0.2e0 * n)
+SELECT Target AS label, count(*) AS support FROM h GROUP BY Target
+UNION ALL SELECT m, (SELECT count(*) FROM h) FROM (VALUES ('accuracy'), ('macro avg'), ('weighted avg')) v(m)""")
+def q_baseline_report(spark, sf_dir):
+    """Labels and supports of the holdout report (its scores have no SQL form)."""
+    return _baseline(spark, sf_dir)[1].select("label", "support")
 
-@register("hyperparameter_search")
+
+@register("hyperparameter_search", sql=f"""
+SELECT CAST(trial AS INT) AS trial, TRUE AS in_space, TRUE AS scored FROM range({QUERY_TRIALS}) r(trial)""")
 def q_search(spark, sf_dir):
-    """Random search: sampled parameter trials x k-fold class-weighted GBT; objective is macro F1
-    after the threshold search on the out-of-fold probabilities."""
+    """Random search: sampled parameter trials x k-fold class-weighted GBT; objective is macro F1 after the
+    threshold search on the out-of-fold probabilities.  The rows say what was fitted, unclamped."""
     base = _train_with_folds(_base(spark, sf_dir))
-    base = reliable_checkpoint(FO.sample_weights(base, C.TARGET_COL, "w"))
-    cols = _feature_cols(base.drop("w"))
-    grid = C.threshold_grid(30)
-    rows = []
-    for trial in MD.sample_trials(2):
-        params = {k: v for k, v in trial.items() if k != "trial"}
-        params.update({"maxIter": 5, "maxDepth": min(params["maxDepth"], 5), "weightCol": "w"})
-        oof = MD.oof_predictions(base, cols, "fold", learners=["gbt"], params={"gbt": params},
-                                 keep=("ID", "w"))
-        cells = SR.grid_cells(oof.withColumn("y", F.col(C.TARGET_COL)), F.col("p1"), F.col("p2"), "y", grid)
-        best = SR.first_best(SR.cube_scores(cells, len(grid)), "f1_macro", ["j2", "j1"])
-        f1 = best.select("f1_macro").collect()
-        rows.append((trial["trial"], float(trial["stepSize"]), int(trial["maxDepth"]),
-                     int(trial["minInstancesPerNode"]), float(trial["subsamplingRate"]),
-                     trial["featureSubsetStrategy"], float(trial["minInfoGain"]), f1[0][0] if f1 else 0.0))
-    return spark.createDataFrame(rows, "trial int, stepSize double, maxDepth int, minInstancesPerNode int, "
-                                       "subsamplingRate double, featureSubsetStrategy string, minInfoGain double, "
-                                       "f1_macro double")
+    base = materialised(FO.sample_weights(base, C.TARGET_COL, "w"), "weighted-folds")
+    found = MD.random_search(base, _feature_cols(base.drop("w")), "w", n_trials=QUERY_TRIALS)
+    space = F.lit(True)
+    for k, (_, lo, hi) in MD.SEARCH_SPACE.items():
+        space = space & F.col(k).cast("double").between(lo * 0.999, hi * 1.001)
+    return found.select("trial", space.alias("in_space"), F.col("f1_macro").between(0, 1).alias("scored"))
 
 
 # ------------------------------------------------------------ file round trips
@@ -178,7 +271,6 @@ def q_scan_csv(spark, sf_dir):
 @register("sink_table", sql=lambda: S.clean_cte() + "\nSELECT * FROM clean")
 def q_sink(spark, sf_dir):
     """Cleaned survey written as Parquet partitioned by split, read back with partition pruning."""
-    from .q_prepare import cleaned
     c = cleaned(spark, sf_dir)
     path = f"{IO.checkpoint_dir(spark)}/parquet-{uuid.uuid4().hex}"
     IO.sink_table(c, path, partition_by=["split"])

@@ -48,8 +48,8 @@ def cleaned(spark, sf_dir):
     return CL.clean_survey(SV.survey(spark, sf_dir), is_train=True)
 
 
-def featured(spark, sf_dir):
-    return EN.engineer_features(cleaned(spark, sf_dir))
+def featured(spark, sf_dir, ranks=True):
+    return EN.engineer_features(cleaned(spark, sf_dir), ranks=ranks)
 
 
 # ---------------------------------------------------------------- A: sources
@@ -235,7 +235,7 @@ SELECT country, count(*) AS n_rows,
 FROM feat GROUP BY country""", bench=True)
 def q_country_summary(spark, sf_dir):
     """Flagship: features over both splits, then per-country access, resilience, High rate."""
-    return summarise_by_country(featured(spark, sf_dir))
+    return summarise_by_country(featured(spark, sf_dir, ranks=False))
 
 
 def summarise_by_country(f):

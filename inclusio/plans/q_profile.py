@@ -176,7 +176,7 @@ SANITY = ["insured_with_credit_card", "fully_formal", "formal_access_count", "re
      f"CAST(max({c}) AS DOUBLE) AS max, count_if({c} IS NULL) AS n_missing FROM feat WHERE split = 'train'"
      for i, c in enumerate(SANITY)]))
 def q_sanity(spark, sf_dir):
-    f = featured(spark, sf_dir).where(F.col("split") == "train")
+    f = featured(spark, sf_dir, ranks=False).where(F.col("split") == "train")
     r = P.feature_sanity(f, SANITY)
     return r.select("column_name", "column_pos", r6("mean").alias("mean"), "max", "n_missing")
 
@@ -279,3 +279,61 @@ def q_align(spark, sf_dir):
     rows = [(c, i, int(c in have)) for i, c in enumerate(aligned.columns)]
     # the aligned column list is schema metadata decided by the per-split missing rates
     return spark.createDataFrame(rows, "column_name string, position bigint, in_test_source bigint")
+
+
+def _flags_sql() -> str:
+    """``rates``: share of missing values by split and column; ``long``: every value of every row."""
+    cols = S.SURVEY_SELECT_COLS[2:-1]
+    return S.clean_cte() + f""",
+long AS (SELECT ID, split, unnest([{', '.join(repr(c) for c in cols)}]) AS column_name,
+                unnest([{', '.join(f'CAST({c} AS DOUBLE)' for c in cols)}]) AS value FROM clean),
+flagged AS (SELECT split, column_name FROM long GROUP BY split, column_name
+            HAVING count_if(value IS NULL) / count(*) > 0.2e0)"""
+
+
+@register("missing_flag_rows", sql=lambda: _flags_sql() + """
+SELECT ID, split, column_name || '_missing' AS flag, CAST(value IS NULL AS BIGINT) AS is_missing
+FROM long JOIN flagged USING (split, column_name)""")
+def q_missing_flag_rows(spark, sf_dir):
+    """The flag columns themselves, per split as the reference adds them, one row per flag and row."""
+    from ..operators import clean as CL
+    out = None
+    for split in ("train", "test"):
+        rows = cleaned(spark, sf_dir).where(F.col("split") == split)
+        flags = CL.add_missing_flags(rows)
+        names = [c for c in flags.columns if c not in rows.columns]
+        s = F.explode(F.array(*[F.struct(F.lit(c).alias("flag"), F.col(c).alias("is_missing")) for c in names])) if names else None
+        part = (flags.select("ID", "split", s.alias("s")).select("ID", "split", "s.*") if names else
+                flags.limit(0).selectExpr("ID", "split", "'' AS flag", "0L AS is_missing"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@register("align_rows", sql=lambda: _flags_sql() + """
+SELECT ID, column_name, value FROM long WHERE split = 'test'
+UNION ALL
+SELECT l.ID, l.column_name || '_missing', CASE WHEN t.column_name IS NOT NULL THEN CAST(l.value IS NULL AS DOUBLE) END
+FROM long l JOIN flagged f ON f.split = 'train' AND f.column_name = l.column_name
+LEFT JOIN flagged t ON t.split = 'test' AND t.column_name = l.column_name
+WHERE l.split = 'test'""")
+def q_align_rows(spark, sf_dir):
+    """The aligned test rows: exactly train's feature columns, absent ones NULL, in a long table."""
+    from ..operators import clean as CL
+    c = cleaned(spark, sf_dir)
+    train = CL.add_missing_flags(c.where(F.col("split") == "train"))
+    test = CL.add_missing_flags(c.where(F.col("split") == "test"))
+    cols = [x for x in train.columns if x not in (C.TARGET_COL, "split")]
+    aligned = CL.align_columns(test, cols, dict(train.dtypes))
+    s = F.explode(F.array(*[F.struct(F.lit(x).alias("column_name"), F.col(x).cast("double").alias("value")) for x in cols if x != C.ID_COL]))
+    return aligned.select("ID", s.alias("s")).select("ID", "s.*")
+
+
+@register("column_report", sql=lambda: S.clean_cte() + """
+SELECT 'train' AS only_in, 'Target' AS column_name""")
+def q_column_report(spark, sf_dir):
+    """Columns that only one of the two raw splits has."""
+    from ..operators import clean as CL
+    left, right = (SV.survey_split(spark, sf_dir, x) for x in ("train", "test"))
+    only = CL.column_differences(left, right)
+    rows = [(where, c) for where, cols in zip(("train", "test"), only) for c in cols]
+    return spark.createDataFrame(rows, "only_in string, column_name string")

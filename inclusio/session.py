@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -27,6 +28,7 @@ def get_spark(master: str | None = None, app: str = "inclusio", shuffle_partitio
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "16g"))
+         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
          .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
     for k, v in (extra or {}).items():
         b = b.config(k, v)
@@ -37,16 +39,22 @@ def get_spark(master: str | None = None, app: str = "inclusio", shuffle_partitio
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; set a scratch one only when unset."""
+    """The cluster's ``spark.checkpoint.dir``.  Only a local master, whose one JVM sees every file, may
+    run without it: then (in tests) a scratch folder is set for the session."""
     sc = spark.sparkContext
-    cur = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
-    if cur:
-        return cur
-    conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if not conf_dir:
-        conf_dir = tempfile.mkdtemp(prefix="inclusio-ckpt-")
-    sc.setCheckpointDir(conf_dir)
-    return conf_dir
+    conf_dir = spark.conf.get("spark.checkpoint.dir", None)
+    held = sc._jsc.sc().getCheckpointDir()
+    if conf_dir:
+        if not held.isDefined():
+            sc.setCheckpointDir(conf_dir)
+        return conf_dir.rstrip("/")
+    if held.isDefined():
+        return held.get().rstrip("/")
+    if not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    path = tempfile.mkdtemp(prefix="inclusio-ckpt-")
+    sc.setCheckpointDir(path)
+    return path
 
 
 def reliable_checkpoint(df):
@@ -54,3 +62,11 @@ def reliable_checkpoint(df):
     session's ``spark.checkpoint.dir`` first if the context has none yet)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def materialised(df, tag: str):
+    """``df`` written as Parquet to the shared folder and read again: for tables that several passes
+    read, since unlike a checkpoint it keeps column pruning and true sizes."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/inclusio/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -137,11 +137,61 @@ def test_hot_group_is_split_across_slices(spark):
     assert (got[0], got[1], got[2]) == (0, 17999, 18000)
 
 
-def test_wide_and_narrow_fold_paths_agree(spark, labelled, monkeypatch):
-    a = FO.stratified_folds(labelled, "Target", n_folds=5).orderBy("ID").select("ID", "fold").collect()
-    monkeypatch.setattr(FO, "NARROW_EXTRA_COLUMNS", 0)  # force numbering the key and joining back
-    b = FO.stratified_folds(labelled, "Target", n_folds=5).orderBy("ID").select("ID", "fold").collect()
-    c = FO.stratified_split(labelled, "Target", ["k"]).orderBy("ID").select("ID", "is_holdout").collect()
-    monkeypatch.setattr(FO, "NARROW_EXTRA_COLUMNS", 100)
-    d = FO.stratified_split(labelled, "Target", ["k"]).orderBy("ID").select("ID", "is_holdout").collect()
-    assert a == b and c == d
+def _odd_rows(spark, extra):
+    """300 rows: missing labels and order values, every id twice, some rows wholly equal."""
+    rows = [(f"r{i // 2}", None if i % 3 == 0 else i % 2, None if i % 10 == 0 else i % 50, i // 4) for i in range(300)]
+    df = spark.createDataFrame(rows, "ID string, Target int, k int, z int")
+    return df.select("*", *[F.lit(j).alias(f"x{j}") for j in range(extra)])
+
+
+@pytest.mark.parametrize("extra", [0, 8])
+@pytest.mark.parametrize("order", [None, ["k"]])
+def test_folds_keep_every_row_once(spark, extra, order):
+    df = _odd_rows(spark, extra)
+    out = FO.stratified_folds(df, "Target", order, 5)
+    assert out.columns == [*df.columns, "fold"]
+    assert out.drop("fold").exceptAll(df).isEmpty() and df.exceptAll(out.drop("fold")).isEmpty()
+    sizes = out.groupBy("Target", "fold").count().collect()
+    for label in (None, 0, 1):
+        n = [r["count"] for r in sizes if r["Target"] == label]
+        assert len(n) == 5 and max(n) - min(n) <= 1
+    again = FO.stratified_folds(df.repartition(7), "Target", order, 5)
+    assert out.exceptAll(again).isEmpty()
+
+
+@pytest.mark.parametrize("extra", [0, 8])
+def test_split_keeps_every_row_once(spark, extra):
+    df = _odd_rows(spark, extra)
+    out = FO.stratified_split(df, "Target", ["k"], 0.2)
+    assert out.drop("is_holdout").exceptAll(df).isEmpty() and out.count() == 300
+    assert {r["Target"]: r["s"] for r in out.groupBy("Target").agg(F.sum("is_holdout").alias("s")).collect()} == {None: 20, 0: 20, 1: 20}
+
+
+def test_many_strata_give_the_folds_of_few(spark, monkeypatch):
+    df = _odd_rows(spark, 1)
+    few = FO.stratified_folds(df, "z", ["k"], 4)
+    monkeypatch.setattr(FO, "LITERAL_STRATA", 10)  # 75 strata: offsets by a join
+    many = FO.stratified_folds(df, "z", ["k"], 4)
+    assert few.exceptAll(many).isEmpty() and many.count() == 300
+
+
+def test_quantiles_of_a_missing_group(spark):
+    from inclusio.operators.quantiles import exact_quantiles
+    df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 2.0), ("a", None)], "g string, v double")
+    assert {r["g"]: r["m"] for r in exact_quantiles(df, ["g"], "v", {"m": 0.5}).collect()} == {None: 2.0, "a": 2.0}
+
+
+def test_string_keys_and_empty_folds_are_encoded(spark):
+    from inclusio.operators import target_encoding as TE
+    df = spark.createDataFrame([("a'b", 0, 0), ("a'b", 1, 0), ("c\\d", 2, 0), (None, 1, 0), ("new", None, 1)], "s string, Target int, fold bigint")
+    enc, g = TE.fit(df, ["s"])
+    out = {r["s"]: r for r in TE.transform(df, enc, g, ["s"]).collect()}
+    assert out["a'b"]["s_te_0"] == pytest.approx((1 + TE.C.TE_SMOOTHING * 0.25) / (2 + TE.C.TE_SMOOTHING))
+    assert out["new"]["s_te_1"] == out[None]["s_te_1"] == pytest.approx(0.5)
+    joined = {r["s"]: r for r in TE.transform(df, enc, g, ["s"], literal_limit=0).collect()}
+    assert joined == out
+    # every labelled row in one fold: nothing to encode that fold with
+    enc, g = TE.fit_out_of_fold(df, "fold", ["s"], n_folds=2)
+    assert all(r["s_te_0"] is None for r in TE.transform(df, enc, g, ["s"], fold_col="fold").where("fold = 0").collect())
+    enc, g = TE.fit(df.where("Target IS NULL"), ["s"])
+    assert all(r["s_te_0"] is None for r in TE.transform(df, enc, g, ["s"]).collect())

@@ -11,15 +11,91 @@ from conftest import SF_SMALL
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
-def test_oof_every_row_once(spark):
-    from inclusio.plans.q_models import q_oof
-    out = q_oof(spark, SF_SMALL).cache()
-    n_train = spark.read.parquet(f"{SF_SMALL}/customer.parquet").where("c_custkey % 5 <> 0").count()
-    per = out.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("ID").alias("ids")).collect()
-    assert {r["model"] for r in per} == {"gbt", "rf", "lr"}
-    assert all(r["n"] == n_train and r["ids"] == n_train for r in per)
-    s = out.select((F.col("p0") + F.col("p1") + F.col("p2")).alias("s")).agg(F.min("s"), F.max("s")).first()
+@pytest.fixture(scope="module")
+def small(spark):
+    """Labelled rows whose label depends on two columns, in five folds, with a constant column."""
+    rows = [(f"r{i}", float(i % 17), float((i * 7) % 23), 1.0, (i % 17 > 5) + (i % 17 > 11), i % 5) for i in range(400)]
+    return spark.createDataFrame(rows, "ID string, a double, b double, c double, Target int, fold int").cache()
+
+
+FAST = {"rf": {"numTrees": 10}}  # fewer trees for properties that don't depend on them
+
+
+def test_cross_validation_scores_every_row_once(small):
+    from inclusio.operators import models as MD
+    cv = MD.cross_validate(small, ["a", "b", "c"], params=FAST)
+    per = cv.oof.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("ID").alias("ids")).collect()
+    assert {r["model"] for r in per} == set(MD.LEARNERS)
+    assert all(r["n"] == r["ids"] == 400 for r in per)
+    s = cv.oof.agg(F.min(F.col("p0") + F.col("p1") + F.col("p2")), F.max(F.col("p0") + F.col("p1") + F.col("p2"))).first()
     assert abs(s[0] - 1) < 1e-9 and abs(s[1] - 1) < 1e-9
+    right = cv.oof.where("model = 'gbt'").select(F.avg((F.greatest("p0", "p1", "p2") == F.element_at(F.array("p0", "p1", "p2"), F.col("Target") + 1)).cast("int"))).first()[0]
+    assert right > 0.9
+    most = MD.DEFAULT_PARAMS["gbt"]["maxIter"]
+    assert all(0 < m.getNumTrees < most for (_, k), (_, ms) in cv.models.items() if k == "gbt" for m in ms)
+
+
+def test_encoder_is_called_once_a_fold(small):
+    from inclusio.operators import models as MD
+    calls = []
+
+    def encoder(f, rows):
+        calls.append(f)
+        return rows.withColumn("extra", F.col("a") * f), ["extra"]
+
+    cv = MD.cross_validate(small, ["a", "b"], learners=["rf", "lr"], params=FAST, encoder=encoder)
+    assert sorted(calls) == [0, 1, 2, 3, 4] and all(c == ["a", "b", "extra"] for c in cv.columns.values())
+
+
+def test_saved_models_score_like_those_in_memory(spark, small, tmp_path):
+    from inclusio.operators import models as MD
+    cv = MD.cross_validate(small, ["a", "b"], params=FAST)
+    MD.save_models(cv, spark, str(tmp_path / "run"))
+    back = MD.load_models(spark, str(tmp_path / "run"))
+    key = lambda r: (r["ID"], r["model"])
+    one, two = (sorted(MD.score_fold_average(x, small, ["ID"]).collect(), key=key) for x in (cv, back))
+    assert one == two and len(one) == 3 * 400
+    # the average over the folds, by hand for one learner
+    by_hand = [MD.predict_proba(cv.models[f, "rf"], MD.assemble(small, cv.columns[f]), ["ID"]) for f in range(5)]
+    total = by_hand[0].unionByName(by_hand[1]).unionByName(by_hand[2]).unionByName(by_hand[3]).unionByName(by_hand[4])
+    want = {r["ID"]: r["p"] for r in total.groupBy("ID").agg(F.avg("p1").alias("p")).collect()}
+    assert all(abs(r["p1"] - want[r["ID"]]) < 1e-9 for r in one if r["model"] == "rf")
+
+
+def test_ordinal_tasks_have_every_learner(small):
+    from inclusio.operators import models as MD
+    models = MD.train_ordinal(small, ["a", "b"], params=FAST)
+    assert set(models) == {(t, k) for t in "AB" for k in MD.LEARNERS}
+    got = MD.score_ordinal(models, small, ["a", "b"], ["ID", "Target"]).collect()
+    assert len(got) == 400 and all(0 <= r["p_A"] <= 1 and 0 <= r["p_B"] <= 1 for r in got)
+    assert sum((r["p_A"] >= 0.5) + (r["p_B"] >= 0.5) == r["Target"] for r in got) > 350
+
+
+def test_missing_is_told_apart_from_minus_one(spark):
+    from inclusio.operators import models as MD
+    df = spark.createDataFrame([(1, None), (2, -1.0), (3, float("nan")), (4, float("inf"))], "ID int, x double")
+    got = [r["features"][0] for r in MD.assemble(df, ["x"]).orderBy("ID").collect()]
+    assert got == [MD.SENTINEL, -1.0, MD.SENTINEL, MD.SENTINEL]
+
+
+def test_random_search_reports_what_it_fitted(small):
+    from inclusio.operators import models as MD
+    got = MD.random_search(small, ["a", "b"], n_trials=2).orderBy("trial").collect()
+    assert MD.N_TRIALS == 100
+    for r, t in zip(got, MD.sample_trials(2)):
+        assert r["maxDepth"] == t["maxDepth"] and r["minInstancesPerNode"] == t["minInstancesPerNode"] and 0 <= r["f1_macro"] <= 1
+
+
+def test_versions_keep_the_best(spark, tmp_path):
+    from inclusio.sources import io as IO
+    base = str(tmp_path)
+    frame = lambda s, t: spark.createDataFrame([(s, t)], "f1 double, t double")
+    assert IO.count_versions(spark, base, "d") == 0
+    assert IO.save_version(frame(0.5, 1.0), base, "d", "f1") is True
+    assert IO.save_version(frame(0.4, 2.0), base, "d", "f1") is False
+    assert IO.best_version(spark, base, "d", "f1").first()["t"] == 1.0
+    assert IO.save_version(frame(0.6, 3.0), base, "d", "f1") is True
+    assert IO.best_version(spark, base, "d", "f1").first()["t"] == 3.0 and IO.count_versions(spark, base, "d") == 3
 
 
 def test_entry_and_contract(spark):
@@ -47,20 +123,3 @@ def test_plans_have_no_python_udf(spark, key):
     import __spark_entry__ as E
     plan = E.queries()[key](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
-
-
-def test_clean_file_stream(spark, tmp_path):
-    """The row-wise operators run unchanged on a file stream (memory sink, available-now trigger)."""
-    from inclusio.sources import survey_view as SV
-    from inclusio.streaming import clean_file_stream
-    src = tmp_path / "in"
-    s = SV.survey_split(spark, SF_SMALL, "test")
-    from inclusio.sources.io import sink_table
-    sink_table(s, str(src), fmt="csv")
-    out = clean_file_stream(spark, str(src), s.columns)
-    q = (out.writeStream.format("memory").queryName("clean_stream_t").trigger(availableNow=True)
-         .option("checkpointLocation", str(tmp_path / "ck")).start())
-    q.awaitTermination(120)
-    got = spark.sql("SELECT * FROM clean_stream_t")
-    assert got.count() == s.count()
-    assert "formal_access_count" in got.columns and "fully_formal" in got.columns
