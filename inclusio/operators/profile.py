@@ -103,11 +103,17 @@ def numeric_describe(df: DataFrame, cols: list[str] | None = None, exact: bool =
 
 
 def cardinality(df: DataFrame, cols: list[str] | None = None, exact: bool = True) -> DataFrame:
-    """Distinct non-missing values per string column."""
+    """Distinct non-missing values per string column: the columns are stacked and grouped twice (a
+    narrow shuffle of distinct values), or sketched in one pass with ``exact=False``."""
     cols = cols or [c for c, t in df.dtypes if t == "string"]
-    fn = F.countDistinct if exact else F.approx_count_distinct
-    agg = df.agg(*[fn(F.col(c)).alias(f"d{i}") for i, c in enumerate(cols)])
-    return _stack(agg, [(c, {"n_distinct": f"d{i}"}) for i, c in enumerate(cols)])
+    if not exact:
+        agg = df.agg(*[F.approx_count_distinct(F.col(c)).alias(f"d{i}") for i, c in enumerate(cols)])
+        return _stack(agg, [(c, {"n_distinct": f"d{i}"}) for i, c in enumerate(cols)])
+    where = [F.struct(F.lit(i).cast("bigint").alias("column_pos"), F.col(c).cast("string").alias("value")) for i, c in enumerate(cols)]
+    values = df.select(F.explode(F.array(*where)).alias("s")).select("s.*").distinct()
+    counts = values.groupBy("column_pos").agg(F.count("value").alias("n_distinct"))
+    names = df.sparkSession.createDataFrame(list(enumerate(cols)), "column_pos bigint, column_name string")
+    return names.join(counts, "column_pos", "left").select("column_name", "column_pos", F.coalesce("n_distinct", F.lit(0)).alias("n_distinct"))
 
 
 # --- fixed values: answers that mark a yes/no question ---------------------

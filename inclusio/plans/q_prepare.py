@@ -88,13 +88,27 @@ def q_feature_columns(spark, sf_dir):
 
 # ------------------------------------------------------------- B: cleaning
 @register("normalise_string", sql=lambda: SV.survey_cte() + "\nSELECT ID, " + ", ".join(
-    f"{S.norm(c)} AS {c}" for c in ["motor_vehicle_insurance", "has_cellphone", "attitude_worried_shutdown",
-                                    "keeps_financial_records", "owner_sex"]) + " FROM survey")
+    f"{S.norm(c)} AS {c}" for c, _ in SV.ANSWER_COLUMNS) + " FROM survey")
 def q_normalise(spark, sf_dir):
     s = SV.survey(spark, sf_dir)
-    return s.select("ID", *[E.normalise_string(c).alias(c) for c in
-                            ["motor_vehicle_insurance", "has_cellphone", "attitude_worried_shutdown",
-                             "keeps_financial_records", "owner_sex"]])
+    return s.select("ID", *[E.normalise_string(c).alias(c) for c, _ in SV.ANSWER_COLUMNS])
+
+
+#: Numbers as people type them, by row: padded, with a unit, empty, spelled missing, signed, in powers, clean.
+DIRTY_NUMBER = """CASE CAST(substr(ID, 4) AS BIGINT) % 8
+  WHEN 0 THEN '  ' || n || ' ' WHEN 1 THEN n || ' USD' WHEN 2 THEN '' WHEN 3 THEN 'NaN'
+  WHEN 4 THEN '-' || n || '.25' WHEN 5 THEN n || 'e2' WHEN 6 THEN n || ',000' ELSE n END"""
+
+
+@register("coerce_dirty_numeric", sql=lambda: SV.survey_cte() + f""",
+n AS (SELECT ID, CAST(CAST(floor(abs(business_turnover)) AS BIGINT) AS VARCHAR) AS n FROM survey),
+t AS (SELECT ID, {DIRTY_NUMBER} AS typed FROM n)
+SELECT ID, typed, CASE WHEN typed = 'NaN' THEN NULL ELSE TRY_CAST(trim(typed) AS DOUBLE) END AS value FROM t""")
+def q_coerce_dirty(spark, sf_dir):
+    """Dirty numbers parsed; what isn't a number is missing."""
+    t = (SV.survey(spark, sf_dir).selectExpr("ID", "CAST(CAST(floor(abs(business_turnover)) AS BIGINT) AS STRING) AS n")
+         .selectExpr("ID", f"{DIRTY_NUMBER} AS typed"))
+    return t.select("ID", "typed", E.coerce_numeric("typed").alias("value"))
 
 
 def _encode_query(name, cols, fn, sqlfn):

@@ -202,18 +202,23 @@ def q_binary_rate(spark, sf_dir):
                     F.round("rate", 9).alias("rate"))
 
 
-@register("row_duplicates", sql=lambda: SV.survey_cte() + """
-SELECT CAST(count(*) - count(DISTINCT ID) AS BIGINT) AS n_duplicates, count(DISTINCT ID) AS n_distinct_ids FROM survey""")
+@register("row_duplicates", sql=lambda: SV.survey_cte() + """,
+twice AS (SELECT ID FROM survey UNION ALL SELECT ID FROM survey WHERE CAST(substr(ID, 4) AS BIGINT) % 10 = 0)
+SELECT CAST(count(*) - count(DISTINCT ID) AS BIGINT) AS n_duplicates, count(DISTINCT ID) AS n_distinct_ids FROM twice""")
 def q_dups(spark, sf_dir):
-    return P.row_duplicates(SV.survey(spark, sf_dir))
+    """The survey with every tenth row sent twice."""
+    s = SV.survey(spark, sf_dir)
+    return P.row_duplicates(s.unionByName(s.where("CAST(substr(ID, 4) AS BIGINT) % 10 = 0")))
 
 
 @register("id_overlap", sql=lambda: SV.survey_cte() + """
 SELECT count(*) AS n_overlap FROM (SELECT ID FROM survey WHERE split = 'train') a
-WHERE ID IN (SELECT ID FROM survey WHERE split = 'test')""")
+WHERE ID IN (SELECT ID FROM survey WHERE split = 'test' OR CAST(substr(ID, 4) AS BIGINT) % 9 = 0)""")
 def q_overlap(spark, sf_dir):
+    """Train against a test split into which every ninth row has leaked (some of them twice)."""
+    s = SV.survey(spark, sf_dir)
     tr = SV.survey_split(spark, sf_dir, "train")
-    te = SV.survey_split(spark, sf_dir, "test")
+    te = s.where("split = 'test'").unionByName(s.where("CAST(substr(ID, 4) AS BIGINT) % 9 = 0")).select("ID")
     return P.id_overlap(tr, te).agg(F.count(F.lit(1)).alias("n_overlap"))
 
 
