@@ -190,8 +190,9 @@ def _shared_buckets(texts: DataFrame) -> DataFrame:
     bucket's representative: the text of the least hashed key, the same one in all bands that a class
     of similar texts shares."""
     rows = texts.select("key", "total", F.xxhash64("key").alias("rank"), F.posexplode("bands").alias("band", "hash"))
-    heads = (rows.groupBy("band", "hash").agg(F.min(F.struct("rank", "key")).alias("head"), F.count(F.lit(1)).alias("n"))
-             .where("n > 1").select("band", "hash", F.col("head.key").alias("head"), "n"))
+    # a table of its own: joined straight from a shuffle, a bucket of very many texts can be split
+    heads = staged(rows.groupBy("band", "hash").agg(F.min(F.struct("rank", "key")).alias("head"), F.count(F.lit(1)).alias("n"))
+                   .where("n > 1").select("band", "hash", F.col("head.key").alias("head"), "n"), "heads")
     return rows.drop("rank").join(heads, ["band", "hash"])
 
 
@@ -201,8 +202,8 @@ def _unsettled(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     m = buckets.drop("head", "n").join(labels.withColumnsRenamed({"node": "key", "label": "cls"}), "key", "left").withColumn("cls", F.coalesce("cls", "key"))
     m = staged(m, "classed")
     per = m.groupBy("band", "hash", "cls").agg(F.count(F.lit(1)).alias("n"))
-    split = (per.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("classes"), F.max(F.struct("n", "cls")).alias("top"), F.sum("n").alias("members"))
-             .where("classes > 1").select("band", "hash", F.col("top.cls").alias("main"), "members"))
+    split = staged(per.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("classes"), F.max(F.struct("n", "cls")).alias("top"), F.sum("n").alias("members"))
+                   .where("classes > 1").select("band", "hash", F.col("top.cls").alias("main"), "members"), "split-buckets")
     return staged(m.join(split, ["band", "hash"]), "unsettled")
 
 
