@@ -163,7 +163,7 @@ class CrossValidated:
 
 def cross_validate(df: DataFrame, feature_cols: list[str], fold_col: str = "fold", label: str = C.TARGET_COL,
                    learners=LEARNERS, params: dict | None = None, keep=(C.ID_COL,), threads: int = 4,
-                   encoder=None) -> CrossValidated:
+                   encoder=None, n_classes: int = C.N_CLASSES) -> CrossValidated:
     """Per fold f: fit on folds != f (boosting stops on fold f), score fold f; every row scored once.
 
     ``encoder(f, rows) -> (rows, cols)`` adds the encodings fitted without fold f to all rows; it is
@@ -181,14 +181,14 @@ def cross_validate(df: DataFrame, feature_cols: list[str], fold_col: str = "fold
 
     def one(f, kind):
         a = frames[f] if kind == "gbt" else frames[f].where(~F.col("__val"))
-        return fit_learner(kind, a, "label", (params or {}).get(kind), C.N_CLASSES, "__val")
+        return fit_learner(kind, a, "label", (params or {}).get(kind), n_classes, "__val")
 
     with ThreadPoolExecutor(max_workers=threads) as ex:
         futs = {(f, k): ex.submit(one, f, k) for f in folds for k in learners}
         models = {key: fut.result() for key, fut in futs.items()}
     out = None
     for (f, k), fitted in models.items():
-        p = predict_proba(fitted, frames[f].where(F.col("__val")), keep).withColumn("model", F.lit(k))
+        p = predict_proba(fitted, frames[f].where(F.col("__val")), keep, n_classes).withColumn("model", F.lit(k))
         out = p if out is None else out.unionByName(p)
     return CrossValidated(out, models, columns)
 
@@ -198,6 +198,23 @@ def oof_predictions(df: DataFrame, feature_cols: list[str], *args, **kw) -> Data
     return cross_validate(df, feature_cols, *args, **kw).oof
 
 
+def cross_validate_ordinal(df: DataFrame, feature_cols: list[str], fold_col: str = "fold", label: str = C.TARGET_COL,
+                           learners=LEARNERS, params: dict | None = None, threads: int = 4) -> tuple[DataFrame, dict]:
+    """Both binary tasks (y >= 1, y == 2) with every learner under the same folds.
+
+    Returns ``(ID, label, fold, <learner>_pA, <learner>_pB ...)``, one row per row of ``df``, and the
+    ``CrossValidated`` of each task.  ``ID`` must be unique."""
+    tasks = {"A": F.col(label) >= 1, "B": F.col(label) == 2}
+    cvs, long = {}, None
+    for t, cond in tasks.items():
+        rows = df.withColumn("__task", cond.cast("bigint"))
+        cvs[t] = cross_validate(rows, feature_cols, fold_col, "__task", learners, params, (C.ID_COL, label), threads, n_classes=2)
+        part = cvs[t].oof.select(C.ID_COL, label, fold_col, F.concat("model", F.lit(f"_p{t}")).alias("name"), "p1")
+        long = part if long is None else long.unionByName(part)
+    names = [f"{k}_p{t}" for k in learners for t in tasks]
+    return long.groupBy(C.ID_COL, label, fold_col).agg(*[F.max(F.when(F.col("name") == n, F.col("p1"))).alias(n) for n in names]), cvs
+
+
 def score_fold_average(cv: CrossValidated, df: DataFrame, keep: list[str], encoder=None) -> DataFrame:
     """``(keep..., model, p0..p2)``: every row scored by all fold models of a learner, averaged.
 

@@ -88,6 +88,16 @@ def with_grid_values(df: DataFrame, grid: list[float], pairs: dict[str, str]) ->
     return df.select("*", *[F.element_at(arr, F.col(j) + 1).alias(name) for name, j in pairs.items()])
 
 
+def simplex_blends(df: DataFrame, y: str, models: list[str], weights: list[tuple]) -> DataFrame:
+    """``(y, wi, w0.., pA, pB)``: each row under every weighting of its models' ordinal probabilities
+    (columns ``<model>_pA``, ``<model>_pB``); the weightings are exploded per row before any shuffle."""
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("wi"), *[F.lit(w).alias(f"w{j}") for j, w in enumerate(ws)])
+                               for i, ws in enumerate(weights)])).alias("w")
+    rows = df.select(F.col(y).alias("y"), *[f"{m}_p{t}" for m in models for t in "AB"], each)
+    blend = {t: sum((F.col(f"w.w{j}") * F.col(f"{m}_p{t}") for j, m in enumerate(models[1:], 1)), F.col("w.w0") * F.col(f"{models[0]}_p{t}")) for t in "AB"}
+    return rows.select("y", "w.wi", *[f"w.w{j}" for j in range(len(models))], *[e.alias(f"p{t}") for t, e in blend.items()])
+
+
 def blend_weight_search(df: DataFrame, y: str, a: tuple[str, str], b: tuple[str, str], weights: list[float],
                         grid: list[float]) -> DataFrame:
     """Scores of every (weight, t_high, t_med) for the blend w*a + (1-w)*b.

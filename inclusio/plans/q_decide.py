@@ -233,12 +233,7 @@ def q_simplex(spark, sf_dir):
     """66 weight triples x 30^2 ordinal thresholds; tA outer, tB inner."""
     grid = C.threshold_grid(N_SEARCH)
     o = SY.oof_table(spark, sf_dir)
-    wt = F.explode(F.array(*[F.struct(F.lit(i).alias("wi"), F.lit(a).alias("wl"), F.lit(b).alias("wx"),
-                                      F.lit(c).alias("wc")) for i, (a, b, c) in enumerate(SIMPLEX)])).alias("w")
-    ex = o.select("y", *[f"{m}_p{t}" for m in SY.MODELS for t in "AB"], wt)
-    bl = ex.select("y", "w.wi", "w.wl", "w.wx", "w.wc",
-                   *[(F.col("w.wl") * F.col(f"lgb_p{t}") + F.col("w.wx") * F.col(f"xgb_p{t}")
-                      + F.col("w.wc") * F.col(f"cat_p{t}")).alias(f"p{t}") for t in "AB"])
+    bl = SR.simplex_blends(o, "y", SY.MODELS, SIMPLEX).withColumnsRenamed({"w0": "wl", "w1": "wx", "w2": "wc"})
     sc = _search(bl, F.col("pA"), F.col("pB"), grid, keys=["wi", "wl", "wx", "wc"])
     return _best(sc, grid, "f1_weighted", ["wi", "j1", "j2"], keep=["wi", "wl", "wx", "wc"])
 

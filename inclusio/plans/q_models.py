@@ -77,7 +77,7 @@ def saved_encoder(enc, g):
 def _summary(oof, by):
     """Per group: rows, ids, and rows whose probabilities aren't a distribution."""
     p = [F.col(f"p{c}") for c in range(C.N_CLASSES)]
-    bad = (F.abs(p[0] + p[1] + p[2] - 1) > 1e-9) | (F.least(*p) < 0) | F.least(*[x.isNull() for x in p])
+    bad = (F.abs(p[0] + p[1] + p[2] - 1) > 1e-9) | (F.least(*p) < 0) | F.greatest(*[x.isNull() for x in p])
     return oof.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("ID").alias("n_ids"), F.count_if(bad).alias("n_bad"))
 
 
@@ -158,6 +158,26 @@ def q_oof_weight_search(spark, sf_dir):
     return _blend_search(cv.oof).agg(F.min(ok).alias("in_grid"), F.count(F.lit(1)).alias("n"))
 
 
+@register("ordinal_oof_search", sql=lambda: S.clean_cte() + """
+SELECT count(*) AS n_rows, count(*) AS n_ids, CAST(0 AS BIGINT) AS n_bad, TRUE AS in_grid FROM clean WHERE split = 'train'""")
+def q_ordinal_oof_search(spark, sf_dir):
+    """Three learners x two ordinal tasks x five folds of joint (country, label) strata, then 66 weight
+    triples x 30^2 ordinal thresholds on the out-of-fold output; the best point is one of the grid."""
+    base = _train_with_folds(_base(spark, sf_dir), stratum="_joint")
+    oof, _ = MD.cross_validate_ordinal(base, _feature_cols(base))
+    oof = materialised(oof, "ordinal-oof")
+    grid, weights = C.threshold_grid(30), C.simplex_weights(0.1)
+    blends = SR.simplex_blends(oof, C.TARGET_COL, MD.LEARNERS, weights)
+    cells = SR.grid_cells(blends, F.col("pA"), F.col("pB"), "y", grid, ["wi"])
+    best = SR.with_grid_values(SR.first_best(SR.cube_scores(cells, len(grid), ["wi"]), "f1_weighted", ["wi", "j1", "j2"]),
+                               grid, {"t_A": "j1", "t_B": "j2"})
+    ok = F.col("wi").between(0, len(weights) - 1) & F.col("t_A").isin(grid) & F.col("t_B").isin(grid) & F.col("f1_weighted").between(0, 1)
+    p = [F.col(f"{k}_p{t}") for k in MD.LEARNERS for t in "AB"]
+    bad = (F.least(*p) < 0) | (F.greatest(*p) > 1) | F.greatest(*[x.isNull() for x in p])
+    rows = oof.agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("ID").alias("n_ids"), F.count_if(bad).alias("n_bad"))
+    return rows.withColumn("in_grid", best.agg(F.min(ok)).scalar())
+
+
 @register("train_score_submit", sql=lambda: S.clean_cte() + """
 SELECT n AS n_rows, n AS n_expected, CAST(0 AS BIGINT) AS bad_labels, CAST(0 AS BIGINT) AS missing_ids,
        CAST(0 AS BIGINT) AS extra_ids, CAST(1 AS BIGINT) AS columns_ok, CAST(2 AS BIGINT) AS versions

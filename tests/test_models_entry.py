@@ -71,6 +71,21 @@ def test_ordinal_tasks_have_every_learner(small):
     assert sum((r["p_A"] >= 0.5) + (r["p_B"] >= 0.5) == r["Target"] for r in got) > 350
 
 
+def test_ordinal_cross_validation(small):
+    from inclusio.operators import models as MD
+    from inclusio.operators import search as SR
+    oof, cvs = MD.cross_validate_ordinal(small, ["a", "b"], learners=["rf", "lr"], params=FAST)
+    assert set(cvs) == {"A", "B"} and all(set(cv.models) == {(f, k) for f in range(5) for k in ("rf", "lr")} for cv in cvs.values())
+    rows = oof.collect()
+    assert len(rows) == len({r["ID"] for r in rows}) == 400
+    assert all(0 <= r[c] <= 1 for r in rows for c in ("rf_pA", "rf_pB", "lr_pA", "lr_pB"))
+    assert sum((r["rf_pA"] >= 0.5) + (r["rf_pB"] >= 0.5) == r["Target"] for r in rows) > 360
+    blends = SR.simplex_blends(oof, "Target", ["rf", "lr"], [(1.0, 0.0), (0.25, 0.75)]).collect()
+    assert len(blends) == 800
+    want = sorted(round(0.25 * r["rf_pA"] + 0.75 * r["lr_pA"], 12) for r in rows)
+    assert sorted(round(b["pA"], 12) for b in blends if b["wi"] == 1) == want
+
+
 def test_missing_is_told_apart_from_minus_one(spark):
     from inclusio.operators import models as MD
     df = spark.createDataFrame([(1, None), (2, -1.0), (3, float("nan")), (4, float("inf"))], "ID int, x double")
