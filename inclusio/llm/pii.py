@@ -66,17 +66,21 @@ def _q(pattern: str) -> str:
 
 
 def _matches(pattern: str, needs: str) -> str:
-    """Array of (start, end, m): all matches of ``body``, by the lengths of matches and of the pieces
-    between them (code points, end exclusive)."""
+    """Array of (start, end, m, before, prev, after): all matches of ``body``, by the lengths of matches and
+    of the pieces between them (code points, end exclusive), with the text before a match (``CONTEXT``
+    characters, back to the last match at most) and the characters beside it.  Everything comes from
+    these pieces, so the time doesn't grow with matches times length."""
     p = _q(pattern)
     return f"""CASE WHEN {needs} THEN flatten(transform(array(struct(regexp_extract_all(body, {p}, 0) AS ms, split(body, {p}, -1) AS segs)), x ->
-      IF(size(x.ms) = 0, {_NONE}, aggregate(sequence(0, size(x.ms) - 1), struct(0 AS pos, {_NONE} AS out), (acc, i) -> struct(
-        acc.pos + length(x.segs[i]) + length(x.ms[i]) AS pos,
-        array_append(acc.out, struct(acc.pos + length(x.segs[i]) AS start, acc.pos + length(x.segs[i]) + length(x.ms[i]) AS end, x.ms[i] AS m)) AS out
-      ), acc -> acc.out)))) ELSE {_NONE} END"""
+      IF(size(x.ms) = 0, {_NONE}, flatten(transform(array(aggregate(sequence(0, size(x.ms) - 1), struct(0 AS pos, CAST(array() AS ARRAY<INT>) AS at), (acc, i) -> struct(
+        acc.pos + length(x.segs[i]) + length(x.ms[i]) AS pos, array_append(acc.at, acc.pos + length(x.segs[i])) AS at), acc -> acc.at)), at ->
+        transform(x.ms, (m, i) -> struct(at[i] AS start, at[i] + length(m) AS end, m AS m, right(x.segs[i], {CONTEXT}) AS before,
+          CASE WHEN x.segs[i] != '' THEN right(x.segs[i], 1) WHEN i > 0 THEN right(x.ms[i - 1], 1) ELSE '' END AS prev,
+          CASE WHEN x.segs[i + 1] != '' THEN left(x.segs[i + 1], 1) WHEN i + 1 < size(x.ms) THEN left(x.ms[i + 1], 1) ELSE '' END AS after)))))))
+      ELSE {_NONE} END"""
 
 
-_NONE = "CAST(array() AS ARRAY<STRUCT<start: INT, end: INT, m: STRING>>)"
+_NONE = "CAST(array() AS ARRAY<STRUCT<start: INT, end: INT, m: STRING, before: STRING, prev: STRING, after: STRING>>)"
 
 
 def _digits(m: str) -> str:
@@ -105,7 +109,7 @@ def _in(value: str, words: list[str]) -> str:
 
 
 def _votes(kind: str) -> list[str]:
-    """SQL of each labeler's vote on a candidate c (start, end, m, strict) of ``body``."""
+    """SQL of each labeler's vote on a candidate c (start, end, m, before, prev, after, strict)."""
     m = "c.m"
     last = rf"lower(regexp_extract({m}, r'([A-Za-z0-9-]+)$', 1))"
     d = _digits(m)
@@ -117,11 +121,11 @@ def _votes(kind: str) -> list[str]:
              "ip": rf"IF({_in(f'''regexp_extract({m}, r'^([0-9]+)', 1)''', RESERVED_NETS)}, -1, 1)",
              "card": f"IF(exists(array({', '.join(repr(p) for p in CARD_PREFIXES)}), p -> startswith({d}, p)), 1, -1)",
              "phone": f"IF(startswith({m}, '+') OR startswith({m}, '00'), IF(exists(array({', '.join(repr(p) for p in CALLING_CODES)}), p -> startswith(ltrim('0', {d}), p)), 1, -1), 0)"}[kind]
-    before = f"lower(substring(body, greatest(1, c.start + 1 - {CONTEXT}), least({CONTEXT}, c.start)))"
+    before = "lower(c.before)"
     good, bad = CUES[kind]
     context = (rf"CASE WHEN {before} RLIKE r'(?:^|[^\p{{L}}])(?:{good})(?:[^\p{{L}}]|$)' THEN 1 "
                rf"WHEN {before} RLIKE r'(?:^|[^\p{{L}}])(?:{bad})(?:[^\p{{L}}]|$)' THEN -1 ELSE 0 END")
-    beside = (r"IF(IF(c.start = 0, '', substring(body, c.start, 1)) RLIKE r'[\p{L}\p{N}]' OR substring(body, c.end + 1, 1) RLIKE r'[\p{L}\p{N}]', -1, 1)")
+    beside = r"IF(c.prev RLIKE r'[\p{L}\p{N}]' OR c.after RLIKE r'[\p{L}\p{N}]', -1, 1)"
     return ["IF(c.strict, 1, -1)", shape, known, context, beside]
 
 
@@ -136,6 +140,9 @@ def candidates(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("taken", F.expr(f"concat({', '.join(f'base_{k}' for k in KINDS)})"))
     more = {"email": f"({_matches(WIDE['email'], WIDE_NEEDS['email'])})", "phone": f"({_matches(WIDE['phone'], WIDE_NEEDS['phone'])})",
             "ip": "raw_ip", "card": f"filter(raw_card, c -> length({_digits('c.m')}) BETWEEN 12 AND 19)"}
+    # what the strict test takes is base: left out before the overlaps are looked for
+    more["email"] = rf"filter({more['email']}, c -> NOT c.m RLIKE r'^[^\x20\[\]()]+$')"
+    more |= {k: f"filter({more[k]}, c -> NOT {_passes(k, 'c')})" for k in ("ip", "card")}
     for n, k in enumerate(KINDS):
         free = "NOT exists(taken, b -> b.start < c.end AND c.start < b.end)"
         rows = rows.withColumn(f"more_{k}", F.expr(f"filter({more[k]}, c -> {free})"))
@@ -143,7 +150,7 @@ def candidates(docs: DataFrame) -> DataFrame:
             votes = ", ".join(_votes(k))
             size = "CASE WHEN length(c.m) < 12 THEN 0 WHEN length(c.m) < 16 THEN 1 WHEN length(c.m) < 22 THEN 2 ELSE 3 END"
             rows = rows.withColumn(name, F.expr(
-                f"transform(transform({name}, c -> struct(c.start, c.end, c.m, {strict} AS strict)), c -> struct({n} AS kind, c.start, c.end, array({votes}) AS votes, {size} AS size))"))
+                f"transform(transform({name}, c -> struct(c.start, c.end, c.m, c.before, c.prev, c.after, {strict} AS strict)), c -> struct({n} AS kind, c.start, c.end, array({votes}) AS votes, {size} AS size))"))
     return rows.select("doc_id", F.expr(f"concat({', '.join(f'base_{k}' for k in KINDS)})").alias("base"),
                        F.expr(f"concat({', '.join(f'more_{k}' for k in KINDS)})").alias("extra"))
 
