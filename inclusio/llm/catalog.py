@@ -18,8 +18,8 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # copies by their share alone: the query's SQL defines them so
-    return (line_dedup.line_report(table(spark, sf_dir, "documents"), shown_copies=False)
+    # copies by their share alone, one threshold for all lines: the query's SQL defines them so
+    return (line_dedup.line_report(table(spark, sf_dir, "documents"), shown_copies=False, long_sites=line_dedup.MIN_SITES)
             .select("doc_id", "n_lines", "n_removed", "is_copy", F.sha2("text", 256).alias("text_sha256")))
 
 

@@ -302,7 +302,7 @@ def _tile_links(tiles: DataFrame, texts: DataFrame, weights, threshold: float) -
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text, ...): doc_id, class_id, class_size, kept,
-    text_key (128-bit digest of the text).
+    text_key (128-bit digest of the text), class_key (that of the kept row, also where doc_ids repeat).
 
     ``class_id`` is the least doc_id of the class; rows with equal texts are always in one class,
     and two texts are linked when their weighted (or plain) Jaccard similarity on five-word
@@ -356,11 +356,11 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     shared = staged(per_text.join(per_class.where("class_size > 1"), "cls")
                     .select("key", "class_size", F.col("head.least").alias("class_rid"), F.col("head.key").alias("head_key")), "classes")
     out = members.join(shared, "key", "left").select(
-        "key", "rid", F.coalesce("class_rid", "rid").alias("class_rid"), F.coalesce("class_size", F.lit(1)).alias("class_size"),
+        "key", "rid", F.coalesce("head_key", "key").alias("class_key"), F.coalesce("class_rid", "rid").alias("class_rid"), F.coalesce("class_size", F.lit(1)).alias("class_size"),
         (F.col("class_size").isNull() | ((F.col("key") == F.col("head_key")) & (F.col("rid") == F.col("class_rid")))).alias("head"),
         F.posexplode(F.expr("array_repeat(0, CAST(times AS INT))")).alias("nth", "_"))
     return out.select(F.nullif("rid", F.lit(NO_ID)).alias("doc_id"), F.nullif("class_rid", F.lit(NO_ID)).alias("class_id"),
-                      "class_size", (F.col("head") & (F.col("nth") == 0)).alias("kept"), F.col("key").alias("text_key"))
+                      "class_size", (F.col("head") & (F.col("nth") == 0)).alias("kept"), F.col("key").alias("text_key"), "class_key")
 
 
 def keep_one_per_class(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
