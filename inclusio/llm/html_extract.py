@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import html as html_lib
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,10 @@ SAMPLE_PAGES = 600
 
 # Element names of HTML
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style textarea title noscript template iframe svg math xmp noembed noframes select object".split())
+RAW = set("script style textarea title xmp iframe noembed noframes".split())
+#: Elements that are read like others and dropped at their end tag; one that isn't ended in its block counts as empty.
+DROPPED = set("noscript template svg math select object".split())
+FOREIGN = {"svg", "math"}
 BLOCK = set("""html head body article section main nav aside header footer div p ul ol li dl dt dd h1 h2 h3 h4 h5 h6
     table caption thead tbody tfoot tr td th form fieldset legend button label blockquote pre figure figcaption address details
     summary dialog menu hgroup center""".split())
@@ -53,6 +57,7 @@ TAG_KINDS = ["p", "div", "section", "li", "ul", "td", "blockquote", "pre", "h"]
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 WORD = re.compile(r"[a-z0-9]+")
+RAW_END = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)[^>]*>?", re.I | re.A) for t in RAW}
 
 
 class Page:
@@ -104,7 +109,7 @@ class Page:
         del self.stack[k:]
 
     def _within(self, names: set, scope: set) -> int:
-        for k in range(len(self.stack) - 1, 0, -1):
+        for k in range(len(self.stack) - 1, max(0, self.drops[-1][1] - 1 if self.drops else 0), -1):
             t = self.tag[self.stack[k]]
             if t in names:
                 return k
@@ -120,11 +125,34 @@ class Page:
         i = self.stack[-1]
         self.pieces.append((i, raw))
         if self.links:
-            self.link[i] += len(raw)
+            self.linked.append((len(self.pieces), i, len(raw)))
+
+    def _begin_drop(self, tag: str) -> None:
+        self.drops.append((tag, len(self.stack), len(self.tag), self.children[self.stack[-1]], len(self.pieces), self.links))
+        self.dropping[tag] += 1
+
+    def _end_drop(self, tag: str) -> None:
+        """Take back all that was read since the last open ``tag``."""
+        if not self.dropping[tag]:
+            return
+        while True:
+            name, depth, nodes, children, pieces, links = self.drops.pop()
+            self.dropping[name] -= 1
+            if name == tag:
+                break
+        del self.stack[depth:]
+        for of_nodes in (self.tag, self.parent, self.depth, self.nth, self.side, self.main, self.link, self.end, self.children):
+            del of_nodes[nodes:]
+        self.children[self.stack[-1]] = children
+        del self.pieces[pieces:]
+        while self.linked and self.linked[-1][0] > pieces:
+            self.linked.pop()
+        self.links = links
 
     def _read(self, source: str) -> None:
         self.stack, self.links, at = [0], 0, 0
-        low = None
+        #: Text in links, as (pieces up to it, node, length), and the open elements of DROPPED.
+        self.linked, self.drops, self.dropping = [], [], Counter()
         while True:
             m = TOKEN.search(source, at)
             if not m:
@@ -142,16 +170,26 @@ class Page:
                 elif tag in BLOCK:
                     k = next((k for k in range(len(self.stack) - 1, 0, -1) if self.tag[self.stack[k]] == tag), 0)
                     if k:
+                        while self.drops and k < self.drops[-1][1]:
+                            self.dropping[self.drops.pop()[0]] -= 1
                         self._close_to(k)
                         self.links = 0
                     self.pieces.append((-2, ""))
+                elif tag in DROPPED:
+                    self._end_drop(tag)
+            elif m[3].endswith("/") and (tag in FOREIGN or tag in RAW and any(self.dropping[t] for t in FOREIGN)):
+                continue
             elif tag in RAW:
-                if low is None:
-                    low = source.lower()
-                stop = low.find("</" + tag, at)
-                if stop < 0:
+                end = RAW_END[tag].search(source, at)
+                if not end:
                     break  # the rest of the page belongs to an element that never ends
-                at = source.find(">", stop) + 1 or len(source)
+                at = end.end()
+            elif tag in DROPPED:
+                self._begin_drop(tag)
+            elif tag in ("option", "optgroup"):
+                at = source.find("<", at)
+                if at < 0:
+                    break
             elif tag == "a":
                 self.links = 1
             elif tag in ("br", "hr"):
@@ -166,6 +204,8 @@ class Page:
                 self._open(tag, m[3])
                 self.pieces.append((-2, ""))
         self._close_to(0)
+        for _, i, n in self.linked:
+            self.link[i] += n
 
     def blocks(self, kept) -> list[str]:
         """The kept text, a string for each block."""

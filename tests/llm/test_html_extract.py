@@ -81,3 +81,23 @@ def test_odd_rows(spark, trees):
     assert [g[:2] for g in got] == sorted([(r[0], r[1]) for r in rows], key=str) and ("some text here, more of it." in [g[2] for g in got])
     assert hx.main_texts(df.limit(0), trees).collect() == [] and hx.train(df.limit(0)) is None
     assert hx.main_texts(df, hx.train(df)).count() == len(rows)
+
+
+@pytest.mark.parametrize("odd", [
+    '<svg viewBox="0 0 1 1"/>', "<svg/>", "<math />", "<svg><title/><path d=x /></svg>", "<svg><style/></svg>", "<svg>a<br/>b</svg>", "<svg><text>Label</text></svg>", "<svg>", "<object data=x>", "<select>",
+    "<select><option>One<option>Two", "<template>", "<noscript><div><p>Turn it on.</p></div></noscript>", "<object><object>no</object>no</object>", "<object><p>no</object>", "<template><li>no<li>no</template>",
+    "<SCRIPT>if (a</b) '</scripty>'</SCRIPT >", "<style>p</STYLE\n>", "<select><option>a</select>", "<a href=x><svg><text>no</text></svg></a>"])
+def test_odd_elements_do_not_take_main_text(trees, odd):
+    page = f"<html><body><article><h1>A title</h1><p>{SENTENCES}{odd}</p><p>{SENTENCES} Again.</p></article></body></html>"
+    assert hx.extract([page], trees) == [f"A title\n\n{SENTENCES}\n\n{SENTENCES} Again."]
+
+
+def test_letters_that_get_longer_in_lower_case(trees):
+    page = f"<html><body><article><h1>A title</h1><p>{'\u0130' * 300} {SENTENCES}<script>x</script></p><p>{SENTENCES}</p><script>y</script><p>{SENTENCES} End.</p></article></body></html>"
+    assert hx.extract([page], trees) == [f"A title\n\n{'\u0130' * 300} {SENTENCES}\n\n{SENTENCES}\n\n{SENTENCES} End."]
+
+
+def test_dropped_elements_leave_no_trace():
+    lists = lambda p: (p.tag, p.parent, p.depth, p.nth, p.side, p.main, p.link, p.end, p.children, [x for x in p.pieces if x[0] >= 0])
+    for odd in ("<noscript><div><a href=x>no<p>no</a></div></noscript>", "<template><ul><li>no</ul></template>", "<svg><a>no</a><title>no</title></svg>", "<select><option>no</select>"):
+        assert lists(hx.Page(f"<div><a href=x>b</a>{odd}<p>c <a href=y>d</a></p></div>")) == lists(hx.Page("<div><a href=x>b</a><p>c <a href=y>d</a></p></div>"))
