@@ -143,17 +143,29 @@ def judge(hosts: list[str], paths: list[str], table: DigestArray) -> tuple[list[
     return rules, verdicts
 
 
-def judge_urls(pages: DataFrame, rules=RULES, blocked_sites=SPAM_SITES) -> DataFrame:
+def list_entries(blocklist: DataFrame) -> list[str]:
+    """Hosts and url prefixes of a table's column ``entry``, as host + path: without scheme, host in lower case,
+    a bare ``/`` as the host alone.  Nulls, blank entries and lines that begin with ``#`` are left out."""
+    entry = F.regexp_replace(F.trim("entry"), r"^[A-Za-z][A-Za-z0-9+.-]*://", "")
+    host, path = F.lower(F.regexp_extract(entry, r"^([^/]*)", 1)), F.regexp_extract(entry, r"^[^/]*(/.+)$", 1)
+    rows = (blocklist.where("entry IS NOT NULL AND trim(entry) NOT LIKE '#%'").select(F.concat(host, path).alias("entry"), host.alias("host"))
+            .where("host != ''").select("entry").distinct().limit(MOST_ENTRIES + 1))  # the driver packs the list
+    return [r.entry for r in rows.toLocalIterator()]
+
+
+def judge_urls(pages: DataFrame, rules=RULES, blocked_sites=SPAM_SITES, blocklist: DataFrame | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict of every row of ``pages`` (page_id, url, ...).
 
     ``rules``: (host + path, verdict); a rule fits its host and all subdomains if the path starts
     with the rule's, and the longest decides.  Where none fits, a site of ``blocked_sites`` (with its
-    subdomains) is blocked and all else allowed.  A null url, or one without ``://``, has an empty
+    subdomains) or an entry of the table ``blocklist`` (column entry: hosts and url prefixes, see
+    ``list_entries``) is blocked and all else allowed.  A null url, or one without ``://``, has an empty
     host and path, fits no rule and is allowed.  A null page_id stays null; repeated rows give a row
     each; columns other than page_id and url are not read; an empty table gives an empty result."""
     spark = pages.sparkSession
     ship(spark)
-    name = distribute(spark, [(t, v, True) for t, v in rules] + [(s, "block", False) for s in blocked_sites])
+    listed = [*blocked_sites, *(list_entries(blocklist) if blocklist is not None else [])]
+    name = distribute(spark, [(t, v, True) for t, v in rules] + [(s, "block", False) for s in listed])
 
     def run(batches):
         table = DigestArray(SparkFiles.get(name))

@@ -72,3 +72,12 @@ def test_odd_rows(spark):
     got = sorted(map(str, ((r.page_id, r.rule, r.verdict) for r in uf.judge_urls(df).collect())))
     assert got == sorted(map(str, [(None, None, "allow"), (1, "com/", "allow"), (1, "com/", "allow"), (None, "net/es/", "block")]))
     assert uf.judge_urls(df.limit(0)).collect() == []
+
+
+def test_a_blocklist_is_an_input(spark):
+    listed = spark.createDataFrame([(e,) for e in ("adult-x.example.net", "https://Free-Bets.example.org/", "ads-track.example.org/px/", "# pharma.example", " ", None)], "entry string")
+    urls = ["http://blog.adult-x.example.net/a", "http://free-bets.example.org", "http://a.ads-track.example.org/px/1", "http://ads-track.example.org/other", "http://pharma.example/",
+            "http://spam-farm.example.org/", "http://adult-x.example.net/es/", "http://adult-x.example.net.org/"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = [r.verdict for r in sorted(uf.judge_urls(df, blocklist=listed).collect(), key=lambda r: r.page_id)]
+    assert got == ["block", "block", "block", "allow", "allow", "block", "block", "allow"]
