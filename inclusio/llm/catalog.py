@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import (decontaminate, fingerprint, html_extract, line_dedup, mixing, near_dup, pii, quality_fm,
-               token_count, url_filter)
+from . import (decontaminate, fingerprint, html_extract, lexical, line_dedup, mixing, near_dup, pii, quality_fm,
+               token_count, toxicity_mil, url_filter, whitening)
 from .common import table
 
 
@@ -54,7 +54,24 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = toxicity_mil.toxicity(docs, toxicity_mil.train(docs, table(spark, sf_dir, "labels")))
+    where = F.array_join(F.transform("sentences", lambda s: F.format_string("%d:%d", s["start"], s["end"])), ",")
+    return found.select("doc_id", "held_out", "score", "predicted", where.alias("sentences"))
+
+
 QUERIES = {f.__name__: f for f in (op1_source_mix, op2_fingerprints, op3_line_dedup, op4_pii, op5_decontaminate, op6_url_filter,
-                                   op7_near_duplicates, op8_quality, op9_main_text, op10_token_counts)}
+                                   op7_near_duplicates, op8_quality, op9_main_text, op10_token_counts,
+                                   op11_lexical_search, op12_whitening, op13_toxicity)}
 ORACLES = {"op1_source_mix": mixing.oracle(), "op3_line_dedup": line_dedup.oracle(),
-           "op5_decontaminate": decontaminate.oracle(), "op6_url_filter": url_filter.oracle()}
+           "op5_decontaminate": decontaminate.oracle(), "op6_url_filter": url_filter.oracle(),
+           "op11_lexical_search": lexical.oracle()}

@@ -3,7 +3,7 @@
 A sentence's probability is ``sigmoid(bias + sum of weights of its signs)``; a document's is the noisy-or
 ``1 - prod(1 - p)`` over its sentences.  Signs are words and word beginnings of ``PREFIXES`` bytes, taken
 from the training sample: those that stand in different sentences of toxic documents far more often than
-toxic sentences' share of all would explain (``LEAST_RATIO``: log likelihood ratio; repeated sentences count
+these sentences' share of all would explain (``LEAST_RATIO``: log likelihood ratio; repeated sentences count
 once, so copies of a document prove nothing).  A sentence without signs has probability 0, so the length of
 a document says nothing.  The weights are fitted on the documents' labels alone, by gradient steps on the
 noisy-or's log loss with an L1 penalty; the sentence probabilities then tell where the toxicity stands.
@@ -28,12 +28,12 @@ SAMPLE_BYTES = 1 << 15
 PREFIXES = (4, 5, 6, 7, 8)
 #: Longer words, in bytes, are signs by their beginnings only.
 LONGEST = 64
-LEAST_RATIO = 8.0
+LEAST_RATIO = 10.0
 MOST_SIGNS = 1 << 15
 STEPS = 400
 RATE = 0.05
 #: Penalty of a unit of weight, in documents.
-PENALTY = 0.25
+PENALTY = 0.5
 THRESHOLD = 0.5
 _ENDS = np.isin(np.arange(256), np.frombuffer(b".!?\n", np.uint8))
 
@@ -90,40 +90,37 @@ def _distinct(key: np.ndarray) -> np.ndarray:
 def fit_model(texts, label: np.ndarray) -> Model | None:
     """Signs and weights from texts and 0/1 labels; None if no sign stands out."""
     offs, data = buffers(texts)
-    parts = []
-    for b, sentence in sentence_terms(data, offs):
-        parts.append((b.text, sentence, np.column_stack(_hashes(b))))
-    if not parts:
+    sentence, of, body = _bodies(data, offs)
+    if not len(sentence):
         return None
-    text, sentence, hashes = (np.concatenate(x) for x in zip(*parts))
-    n_sentences = int(sentence.max()) + 1 if len(sentence) else 0
-    body = np.zeros(n_sentences, np.uint64)  # a sentence by its words, whatever their order
-    np.add.at(body, sentence, hashes[:, 0] | np.uint64(1))
-    of = np.zeros(n_sentences, np.int64)
-    of[sentence] = text
-    fresh = np.zeros(n_sentences, bool)
-    some = np.unique(sentence)
-    fresh[some[_distinct(body[some])]] = True
-    share = np.bincount(of[some], fresh[some], len(label)) / np.maximum(np.bincount(of[some], minlength=len(label)), 1)
+    first = _distinct(body)
+    fresh = np.zeros(int(sentence[-1]) + 1, bool)
+    fresh[sentence[first]] = True
+    share = np.bincount(of[first], minlength=len(label)) / np.maximum(np.bincount(of, minlength=len(label)), 1)
     use = share >= 0.5  # later copies of a document are left out of the fit
-
-    key, sent = hashes.ravel(), np.repeat(sentence, hashes.shape[1])
-    keep = (key != 0) & fresh[sent]
-    sign, number = np.unique(key[keep], return_inverse=True)
-    sent = sent[keep]
-    pair = _distinct(number * n_sentences + sent)
-    toxic = label[of[sent[pair]]] > 0
-    total = np.bincount(number[pair], minlength=len(sign))
-    bad = np.bincount(number[pair], toxic, len(sign))
-    lines = some[fresh[some]]
-    chance = np.mean(label[of[lines]] > 0)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        ratio = np.where(bad > 2 * chance * total, bad * np.log(bad / (chance * total)), 0)
+    chance = np.mean(label[of[first]] > 0)
+
+    signs = [np.zeros(0, np.uint64)]
+    for b, line in sentence_terms(data, offs):
+        on = fresh[line] & (label[b.text] > 0)
+        signs.append(np.unique(np.concatenate([h[on] for h in _hashes(b)])))
+    signs = np.unique(np.concatenate(signs))
+    signs = signs[signs != 0]
+    if not len(signs):
+        return None
+    lookup, total, bad = Lookup(signs), np.zeros(len(signs)), np.zeros(len(signs))
+    for b, line in sentence_terms(data, offs):
+        at, number = (np.concatenate(x) for x in zip(*map(lookup.find, _hashes(b))))
+        on = fresh[line[at]]
+        at, number = at[on], number[on]
+        once = _distinct(line[at] * len(signs) + number)
+        total += np.bincount(number[once], minlength=len(signs))
+        bad += np.bincount(number[once], label[b.text[at[once]]] > 0, len(signs))
+    ratio = np.where(bad > 2 * chance * total, bad * np.log(np.maximum(bad, 1) / np.maximum(chance * total, 1e-12)), 0)
     picked = np.sort(np.argsort(-ratio, kind="stable")[:MOST_SIGNS])
-    picked = picked[ratio[picked] >= LEAST_RATIO]
-    if not len(picked):
+    signs = signs[picked[ratio[picked] >= LEAST_RATIO]]
+    if not len(signs):
         return None
-    signs = sign[picked]
 
     text, _, row, col = _instances(data, offs, signs)
     kept = use[text]
@@ -134,6 +131,23 @@ def fit_model(texts, label: np.ndarray) -> Model | None:
     return Model(signs[weights > 0], weights[weights > 0], bias) if (weights > 0).any() else None
 
 
+def _bodies(data, offs):
+    """(sentence, its text, hash of its words) of each sentence with a word."""
+    parts = []
+    for b, line in sentence_terms(data, offs):
+        number, first, which = np.unique(line, return_index=True, return_inverse=True)
+        body = np.zeros(len(number), np.uint64)
+        np.add.at(body, which, b.hashes())
+        parts.append((number, b.text[first], body))
+    if not parts:
+        return (np.zeros(0, np.int64),) * 3
+    line, text, body = (np.concatenate(x) for x in zip(*parts))
+    number, first, which = np.unique(line, return_index=True, return_inverse=True)  # a sentence may stand in two blocks
+    whole = np.zeros(len(number), np.uint64)
+    np.add.at(whole, which, body)
+    return number, text[first], whole
+
+
 def _instances(data, offs, signs):
     """(text of each sentence with signs, its number, and (row, sign) pairs, once each)."""
     lookup = Lookup(signs)
