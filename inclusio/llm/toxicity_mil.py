@@ -28,7 +28,7 @@ SAMPLE_BYTES = 1 << 15
 PREFIXES = (4, 5, 6, 7, 8)
 #: Longer words, in bytes, are signs by their beginnings only.
 LONGEST = 64
-LEAST_RATIO = 10.0
+LEAST_RATIO = 8.0
 MOST_SIGNS = 1 << 15
 STEPS = 400
 RATE = 0.05
@@ -190,26 +190,31 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """A model fitted on at most ``sample`` labelled rows that aren't held out and whose texts have at most
-    ``SAMPLE_BYTES`` bytes: those of least hashed doc_id and text, the same ones whatever the partitions, and
-    counted after the join, so that a repeated doc_id doesn't add rows.  A doc_id with several labels is toxic
-    if one of them is.  None if there are no such rows or no sign stands out."""
-    ship(docs.sparkSession)
+def sample_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(doc_id, text, toxic) of at most ``sample`` labelled rows that aren't held out and whose texts have at
+    most ``SAMPLE_BYTES`` bytes: those of least hashed doc_id and text, the same ones whatever the partitions.
+    They are counted after the join, so that a repeated doc_id doesn't add rows.  A doc_id with several labels
+    is toxic if one of them is."""
     picked = (labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL")
               .select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("double").alias("toxic"))
               .where(~held_out("doc_id")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
               .orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(sample))
-    rows = (_texts(docs).where(F.octet_length("text") <= SAMPLE_BYTES).join(F.broadcast(picked), "doc_id")  # at most ``sample`` rows
+    return (_texts(docs).where(F.octet_length("text") <= SAMPLE_BYTES).join(F.broadcast(picked), "doc_id")  # at most ``sample`` rows
             .orderBy(F.md5(F.col("doc_id").cast("string")), F.md5("text")).limit(sample))
 
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
+    """A model fitted on ``sample_rows``; None if there are no such rows or no sign stands out."""
+    ship(docs.sparkSession)
+
     def fit(group: pa.Table) -> pa.Table:
         group = group.sort_by([("doc_id", "ascending"), ("text", "ascending")])
         model = fit_model(group["text"], (group["toxic"].to_numpy() >= 0.5).astype(np.int64))
         parts = [] if model is None else [model.signs, model.weights, np.array([model.bias])]
         return pa.table({"part": pa.array(range(len(parts)), pa.int32()), "body": pa.array([p.tobytes() for p in parts], pa.binary())})
 
-    got = {r.part: r.body for r in rows.groupBy(F.lit(0).alias("all")).applyInArrow(fit, "part int, body binary").collect()}  # signs and weights
+    rows = sample_rows(docs, labels, sample).groupBy(F.lit(0).alias("all"))
+    got = {r.part: r.body for r in rows.applyInArrow(fit, "part int, body binary").collect()}  # signs and weights
     if not got:
         return None
     return Model(np.frombuffer(got[0], np.uint64), np.frombuffer(got[1]), float(np.frombuffer(got[2])[0]))
