@@ -2,35 +2,45 @@
 
 The reference's boosted-tree libraries are single-machine; here every fit is
 an MLlib estimator whose work (histogram aggregation per tree level) runs on
-the executors.  Fold fits are independent Spark jobs and are submitted from a
-small driver thread pool so the cluster works on several at once.
-
-Boosted fits under cross-validation stop early on the held-out fold.  MLlib
-trees reject NaN/NULL features, so missing values get a sentinel far outside
-every column's range before assembling.
+the executors.  Fits are independent Spark jobs: ``run_fits`` submits them from
+one small driver thread pool, each in a scheduler pool of its own (with
+``spark.scheduler.mode=FAIR`` they share the cluster), and commits every
+finished fit, so that a restarted driver fits what is missing only.
+
+Boosted fits (``boosting``) end by patience on their validation rows: the
+held-out fold under cross-validation, else ``held_back`` rows.  MLlib trees
+reject NaN/NULL features, so missing values get a sentinel far outside every
+column's range before assembling.
 """
 
 from __future__ import annotations
 
+import json
 import random
+import uuid
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import (GBTClassificationModel, GBTClassifier, LogisticRegression, LogisticRegressionModel,
-                                       RandomForestClassificationModel, RandomForestClassifier)
+from pyspark.ml.classification import (LogisticRegression, LogisticRegressionModel, RandomForestClassificationModel,
+                                       RandomForestClassifier)
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, functions as F
+from pyspark.ml.regression import GBTRegressionModel
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import config as C
+from ..session import materialised
+from ..sources.versions import Folder
+from . import boosting as BO
 
 #: Stands for a missing value: no answer, amount or score is anywhere near it.
 SENTINEL = -1e9
-#: Up to 2000 boosting rounds (early stopping ends them), 1000 trees and 1000 iterations.
+#: Up to 2000 boosting rounds (patience ends them), 1000 trees and 1000 iterations.  A forest's level is
+#: one pass over the rows if its statistics fit into maxMemoryInMB.
 DEFAULT_PARAMS = {
     "gbt": {"maxIter": 2000, "maxDepth": 4, "stepSize": 0.1, "subsamplingRate": 0.8, "seed": C.SEED},
-    "rf": {"numTrees": 1000, "maxDepth": 6, "seed": C.SEED},
+    "rf": {"numTrees": 1000, "maxDepth": 6, "seed": C.SEED, "maxMemoryInMB": 1024},
     "lr": {"maxIter": 1000, "regParam": 0.01},
 }
 #: Share of rows held back to end boosting where no fold is held out.
@@ -52,47 +62,35 @@ def assemble(df: DataFrame, cols: list[str], out: str = "features") -> DataFrame
     return va.transform(filled).drop(*[f"__f_{c}" for c in cols])
 
 
-def _gbt(label, params, validation_col=None):
-    p = {**DEFAULT_PARAMS["gbt"], **(params or {})}
-    kw = {"validationIndicatorCol": validation_col, "validationTol": 0.01} if validation_col else {}
-    return GBTClassifier(labelCol=label, featuresCol="features", **p, **kw)
-
-
 def fit_learner(kind: str, train: DataFrame, label: str = "label", params: dict | None = None,
                 n_classes: int = C.N_CLASSES, validation_col: str | None = None):
-    """One learner on an assembled frame.  GBT is binary in MLlib: a multiclass
-    GBT is one model per class (one-vs-rest) whose scores are normalised."""
+    """One learner on an assembled frame, as ``(form, model)``.  ``gbt``: joint boosting of all classes,
+    ended by patience on the rows of ``validation_col``; the others don't look at that column."""
+    p = {**DEFAULT_PARAMS[kind], **(params or {})}
     if kind == "gbt":
-        if n_classes == 2:
-            return ("gbt_bin", _gbt(label, params, validation_col).fit(train))
-        models = []
-        for c in range(n_classes):
-            t = train.withColumn("__bin", (F.col(label) == c).cast("double"))
-            models.append(_gbt("__bin", params, validation_col).fit(t))
-        return ("gbt_ovr", models)
+        names = {"maxIter": "max_rounds", "stepSize": "rate", "weightCol": "weight_col"}
+        return ("boosted", BO.fit_boosted(train, n_classes, label, validation_col, **{names.get(k, k): v for k, v in p.items()}))
     if kind == "rf":
-        p = {**DEFAULT_PARAMS["rf"], **(params or {})}
         return ("rf", RandomForestClassifier(labelCol=label, featuresCol="features", **p).fit(train))
     if kind == "lr":
-        p = {**DEFAULT_PARAMS["lr"], **(params or {})}
         fam = "binomial" if n_classes == 2 else "multinomial"
         return ("lr", LogisticRegression(labelCol=label, featuresCol="features", family=fam, **p).fit(train))
     raise ValueError(kind)
 
 
-def predict_proba(fitted, df: DataFrame, keep: list[str], n_classes: int = C.N_CLASSES) -> DataFrame:
-    """``keep + p0..p{n-1}`` (binary: ``p1`` only is meaningful)."""
-    kind, m = fitted
-    if kind == "gbt_ovr":
-        out = df
-        for c, mc in enumerate(m):
-            out = (mc.transform(out).withColumn(f"__s{c}", vector_to_array("probability")[1])
-                   .drop("rawPrediction", "probability", "prediction"))
-        tot = sum((F.col(f"__s{c}") for c in range(n_classes)), F.lit(0.0))
-        return out.select(*keep, *[(F.col(f"__s{c}") / tot).alias(f"p{c}") for c in range(n_classes)])
+def with_probabilities(fitted, df: DataFrame, names: list[str]) -> DataFrame:
+    """``df`` (with ``features``) plus the probability of each class under the given names."""
+    form, m = fitted
+    if form == "boosted":
+        return m.probabilities(df, "__p").withColumnsRenamed({f"__p{c}": n for c, n in enumerate(names)})
     t = m.transform(df).withColumn("__p", vector_to_array("probability"))
-    k = 2 if kind == "gbt_bin" else n_classes
-    return t.select(*keep, *[F.col("__p")[c].alias(f"p{c}") for c in range(k)])
+    return t.select(*df.columns, *[F.col("__p")[c].alias(n) for c, n in enumerate(names)])
+
+
+def predict_proba(fitted, df: DataFrame, keep: list[str], n_classes: int = C.N_CLASSES) -> DataFrame:
+    """``keep + p0..p{n-1}``."""
+    names = [f"p{c}" for c in range(n_classes)]
+    return with_probabilities(fitted, df, names).select(*keep, *names)
 
 
 def held_back(df: DataFrame, id_col: str = C.ID_COL, share: float = STOP_SHARE) -> DataFrame:
@@ -104,10 +102,9 @@ def train_ensemble(train: DataFrame, feature_cols: list[str], label: str = C.TAR
                    learners=LEARNERS, params: dict | None = None, threads: int = 3) -> dict:
     """Fit each learner on all rows (fits submitted concurrently); boosting stops on ``held_back`` rows."""
     a = assemble(train.where(F.col(label).isNotNull()), feature_cols).withColumn("label", F.col(label).cast("double"))
-    a = held_back(a)
-    with ThreadPoolExecutor(max_workers=threads) as ex:
-        futs = {k: ex.submit(fit_learner, k, a, "label", (params or {}).get(k), C.N_CLASSES, "__val") for k in learners}
-        return {k: f.result() for k, f in futs.items()}
+    a = materialised(held_back(a).select("features", "label", "__val"), "ensemble-rows")
+    return run_fits(a.sparkSession, {k: lambda k=k: fit_learner(k, a, "label", (params or {}).get(k), C.N_CLASSES, "__val") for k in learners},
+                    threads=threads)
 
 
 def score_ensemble(models: dict, df: DataFrame, feature_cols: list[str], keep: list[str]) -> DataFrame:
@@ -120,24 +117,27 @@ def score_ensemble(models: dict, df: DataFrame, feature_cols: list[str], keep: l
     return out
 
 
+def ordinal_labels(label: str = C.TARGET_COL) -> dict[str, Column]:
+    """The two binary tasks of an ordered label: A = (y >= 1), B = (y == 2)."""
+    return {"A": (F.col(label) >= 1).cast("double"), "B": (F.col(label) == 2).cast("double")}
+
+
 def train_ordinal(train: DataFrame, feature_cols: list[str], label: str = C.TARGET_COL,
                   learners=LEARNERS, params: dict | None = None, threads: int = 3) -> dict:
-    """Two binary tasks: A = (y >= 1), B = (y == 2), each with every learner: ``{(task, learner): model}``."""
+    """Both tasks with every learner on all rows: ``{(task, learner): model}``."""
+    tasks = ordinal_labels(label)
     base = held_back(assemble(train.where(F.col(label).isNotNull()), feature_cols))
-    tasks = {"A": base.withColumn("label", (F.col(label) >= 1).cast("double")),
-             "B": base.withColumn("label", (F.col(label) == 2).cast("double"))}
-    with ThreadPoolExecutor(max_workers=threads) as ex:
-        futs = {(t, k): ex.submit(fit_learner, k, tasks[t], "label", (params or {}).get(k), 2, "__val")
-                for t in tasks for k in learners}
-        return {k: f.result() for k, f in futs.items()}
+    base = materialised(base.select("features", "__val", *[y.alias(f"__y{t}") for t, y in tasks.items()]), "ordinal-rows")
+    return run_fits(base.sparkSession, {(t, k): lambda t=t, k=k: fit_learner(k, base, f"__y{t}", (params or {}).get(k), 2, "__val")
+                                        for t in tasks for k in learners}, threads=threads)
 
 
 def score_ordinal(models: dict, df: DataFrame, feature_cols: list[str], keep: list[str]) -> DataFrame:
     """``(keep..., p_A, p_B)``: each task's probability, averaged over its learners in one pass."""
     out, names = assemble(df, feature_cols), {"A": [], "B": []}
-    for (task, kind), (_, m) in models.items():
+    for (task, kind), fitted in models.items():
         name = f"__p_{task}_{kind}"
-        out = m.transform(out).withColumn(name, vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")
+        out = with_probabilities(fitted, out, ["__other", name]).drop("__other")
         names[task].append(F.col(name))
     mean = {t: sum(cols[1:], cols[0]) / len(cols) for t, cols in names.items()}
     return out.select(*keep, mean["A"].alias("p_A"), mean["B"].alias("p_B"))
@@ -145,13 +145,66 @@ def score_ordinal(models: dict, df: DataFrame, feature_cols: list[str], keep: li
 
 def fit_with_early_stopping(train: DataFrame, valid: DataFrame, feature_cols: list[str],
                             label: str = C.TARGET_COL, params: dict | None = None):
-    """Binary GBT on (y == 2) with the held-out rows as validation set:
-    training stops when validation error improves by less than the tolerance."""
+    """Boosting of all classes, ended by patience on the rows of ``valid``."""
     both = (train.withColumn("__val", F.lit(False)).unionByName(valid.withColumn("__val", F.lit(True))))
-    a = assemble(both, feature_cols).withColumn("label", (F.col(label) == 2).cast("double"))
-    return fit_learner("gbt", a, "label", params, n_classes=2, validation_col="__val")
+    a = assemble(both, feature_cols).withColumn("label", F.col(label).cast("double"))
+    return fit_learner("gbt", a, "label", params, validation_col="__val")
+
+
+# ------------------------------------------------------------ committed fits
+_FORMS = {"boosted": GBTRegressionModel, "rf": RandomForestClassificationModel, "lr": LogisticRegressionModel}
+
+
+def save_fitted(fitted, path: str, spark, **about) -> None:
+    """One fitted learner as a folder: its MLlib models and what else a learner has."""
+    form, m = fitted
+    parts = m.models if form == "boosted" else [m]
+    for i, part in enumerate(parts):
+        part.write().overwrite().save(f"{path}/{i}")
+    if form == "boosted":
+        about |= {"prior": m.prior, "best_round": m.best_round, "rounds": m.rounds, "curve": m.curve}
+    Folder(spark, path).write("about.json", json.dumps({"form": form, "parts": len(parts), **about}))
+
+
+def load_fitted(path: str, spark):
+    """(fitted learner, about) as ``save_fitted`` wrote them."""
+    about = json.loads(Folder(spark, path).read("about.json"))
+    parts = [_FORMS[about["form"]].load(f"{path}/{i}") for i in range(about["parts"])]
+    if about["form"] == "boosted":
+        return ("boosted", BO.Boosted(parts, about["prior"], about["best_round"], about["rounds"], about["curve"])), about
+    return (about["form"], parts[0]), about
+
+
+def fit_name(key) -> str:
+    return "-".join(str(k) for k in key) if isinstance(key, tuple) else str(key)
+
+
+def run_fits(spark, fits: dict, path: str | None = None, threads: int = 4) -> dict:
+    """``{key: fit()}`` for every entry of ``fits``, from one pool of driver threads.
+
+    Each fit's jobs go to a scheduler pool of their own, so that in FAIR mode a long fit doesn't hold up
+    the others.  With ``path`` a finished fit is saved below it under a passing name and committed by a
+    rename; a fit that is committed already, by this driver or one before it, is loaded instead of run."""
+    folder = Folder(spark, path) if path else None
 
+    def one(key):
+        name = fit_name(key)
+        if folder and folder.exists(f"{name}/about.json"):
+            return load_fitted(f"{path}/{name}", spark)[0]
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"fit-{name}")
+        fitted = fits[key]()
+        if folder:
+            passing = f".{name}-{uuid.uuid4().hex}"
+            save_fitted(fitted, f"{path}/{passing}", spark)
+            folder.rename_new(passing, name)  # False: another driver was first, with the same rows and seed
+        return fitted
 
+    with ThreadPoolExecutor(max_workers=threads) as pool:
+        futures = {key: pool.submit(one, key) for key in fits}
+        return {key: f.result() for key, f in futures.items()}
+
+
+# ------------------------------------------------------------ cross-validation
 @dataclass
 class CrossValidated:
     """Out-of-fold scores, the fitted model of each (fold, learner), and each fold's feature columns."""
@@ -161,36 +214,51 @@ class CrossValidated:
     columns: dict
 
 
-def cross_validate(df: DataFrame, feature_cols: list[str], fold_col: str = "fold", label: str = C.TARGET_COL,
-                   learners=LEARNERS, params: dict | None = None, keep=(C.ID_COL,), threads: int = 4,
-                   encoder=None, n_classes: int = C.N_CLASSES) -> CrossValidated:
-    """Per fold f: fit on folds != f (boosting stops on fold f), score fold f; every row scored once.
-
-    ``encoder(f, rows) -> (rows, cols)`` adds the encodings fitted without fold f to all rows; it is
-    called once a fold and its columns serve all learners.  The base frame should be materialised by
-    the caller (it is read by every fit).
-    """
+def _fold_frames(df: DataFrame, feature_cols, fold_col, keep, labels: dict, encoder):
+    """Per fold the assembled rows (``keep``, features, one ``__y<task>`` per task, ``__val``), written once, and
+    its feature columns.  Without an encoder all folds share one table."""
     folds = sorted(r[0] for r in df.select(fold_col).distinct().collect())  # k values
-    keep = list(keep) + [fold_col, label]
-    frames, columns = {}, {}
+    frames, columns, shared = {}, {}, None
     for f in folds:
         rows, extra = encoder(f, df) if encoder is not None else (df, [])
         columns[f] = list(feature_cols) + extra
-        frames[f] = (assemble(rows, columns[f]).withColumn("label", F.col(label).cast("double"))
-                     .withColumn("__val", F.col(fold_col) == f))
+        if encoder is not None or shared is None:
+            a = assemble(rows, columns[f]).select(*dict.fromkeys([*keep, fold_col]), "features", *[y.alias(f"__y{t}") for t, y in labels.items()])
+            shared = materialised(a, f"fold-{f}")
+        frames[f] = shared.withColumn("__val", F.col(fold_col) == f)
+    return frames, columns
 
-    def one(f, kind):
-        a = frames[f] if kind == "gbt" else frames[f].where(~F.col("__val"))
-        return fit_learner(kind, a, "label", (params or {}).get(kind), n_classes, "__val")
 
-    with ThreadPoolExecutor(max_workers=threads) as ex:
-        futs = {(f, k): ex.submit(one, f, k) for f in folds for k in learners}
-        models = {key: fut.result() for key, fut in futs.items()}
+def _cross_validate(df, feature_cols, fold_col, labels, learners, params, keep, threads, encoder, n_classes, path):
+    """(long out-of-fold table with ``task`` and ``model``, models by (task, fold, learner), columns by fold)."""
+    keep = list(dict.fromkeys([*keep, fold_col]))
+    frames, columns = _fold_frames(df, feature_cols, fold_col, keep, labels, encoder)
+
+    def fit(t, f, k):
+        rows = frames[f] if k == "gbt" else frames[f].where(~F.col("__val"))
+        return fit_learner(k, rows, f"__y{t}", (params or {}).get(k), n_classes, "__val")
+
+    keys = [(t, f, k) for k in learners for t in labels for f in frames]  # the longest kind first
+    models = run_fits(df.sparkSession, {key: lambda key=key: fit(*key) for key in keys}, path, threads)
     out = None
-    for (f, k), fitted in models.items():
-        p = predict_proba(fitted, frames[f].where(F.col("__val")), keep, n_classes).withColumn("model", F.lit(k))
+    for (t, f, k), fitted in models.items():
+        p = predict_proba(fitted, frames[f].where(F.col("__val")), keep, n_classes).withColumns({"task": F.lit(t), "model": F.lit(k)})
         out = p if out is None else out.unionByName(p)
-    return CrossValidated(out, models, columns)
+    return out, models, columns
+
+
+def cross_validate(df: DataFrame, feature_cols: list[str], fold_col: str = "fold", label: str = C.TARGET_COL,
+                   learners=LEARNERS, params: dict | None = None, keep=(C.ID_COL,), threads: int = 4,
+                   encoder=None, n_classes: int = C.N_CLASSES, path: str | None = None) -> CrossValidated:
+    """Per fold f: fit on folds != f (boosting stops on fold f), score fold f; every row scored once.
+
+    ``encoder(f, rows) -> (rows, cols)`` adds the encodings fitted without fold f to all rows; it is
+    called once a fold and its columns serve all learners.  Each fold's assembled rows are written once.
+    ``path``: folder in which finished fits are committed (see ``run_fits``).
+    """
+    oof, models, columns = _cross_validate(df, feature_cols, fold_col, {"": F.col(label).cast("double")}, learners, params, [*keep, fold_col, label],
+                                           threads, encoder, n_classes, path)
+    return CrossValidated(oof.drop("task"), {(f, k): m for (_, f, k), m in models.items()}, columns)
 
 
 def oof_predictions(df: DataFrame, feature_cols: list[str], *args, **kw) -> DataFrame:
@@ -199,80 +267,97 @@ def oof_predictions(df: DataFrame, feature_cols: list[str], *args, **kw) -> Data
 
 
 def cross_validate_ordinal(df: DataFrame, feature_cols: list[str], fold_col: str = "fold", label: str = C.TARGET_COL,
-                           learners=LEARNERS, params: dict | None = None, threads: int = 4) -> tuple[DataFrame, dict]:
-    """Both binary tasks (y >= 1, y == 2) with every learner under the same folds.
+                           learners=LEARNERS, params: dict | None = None, threads: int = 8, encoder=None,
+                           path: str | None = None) -> tuple[DataFrame, dict]:
+    """Both binary tasks (y >= 1, y == 2) with every learner under the same folds and encodings, all fits of
+    both tasks in one pool.
 
     Returns ``(ID, label, fold, <learner>_pA, <learner>_pB ...)``, one row per row of ``df``, and the
     ``CrossValidated`` of each task.  ``ID`` must be unique."""
-    tasks = {"A": F.col(label) >= 1, "B": F.col(label) == 2}
-    cvs, long = {}, None
-    for t, cond in tasks.items():
-        rows = df.withColumn("__task", cond.cast("bigint"))
-        cvs[t] = cross_validate(rows, feature_cols, fold_col, "__task", learners, params, (C.ID_COL, label), threads, n_classes=2)
-        part = cvs[t].oof.select(C.ID_COL, label, fold_col, F.concat("model", F.lit(f"_p{t}")).alias("name"), "p1")
-        long = part if long is None else long.unionByName(part)
-    names = [f"{k}_p{t}" for k in learners for t in tasks]
-    return long.groupBy(C.ID_COL, label, fold_col).agg(*[F.max(F.when(F.col("name") == n, F.col("p1"))).alias(n) for n in names]), cvs
-
-
-def score_fold_average(cv: CrossValidated, df: DataFrame, keep: list[str], encoder=None) -> DataFrame:
-    """``(keep..., model, p0..p2)``: every row scored by all fold models of a learner, averaged.
-
-    The fold models score one after the other in projections over the same rows, so nothing is
-    shuffled and no row id is needed."""
+    oof, models, columns = _cross_validate(df, feature_cols, fold_col, ordinal_labels(label), learners, params, [C.ID_COL, label],
+                                           threads, encoder, 2, path)
+    names = [(t, k) for k in learners for t in "AB"]
+    wide = oof.groupBy(C.ID_COL, label, fold_col).agg(
+        *[F.max(F.when((F.col("task") == t) & (F.col("model") == k), F.col("p1"))).alias(f"{k}_p{t}") for t, k in names])
+    return wide, {t: CrossValidated(oof.where(F.col("task") == t).drop("task"), {(f, k): m for (u, f, k), m in models.items() if u == t}, columns)
+                  for t in "AB"}
+
+
+def score_fold_average(cv: CrossValidated, df: DataFrame, keep: list[str], n_classes: int = C.N_CLASSES) -> DataFrame:
+    """``(keep..., model, p0..p{n-1})``: every row scored by all fold models of a learner, averaged.
+
+    ``df`` holds all feature columns; encoded ones come from the encoder fitted on all train rows, as at
+    serving time there is no fold to leave out.  The fold models score one after the other in projections
+    over the same rows, so nothing is shuffled and no row id is needed."""
     learners = sorted({k for _, k in cv.models})
     folds = sorted({f for f, _ in cv.models})
-    out, total = df, {k: [F.lit(0.0)] * C.N_CLASSES for k in learners}
+    out = assemble(df, cv.columns[folds[0]]).select(*keep, "features")
+    total = {k: [F.lit(0.0)] * n_classes for k in learners}
     for f in folds:
-        out, _ = encoder(f, out) if encoder is not None else (out, [])
         for k in learners:
-            names = [f"__p_{f}_{k}_{c}" for c in range(C.N_CLASSES)]
-            scored = predict_proba(cv.models[f, k], assemble(out, cv.columns[f]), out.columns)
-            out = scored.withColumnsRenamed({f"p{c}": n for c, n in enumerate(names)})
+            names = [f"__p_{f}_{k}_{c}" for c in range(n_classes)]
+            out = with_probabilities(cv.models[f, k], out, names)
             total[k] = [t + F.col(n) for t, n in zip(total[k], names)]
-        if encoder is not None:
-            out = out.drop(*[c for c in cv.columns[f] if c not in df.columns])
     rows = F.explode(F.array(*[F.struct(F.lit(k).alias("model"), *[(t / len(folds)).alias(f"p{c}") for c, t in enumerate(total[k])])
                                for k in learners])).alias("s")
     return out.select(*keep, rows).select(*keep, "s.*")
 
 
-_KINDS = {"gbt_ovr": GBTClassificationModel, "gbt_bin": GBTClassificationModel,
-          "rf": RandomForestClassificationModel, "lr": LogisticRegressionModel}
+def score_ordinal_average(cvs: dict, df: DataFrame, keep: list[str], weights: dict[str, float]) -> DataFrame:
+    """``(keep..., p_A, p_B)``: each task's fold models averaged per learner, learners blended by ``weights``."""
+    out = df
+    for t, cv in cvs.items():
+        folds = sorted({f for f, _ in cv.models})
+        out = assemble(out, cv.columns[folds[0]])
+        parts = []
+        for f in folds:
+            for k, w in weights.items():
+                name = f"__{t}_{f}_{k}"
+                out = with_probabilities(cv.models[f, k], out, ["__other", name]).drop("__other")
+                parts.append(F.col(name) * F.lit(w / len(folds)))
+        out = out.withColumn(f"p_{t}", sum(parts[1:], parts[0])).drop("features", *[c for c in out.columns if c.startswith(f"__{t}_")])
+    return out.select(*keep, *[f"p_{t}" for t in cvs])
+
+
+def fold_report(cv: CrossValidated, label: str = C.TARGET_COL, fold_col: str = "fold") -> DataFrame:
+    """Per fold and learner: rows, weighted F1 of the most probable class, rows predicted and truly in the
+    last class, and of boosted learners the chosen and the last round."""
+    from ..functions.decide import argmax_class
+    from .metrics import f1_scores
+
+    spark, last = cv.oof.sparkSession, C.N_CLASSES - 1
+    pred = cv.oof.select(fold_col, "model", F.col(label).alias("y"), argmax_class(*[f"p{c}" for c in range(C.N_CLASSES)]).alias("pred"))
+    scores = f1_scores(pred, keys=[fold_col, "model"])
+    counts = pred.groupBy(fold_col, "model").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("pred") == last).alias("high_predicted"),
+                                                 F.count_if(F.col("y") == last).alias("high_true"))
+    rounds = [(int(f), k, m.best_round, m.rounds) for (f, k), (form, m) in cv.models.items() if form == "boosted"]
+    chosen = spark.createDataFrame(rounds, "fold bigint, model string, best_round int, rounds int")  # one row a boosted fit
+    return (counts.join(scores, [fold_col, "model"])
+            .join(F.broadcast(chosen.withColumnRenamed("fold", fold_col)), [fold_col, "model"], "left")
+            .select(fold_col, "model", "n_rows", "f1_weighted", "high_predicted", "high_true", "best_round", "rounds"))
 
 
 def save_models(cv: CrossValidated, spark, path: str) -> None:
-    """All fold models (``MLWriter``) and an index table of them."""
-    rows = []
-    for (f, k), (form, m) in cv.models.items():
-        for i, part in enumerate(m if isinstance(m, list) else [m]):
-            at = f"{path}/models/fold={f}/{k}/{i}"
-            part.write().overwrite().save(at)
-            rows.append((int(f), k, form, i, at, cv.columns[f]))
-    spark.createDataFrame(rows, "fold int, learner string, form string, part int, path string, columns array<string>").coalesce(1).write.mode(
-        "overwrite").parquet(f"{path}/index")
+    """All fold models with their feature columns."""
+    for (f, k), fitted in cv.models.items():
+        save_fitted(fitted, f"{path}/{fit_name((f, k))}", spark, fold=int(f), learner=k, columns=cv.columns[f])
 
 
 def load_models(spark, path: str) -> CrossValidated:
     """The models and columns that ``save_models`` wrote (without out-of-fold scores)."""
     models, columns = {}, {}
-    for r in sorted(spark.read.parquet(f"{path}/index").collect(), key=lambda r: (r.fold, r.learner, r.part)):
-        m = _KINDS[r.form].load(r.path)
-        if r.form == "gbt_ovr":
-            models.setdefault((r.fold, r.learner), (r.form, []))[1].append(m)
-        else:
-            models[r.fold, r.learner] = (r.form, m)
-        columns[r.fold] = list(r["columns"])
-    return CrossValidated(None, models, columns)
+    for name in (n for n in Folder(spark, path).names("") if not n.startswith(".")):
+        fitted, about = load_fitted(f"{path}/{name}", spark)
+        models[about["fold"], about["learner"]] = fitted
+        columns[about["fold"]] = about["columns"]
+    return CrossValidated(None, dict(sorted(models.items())), columns)
 
 
 def feature_importance(fitted, feature_cols: list[str], spark, top: int = 20) -> DataFrame:
     """Importances zipped with the assembled column names, sorted, top-k."""
-    kind, m = fitted
-    if kind == "gbt_ovr":
-        imp = [sum(mc.featureImportances[i] for mc in m) / len(m) for i in range(len(feature_cols))]
-    else:
-        imp = list(m.featureImportances.toArray())
+    form, m = fitted
+    parts = m.models if form == "boosted" else [m]
+    imp = [sum(float(part.featureImportances[i]) for part in parts) / len(parts) for i in range(len(feature_cols))]
     rows = [(c, float(v)) for c, v in zip(feature_cols, imp)]
     return (spark.createDataFrame(rows, "feature string, importance double")
             .orderBy(F.desc("importance"), F.asc("feature")).limit(top))

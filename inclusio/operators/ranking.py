@@ -10,9 +10,9 @@ partitions x groups rows) supplies the offset of every slice.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..session import materialised
 
 BROADCAST_ROWS = 1_000_000
 
@@ -40,27 +40,25 @@ def prefix_sum_with_totals(df: DataFrame, group_cols: list[str], order_cols: lis
     in any order when counting rows; weighted sums need them unique in a group.
     A NULL group is a group of its own; a NULL order value sorts first.
 
-    Plan: one range shuffle on (group, order); the slice is persisted so the
-    per-slice totals and the rows see the same partitioning.  Unweighted
-    (row counting): rows are sorted inside each slice and numbered with
+    Plan: one range shuffle on (group, order); the slices are written once (with
+    their number), so that the per-slice totals and the rows see the same ones,
+    also after a lost executor, and nothing stays cached.  Unweighted (row
+    counting): rows are sorted inside each slice and numbered with
     ``monotonically_increasing_id`` - no second shuffle.  Weighted: a window
     per (slice, group), i.e. one more shuffle spread over all slices.
     """
     keys = group_cols + order_cols
     ranged = _range(df, num_partitions, keys)
     if weight_col is None:
-        r = (ranged.sortWithinPartitions(*keys)
-             .withColumn("_pid", F.spark_partition_id())
-             .withColumn("_mid", F.monotonically_increasing_id())
-             .persist(StorageLevel.MEMORY_AND_DISK))
+        r = materialised(ranged.sortWithinPartitions(*keys)
+                         .withColumn("_pid", F.spark_partition_id())
+                         .withColumn("_mid", F.monotonically_increasing_id()), "slices")
         totals = r.groupBy("_pid", *group_cols).agg(F.count(F.lit(1)).alias("_slice_total"),
                                                     F.min("_mid").alias("_first"))
         local = r.withColumn("_w", F.lit(1))
         local_expr = F.col("_mid") - F.col("_first")
     else:
-        r = (ranged.withColumn("_w", F.col(weight_col))
-             .withColumn("_pid", F.spark_partition_id())
-             .persist(StorageLevel.MEMORY_AND_DISK))
+        r = materialised(ranged.withColumn("_w", F.col(weight_col)).withColumn("_pid", F.spark_partition_id()), "slices")
         slice_w = Window.partitionBy("_pid", *group_cols).orderBy(*order_cols).rowsBetween(
             Window.unboundedPreceding, -1)
         local = r.withColumn("_local", F.coalesce(F.sum("_w").over(slice_w), F.lit(0)))
@@ -82,7 +80,7 @@ def prefix_sum_with_totals(df: DataFrame, group_cols: list[str], order_cols: lis
     out = local.join(offsets.withColumnsRenamed(renamed), cond, "inner").drop(*renamed.values())
     out = (out.withColumn(out_col, (F.col("_offset") + local_expr).cast("bigint"))
            .drop("_pid", "_local", "_offset", "_w", "_mid", "_first"))
-    # per-group totals, read from the persisted slices (no new pass over the input)
+    # per-group totals, read from the written slices (no new pass over the input)
     return out, totals.groupBy(*group_cols).agg(F.sum("_slice_total").alias(total_col))
 
 
@@ -128,5 +126,12 @@ def pct_rank_columns(df: DataFrame, group_col: str, value_cols: dict, num_partit
 
 def pct_rank_column(df: DataFrame, group_col: str, value, out_col: str,
                     num_partitions: int | None = None) -> DataFrame:
-    """Single-column form of ``pct_rank_columns``."""
-    return pct_rank_columns(df, group_col, {out_col: value}, num_partitions)
+    """Single-column form of ``pct_rank_columns``: the distinct (group, value) pairs are what is ranked, so
+    they are counted, prefix-summed and joined back, without stacking or pivoting."""
+    v = (F.col(value) if isinstance(value, str) else value).cast("double")
+    keyed = df.select("*", F.col(group_col).alias("__g"), v.alias("__v"))
+    counts = (keyed.where(F.col("__g").isNotNull() & F.col("__v").isNotNull())
+              .groupBy(F.col("__g").alias("g"), F.col("__v").alias("v")).agg(F.count(F.lit(1)).alias("_n")))
+    ranks = rank_table(counts, ["g"], num_partitions).withColumnsRenamed({"g": "__rg", "v": "__rv", "pct": "__pct"})
+    return (keyed.join(ranks, (F.col("__g") == F.col("__rg")) & (F.col("__v") == F.col("__rv")), "left")
+            .select(*df.columns, F.col("__pct").alias(out_col)))

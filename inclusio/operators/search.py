@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.decide import grid_bucket
+from ..session import materialised
 from .metrics import scores_from_counts
 
 
@@ -43,8 +44,8 @@ def cube_scores(cells: DataFrame, n: int, keys=()) -> DataFrame:
     """
     keys = list(keys)
     if keys:
-        # the cube is tiny; persisted so the key list and the counts come from one pass over the data
-        cells = cells.persist()
+        # the cube is tiny; written so that the key list and the counts come from one pass over the data
+        cells = materialised(cells, "cube")
         key_rows = cells.select(*keys).distinct()
     else:
         key_rows = cells.sparkSession.range(1).select()

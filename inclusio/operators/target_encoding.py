@@ -9,10 +9,13 @@ fold f's slice, so k folds need one shuffle instead of k refits.
     enc(col, v, c) = (n_v * mean_v + s * g_c) / (n_v + s),  mean_v = hits_v / n_v
     g_c            = share of class c over all fitted rows (missing values too)
 
-Transform: the fitted table is small (distinct values x classes).  Its size is
-checked; below ``literal_limit`` rows it becomes literal maps and the transform
-is a single projection; else it is joined (broadcast below ``broadcast_limit``,
-shuffle join above it).  Unseen and missing values get ``g_c``.
+Transform: the fitted table is packed into a dictionary of one row per fold.
+For each column it holds an array of hash buckets, each a map of some
+``BUCKET_VALUES`` values to their encodings, so a look-up searches one small
+map whatever the column's cardinality, and all columns cost one join: a
+broadcast on the fold, or a scalar subquery where there are no folds.  Only the
+table's size is looked at beforehand; above ``broadcast_limit`` values the rows
+are joined column by column instead.  Unseen and missing values get ``g_c``.
 """
 
 from __future__ import annotations
@@ -20,12 +23,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import config as C
-from ..session import reliable_checkpoint
+from ..session import materialised
 
-LITERAL_LIMIT = 20_000
 BROADCAST_LIMIT = 2_000_000
-# literal maps are searched linearly: keep them for low-cardinality columns only
-MAX_MAP_SIZE = 64
+#: Values in a bucket of the packed dictionary, on average.
+BUCKET_VALUES = 8
 
 
 ROWS = "__rows__"  # pseudo-column: every row counted once, value 0
@@ -51,14 +53,14 @@ def fit_counts(df: DataFrame, cols: list[str], label: str = C.TARGET_COL, fold_c
 
     One aggregate produces both: the global row counts ride along as the
     pseudo-column ``__rows__``.  The result (distinct values x folds) is small
-    and persisted, so the stats are read back without another data pass.
+    and written once, so the stats are read back without another data pass.
     """
     keep = [label] + ([fold_col] if fold_col else [])
     fk = [F.col(fold_col).alias("fold")] if fold_col else []
     long = _long(df.where(F.col(label).isNotNull()), cols, keep, with_rows=True)
     hits = [F.count_if(F.col(label) == c).alias(f"h{c}") for c in range(n_classes)]
-    counts = (long.where(F.col("value").isNotNull()).groupBy(*fk, "column_name", "value")
-              .agg(F.count(F.lit(1)).alias("n"), *hits).persist())
+    counts = materialised(long.where(F.col("value").isNotNull()).groupBy(*fk, "column_name", "value")
+                          .agg(F.count(F.lit(1)).alias("n"), *hits), "encoding-counts")
     vals = counts.where(F.col("column_name") != ROWS)
     glob = counts.where(F.col("column_name") == ROWS).drop("column_name", "value")
     return vals, glob
@@ -110,104 +112,82 @@ def fit_out_of_fold(df: DataFrame, fold_col: str = "fold", cols: list[str] = C.T
     return enc, g
 
 
+def pack(enc: DataFrame, glob: DataFrame, cols: list[str], fold_col: str | None, n_classes: int) -> DataFrame:
+    """The fitted table as one row per fold (one row without folds): ``g``, the global shares, and per column
+    ``d<i>``, its hash buckets in order, each a map of values to encodings (null if empty)."""
+    by = ["fold"] if fold_col else []
+    sized = enc.groupBy(*by, "column_name").agg(F.count(F.lit(1)).alias("_n")).select(
+        *by, "column_name", F.ceil(F.col("_n") / BUCKET_VALUES).cast("int").alias("_buckets"))
+    bucket = F.pmod(F.xxhash64("value"), F.col("_buckets")).cast("int").alias("_b")
+    entry = F.struct("value", F.array(*[f"enc_{c}" for c in range(n_classes)]))
+    maps = (enc.join(sized, [*by, "column_name"]).select(*by, "column_name", bucket, entry.alias("_e"))
+            .groupBy(*by, "column_name", "_b").agg(F.map_from_entries(F.collect_list("_e")).alias("_m")))
+    every = sized.select(*by, "column_name", F.explode(F.sequence(F.lit(0), F.col("_buckets") - 1)).alias("_b"))
+    full = (every.join(maps, [*by, "column_name", "_b"], "left").groupBy(*by, "column_name")
+            .agg(F.collect_list(F.struct("_b", "_m")).alias("_l")))
+    in_order = F.transform(F.array_sort("_l", lambda x, y: x["_b"] - y["_b"]), lambda x: x["_m"])
+    wide = full.select(*by, "column_name", in_order.alias("_d")).groupBy(*by).agg(
+        *[F.first(F.when(F.col("column_name") == c, F.col("_d")), ignorenulls=True).alias(f"d{i}") for i, c in enumerate(cols)])
+    shares = glob.select(*by, F.array(*[f"g{c}" for c in range(n_classes)]).alias("g"))
+    if by:
+        return shares.join(wide, "fold", "left")
+    return shares.select("g", *[wide.select(f"d{i}").scalar().alias(f"d{i}") for i in range(len(cols))])
+
+
+def _look_up(values: dict, dictionary, cols: list[str], n_classes: int) -> list[Column]:
+    """The encoding (an array of the classes) of each column's value; the global shares if it has none."""
+    out = []
+    for i, c in enumerate(cols):
+        buckets, x = dictionary(f"d{i}"), values[c]
+        found = F.try_element_at(F.try_element_at(buckets, F.pmod(F.xxhash64(x), F.size(buckets)).cast("int") + 1), x)
+        out.append(F.coalesce(found, dictionary("g")).alias(f"__e{i}"))
+    return out
+
+
 def transform(df: DataFrame, enc: DataFrame, glob: DataFrame, cols: list[str] = C.TARGET_ENCODE_COLS,
-              fold_col: str | None = None, n_classes: int = C.N_CLASSES,
-              literal_limit: int = LITERAL_LIMIT, broadcast_limit: int = BROADCAST_LIMIT,
-              max_map_size: int = MAX_MAP_SIZE) -> DataFrame:
+              fold_col: str | None = None, n_classes: int = C.N_CLASSES, broadcast_limit: int = BROADCAST_LIMIT) -> DataFrame:
     """Add ``<col>_te_<c>`` for every encoded column and class.
 
     With ``fold_col`` each row uses the encodings of its own fold's complement
-    (the held-out encoding).  Plan choice by the measured size of ``enc``:
-    few values per column -> literal maps (one projection, no join); else one
-    left join per column, broadcast while the table is under
-    ``broadcast_limit`` rows (no shuffle of ``df``), shuffle join above.
+    (the held-out encoding).  One broadcast of the packed dictionary serves all
+    columns (no shuffle of ``df``) while the fitted table has at most
+    ``broadcast_limit`` rows, else one shuffle join per column.
     """
-    # the size check that picks the plan: fetch at most literal_limit + 1 rows
-    head = enc.limit(literal_limit + 1).collect()
-    if len(head) <= literal_limit:
-        sizes = {}
-        for r in head:
-            key = (r["column_name"], r["fold"] if fold_col else None)
-            sizes[key] = sizes.get(key, 0) + 1
-        if not sizes or max(sizes.values()) <= max_map_size:
-            return _transform_literal(df, head, glob.collect(), cols, fold_col, n_classes, dict(enc.dtypes)["value"].upper())
-        size = len(head)
+    enc, glob = materialised(enc, "encodings"), materialised(glob, "encoding-shares")
+    if enc.limit(broadcast_limit + 1).count() > broadcast_limit:
+        return _transform_join(df, enc, glob, cols, fold_col, n_classes)
+    kind = dict(enc.dtypes)["value"]
+    typed = {c: F.col(c).cast(kind) + F.lit(0.0) if kind == "double" else F.col(c).cast(kind) for c in cols}  # -0.0 is 0.0
+    packed = pack(enc, glob, cols, fold_col, n_classes)
+    if fold_col:
+        here = packed.withColumnsRenamed({c: f"__{c}" for c in packed.columns})
+        joined = df.join(F.broadcast(here), F.col(fold_col) == F.col("__fold"), "left")  # one row a fold, size checked above
+        dictionary = lambda name: F.col(f"__{name}")
     else:
-        size = enc.count()
-    return _transform_join(df, enc, glob, cols, fold_col, n_classes, size <= broadcast_limit)
-
-
-def _dlit(x: float | str | None) -> str:
-    """Exact literal of a double (shortest round-trip repr) or a string in Spark SQL."""
-    if x is None:
-        return "CAST(NULL AS DOUBLE)"
-    if isinstance(x, str):
-        return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    return f"{float(x)!r}D" if x == x and abs(x) != float("inf") else f"CAST('{float(x)!r}' AS DOUBLE)"
+        joined = df.withColumn("__dict", packed.select(F.struct("*")).scalar())
+        dictionary = lambda name: F.col("__dict")[name]
+    found = joined.select(*df.columns, *_look_up(typed, dictionary, cols, n_classes))
+    return found.select(*df.columns, *[F.get(f"__e{i}", c).alias(f"{col}_te_{c}") for i, col in enumerate(cols) for c in range(n_classes)])
 
 
-def _map_sql(pairs: list[tuple[str, str]], key_type: str, value_type: str) -> str:
-    if not pairs:
-        return f"CAST(map() AS MAP<{key_type}, {value_type}>)"
-    return "map(" + ", ".join(f"{k}, {v}" for k, v in pairs) + ")"
-
-
-def _transform_literal(df, rows, grows, cols, fold_col, n_classes, kind="DOUBLE"):
-    """``rows`` = fitted encodings (bounded by the caller's size check),
-    ``grows`` = global shares (one row, or one per fold).  Each (column, class)
-    becomes one map literal written as SQL text (a single expression each)."""
-    out = []
-    for col in cols:
-        mine = [r for r in rows if r["column_name"] == col]
-        x = f"CAST(`{col}` AS {kind})"
-        for c in range(n_classes):
-            if fold_col:
-                outer = []
-                for f in sorted(r["fold"] for r in grows):
-                    inner = [(_dlit(r["value"]), _dlit(r[f"enc_{c}"])) for r in mine if r["fold"] == f]
-                    outer.append((f"{int(f)}L", _map_sql(inner, kind, "DOUBLE")))
-                gmap = _map_sql([(f"{int(r['fold'])}L", _dlit(r[f"g{c}"])) for r in grows], "BIGINT", "DOUBLE")
-                fk = f"CAST(`{fold_col}` AS BIGINT)"
-                e = (f"coalesce(try_element_at(try_element_at({_map_sql(outer, 'BIGINT', f'MAP<{kind}, DOUBLE>')}, "
-                     f"{fk}), {x}), try_element_at({gmap}, {fk}))")
-            else:
-                flat = [(_dlit(r["value"]), _dlit(r[f"enc_{c}"])) for r in mine]
-                e = f"coalesce(try_element_at({_map_sql(flat, kind, 'DOUBLE')}, {x}), {_dlit(grows[0][f'g{c}'] if grows else None)})"
-            out.append(F.expr(e).alias(f"{col}_te_{c}"))
-    return df.select("*", *out)
-
-
-def _transform_join(df, enc, glob, cols, fold_col, n_classes, broadcast):
-    """One left join per encoded column on ``([fold,] value)``.
-
-    The fitted table is checkpointed first (to the shared checkpoint folder):
-    it is joined once per column, and a cut lineage keeps each join's plan
-    small.  Global shares have one row per fold at most and become literals.
-    """
-    enc = reliable_checkpoint(enc)
-    grows = glob.collect()
-    out = df
+def _transform_join(df, enc, glob, cols, fold_col, n_classes):
+    """One shuffle join per encoded column on ``([fold,] value)``, for dictionaries too large to broadcast;
+    the global shares (one row per fold at most) come last."""
+    out, raw = df, lambda col, c: f"__{col}_te_{c}"
     for col in cols:
         e = enc.where(F.col("column_name") == col).select(
             *([F.col("fold").alias("__fold")] if fold_col else []), F.col("value").alias("__v"),
-            *[F.col(f"enc_{c}").alias(f"__e{c}") for c in range(n_classes)])
-        e = F.broadcast(e) if broadcast else e
+            *[F.col(f"enc_{c}").alias(raw(col, c)) for c in range(n_classes)])
         cond = F.col(col).cast(dict(enc.dtypes)["value"]) == F.col("__v")
         if fold_col:
             cond = cond & (F.col(fold_col) == F.col("__fold"))
-        out = out.join(e, cond, "left").drop("__v", *(["__fold"] if fold_col else []))
-        out = out.withColumnsRenamed({f"__e{c}": f"{col}_te_{c}__raw" for c in range(n_classes)})
+        out = out.join(e, cond, "left").drop("__v", "__fold")
     if fold_col:
-        fkey = F.col(fold_col).cast("bigint")
-        gcol = {c: F.try_element_at(F.create_map(*[x for r in grows for x in (F.lit(int(r["fold"])).cast("bigint"),
-                                                                              F.lit(r[f"g{c}"]).cast("double"))]), fkey)
-                for c in range(n_classes)}
+        shares = glob.select(F.col("fold").alias("__fold"), *[F.col(f"g{c}").alias(f"__g{c}") for c in range(n_classes)])
+        out = out.join(F.broadcast(shares), F.col(fold_col) == F.col("__fold"), "left")  # one row a fold
     else:
-        gcol = {c: F.lit(grows[0][f"g{c}"] if grows else None).cast("double") for c in range(n_classes)}
-    filled = [F.coalesce(F.col(f"{col}_te_{c}__raw"), gcol[c]).alias(f"{col}_te_{c}")
-              for col in cols for c in range(n_classes)]
-    drop = {f"{col}_te_{c}__raw" for col in cols for c in range(n_classes)}
-    return out.select(*[c for c in out.columns if c not in drop], *filled)
+        out = out.select("*", *[glob.select(f"g{c}").scalar().alias(f"__g{c}") for c in range(n_classes)])
+    return out.select(*df.columns, *[F.coalesce(raw(col, c), F.col(f"__g{c}")).alias(f"{col}_te_{c}") for col in cols for c in range(n_classes)])
 
 
 def encoded_columns(cols: list[str] = C.TARGET_ENCODE_COLS, n_classes: int = C.N_CLASSES) -> list[str]:

@@ -11,7 +11,6 @@ from ..sources import io as IO
 from . import synthetic as SY
 from .q_prepare import cleaned
 from .registry import register
-from ..session import reliable_checkpoint
 
 TE_COLS = C.TARGET_ENCODE_COLS
 OUT_TE = [f"{c}_te_{k}" for c in TE_COLS for k in range(3)]
@@ -169,10 +168,10 @@ def q_te_full(spark, sf_dir):
     return TE.transform(c.where(F.col("split") == "test"), enc, g).select("ID", *_r9(OUT_TE))
 
 
-def _folded_train(spark, sf_dir):
-    """Cleaned train rows with their fold (folds numbered on the same rows, no self-join)."""
+def _folded_train(spark, sf_dir, cols):
+    """The given columns of the cleaned train rows with their fold (folds numbered on the same rows, no self-join)."""
     c = train_clean(spark, sf_dir)
-    c = c.select("*", SY.key_of().alias("k"), F.col(C.TARGET_COL).alias("y"))
+    c = c.select(*cols, SY.key_of().alias("k"), F.col(C.TARGET_COL).alias("y"))
     return SY.with_folds(c).drop("k", "y")
 
 
@@ -181,7 +180,7 @@ def _folded_train(spark, sf_dir):
           _apply_sql("tcl", True, "t.ID, t.fold"), bench=True)
 def q_te_oof(spark, sf_dir):
     """Held-out encodings: each row encoded with statistics of the other folds only."""
-    # read by the fit, the size check and the transform: materialise once, lineage cut
-    d = reliable_checkpoint(_folded_train(spark, sf_dir))
+    # narrow rows; their slices are written once, and the fit and the transform read those
+    d = _folded_train(spark, sf_dir, ["ID", C.TARGET_COL, *TE_COLS])
     enc, g = TE.fit_out_of_fold(d, "fold")
     return TE.transform(d, enc, g, fold_col="fold").select("ID", "fold", *_r9(OUT_TE))

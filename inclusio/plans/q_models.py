@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..functions import decide as D
 from ..operators import clean as CL
+from ..operators import boosting as BO
 from ..operators import engineer as EN
 from ..operators import folds as FO
 from ..operators import metrics as M
@@ -24,6 +25,7 @@ from ..operators import search as SR
 from ..operators import target_encoding as TE
 from ..sources import io as IO
 from ..sources import survey_view as SV
+from ..sources import versions as VE
 from . import sql_text as S
 from ..session import materialised
 from .q_prepare import cleaned
@@ -64,10 +66,8 @@ def _full_encoder(tr, te):
 def fold_encoder(base):
     """Encoder of each fold's complement, all of them from one aggregate; see ``MD.cross_validate``."""
     enc, g = TE.fit_out_of_fold(base, "fold", n_folds=K_FOLDS)
-    return saved_encoder(materialised(enc, "encodings"), materialised(g, "encoding-shares"))
+    enc, g = materialised(enc, "encodings"), materialised(g, "encoding-shares")
 
-
-def saved_encoder(enc, g):
     def encode(f, rows):
         here = F.col("fold") == f
         return TE.transform(rows, enc.where(here).drop("fold"), g.where(here).drop("fold")), TE.encoded_columns()
@@ -98,33 +98,51 @@ def q_train_multiclass(spark, sf_dir):
 @register("train_ordinal", sql=lambda: S.clean_cte() + """
 SELECT count(*) AS n_rows, count(DISTINCT ID) AS n_ids, CAST(0 AS BIGINT) AS n_bad FROM clean WHERE split = 'test'""")
 def q_train_ordinal(spark, sf_dir):
-    """Three learners for each of the two tasks, scoring the test rows."""
+    """Three learners for each of the two tasks (full-fit encoder), scoring the test rows."""
     base = _base(spark, sf_dir)
-    cols = _feature_cols(base)
-    models = MD.train_ordinal(base.where(F.col("split") == "train"), cols)
-    scored = MD.score_ordinal(models, base.where(F.col("split") == "test"), cols, ["ID"])
+    tr_e, te_e, extra = _full_encoder(base.where(F.col("split") == "train"), base.where(F.col("split") == "test"))
+    cols = _feature_cols(base) + extra
+    scored = MD.score_ordinal(MD.train_ordinal(tr_e, cols), te_e, cols, ["ID"])
     bad = ~(F.col("p_A").between(0, 1) & F.col("p_B").between(0, 1))
     return scored.agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("ID").alias("n_ids"), F.count_if(bad).alias("n_bad"))
 
 
-@register("early_stopping", sql=lambda: S.clean_cte() + f""",
-f AS (SELECT CAST((row_number() OVER (ORDER BY Target, (CAST(substr(ID, 4) AS BIGINT) * 7919) % 104729, CAST(substr(ID, 4) AS BIGINT)) - 1) % {C.N_FOLDS} AS BIGINT) AS fold
-      FROM clean WHERE split = 'train')
-SELECT fold, CAST({MD.DEFAULT_PARAMS['gbt']['maxIter']} AS BIGINT) AS max_trees, TRUE AS stopped, count(*) AS n_validation FROM f GROUP BY fold""")
+_FOLDS_SQL = f"""
+f AS (SELECT ID, Target, CAST((row_number() OVER (ORDER BY Target, (CAST(substr(ID, 4) AS BIGINT) * 7919) % 104729, CAST(substr(ID, 4) AS BIGINT)) - 1) % {C.N_FOLDS} AS BIGINT) AS fold
+      FROM clean WHERE split = 'train')"""
+
+
+@register("early_stopping", sql=lambda: S.clean_cte() + "," + _FOLDS_SQL + f"""
+SELECT fold, CAST({MD.DEFAULT_PARAMS['gbt']['maxIter']} AS BIGINT) AS max_rounds, TRUE AS by_patience, TRUE AS cut_at_best, count(*) AS n_validation FROM f GROUP BY fold""")
 def q_early_stopping(spark, sf_dir):
-    """Each fold's boosted fit with that fold as validation set: it ends before the allowed rounds."""
+    """Each fold's boosted fit with that fold as validation set: it ends when the patience is used up (or at
+    the last allowed round), and the model has the trees of the round with the least validation loss."""
     base = _train_with_folds(_base(spark, sf_dir))
     most = MD.DEFAULT_PARAMS["gbt"]["maxIter"]
-    cv = MD.cross_validate(base, _feature_cols(base), "fold", learners=["gbt"])
-    used = {f: max(m.getNumTrees for m in fitted[1]) for (f, _), fitted in cv.models.items()}  # k values
-    stopped = F.create_map(*[x for f, n in used.items() for x in (F.lit(f), F.lit(n < most))])
-    return base.groupBy("fold").agg(F.count(F.lit(1)).alias("n_validation")).select(
-        "fold", F.lit(most).cast("bigint").alias("max_trees"), stopped[F.col("fold")].alias("stopped"), "n_validation")
-
-
-@register("oof_predictions", sql=lambda: S.clean_cte() + f""",
-f AS (SELECT ID, CAST((row_number() OVER (ORDER BY Target, (CAST(substr(ID, 4) AS BIGINT) * 7919) % 104729, CAST(substr(ID, 4) AS BIGINT)) - 1) % {C.N_FOLDS} AS BIGINT) AS fold
-      FROM clean WHERE split = 'train')
+    cv = MD.cross_validate(base, _feature_cols(base), "fold", learners=["gbt"], threads=K_FOLDS)
+    rows = []  # one a fold
+    for (f, _), (_, m) in cv.models.items():
+        least = min(m.curve)
+        rows.append((int(f), m.rounds == min(m.best_round + BO.PATIENCE, most) and m.rounds == len(m.curve),
+                     m.curve[m.best_round - 1] == least and all(c > least for c in m.curve[:m.best_round - 1])
+                     and all(part.getNumTrees == m.best_round for part in m.models)))
+    ended = spark.createDataFrame(rows, "fold bigint, by_patience boolean, cut_at_best boolean")
+    return (base.groupBy("fold").agg(F.count(F.lit(1)).alias("n_validation")).join(F.broadcast(ended), "fold")
+            .select("fold", F.lit(most).cast("bigint").alias("max_rounds"), "by_patience", "cut_at_best", "n_validation"))
+
+
+@register("trained_fold_report", sql=lambda: S.clean_cte() + "," + _FOLDS_SQL + f"""
+SELECT fold, model, count(*) AS n_rows, count_if(Target = 2) AS high_true, TRUE AS f1_in_range, model = 'gbt' AS has_best_round
+FROM f CROSS JOIN (VALUES ('gbt'), ('lr')) l(model) GROUP BY fold, model""")
+def q_fold_report(spark, sf_dir):
+    """Weighted F1, High counts and best round of each fold and learner, from fitted models."""
+    _, cv = _cross_validated(spark, sf_dir, ["gbt", "lr"])
+    r = MD.fold_report(cv)
+    return r.select("fold", "model", "n_rows", "high_true", F.col("f1_weighted").between(0, 1).alias("f1_in_range"),
+                    (F.coalesce(F.col("best_round").between(1, F.col("rounds")), F.lit(False))).alias("has_best_round"))
+
+
+@register("oof_predictions", sql=lambda: S.clean_cte() + "," + _FOLDS_SQL + f"""
 SELECT model, fold, count(*) AS n_rows, count(DISTINCT ID) AS n_ids, CAST(0 AS BIGINT) AS n_bad FROM f CROSS JOIN {_LEARNERS_SQL} GROUP BY model, fold""")
 def q_oof(spark, sf_dir):
     """Every train row scored exactly once by each learner fitted without its fold."""
@@ -133,19 +151,19 @@ def q_oof(spark, sf_dir):
 
 def _cross_validated(spark, sf_dir, learners=MD.LEARNERS):
     base = _train_with_folds(_base(spark, sf_dir))
-    return base, MD.cross_validate(base, _feature_cols(base), "fold", learners=learners, encoder=fold_encoder(base))
+    return base, MD.cross_validate(base, _feature_cols(base), "fold", learners=learners, encoder=fold_encoder(base), threads=8)
 
 
-def _blend_search(oof):
-    """First best (weight of the boosted learner, thresholds) on out-of-fold scores."""
-    wide = (oof.groupBy("ID", C.TARGET_COL).pivot("model", ["gbt", "rf"])
+def _blend_search(oof, other="rf"):
+    """First best (weight of the boosted learner, thresholds) on out-of-fold scores of it and another one."""
+    wide = (oof.groupBy("ID", C.TARGET_COL).pivot("model", ["gbt", other])
             .agg(*[F.first(f"p{c}").alias(f"p{c}") for c in (1, 2)]))
     grid = C.threshold_grid(30)
-    sc = SR.blend_weight_search(wide, C.TARGET_COL, ("gbt_p1", "gbt_p2"), ("rf_p1", "rf_p2"),
+    sc = SR.blend_weight_search(wide, C.TARGET_COL, ("gbt_p1", "gbt_p2"), (f"{other}_p1", f"{other}_p2"),
                                 C.linspace(0.3, 0.8, 20), grid)
     best = SR.first_best(sc, "f1_weighted", ["wi", "j2", "j1"])
     return SR.with_grid_values(best, grid, {"t_med": "j1", "t_high": "j2"}).select(
-        F.col("w").alias("w_gbt"), "t_med", "t_high", "f1_weighted")
+        F.col("w").alias("w_first"), "t_med", "t_high", "f1_weighted")
 
 
 @register("oof_weight_search", sql="SELECT TRUE AS in_grid, CAST(1 AS BIGINT) AS n")
@@ -154,7 +172,7 @@ def q_oof_weight_search(spark, sf_dir):
     thresholds from one aggregate, first best; the result says that it is a point of the grid."""
     _, cv = _cross_validated(spark, sf_dir, ["gbt", "rf"])
     grid, weights = C.threshold_grid(30), C.linspace(0.3, 0.8, 20)
-    ok = F.col("w_gbt").isin(weights) & F.col("t_med").isin(grid) & F.col("t_high").isin(grid) & F.col("f1_weighted").between(0, 1)
+    ok = F.col("w_first").isin(weights) & F.col("t_med").isin(grid) & F.col("t_high").isin(grid) & F.col("f1_weighted").between(0, 1)
     return _blend_search(cv.oof).agg(F.min(ok).alias("in_grid"), F.count(F.lit(1)).alias("n"))
 
 
@@ -164,13 +182,10 @@ def q_ordinal_oof_search(spark, sf_dir):
     """Three learners x two ordinal tasks x five folds of joint (country, label) strata, then 66 weight
     triples x 30^2 ordinal thresholds on the out-of-fold output; the best point is one of the grid."""
     base = _train_with_folds(_base(spark, sf_dir), stratum="_joint")
-    oof, _ = MD.cross_validate_ordinal(base, _feature_cols(base))
+    oof, _ = MD.cross_validate_ordinal(base, _feature_cols(base), encoder=fold_encoder(base))
     oof = materialised(oof, "ordinal-oof")
     grid, weights = C.threshold_grid(30), C.simplex_weights(0.1)
-    blends = SR.simplex_blends(oof, C.TARGET_COL, MD.LEARNERS, weights)
-    cells = SR.grid_cells(blends, F.col("pA"), F.col("pB"), "y", grid, ["wi"])
-    best = SR.with_grid_values(SR.first_best(SR.cube_scores(cells, len(grid), ["wi"]), "f1_weighted", ["wi", "j1", "j2"]),
-                               grid, {"t_A": "j1", "t_B": "j2"})
+    best = _ordinal_search(oof, MD.LEARNERS, grid, weights)
     ok = F.col("wi").between(0, len(weights) - 1) & F.col("t_A").isin(grid) & F.col("t_B").isin(grid) & F.col("f1_weighted").between(0, 1)
     p = [F.col(f"{k}_p{t}") for k in MD.LEARNERS for t in "AB"]
     bad = (F.least(*p) < 0) | (F.greatest(*p) > 1) | F.greatest(*[x.isNull() for x in p])
@@ -178,38 +193,83 @@ def q_ordinal_oof_search(spark, sf_dir):
     return rows.withColumn("in_grid", best.agg(F.min(ok)).scalar())
 
 
+def _ordinal_search(oof, learners, grid, weights):
+    """First best (weight tuple, thresholds) of the ordinal rule on out-of-fold scores."""
+    blends = SR.simplex_blends(oof, C.TARGET_COL, learners, weights)
+    cells = SR.grid_cells(blends, F.col("pA"), F.col("pB"), "y", grid, ["wi"])
+    return SR.with_grid_values(SR.first_best(SR.cube_scores(cells, len(grid), ["wi"]), "f1_weighted", ["wi", "j1", "j2"]),
+                               grid, {"t_A": "j1", "t_B": "j2"})
+
+
 @register("train_score_submit", sql=lambda: S.clean_cte() + """
 SELECT n AS n_rows, n AS n_expected, CAST(0 AS BIGINT) AS bad_labels, CAST(0 AS BIGINT) AS missing_ids,
        CAST(0 AS BIGINT) AS extra_ids, CAST(1 AS BIGINT) AS columns_ok, CAST(2 AS BIGINT) AS versions
 FROM (SELECT count(*) AS n FROM clean WHERE split = 'test') t""")
 def q_train_score_submit(spark, sf_dir):
-    """The whole flow: cross-validate, search blend and thresholds, save models, encodings and decision;
-    reload them all, score the test rows by the average of the fold models, blend, decide, write the
-    submission and validate what was written.  A second, worse decision doesn't replace the first."""
+    """The whole flow: cross-validate, search blend and thresholds, commit models, encodings, scores and
+    decision as one version; reload them all, encode the test rows by the full-data encoder, score them by
+    the average of the fold models, blend, decide, write the submission and validate what was written.
+    A better decision replaces the committed one as a second version, a worse one doesn't."""
     base_all = _base(spark, sf_dir)
     base = _train_with_folds(base_all)
-    enc, g = TE.fit_out_of_fold(base, "fold", n_folds=K_FOLDS)
-    path = f"{IO.checkpoint_dir(spark)}/run-{uuid.uuid4().hex}"
-    IO.save_artifact(enc, path, "encodings")
-    IO.save_artifact(g, path, "encoding_shares")
-    encode = saved_encoder(IO.load_artifact(spark, path, "encodings"), IO.load_artifact(spark, path, "encoding_shares"))
-    cv = MD.cross_validate(base, _feature_cols(base), "fold", learners=["gbt", "rf"], encoder=encode)
-    MD.save_models(cv, spark, path)
-    IO.save_artifact(cv.oof, path, "oof")
-    best = _blend_search(IO.load_artifact(spark, path, "oof"))
-    IO.save_version(best, path, "decision", "f1_weighted")
-    IO.save_version(best.withColumn("f1_weighted", F.col("f1_weighted") - 0.5).withColumn("t_high", F.lit(0.0)), path, "decision", "f1_weighted")
-
-    loaded, test = MD.load_models(spark, path), base_all.where(F.col("split") == "test")
-    d = IO.best_version(spark, path, "decision", "f1_weighted").first()
-    scored = MD.score_fold_average(loaded, test, ["ID"], encode)
-    w = F.when(F.col("model") == "gbt", d.w_gbt).otherwise(1 - d.w_gbt)
-    blended = scored.groupBy("ID").agg(*[F.sum(w * F.col(f"p{c}")).alias(f"p{c}") for c in range(C.N_CLASSES)])
+    store = VE.Store(spark, f"{IO.checkpoint_dir(spark)}/run-{uuid.uuid4().hex}")
+    cv = MD.cross_validate(base, _feature_cols(base), "fold", learners=["gbt", "rf"], encoder=fold_encoder(base), threads=8)
+    draft = store.draft()
+    for name, table in zip(("encodings", "encoding_shares"), TE.fit(base)):
+        draft.table(name, table)
+    draft.model("models", lambda path: MD.save_models(cv, spark, path))
+    best = _blend_search(draft.table("oof", cv.oof)).withColumn("f1_weighted", F.col("f1_weighted") - 0.25)
+    draft.table("decision", best)
+    draft.values["decision"] = best.first()["f1_weighted"]
+    draft.commit()
+    better = _blend_search(store.load("oof"))
+    store.keep_if_better("decision", better, "decision", better.first()["f1_weighted"])
+    store.keep_if_better("decision", best.withColumn("t_high", F.lit(0.0)), "decision", 0.0)
+
+    loaded = MD.load_models(spark, store.model_path("models"))
+    test = TE.transform(base_all.where(F.col("split") == "test"), store.load("encodings", verify=True), store.load("encoding_shares"))
+    d = store.load("decision", verify=True).first()
+    w = F.when(F.col("model") == "gbt", d.w_first).otherwise(1 - d.w_first)
+    blended = MD.score_fold_average(loaded, test, ["ID"]).groupBy("ID").agg(*[F.sum(w * F.col(f"p{c}")).alias(f"p{c}") for c in range(C.N_CLASSES)])
     pred = blended.select("ID", D.apply_thresholds("p1", "p2", d.t_med, d.t_high).alias("pred"))
-    IO.sink_table(IO.submission(pred), f"{path}/submission", fmt="csv")
-    written = IO.scan_csv(spark, f"{path}/submission", ["ID", C.TARGET_COL])
-    checks = IO.validate_submission(written, test.select("ID"))
-    return checks.withColumn("versions", F.lit(IO.count_versions(spark, path, "decision")).cast("bigint"))
+    return _submitted(spark, store, pred, test)
+
+
+def _submitted(spark, store, pred, test):
+    """The predictions written as a submission, and the checks of the written file."""
+    path = f"{store.path}/submission"
+    IO.sink_table(IO.submission(pred), path, fmt="csv")
+    checks = IO.validate_submission(IO.scan_csv(spark, path, ["ID", C.TARGET_COL]), test.select("ID"))
+    return checks.withColumn("versions", F.lit(len(store.numbers())).cast("bigint"))
+
+
+@register("ordinal_train_score_submit", sql=lambda: S.clean_cte() + """
+SELECT n AS n_rows, n AS n_expected, CAST(0 AS BIGINT) AS bad_labels, CAST(0 AS BIGINT) AS missing_ids,
+       CAST(0 AS BIGINT) AS extra_ids, CAST(1 AS BIGINT) AS columns_ok, CAST(1 AS BIGINT) AS versions
+FROM (SELECT count(*) AS n FROM clean WHERE split = 'test') t""")
+def q_ordinal_submit(spark, sf_dir):
+    """The ordinal twin: both tasks under joint strata with fold encodings, weights and thresholds from the
+    out-of-fold scores, everything committed, reloaded, and the test rows scored by the fold averages."""
+    base_all = _base(spark, sf_dir)
+    base = _train_with_folds(base_all, stratum="_joint")
+    learners = ["gbt", "lr"]
+    store = VE.Store(spark, f"{IO.checkpoint_dir(spark)}/run-{uuid.uuid4().hex}")
+    oof, cvs = MD.cross_validate_ordinal(base, _feature_cols(base), learners=learners, encoder=fold_encoder(base))
+    draft = store.draft()
+    for name, table in zip(("encodings", "encoding_shares"), TE.fit(base)):
+        draft.table(name, table)
+    for t, cv in cvs.items():
+        draft.model(f"models_{t}", lambda path, cv=cv: MD.save_models(cv, spark, path))
+    weights = [(i / 10, 1 - i / 10) for i in range(11)]
+    draft.table("decision", _ordinal_search(draft.table("oof", oof), learners, C.threshold_grid(30), weights))
+    draft.commit()
+
+    loaded = {t: MD.load_models(spark, store.model_path(f"models_{t}")) for t in cvs}
+    test = TE.transform(base_all.where(F.col("split") == "test"), store.load("encodings", verify=True), store.load("encoding_shares"))
+    d = store.load("decision", verify=True).first()
+    scored = MD.score_ordinal_average(loaded, test, ["ID"], dict(zip(learners, weights[d.wi])))
+    pred = scored.select("ID", D.ordinal_decision("p_A", "p_B", d.t_A, d.t_B).alias("pred"))
+    return _submitted(spark, store, pred, test)
 
 
 @register("feature_importance", sql="SELECT CAST(20 AS BIGINT) AS n, CAST(20 AS BIGINT) AS n_features, TRUE AS descending")
@@ -253,9 +313,9 @@ def _baseline(spark, sf_dir):
 
 @register("baseline_report", sql=lambda: SV.survey_cte() + """,
 t AS (SELECT Target, country, CAST(substr(ID, 4) AS BIGINT) AS k FROM survey WHERE split = 'train'),
-o AS (SELECT Target, row_number() OVER (PARTITION BY country, Target ORDER BY (k * 7919) % 104729, k) - 1 AS pos,
-             count(*) OVER (PARTITION BY country, Target) AS n FROM t),
-h AS (SELECT Target FROM o WHERE pos < 0.2e0 * n)
+places AS (SELECT Target, row_number() OVER (PARTITION BY country, Target ORDER BY (k * 7919) % 104729, k) - 1 AS pos,
+                  count(*) OVER (PARTITION BY country, Target) AS n FROM t),
+h AS (SELECT Target FROM places WHERE pos < 0.2e0 * n)
 SELECT Target AS label, count(*) AS support FROM h GROUP BY Target
 UNION ALL SELECT m, (SELECT count(*) FROM h) FROM (VALUES ('accuracy'), ('macro avg'), ('weighted avg')) v(m)""")
 def q_baseline_report(spark, sf_dir):

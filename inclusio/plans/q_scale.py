@@ -20,7 +20,6 @@ from .. import config as C
 from .q_decide import _brute_sql, counts_sql, dl, f1_sql
 from .q_encode import _apply_sql, _fit_sql
 from .registry import register
-from ..session import reliable_checkpoint
 
 # --- fixed values: label codes and the engine-neutral row order -------------
 FLAG_CODES = {"A": 0, "N": 1, "R": 2}
@@ -70,8 +69,7 @@ def q_li_folds(spark, sf_dir):
           _apply_sql("lf", True, ", ".join(f"t.{k}" for k in KEY) + ", t.fold", LI_TE_COLS), bench=True)
 def q_li_te(spark, sf_dir):
     """Held-out encodings of five lineitem columns against the return flag."""
-    # read by the fit, the size check and the transform: materialise once, lineage cut
-    d = reliable_checkpoint(li_folds(spark, sf_dir, LI_TE_COLS))
+    d = li_folds(spark, sf_dir, LI_TE_COLS)  # its slices are written once; the fit and the transform read those
     enc, g = TE.fit_out_of_fold(d, "fold", LI_TE_COLS, label="y")
     out = TE.transform(d, enc, g, LI_TE_COLS, fold_col="fold")
     return out.select(*KEY, "fold", *[F.round(c, 9).alias(c) for c in OUT_TE])

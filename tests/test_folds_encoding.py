@@ -85,7 +85,7 @@ def test_fit_matches_pandas(spark, labelled):
 def test_literal_and_join_paths_agree(spark, labelled):
     enc, g = TE.fit(labelled, ["a", "b"])
     lit = TE.transform(labelled, enc, g, ["a", "b"]).orderBy("ID").toPandas()
-    join = TE.transform(labelled, enc, g, ["a", "b"], literal_limit=0).orderBy("ID").toPandas()
+    join = TE.transform(labelled, enc, g, ["a", "b"], broadcast_limit=0).orderBy("ID").toPandas()
     cols = TE.encoded_columns(["a", "b"])
     assert np.allclose(lit[cols].to_numpy(), join[cols].to_numpy(), atol=1e-12)
     # missing value -> global share
@@ -98,7 +98,7 @@ def test_oof_equals_refit_and_does_not_leak(spark, labelled):
     d = FO.stratified_folds(labelled, "Target", n_folds=4)
     enc, g = TE.fit_out_of_fold(d, "fold", ["a", "b"], n_folds=4)
     oof = TE.transform(d, enc, g, ["a", "b"], fold_col="fold").orderBy("ID").toPandas()
-    joinp = TE.transform(d, enc, g, ["a", "b"], fold_col="fold", literal_limit=0).orderBy("ID").toPandas()
+    joinp = TE.transform(d, enc, g, ["a", "b"], fold_col="fold", broadcast_limit=0).orderBy("ID").toPandas()
     cols = TE.encoded_columns(["a", "b"])
     assert np.allclose(oof[cols].to_numpy(), joinp[cols].to_numpy(), atol=1e-12)
     pdf = d.toPandas()
@@ -188,7 +188,7 @@ def test_string_keys_and_empty_folds_are_encoded(spark):
     out = {r["s"]: r for r in TE.transform(df, enc, g, ["s"]).collect()}
     assert out["a'b"]["s_te_0"] == pytest.approx((1 + TE.C.TE_SMOOTHING * 0.25) / (2 + TE.C.TE_SMOOTHING))
     assert out["new"]["s_te_1"] == out[None]["s_te_1"] == pytest.approx(0.5)
-    joined = {r["s"]: r for r in TE.transform(df, enc, g, ["s"], literal_limit=0).collect()}
+    joined = {r["s"]: r for r in TE.transform(df, enc, g, ["s"], broadcast_limit=0).collect()}
     assert joined == out
     # every labelled row in one fold: nothing to encode that fold with
     enc, g = TE.fit_out_of_fold(df, "fold", ["s"], n_folds=2)
