@@ -1,14 +1,14 @@
 """Distributed training with MLlib: learners, out-of-fold scoring, saved models, search.
 
-The reference's boosted-tree libraries are single-machine; here every fit is
-an MLlib estimator whose work (histogram aggregation per tree level) runs on
-the executors.  Fits are independent Spark jobs: ``run_fits`` submits them from
+The reference's boosted-tree libraries are single-machine; here every fit's
+work (histogram aggregation per tree level) runs on the executors.  Fits are independent Spark jobs: ``run_fits`` submits them from
 one small driver thread pool, each in a scheduler pool of its own (with
 ``spark.scheduler.mode=FAIR`` they share the cluster), and commits every
 finished fit, so that a restarted driver fits what is missing only.
 
 Boosted fits (``boosting``) end by patience on their validation rows: the
-held-out fold under cross-validation, else ``held_back`` rows.  MLlib trees
+held-out fold under cross-validation, else ``held_back`` rows.  All folds and
+tasks that share a feature table are boosted side by side.  MLlib trees
 reject NaN/NULL features, so missing values get a sentinel far outside every
 column's range before assembling.
 """
@@ -24,9 +24,8 @@ from dataclasses import dataclass
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import (LogisticRegression, LogisticRegressionModel, RandomForestClassificationModel,
                                        RandomForestClassifier)
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import StringIndexer, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressionModel
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import config as C
@@ -37,10 +36,11 @@ from . import boosting as BO
 #: Stands for a missing value: no answer, amount or score is anywhere near it.
 SENTINEL = -1e9
 #: Up to 2000 boosting rounds (patience ends them), 1000 trees and 1000 iterations.  A forest's level is
-#: one pass over the rows if its statistics fit into maxMemoryInMB.
+#: one pass over the rows if its statistics fit into maxMemoryInMB; their size, which is what a level
+#: shuffles, goes by nodes, features and bins (an answer has ten values at most).
 DEFAULT_PARAMS = {
     "gbt": {"maxIter": 2000, "maxDepth": 4, "stepSize": 0.1, "subsamplingRate": 0.8, "seed": C.SEED},
-    "rf": {"numTrees": 1000, "maxDepth": 6, "seed": C.SEED, "maxMemoryInMB": 1024},
+    "rf": {"numTrees": 1000, "maxDepth": 6, "seed": C.SEED, "maxBins": 16, "maxMemoryInMB": 1024},
     "lr": {"maxIter": 1000, "regParam": 0.01},
 }
 #: Share of rows held back to end boosting where no fold is held out.
@@ -68,8 +68,7 @@ def fit_learner(kind: str, train: DataFrame, label: str = "label", params: dict
     ended by patience on the rows of ``validation_col``; the others don't look at that column."""
     p = {**DEFAULT_PARAMS[kind], **(params or {})}
     if kind == "gbt":
-        names = {"maxIter": "max_rounds", "stepSize": "rate", "weightCol": "weight_col"}
-        return ("boosted", BO.fit_boosted(train, n_classes, label, validation_col, **{names.get(k, k): v for k, v in p.items()}))
+        return ("boosted", BO.fit_boosted(train, n_classes, label, validation_col, **_boosting_params(params)))
     if kind == "rf":
         return ("rf", RandomForestClassifier(labelCol=label, featuresCol="features", **p).fit(train))
     if kind == "lr":
@@ -78,6 +77,11 @@ def fit_learner(kind: str, train: DataFrame, label: str = "label", params: dict
     raise ValueError(kind)
 
 
+def _boosting_params(params: dict | None) -> dict:
+    names = {"maxIter": "max_rounds", "stepSize": "rate", "weightCol": "weight_col"}
+    return {names.get(k, k): v for k, v in {**DEFAULT_PARAMS["gbt"], **(params or {})}.items()}
+
+
 def with_probabilities(fitted, df: DataFrame, names: list[str]) -> DataFrame:
     """``df`` (with ``features``) plus the probability of each class under the given names."""
     form, m = fitted
@@ -152,56 +156,62 @@ def fit_with_early_stopping(train: DataFrame, valid: DataFrame, feature_cols: li
 
 
 # ------------------------------------------------------------ committed fits
-_FORMS = {"boosted": GBTRegressionModel, "rf": RandomForestClassificationModel, "lr": LogisticRegressionModel}
+_FORMS = {"rf": RandomForestClassificationModel, "lr": LogisticRegressionModel}
 
 
 def save_fitted(fitted, path: str, spark, **about) -> None:
-    """One fitted learner as a folder: its MLlib models and what else a learner has."""
+    """One fitted learner as a folder: its MLlib model (trees of boosted ones as text) and what it is."""
     form, m = fitted
-    parts = m.models if form == "boosted" else [m]
-    for i, part in enumerate(parts):
-        part.write().overwrite().save(f"{path}/{i}")
     if form == "boosted":
-        about |= {"prior": m.prior, "best_round": m.best_round, "rounds": m.rounds, "curve": m.curve}
-    Folder(spark, path).write("about.json", json.dumps({"form": form, "parts": len(parts), **about}))
+        about["boosted"] = m.to_json()
+    else:
+        m.write().overwrite().save(f"{path}/model")
+    Folder(spark, path).write("about.json", json.dumps({"form": form, **about}))
 
 
 def load_fitted(path: str, spark):
     """(fitted learner, about) as ``save_fitted`` wrote them."""
     about = json.loads(Folder(spark, path).read("about.json"))
-    parts = [_FORMS[about["form"]].load(f"{path}/{i}") for i in range(about["parts"])]
     if about["form"] == "boosted":
-        return ("boosted", BO.Boosted(parts, about["prior"], about["best_round"], about["rounds"], about["curve"])), about
-    return (about["form"], parts[0]), about
+        return ("boosted", BO.Boosted.from_json(about.pop("boosted"))), about
+    return (about["form"], _FORMS[about["form"]].load(f"{path}/model")), about
 
 
 def fit_name(key) -> str:
     return "-".join(str(k) for k in key) if isinstance(key, tuple) else str(key)
 
 
-def run_fits(spark, fits: dict, path: str | None = None, threads: int = 4) -> dict:
-    """``{key: fit()}`` for every entry of ``fits``, from one pool of driver threads.
+def run_fits(spark, fits: dict, path: str | None = None, threads: int = 4, joint=()) -> dict:
+    """``{key: fit()}`` for every entry of ``fits``, from one pool of driver threads; ``joint``: further
+    ``(keys, fit)``, where ``fit(keys)`` yields ``(key, fitted)`` of several that are fitted side by side.
 
     Each fit's jobs go to a scheduler pool of their own, so that in FAIR mode a long fit doesn't hold up
     the others.  With ``path`` a finished fit is saved below it under a passing name and committed by a
     rename; a fit that is committed already, by this driver or one before it, is loaded instead of run."""
-    folder = Folder(spark, path) if path else None
-
-    def one(key):
-        name = fit_name(key)
-        if folder and folder.exists(f"{name}/about.json"):
-            return load_fitted(f"{path}/{name}", spark)[0]
-        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"fit-{name}")
-        fitted = fits[key]()
+    folder, done = Folder(spark, path) if path else None, {}
+
+    def keep(key, fitted):
         if folder:
-            passing = f".{name}-{uuid.uuid4().hex}"
+            passing = f".{fit_name(key)}-{uuid.uuid4().hex}"
             save_fitted(fitted, f"{path}/{passing}", spark)
-            folder.rename_new(passing, name)  # False: another driver was first, with the same rows and seed
-        return fitted
-
+            folder.rename_new(passing, fit_name(key))  # False: another driver was first, with the same rows and seed
+        done[key] = fitted
+
+    def run(keys, fit):
+        held = [k for k in keys if folder and folder.exists(f"{fit_name(k)}/about.json")]
+        done.update({k: load_fitted(f"{path}/{fit_name(k)}", spark)[0] for k in held})
+        missing = [k for k in keys if k not in done]
+        if missing:
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"fit-{fit_name(missing[0])}")
+            for key, fitted in fit(missing):
+                keep(key, fitted)
+
+    work = [*joint, *[([key], lambda keys, key=key: [(key, fits[key]())]) for key in fits]]
     with ThreadPoolExecutor(max_workers=threads) as pool:
-        futures = {key: pool.submit(one, key) for key in fits}
-        return {key: f.result() for key, f in futures.items()}
+        futures = [pool.submit(run, keys, fit) for keys, fit in work]
+        for f in futures:
+            f.result()
+    return {key: done[key] for keys, _ in work for key in keys}
 
 
 # ------------------------------------------------------------ cross-validation
@@ -214,35 +224,50 @@ class CrossValidated:
     columns: dict
 
 
-def _fold_frames(df: DataFrame, feature_cols, fold_col, keep, labels: dict, encoder):
-    """Per fold the assembled rows (``keep``, features, one ``__y<task>`` per task, ``__val``), written once, and
-    its feature columns.  Without an encoder all folds share one table."""
+def _fold_table(df: DataFrame, feature_cols, fold_col, keep, labels: dict, encoder):
+    """The assembled rows (``keep``, ``features``, one ``__y<task>`` per task), written once: the features and,
+    with an encoder, each fold's encodings after them.  Also each fold's feature columns and their places."""
     folds = sorted(r[0] for r in df.select(fold_col).distinct().collect())  # k values
-    frames, columns, shared = {}, {}, None
+    rows, columns, places, everything = df, {}, {}, list(feature_cols)
     for f in folds:
-        rows, extra = encoder(f, df) if encoder is not None else (df, [])
+        rows, extra = encoder(f, rows) if encoder is not None else (rows, [])
         columns[f] = list(feature_cols) + extra
-        if encoder is not None or shared is None:
-            a = assemble(rows, columns[f]).select(*dict.fromkeys([*keep, fold_col]), "features", *[y.alias(f"__y{t}") for t, y in labels.items()])
-            shared = materialised(a, f"fold-{f}")
-        frames[f] = shared.withColumn("__val", F.col(fold_col) == f)
-    return frames, columns
+        places[f] = (*range(len(feature_cols)), *range(len(everything), len(everything) + len(extra)))
+        rows = rows.withColumnsRenamed({c: f"__{f}_{c}" for c in extra})
+        everything += [f"__{f}_{c}" for c in extra]
+    a = assemble(rows, everything).select(*dict.fromkeys([*keep, fold_col]), "features", *[y.alias(f"__y{t}") for t, y in labels.items()])
+    return materialised(a, "fold-table"), columns, places
 
 
 def _cross_validate(df, feature_cols, fold_col, labels, learners, params, keep, threads, encoder, n_classes, path):
     """(long out-of-fold table with ``task`` and ``model``, models by (task, fold, learner), columns by fold)."""
     keep = list(dict.fromkeys([*keep, fold_col]))
-    frames, columns = _fold_frames(df, feature_cols, fold_col, keep, labels, encoder)
+    params = params or {}
+    weight = (params.get("gbt") or {}).get("weightCol")
+    table, columns, places = _fold_table(df, feature_cols, fold_col, [*keep, weight] if weight else keep, labels, encoder)
+
+    def frame(f):
+        """The rows with the features of fold f's models."""
+        if encoder is None:
+            return table
+        own = VectorSlicer(inputCol="features", outputCol="__own", indices=list(places[f]))
+        return own.transform(table).drop("features").withColumnRenamed("__own", "features")
+
+    def boosted(keys):
+        """All tasks and folds side by side, each fold's models on its own features."""
+        wanted = [BO.Ensemble((t, f, k), f"__y{t}", f, n_classes, places[f] if encoder is not None else None) for t, f, k in keys]
+        for key, m in BO.boost(table, wanted, fold_col, **_boosting_params(params.get("gbt"))):
+            yield key, ("boosted", m)
 
     def fit(t, f, k):
-        rows = frames[f] if k == "gbt" else frames[f].where(~F.col("__val"))
-        return fit_learner(k, rows, f"__y{t}", (params or {}).get(k), n_classes, "__val")
+        return fit_learner(k, frame(f).where(F.col(fold_col) != f), f"__y{t}", params.get(k), n_classes)
 
-    keys = [(t, f, k) for k in learners for t in labels for f in frames]  # the longest kind first
-    models = run_fits(df.sparkSession, {key: lambda key=key: fit(*key) for key in keys}, path, threads)
+    joint = [([(t, f, "gbt") for f in places for t in labels], boosted)] if "gbt" in learners else []
+    keys = [(t, f, k) for k in learners if k != "gbt" for t in labels for f in places]
+    models = run_fits(df.sparkSession, {key: lambda key=key: fit(*key) for key in keys}, path, threads, joint)
     out = None
     for (t, f, k), fitted in models.items():
-        p = predict_proba(fitted, frames[f].where(F.col("__val")), keep, n_classes).withColumns({"task": F.lit(t), "model": F.lit(k)})
+        p = predict_proba(fitted, frame(f).where(F.col(fold_col) == f), keep, n_classes).withColumns({"task": F.lit(t), "model": F.lit(k)})
         out = p if out is None else out.unionByName(p)
     return out, models, columns
 
@@ -253,7 +278,8 @@ def cross_validate(df: DataFrame, feature_cols: list[str], fold_col: str = "fold
     """Per fold f: fit on folds != f (boosting stops on fold f), score fold f; every row scored once.
 
     ``encoder(f, rows) -> (rows, cols)`` adds the encodings fitted without fold f to all rows; it is
-    called once a fold and its columns serve all learners.  Each fold's assembled rows are written once.
+    called once a fold and its columns serve all learners.  The assembled rows are written once, with the
+    encodings of all folds side by side.
     ``path``: folder in which finished fits are committed (see ``run_fits``).
     """
     oof, models, columns = _cross_validate(df, feature_cols, fold_col, {"": F.col(label).cast("double")}, learners, params, [*keep, fold_col, label],
@@ -356,8 +382,7 @@ def load_models(spark, path: str) -> CrossValidated:
 def feature_importance(fitted, feature_cols: list[str], spark, top: int = 20) -> DataFrame:
     """Importances zipped with the assembled column names, sorted, top-k."""
     form, m = fitted
-    parts = m.models if form == "boosted" else [m]
-    imp = [sum(float(part.featureImportances[i]) for part in parts) / len(parts) for i in range(len(feature_cols))]
+    imp = m.importances() if form == "boosted" else m.featureImportances.toArray()
     rows = [(c, float(v)) for c, v in zip(feature_cols, imp)]
     return (spark.createDataFrame(rows, "feature string, importance double")
             .orderBy(F.desc("importance"), F.asc("feature")).limit(top))

@@ -128,10 +128,9 @@ def pack(enc: DataFrame, glob: DataFrame, cols: list[str], fold_col: str | None,
     in_order = F.transform(F.array_sort("_l", lambda x, y: x["_b"] - y["_b"]), lambda x: x["_m"])
     wide = full.select(*by, "column_name", in_order.alias("_d")).groupBy(*by).agg(
         *[F.first(F.when(F.col("column_name") == c, F.col("_d")), ignorenulls=True).alias(f"d{i}") for i, c in enumerate(cols)])
-    shares = glob.select(*by, F.array(*[f"g{c}" for c in range(n_classes)]).alias("g"))
     if by:
-        return shares.join(wide, "fold", "left")
-    return shares.select("g", *[wide.select(f"d{i}").scalar().alias(f"d{i}") for i in range(len(cols))])
+        return glob.select("fold", F.array(*[f"g{c}" for c in range(n_classes)]).alias("g")).join(wide, "fold", "left")
+    return wide.select("*", F.array(*[glob.select(f"g{c}").scalar() for c in range(n_classes)]).alias("g"))  # one row, also of an empty table
 
 
 def _look_up(values: dict, dictionary, cols: list[str], n_classes: int) -> list[Column]:
@@ -157,17 +156,24 @@ def transform(df: DataFrame, enc: DataFrame, glob: DataFrame, cols: list[str] =
     if enc.limit(broadcast_limit + 1).count() > broadcast_limit:
         return _transform_join(df, enc, glob, cols, fold_col, n_classes)
     kind = dict(enc.dtypes)["value"]
-    typed = {c: F.col(c).cast(kind) + F.lit(0.0) if kind == "double" else F.col(c).cast(kind) for c in cols}  # -0.0 is 0.0
     packed = pack(enc, glob, cols, fold_col, n_classes)
-    if fold_col:
-        here = packed.withColumnsRenamed({c: f"__{c}" for c in packed.columns})
-        joined = df.join(F.broadcast(here), F.col(fold_col) == F.col("__fold"), "left")  # one row a fold, size checked above
-        dictionary = lambda name: F.col(f"__{name}")
-    else:
-        joined = df.withColumn("__dict", packed.select(F.struct("*")).scalar())
-        dictionary = lambda name: F.col("__dict")[name]
-    found = joined.select(*df.columns, *_look_up(typed, dictionary, cols, n_classes))
-    return found.select(*df.columns, *[F.get(f"__e{i}", c).alias(f"{col}_te_{c}") for i, col in enumerate(cols) for c in range(n_classes)])
+    if not fold_col:
+        return apply_packed(df, packed, kind, cols, n_classes)
+    here = packed.withColumnsRenamed({c: f"__{c}" for c in packed.columns})
+    joined = df.join(F.broadcast(here), F.col(fold_col) == F.col("__fold"), "left")  # one row a fold, size checked above
+    return _encoded(joined, df.columns, lambda name: F.col(f"__{name}"), kind, cols, n_classes)
+
+
+def apply_packed(df: DataFrame, packed: DataFrame, kind: str, cols: list[str] = C.TARGET_ENCODE_COLS, n_classes: int = C.N_CLASSES) -> DataFrame:
+    """Encode all rows by a packed dictionary of one row (say one fold's); ``kind``: the type of its values."""
+    joined = df.withColumn("__dict", packed.select(F.struct("*")).scalar())
+    return _encoded(joined, df.columns, lambda name: F.col("__dict")[name], kind, cols, n_classes)
+
+
+def _encoded(joined, keep, dictionary, kind, cols, n_classes):
+    typed = {c: F.col(c).cast(kind) + F.lit(0.0) if kind == "double" else F.col(c).cast(kind) for c in cols}  # -0.0 is 0.0
+    found = joined.select(*keep, *_look_up(typed, dictionary, cols, n_classes))
+    return found.select(*keep, *[F.get(f"__e{i}", c).alias(f"{col}_te_{c}") for i, col in enumerate(cols) for c in range(n_classes)])
 
 
 def _transform_join(df, enc, glob, cols, fold_col, n_classes):

@@ -66,11 +66,11 @@ def _full_encoder(tr, te):
 def fold_encoder(base):
     """Encoder of each fold's complement, all of them from one aggregate; see ``MD.cross_validate``."""
     enc, g = TE.fit_out_of_fold(base, "fold", n_folds=K_FOLDS)
-    enc, g = materialised(enc, "encodings"), materialised(g, "encoding-shares")
+    packed = materialised(TE.pack(materialised(enc, "encodings"), g, TE.C.TARGET_ENCODE_COLS, "fold", C.N_CLASSES), "packed-encodings")
+    kind = dict(enc.dtypes)["value"]
 
     def encode(f, rows):
-        here = F.col("fold") == f
-        return TE.transform(rows, enc.where(here).drop("fold"), g.where(here).drop("fold")), TE.encoded_columns()
+        return TE.apply_packed(rows, packed.where(F.col("fold") == f), kind), TE.encoded_columns()
     return encode
 
 
@@ -119,13 +119,13 @@ def q_early_stopping(spark, sf_dir):
     the last allowed round), and the model has the trees of the round with the least validation loss."""
     base = _train_with_folds(_base(spark, sf_dir))
     most = MD.DEFAULT_PARAMS["gbt"]["maxIter"]
-    cv = MD.cross_validate(base, _feature_cols(base), "fold", learners=["gbt"], threads=K_FOLDS)
+    cv = MD.cross_validate(base, _feature_cols(base), "fold", learners=["gbt"])
     rows = []  # one a fold
     for (f, _), (_, m) in cv.models.items():
         least = min(m.curve)
         rows.append((int(f), m.rounds == min(m.best_round + BO.PATIENCE, most) and m.rounds == len(m.curve),
                      m.curve[m.best_round - 1] == least and all(c > least for c in m.curve[:m.best_round - 1])
-                     and all(part.getNumTrees == m.best_round for part in m.models)))
+                     and all(len(trees) == m.best_round for trees in m.trees)))
     ended = spark.createDataFrame(rows, "fold bigint, by_patience boolean, cut_at_best boolean")
     return (base.groupBy("fold").agg(F.count(F.lit(1)).alias("n_validation")).join(F.broadcast(ended), "fold")
             .select("fold", F.lit(most).cast("bigint").alias("max_rounds"), "by_patience", "cut_at_best", "n_validation"))

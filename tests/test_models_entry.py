@@ -19,6 +19,7 @@ def small(spark):
 
 
 FAST = {"rf": {"numTrees": 10}}  # fewer trees for properties that don't depend on them
+QUICK = FAST | {"gbt": {"maxIter": 8}}
 
 
 def test_cross_validation_scores_every_row_once(small):
@@ -32,7 +33,9 @@ def test_cross_validation_scores_every_row_once(small):
     right = cv.oof.where("model = 'gbt'").select(F.avg((F.greatest("p0", "p1", "p2") == F.element_at(F.array("p0", "p1", "p2"), F.col("Target") + 1)).cast("int"))).first()[0]
     assert right > 0.9
     most = MD.DEFAULT_PARAMS["gbt"]["maxIter"]
-    assert all(0 < m.getNumTrees < most for (_, k), (_, ms) in cv.models.items() if k == "gbt" for m in ms)
+    for (_, k), (_, m) in cv.models.items():
+        if k == "gbt":
+            assert 0 < m.best_round and m.rounds == m.best_round + 50 < most and all(len(trees) == m.best_round for trees in m.trees)
 
 
 def test_encoder_is_called_once_a_fold(small):
@@ -49,12 +52,14 @@ def test_encoder_is_called_once_a_fold(small):
 
 def test_saved_models_score_like_those_in_memory(spark, small, tmp_path):
     from inclusio.operators import models as MD
-    cv = MD.cross_validate(small, ["a", "b"], params=FAST)
+    cv = MD.cross_validate(small, ["a", "b"], params=QUICK)
     MD.save_models(cv, spark, str(tmp_path / "run"))
     back = MD.load_models(spark, str(tmp_path / "run"))
     key = lambda r: (r["ID"], r["model"])
     one, two = (sorted(MD.score_fold_average(x, small, ["ID"]).collect(), key=key) for x in (cv, back))
     assert one == two and len(one) == 3 * 400
+    assert [(m.best_round, m.rounds, m.curve, m.prior) for (_, k), (_, m) in sorted(back.models.items()) if k == "gbt"] == [
+        (m.best_round, m.rounds, m.curve, m.prior) for (_, k), (_, m) in sorted(cv.models.items()) if k == "gbt"]
     # the average over the folds, by hand for one learner
     by_hand = [MD.predict_proba(cv.models[f, "rf"], MD.assemble(small, cv.columns[f]), ["ID"]) for f in range(5)]
     total = by_hand[0].unionByName(by_hand[1]).unionByName(by_hand[2]).unionByName(by_hand[3]).unionByName(by_hand[4])
@@ -64,26 +69,92 @@ def test_saved_models_score_like_those_in_memory(spark, small, tmp_path):
 
 def test_ordinal_tasks_have_every_learner(small):
     from inclusio.operators import models as MD
-    models = MD.train_ordinal(small, ["a", "b"], params=FAST)
+    models = MD.train_ordinal(small, ["a", "b"], params=QUICK)
     assert set(models) == {(t, k) for t in "AB" for k in MD.LEARNERS}
     got = MD.score_ordinal(models, small, ["a", "b"], ["ID", "Target"]).collect()
     assert len(got) == 400 and all(0 <= r["p_A"] <= 1 and 0 <= r["p_B"] <= 1 for r in got)
     assert sum((r["p_A"] >= 0.5) + (r["p_B"] >= 0.5) == r["Target"] for r in got) > 350
 
 
-def test_ordinal_cross_validation(small):
+def test_ordinal_cross_validation_reads_the_encoded_columns(small):
     from inclusio.operators import models as MD
     from inclusio.operators import search as SR
-    oof, cvs = MD.cross_validate_ordinal(small, ["a", "b"], learners=["rf", "lr"], params=FAST)
+    calls = []
+
+    def encoder(f, rows):  # the only column that tells the classes apart
+        calls.append(f)
+        return rows.withColumn("told", F.col("Target") * 2.0), ["told"]
+
+    oof, cvs = MD.cross_validate_ordinal(small, ["c"], learners=["rf", "lr"], params=FAST, encoder=encoder)
+    assert sorted(calls) == [0, 1, 2, 3, 4]  # one encoding serves both tasks
     assert set(cvs) == {"A", "B"} and all(set(cv.models) == {(f, k) for f in range(5) for k in ("rf", "lr")} for cv in cvs.values())
+    assert all(cv.columns[f] == ["c", "told"] for cv in cvs.values() for f in range(5))
     rows = oof.collect()
     assert len(rows) == len({r["ID"] for r in rows}) == 400
     assert all(0 <= r[c] <= 1 for r in rows for c in ("rf_pA", "rf_pB", "lr_pA", "lr_pB"))
-    assert sum((r["rf_pA"] >= 0.5) + (r["rf_pB"] >= 0.5) == r["Target"] for r in rows) > 360
+    assert sum((r["rf_pA"] >= 0.5) + (r["rf_pB"] >= 0.5) == r["Target"] for r in rows) == 400
     blends = SR.simplex_blends(oof, "Target", ["rf", "lr"], [(1.0, 0.0), (0.25, 0.75)]).collect()
     assert len(blends) == 800
     want = sorted(round(0.25 * r["rf_pA"] + 0.75 * r["lr_pA"], 12) for r in rows)
     assert sorted(round(b["pA"], 12) for b in blends if b["wi"] == 1) == want
+    # the fold averages, blended, against the fold models one by one
+    told = small.withColumn("told", F.col("Target") * 2.0)
+    got = {r["ID"]: r for r in MD.score_ordinal_average(cvs, told, ["ID"], {"rf": 0.25, "lr": 0.75}).collect()}
+    for t in "AB":
+        for i in ("r0", "r7", "r11"):
+            one = MD.assemble(told.where(F.col("ID") == i), ["c", "told"])
+            want = sum(w / 5 * MD.predict_proba(cvs[t].models[f, k], one, ["ID"], 2).first()["p1"] for f in range(5) for k, w in (("rf", 0.25), ("lr", 0.75)))
+            assert got[i][f"p_{t}"] == pytest.approx(want, abs=1e-9)
+
+
+def test_committed_fits_are_not_run_again(small, tmp_path, monkeypatch):
+    """A restarted run fits what its predecessor has not committed, and nothing else."""
+    from inclusio.operators import models as MD
+    path, fit, ran = str(tmp_path / "fits"), MD.fit_learner, []
+
+    def counted(kind, *args, **kw):
+        if len(ran) == 3:
+            raise RuntimeError("driver lost")
+        ran.append(kind)
+        return fit(kind, *args, **kw)
+
+    monkeypatch.setattr(MD, "fit_learner", counted)
+    run = lambda: MD.cross_validate(small, ["a", "b"], learners=["lr"], threads=1, path=path)
+    with pytest.raises(RuntimeError, match="driver lost"):
+        run()
+    monkeypatch.setattr(MD, "fit_learner", lambda kind, *args, **kw: (ran.append(kind), fit(kind, *args, **kw))[1])
+    resumed = run()
+    assert len(ran) == 5
+    again = run()
+    assert len(ran) == 5 and set(again.models) == {(f, "lr") for f in range(5)}
+    one, two, fresh = (sorted(cv.oof.collect()) for cv in (resumed, again, MD.cross_validate(small, ["a", "b"], learners=["lr"])))
+    assert one == two == fresh
+
+
+def test_a_fit_cut_short_is_not_seen(spark, small, tmp_path):
+    from inclusio.operators import models as MD
+    path = str(tmp_path / "fits")
+    a = MD.assemble(small, ["a", "b"]).withColumn("label", F.col("Target").cast("double"))
+    fitted = MD.fit_learner("lr", a)
+    fitted[1].write().save(f"{path}/.x-unfinished/0")  # no about.json, not renamed
+    ran = []
+    MD.run_fits(spark, {"x": lambda: (ran.append(1), fitted)[1]}, path)
+    MD.run_fits(spark, {"x": lambda: (ran.append(1), fitted)[1]}, path)
+    assert ran == [1]
+
+
+def test_fold_report(small):
+    from inclusio.operators import models as MD
+    cv = MD.cross_validate(small, ["a", "b"], learners=["gbt", "lr"], params=QUICK)
+    rows = {(r["fold"], r["model"]): r for r in MD.fold_report(cv).collect()}
+    assert len(rows) == 10
+    truth = small.where("Target = 2").groupBy("fold").count().collect()
+    for r in truth:
+        assert rows[r["fold"], "gbt"]["high_true"] == rows[r["fold"], "lr"]["high_true"] == r["count"]
+    for f in range(5):
+        m = cv.models[f, "gbt"][1]
+        assert (rows[f, "gbt"]["best_round"], rows[f, "gbt"]["rounds"]) == (m.best_round, m.rounds) and rows[f, "lr"]["rounds"] is None
+        assert rows[f, "gbt"]["f1_weighted"] > 0.9
 
 
 def test_missing_is_told_apart_from_minus_one(spark):
@@ -125,6 +196,114 @@ def test_entry_and_contract(spark):
     assert len(q) >= 100
 
 
+def test_boosting_ends_on_a_plateau():
+    from inclusio.operators.boosting import best_round
+    falling = [1.0, 0.8, 0.7, 0.65]
+    assert best_round([], 3) == (0, False)
+    assert best_round(falling, 3) == (4, False)
+    assert best_round([*falling, 0.651, 0.651], 3) == (4, False)  # small losses don't end it
+    assert best_round([*falling, 0.651, 0.66, 0.64], 3) == (7, False)  # a later gain starts the patience anew
+    assert best_round([*falling, 0.65, 0.65, 0.65], 3) == (4, True)  # of equal ones the first
+
+
+def test_patience_outlasts_a_plateau(small):
+    """The curve of a real fit: patience keeps on where a rule on single gains has stopped."""
+    from inclusio.operators import boosting as BO
+    from inclusio.operators import models as MD
+    a = MD.assemble(small, ["a", "b"]).withColumn("label", F.col("Target").cast("double")).withColumn("__val", F.col("fold") == 0).cache()
+    m = BO.fit_boosted(a, 3, validation_col="__val", patience=5, max_rounds=300, maxDepth=2, seed=1)
+    gains = [(x - y) / x for x, y in zip(m.curve, m.curve[1:])]
+    first_small = next((i for i, g in enumerate(gains) if g < 0.01), len(gains))
+    assert m.best_round > first_small + 1 and m.rounds == min(m.best_round + 5, 300)
+    held = m.probabilities(a).where("__val")
+    assert BO.log_loss(held, "label", ["__p0", "__p1", "__p2"]) == pytest.approx(min(m.curve), abs=1e-9)
+    p = held.selectExpr("min(__p0 + __p1 + __p2)", "max(__p0 + __p1 + __p2)").first()
+    assert p[0] == pytest.approx(1) and p[1] == pytest.approx(1)
+
+
+def test_joint_boosting_is_not_worse_than_one_against_the_rest(spark):
+    """Three overlapping classes: the joint loss against three binary models whose scores are normalised."""
+    from inclusio.operators import boosting as BO
+    from inclusio.operators import models as MD
+    rows = [(float(x), float(y), float(min(2, max(0, (x + 2 * y + (x * 7 + y * 13 + i * 5) % 11 - 5) // 12))), i % 4 == 0)
+            for i in range(3) for x in range(12) for y in range(12)]
+    a = MD.assemble(spark.createDataFrame(rows, "a double, b double, label double, __val boolean"), ["a", "b"]).cache()
+    joint = BO.fit_boosted(a, 3, validation_col="__val", patience=10, max_rounds=60, maxDepth=3, seed=2)
+    held = joint.probabilities(a).where("__val")
+    single = held
+    for c in range(3):
+        one = a.withColumn("label", (F.col("label") == c).cast("double"))
+        m = BO.fit_boosted(one, 2, validation_col="__val", patience=10, max_rounds=60, maxDepth=3, seed=2)
+        single = m.probabilities(single, f"__q{c}")
+    total = F.col("__q01") + F.col("__q11") + F.col("__q21")
+    single = single.select("label", *[(F.col(f"__q{c}1") / total).alias(f"q{c}") for c in range(3)])
+    assert BO.log_loss(held, "label", ["__p0", "__p1", "__p2"]) <= BO.log_loss(single, "label", ["q0", "q1", "q2"]) + 0.01
+
+
+def test_boosting_without_validation_rows_or_a_class(spark):
+    from inclusio.operators import boosting as BO
+    from inclusio.operators import models as MD
+    rows = [(float(i), float(i % 2), 1.0 + i % 3) for i in range(60)]  # no row of class 2
+    a = MD.assemble(spark.createDataFrame(rows, "a double, label double, w double"), ["a"])
+    m = BO.fit_boosted(a, 3, weight_col="w", max_rounds=3, maxDepth=2)
+    assert m.rounds == m.best_round == 3 and m.curve == []
+    got = m.probabilities(a).agg(F.max("__p2"), F.min("__p0"), F.max("__p0")).first()
+    assert got[0] < 0.01 and 0 < got[1] <= got[2] < 1
+
+
+def test_two_writers_of_a_version(spark, tmp_path):
+    from inclusio.sources import versions as VE
+    store = VE.Store(spark, str(tmp_path / "store"))
+    assert store.current() is None and store.numbers() == []
+    one, two = store.draft(), store.draft()
+    one.table("t", spark.range(10))
+    two.table("t", spark.range(5))
+    assert store.numbers() == []  # tables without a manifest are not seen
+    assert one.commit().number == 1
+    with pytest.raises(VE.Conflict):
+        two.commit()
+    assert store.load("t", verify=True).count() == 10 and store.numbers() == [1]
+    # an update meets another writer in between and is applied to what that one left
+    seen = []
+
+    def change(draft, current):
+        seen.append(current.number)
+        if len(seen) == 1:
+            other = store.draft()
+            other.values["other"] = 1
+            other.commit()
+        draft.values["mine"] = 2
+
+    assert store.update(change).number == 3 and seen == [1, 2]
+    assert store.current().values == {"other": 1, "mine": 2} and store.current().tables.keys() == {"t"}
+
+
+def test_a_write_cut_short_is_not_seen_and_changes_are_noticed(spark, tmp_path):
+    from inclusio.sources import versions as VE
+    store = VE.Store(spark, str(tmp_path / "store"))
+    draft = store.draft()
+    draft.table("t", spark.range(4).selectExpr("id", "CAST(id AS STRING) AS s"))
+    draft.commit()
+    store.folder.write("versions/.half.tmp", "{")
+    store.draft().table("t", spark.range(9))
+    assert store.numbers() == [1] and store.load("t").columns == ["id", "s"]
+    assert VE.digest(spark.range(4)) == VE.digest(spark.range(4).orderBy(F.desc("id"))) != VE.digest(spark.range(1, 5))
+    spark.range(4).selectExpr("id + 1 AS id", "CAST(id AS STRING) AS s").write.mode("overwrite").parquet(f"{store.path}/{store.current().tables['t']['path']}")
+    with pytest.raises(ValueError, match="changed"):
+        store.load("t", verify=True)
+
+
+def test_better_decisions_replace_worse_ones(spark, tmp_path):
+    from inclusio.sources import versions as VE
+    store = VE.Store(spark, str(tmp_path / "store"))
+    frame = lambda t: spark.createDataFrame([(t,)], "t double")
+    assert store.keep_if_better("d", frame(1.0), "f1", 0.5) is True
+    assert store.keep_if_better("d", frame(2.0), "f1", 0.4) is False and store.keep_if_better("d", frame(2.0), "f1", 0.5) is False
+    assert store.load("d").first()["t"] == 1.0
+    assert store.keep_if_better("d", frame(3.0), "f1", 0.6) is True
+    assert store.load("d").first()["t"] == 3.0 and store.load("d", store.version(1)).first()["t"] == 1.0 and store.numbers() == [1, 2]
+
+
 def test_categorical_index_unseen(spark):
     from pyspark.ml.feature import StringIndexer
     tr = spark.createDataFrame([("b",), ("a",), ("b",)], "c string")
