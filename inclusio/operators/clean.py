@@ -96,3 +96,29 @@ def column_differences(left: DataFrame, right: DataFrame) -> tuple[list[str], li
     """(in left not right, in right not left), each in column order."""
     r, l_ = set(right.columns), set(left.columns)
     return [c for c in left.columns if c not in r], [c for c in right.columns if c not in l_]
+
+
+def category_codes(train: DataFrame, cols: list[str]) -> DataFrame:
+    """(column_name, value, code) of every non-missing value of the given columns: codes count from 0 in
+    ascending order within a column.  One stacked distinct serves all columns, and the skew-safe prefix sum
+    numbers its values, so that a column of many values is spread over tasks."""
+    from .ranking import exclusive_prefix_sum
+
+    items = [F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in cols]
+    values = train.select(F.explode(F.array(*items)).alias("s")).select("s.*").where(F.col("value").isNotNull()).distinct()
+    return exclusive_prefix_sum(values, ["column_name"], ["value"], out_col="code").select("column_name", "value", "code")
+
+
+def with_category_codes(df: DataFrame, codes: DataFrame, cols: list[str], suffix: str = "_idx") -> tuple[DataFrame, list[str]]:
+    """``df`` plus ``<col><suffix>`` for every column, and the names added.  An unseen or missing value gets the
+    number of the column's codes.  The codes are looked up like encodings of one class: one packed
+    dictionary for all columns, or joins if it is too large to broadcast."""
+    from .target_encoding import transform
+
+    codes = codes.withColumn("enc_0", F.col("code").cast("double"))
+    none = df.sparkSession.range(1).select(F.lit(-1.0).alias("g0"))
+    sizes = codes.groupBy().pivot("column_name", cols).agg(F.count(F.lit(1)))  # one row
+    coded = transform(df, codes.select("column_name", "value", "enc_0"), none, cols, n_classes=1)
+    coded = coded.withColumn("__n", sizes.select(F.struct("*")).scalar())
+    found = [F.when(F.col(f"{c}_te_0") >= 0, F.col(f"{c}_te_0")).otherwise(F.coalesce(F.col("__n")[c], F.lit(0))).cast("bigint").alias(f"{c}{suffix}") for c in cols]
+    return coded.select(*df.columns, *found), [f"{c}{suffix}" for c in cols]

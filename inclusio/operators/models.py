@@ -436,16 +436,18 @@ N_TRIALS = 100
 
 
 def random_search(base: DataFrame, feature_cols: list[str], weight_col: str | None = None, fold_col: str = "fold",
-                  label: str = C.TARGET_COL, n_trials: int = N_TRIALS, seed: int = C.SEED, threads: int = 4) -> DataFrame:
+                  label: str = C.TARGET_COL, n_trials: int = N_TRIALS, seed: int = C.SEED, threads: int = 4,
+                  fixed: dict | None = None) -> DataFrame:
     """One row per trial: its parameters, as fitted, and macro F1 after the threshold search on its
-    out-of-fold probabilities.  Trials and folds share one pool of driver threads."""
+    out-of-fold probabilities.  Trials share one pool of driver threads, a trial's folds are boosted side by
+    side.  ``fixed``: parameters that all trials share."""
     from . import search as SR
 
     grid = C.threshold_grid(30)
     trials = sample_trials(n_trials, seed)
 
     def one(trial):
-        params = {k: v for k, v in trial.items() if k != "trial"} | ({"weightCol": weight_col} if weight_col else {})
+        params = (fixed or {}) | {k: v for k, v in trial.items() if k != "trial"} | ({"weightCol": weight_col} if weight_col else {})
         oof = cross_validate(base, feature_cols, fold_col, label, ["gbt"], {"gbt": params}, threads=2).oof
         cells = SR.grid_cells(oof.withColumn("y", F.col(label)), F.col("p1"), F.col("p2"), "y", grid)
         best = SR.first_best(SR.cube_scores(cells, len(grid)), "f1_macro", ["j2", "j1"]).select("f1_macro").first()

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.ml.feature import StringIndexer
 from pyspark.sql import functions as F
 
 from .. import config as C
@@ -357,16 +356,19 @@ def q_sink(spark, sf_dir):
     return spark.read.parquet(path).select(*c.columns)
 
 
-@register("categorical_index", sql=lambda: SV.survey_cte() + """,
-lab AS (SELECT country, CAST(row_number() OVER (ORDER BY country) - 1 AS DOUBLE) AS idx
-        FROM (SELECT DISTINCT country FROM survey WHERE split = 'train' AND country IS NOT NULL) d),
-nl AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM lab)
-SELECT s.ID, s.country, COALESCE(lab.idx, nl.n) AS country_idx
-FROM survey s LEFT JOIN lab ON s.country = lab.country CROSS JOIN nl WHERE s.split = 'test'""")
+_STRINGS = [c for c, _ in SV.ANSWER_COLUMNS] + ["country"]
+
+
+def _codes_sql(c: str) -> str:
+    return (f"{c}_codes AS (SELECT {c} AS v, CAST(row_number() OVER (ORDER BY {c}) - 1 AS BIGINT) AS i "
+            f"FROM (SELECT DISTINCT {c} FROM survey WHERE split = 'train' AND {c} IS NOT NULL) d)")
+
+
+@register("categorical_index", sql=lambda: SV.survey_cte() + ",\n" + ",\n".join(_codes_sql(c) for c in _STRINGS) + "\nSELECT s.ID, " + ", ".join(
+    f"coalesce({c}_codes.i, (SELECT count(*) FROM {c}_codes)) AS {c}_idx" for c in _STRINGS) + "\nFROM survey s " + " ".join(
+    f"LEFT JOIN {c}_codes ON s.{c} = {c}_codes.v" for c in _STRINGS) + " WHERE s.split = 'test'")
 def q_cat_index(spark, sf_dir):
-    """StringIndexer fitted on train only (alphabetical), unseen / missing -> extra index."""
-    tr = SV.survey_split(spark, sf_dir, "train")
-    te = SV.survey_split(spark, sf_dir, "test")
-    si = StringIndexer(inputCol="country", outputCol="country_idx", handleInvalid="keep",
-                       stringOrderType="alphabetAsc").fit(tr)
-    return si.transform(te).select("ID", "country", "country_idx")
+    """All string columns as category codes, fitted on train only (ascending), unseen and missing -> one more."""
+    codes = CL.category_codes(SV.survey_split(spark, sf_dir, "train"), _STRINGS)
+    coded, names = CL.with_category_codes(SV.survey_split(spark, sf_dir, "test"), codes, _STRINGS)
+    return coded.select("ID", *names)

@@ -8,6 +8,7 @@ from .. import config as C
 from ..functions import features as FX
 from ..operators import folds as FO
 from ..operators import profile as P
+from ..session import materialised
 from ..sources import survey_view as SV
 from . import sql_text as S
 from .q_prepare import cleaned, featured
@@ -112,6 +113,41 @@ def q_cardinality(spark, sf_dir):
     return P.cardinality(raw_train(spark, sf_dir), STRING_COLS)
 
 
+@register("cardinality_sketch", sql=lambda: raw_train_sql() + "\n" + _union(
+    [f"SELECT '{c}' AS column_name, count({c}) AS n, TRUE AS within, TRUE AS merged_as_one_pass FROM rt" for c in STRING_COLS]))
+def q_cardinality_sketch(spark, sf_dir):
+    """Sketches per country, written, then united: within 2 % of the exact distinct counts, and the same as
+    sketching all rows at once."""
+    rows = raw_train(spark, sf_dir)
+    parts = materialised(P.cardinality_sketches(rows, STRING_COLS, ["country"]), "cardinality-sketches")
+    merged = P.merged_cardinality(parts, STRING_COLS).withColumnRenamed("n_distinct", "estimate")
+    once = P.merged_cardinality(P.cardinality_sketches(rows, STRING_COLS, []), STRING_COLS).select("column_pos", F.col("n_distinct").alias("once"))
+    exact = P.cardinality(rows, STRING_COLS).select("column_pos", "n_distinct")
+    counts = parts.groupBy("column_pos").agg(F.sum("n").alias("n"))
+    joined = merged.join(once, "column_pos").join(exact, "column_pos").join(counts, "column_pos", "left")
+    close = F.abs(F.col("estimate") - F.col("n_distinct")) <= F.greatest(F.col("n_distinct") * 0.02, F.lit(0.5))
+    return joined.select("column_name", F.coalesce("n", F.lit(0)).alias("n"), close.alias("within"), (F.col("estimate") == F.col("once")).alias("merged_as_one_pass"))
+
+
+_QUARTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
+
+
+@register("quantile_sketch", sql=lambda: raw_train_sql() + "\n" + _union(
+    [f"SELECT '{c}' AS column_name, count({c}) AS n, " + ", ".join(f"TRUE AS {q}_within" for q in _QUARTILES) + " FROM rt" for c in C.NUMERIC_COLS]))
+def q_quantile_sketch(spark, sf_dir):
+    """KLL sketches per country, written, then merged: each quartile's rank among the rows is within 1 % of
+    its own (counting the ties of the value on both sides)."""
+    rows = raw_train(spark, sf_dir)
+    parts = materialised(P.quantile_sketches(rows, C.NUMERIC_COLS, ["country"]), "quantile-sketches")
+    found = P.merged_quantiles(parts, C.NUMERIC_COLS, _QUARTILES).drop("column_pos")
+    long = rows.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("x")) for c in C.NUMERIC_COLS])).alias("s")).select("s.*")
+    below = long.where("x IS NOT NULL").join(F.broadcast(found), "column_name").groupBy("column_name", "n").agg(
+        *[f(F.col("x") < F.col(q) if side == "lt" else F.col("x") <= F.col(q)).alias(f"{q}_{side}") for q in _QUARTILES for side in ("lt", "le") for f in [F.count_if]])
+    slack = F.greatest(F.col("n") * 0.01, F.lit(1.0))
+    return below.select("column_name", "n", *[((F.col(f"{q}_lt") <= F.col("n") * p + slack) & (F.col(f"{q}_le") >= F.col("n") * p - slack)).alias(f"{q}_within")
+                                              for q, p in _QUARTILES.items()])
+
+
 @register("yes_no_columns", sql=lambda: raw_train_sql() + ",\nl AS (" + _union(
     [f"SELECT '{c}' AS column_name, {c} AS value FROM rt WHERE {c} IS NOT NULL" for c in STRING_COLS]) + """),
 cnt AS (SELECT column_name, value, count(*) AS n FROM l GROUP BY column_name, value)
