@@ -54,8 +54,13 @@ MAIN_TAGS = set("article main".split())
 MAIN_TOKENS = set("article main content post entry story".split())
 TAG_KINDS = ["p", "div", "section", "li", "ul", "td", "blockquote", "pre", "h"]
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+#: A comment, a declaration, or the start of a tag; its attributes follow.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)", re.S)
+#: An attribute: a quote delimits a value only right after the equals sign, elsewhere it is a character.
+_ATTRIBUTE = r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>"'][^\s>]*+)))?+"""
+ATTRIBUTE = re.compile(_ATTRIBUTE)
+ATTRIBUTES = re.compile(rf"(?:[\s/]++|{_ATTRIBUTE.replace('([', '(?:[')})*+")
+NAMED = {"class", "id", "role", "hidden", "aria-hidden"}
 WORD = re.compile(r"[a-z0-9]+")
 RAW_END = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)[^>]*>?", re.I | re.A) for t in RAW}
 
@@ -86,11 +91,13 @@ class Page:
         self.end.append(i)
         side, main = tag in SIDE_TAGS, tag in MAIN_TAGS
         if tag == "header":
-            side = not any(self.main[k] for k in self.stack)
+            side = not self.above_main[-1]
         if attributes:
             for name, *values in ATTRIBUTE.findall(attributes):
-                value = "".join(values).lower()
                 name = name.lower()
+                if name not in NAMED:
+                    continue
+                value = "".join(values).lower()
                 if name == "hidden" or name == "aria-hidden" and value == "true":
                     side = True
                 elif name in ("class", "id", "role"):
@@ -99,23 +106,32 @@ class Page:
                     main = main or any(w in MAIN_TOKENS for w in words)
         self.side.append(int(side))
         self.main.append(int(main and not side))
+        self.above_main.append(self.above_main[-1] or bool(self.main[-1]))
+        self.places.setdefault(tag, []).append(len(self.stack))
         self.stack.append(i)
         return i
 
+    def _shorten(self, k: int) -> None:
+        """Take the nodes from position k of the stack on off it."""
+        for i in reversed(self.stack[k:]):
+            if self.places.get(self.tag[i]):
+                self.places[self.tag[i]].pop()
+        del self.stack[k:]
+        del self.above_main[k:]
+
     def _close_to(self, k: int) -> None:
         """Close the open nodes from position k of the stack on."""
         for i in self.stack[k:]:
             self.end[i] = len(self.tag) - 1
-        del self.stack[k:]
+        self._shorten(k)
+
+    def _nearest(self, names) -> int:
+        """Highest position of an open element of these names; 0 if none is open."""
+        return max((self.places[t][-1] for t in names if self.places.get(t)), default=0)
 
     def _within(self, names: set, scope: set) -> int:
-        for k in range(len(self.stack) - 1, max(0, self.drops[-1][1] - 1 if self.drops else 0), -1):
-            t = self.tag[self.stack[k]]
-            if t in names:
-                return k
-            if t in scope:
-                return 0
-        return 0
+        k = self._nearest(names)
+        return k if k > max(self._nearest(scope), self.drops[-1][1] - 1 if self.drops else 0) else 0
 
     def _say(self, raw: str) -> None:
         if not raw or raw.isspace():
@@ -140,7 +156,7 @@ class Page:
             self.dropping[name] -= 1
             if name == tag:
                 break
-        del self.stack[depth:]
+        self._shorten(depth)
         for of_nodes in (self.tag, self.parent, self.depth, self.nth, self.side, self.main, self.link, self.end, self.children):
             del of_nodes[nodes:]
         self.children[self.stack[-1]] = children
@@ -151,6 +167,9 @@ class Page:
 
     def _read(self, source: str) -> None:
         self.stack, self.links, at = [0], 0, 0
+        #: Positions in the stack of the open elements of each name; whether a node of the stack is or is below main text.
+        self.places: dict[str, list[int]] = {}
+        self.above_main = [False]
         #: Text in links, as (pieces up to it, node, length), and the open elements of DROPPED.
         self.linked, self.drops, self.dropping = [], [], Counter()
         while True:
@@ -164,11 +183,16 @@ class Page:
             if tag is None:
                 continue
             tag = tag.lower()
+            at = ATTRIBUTES.match(source, at).end()
+            attributes = source[m.end():at]
+            if at >= len(source):
+                break  # an unfinished tag ends the page
+            at += 1
             if m[1]:
                 if tag == "a":
                     self.links = max(0, self.links - 1)
                 elif tag in BLOCK:
-                    k = next((k for k in range(len(self.stack) - 1, 0, -1) if self.tag[self.stack[k]] == tag), 0)
+                    k = self._nearest([tag])
                     if k:
                         while self.drops and k < self.drops[-1][1]:
                             self.dropping[self.drops.pop()[0]] -= 1
@@ -177,7 +201,7 @@ class Page:
                     self.pieces.append((-2, ""))
                 elif tag in DROPPED:
                     self._end_drop(tag)
-            elif m[3].endswith("/") and (tag in FOREIGN or tag in RAW and any(self.dropping[t] for t in FOREIGN)):
+            elif attributes.endswith("/") and (tag in FOREIGN or tag in RAW and any(self.dropping[t] for t in FOREIGN)):
                 continue
             elif tag in RAW:
                 end = RAW_END[tag].search(source, at)
@@ -201,7 +225,7 @@ class Page:
                     self._close_to(k)
                 if tag in ("html", "body") and tag in self.tag:
                     continue
-                self._open(tag, m[3])
+                self._open(tag, attributes)
                 self.pieces.append((-2, ""))
         self._close_to(0)
         for _, i, n in self.linked:
@@ -257,8 +281,10 @@ def features(pages: list[Page]) -> tuple[np.ndarray, np.ndarray]:
 
     t_text, t_link, t_marks, t_words, t_tags = subtree(own), subtree(link), subtree(marks), subtree(words), end - at + 1.0
     above_side, above_main = np.zeros(n), np.zeros(n)
-    for d in range(1, int(depth.max(initial=0)) + 1):
-        here = np.flatnonzero(depth == d)
+    by_depth = np.argsort(depth, kind="stable")
+    ends = np.append(np.flatnonzero(np.diff(depth[by_depth])) + 1, n)
+    for a, z in zip(ends, ends[1:]):  # from depth 1 on
+        here = by_depth[a:z]
         above_side[here] = np.maximum(above_side[up[here]], side[up[here]])
         above_main[here] = np.maximum(above_main[up[here]], main[up[here]])
     siblings = np.bincount(up, minlength=n)[up].astype(float)

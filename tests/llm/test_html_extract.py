@@ -101,3 +101,31 @@ def test_dropped_elements_leave_no_trace():
     lists = lambda p: (p.tag, p.parent, p.depth, p.nth, p.side, p.main, p.link, p.end, p.children, [x for x in p.pieces if x[0] >= 0])
     for odd in ("<noscript><div><a href=x>no<p>no</a></div></noscript>", "<template><ul><li>no</ul></template>", "<svg><a>no</a><title>no</title></svg>", "<select><option>no</select>"):
         assert lists(hx.Page(f"<div><a href=x>b</a>{odd}<p>c <a href=y>d</a></p></div>")) == lists(hx.Page("<div><a href=x>b</a><p>c <a href=y>d</a></p></div>"))
+
+
+@pytest.mark.parametrize("body, text", [
+    ("<p title=it's>First one.</p><p>You don't say.</p><p>Third.</p>", ["First one.", "You don't say.", "Third."]),
+    ('<p class="a"">First.</p><p>Second.</p>', ["First.", "Second."]),
+    ("<p x=\"1\" y = '2>3' z=4/>b<br/>c <i q>d</i> < e <3 f</p>", ["b c d < e <3 f"]),
+    ('<p data-note="hidden nav">Kept.</p><p =odd "x>Also.</p>', ["Kept.", "Also."]),
+    ("<p a='x>One.</p><p>Two.</p>", ["One.", "Two."])])
+def test_quotes_outside_values_are_characters(trees, body, text):
+    page = hx.Page(f"<article>{body}</article>")
+    assert page.blocks([1] * len(page.tag)) == text
+
+
+def test_an_unfinished_tag_ends_the_page_once():
+    page = hx.Page("<p>Before.</p>tail <b class='x")
+    assert page.blocks([1] * len(page.tag)) == ["Before.", "tail"]
+
+
+@pytest.mark.parametrize("page", [lambda n: "<a " * n, lambda n: "<div>" * n + "x", lambda n: "<!" * n, lambda n: '<a b="' * n + ">",
+                                  lambda n: "<p><button>" + "<div>" * n + "x", lambda n: "<ul>" + "<li><div>" * n])
+def test_long_pages_take_time_in_proportion(page):
+    import time
+    took = []
+    for n in (10_000, 20_000):
+        began = time.perf_counter()
+        hx.features([hx.Page(page(n))])
+        took.append(time.perf_counter() - began)
+    assert took[1] < 2.3 * took[0] + 0.2
