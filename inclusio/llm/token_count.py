@@ -12,6 +12,7 @@ pair after the other gives.
 
 from __future__ import annotations
 
+import heapq
 import json
 import unicodedata
 
@@ -28,6 +29,8 @@ OVER_LIMIT = 2048
 CACHE_WORDS = 1 << 18
 #: Longer pre-tokens are never kept.
 CACHE_CHARS = 64
+#: Pre-tokens of more bytes are merged each by itself.
+LONG_BYTES = 512
 _NONE = np.int64(1 << 40)
 
 
@@ -75,6 +78,7 @@ class Merger:
         order = np.argsort(key)
         self.key, self.rank, self.made = key[order], order.astype(np.int64), np.array([m for _, _, m in pairs], np.int64)
         self.known: dict[str, int] = {}
+        self.pairs: dict[int, tuple[int, int]] | None = None
 
     def words_late(self) -> regex.Pattern:
         """The pattern without the letters and digits that the library doesn't know as such."""
@@ -103,9 +107,54 @@ class Merger:
         at = np.minimum(np.searchsorted(self.key, want), len(self.key) - 1)
         return np.where(self.key[at] == want, self.rank[at], _NONE)
 
+    def _count_long(self, raw: bytes) -> int:
+        """Tokens of one long pre-token, by the same rounds: the occurrences of each pair are held by rank, and
+        a round touches those of the lowest rank and their neighbours only."""
+        if self.pairs is None:
+            self.pairs = dict(zip(self.key.tolist(), zip(self.rank.tolist(), self.made[self.rank].tolist())))
+        row = self.inner[np.frombuffer(raw, np.uint8)]
+        row[-1] = self.last[raw[-1]]
+        rank = self._ranks(row[:-1], row[1:])
+        at = np.flatnonzero(rank != _NONE)
+        at = at[np.argsort(rank[at], kind="stable")]
+        cut = np.flatnonzero(np.diff(rank[at])) + 1
+        places = {int(rank[g[0]]): g.tolist() for g in np.split(at, cut) if len(g)}
+        sym, n, none = row.tolist(), len(row), (_NONE, -1)
+        after, before, left = list(range(1, n + 1)), list(range(-1, n - 1)), n
+        queue = sorted(places)
+        while queue:
+            lowest = heapq.heappop(queue)
+            for i in sorted(places.pop(lowest)):
+                j = after[i]
+                if sym[i] < 0 or j >= n or self.pairs.get((sym[i] << 20) | sym[j], none)[0] != lowest:
+                    continue  # merged meanwhile, as the second of aaa
+                k = after[j]
+                sym[i], sym[j], after[i] = self.pairs[(sym[i] << 20) | sym[j]][1], -1, k
+                left -= 1
+                if k < n:
+                    before[k] = i
+                for a, b in ((before[i], i), (i, k)):
+                    if a >= 0 and b < n:
+                        r = self.pairs.get((sym[a] << 20) | sym[b], none)[0]
+                        if r != _NONE:
+                            if r not in places:
+                                places[r] = []
+                                heapq.heappush(queue, r)
+                            places[r].append(a)
+        return left
+
     def count_words(self, words: list[str]) -> np.ndarray:
-        """Tokens of each pre-token."""
+        """Tokens of each pre-token: short ones together as one ragged array, those above ``LONG_BYTES`` each
+        by itself in time in proportion to its length."""
         raw = [w.encode() for w in words]
+        long = [i for i, r in enumerate(raw) if len(r) > LONG_BYTES]
+        if long:
+            total = np.zeros(len(raw), np.int64)
+            total[long] = [self._count_long(raw[i]) for i in long]
+            short = [i for i, r in enumerate(raw) if len(r) <= LONG_BYTES]
+            if short:
+                total[short] = self.count_words([words[i] for i in short])
+            return total
         size = np.array([len(r) for r in raw], np.int64)
         total = np.zeros(len(words), np.int64)
         row = np.arange(len(words))  # the rows still being merged
@@ -182,7 +231,8 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None, over: int = OVE
 
     ``vocabulary`` is the path of the tokenizer file on every executor (None: the installed public
     file ``word_bpe_49k.json``).  Whole texts are counted, without begin, end or other added special
-    tokens; special strings inside a text count one token each.  A null or empty text has 0 bytes
+    tokens; special strings inside a text count one token each.  An unbroken run of letters of any length
+    (base64, unspaced scripts) is one pre-token and takes time in proportion to its length.  A null or empty text has 0 bytes
     and 0 tokens; a null doc_id stays null; repeated rows give a row each; columns other than
     doc_id and text are not read; an empty table gives an empty result."""
     ship(docs.sparkSession)

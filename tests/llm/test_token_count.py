@@ -43,3 +43,22 @@ def test_odd_rows(odd_docs, no_docs, library):
     key = lambda x: (x[0] is None, x[0] or 0, x[1])
     assert sorted([(r.doc_id, r.n_tokens) for r in got], key=key) == sorted(zip([d for d, _ in want], library([t for _, t in want])), key=key)
     assert token_counts(no_docs).collect() == []
+
+
+@pytest.mark.parametrize("letters", ["abcdefghijklmnopqrstuvwxyz", "ab", "aaab", "日本語éß"])
+def test_long_pre_tokens_as_the_library(library, letters):
+    rnd = random.Random(6)
+    texts = ["".join(rnd.choice(letters) for _ in range(n)) for n in (100, 511, 512, 513, 2000, 9000)]
+    assert load_merger(PATH).count_texts(texts) == library(texts)
+
+
+def test_long_pre_tokens_take_time_in_proportion():
+    import time
+    merger, rnd, took = load_merger(PATH), random.Random(7), []
+    merger.count_texts(["x" * 600])  # builds the table of pairs
+    for n in (40_000, 80_000):
+        word = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+        began = time.perf_counter()
+        merger.count_texts([word])
+        took.append(time.perf_counter() - began)
+    assert took[1] < 2.3 * took[0] + 0.2
