@@ -195,3 +195,24 @@ def test_string_keys_and_empty_folds_are_encoded(spark):
     assert all(r["s_te_0"] is None for r in TE.transform(df, enc, g, ["s"], fold_col="fold").where("fold = 0").collect())
     enc, g = TE.fit(df.where("Target IS NULL"), ["s"])
     assert all(r["s_te_0"] is None for r in TE.transform(df, enc, g, ["s"]).collect())
+
+
+def test_one_join_serves_all_encoded_columns(spark, labelled):
+    """Columns of many values are looked up in buckets of the packed dictionary, in one broadcast."""
+    from inclusio.operators import target_encoding as TE
+    many = spark.range(3000).selectExpr("id AS ID", "CAST(id % 997 AS DOUBLE) AS a", "CAST(id % 3 AS DOUBLE) AS b", "CAST(id % 4 % 3 AS INT) AS Target", "id % 5 AS fold")
+    enc, g = TE.fit_out_of_fold(many, "fold", ["a", "b"], n_folds=5)
+    packed = TE.transform(many, enc, g, ["a", "b"], fold_col="fold")
+    plan = packed._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 1 and "SortMergeJoin" not in plan.split("BroadcastExchange")[0]
+    joined = TE.transform(many, enc, g, ["a", "b"], fold_col="fold", broadcast_limit=0)
+    assert sorted(packed.collect()) == sorted(joined.collect())
+
+
+def test_single_column_rank_equals_the_stacked_form(spark):
+    from inclusio.operators import ranking as RK
+    rows = [("u", 1.0, 5), ("u", 1.0, 5), ("u", None, 1), (None, 3.0, 2), ("v", -2.0, 2), ("u", 7.5, 9), ("v", 4.0, 4)]
+    df = spark.createDataFrame(rows, "k string, x double, g int")
+    one = RK.pct_rank_column(df, "k", "x", "r")
+    many = RK.pct_rank_columns(df, "k", {"r": "x"})
+    assert one.columns == ["k", "x", "g", "r"] and sorted(map(str, one.collect())) == sorted(map(str, many.collect()))

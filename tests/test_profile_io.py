@@ -62,3 +62,35 @@ def test_boundary_and_missed(spark):
     assert b["medium_as_low"] == 2 and b["medium_as_low_rate"] == 1.0 and b["low_as_medium"] == 1
     m = M.missed_class_report(df).first()
     assert (m["n_true"], m["n_correct"], m["missed_as_low"], m["missed_as_medium"]) == (3, 1, 1, 1)
+
+
+def test_sketches_of_parts_unite_to_those_of_all_rows(spark):
+    from inclusio.operators import profile as P
+    rows = spark.range(20_000).selectExpr("id % 7 AS day", "CAST(id % 6000 AS STRING) AS s", "CAST(NULL AS STRING) AS none", "CAST((id * 7919) % 10007 AS DOUBLE) AS x")
+    parts = P.cardinality_sketches(rows, ["s", "none"], ["day"])
+    assert parts.count() == 7  # a column without values has no sketch
+    got = {r["column_name"]: r["n_distinct"] for r in P.merged_cardinality(parts, ["s", "none"]).collect()}
+    once = {r["column_name"]: r["n_distinct"] for r in P.merged_cardinality(P.cardinality_sketches(rows, ["s", "none"], []), ["s", "none"]).collect()}
+    assert got == once and got["none"] == 0 and abs(got["s"] - 6000) <= 120
+    # a new day is united with the held sketches; no earlier row is read
+    more = P.cardinality_sketches(spark.range(1000).selectExpr("7 AS day", "concat('new', id) AS s", "CAST(NULL AS STRING) AS none"), ["s", "none"], ["day"])
+    grown = {r["column_name"]: r["n_distinct"] for r in P.merged_cardinality(parts.unionByName(more), ["s", "none"]).collect()}
+    assert abs(grown["s"] - 7000) <= 140
+    q = P.merged_quantiles(P.quantile_sketches(rows, ["x"], ["day"]), ["x"], {"p10": 0.1, "p50": 0.5}).first()
+    values = sorted(r["x"] for r in rows.select("x").collect())
+    assert q["n"] == 20_000 and all(abs(sum(v < q[c] for v in values) / 20_000 - p) < 0.01 for c, p in (("p10", 0.1), ("p50", 0.5)))
+    by = P.merged_quantiles(P.quantile_sketches(rows, ["x"], ["day"]), ["x"], {"p50": 0.5}, ["day"])
+    assert by.count() == 7
+
+
+def test_category_codes_of_all_columns(spark):
+    from inclusio.operators import clean as CL
+    train = spark.createDataFrame([("b", "y"), ("a", None), ("b", "x"), (None, None)], "s string, t string")
+    test = spark.createDataFrame([(1, "a", "x"), (2, "z", None), (3, None, "y")], "i int, s string, t string")
+    codes = CL.category_codes(train, ["s", "t"])
+    assert {tuple(r) for r in codes.collect()} == {("s", "a", 0), ("s", "b", 1), ("t", "x", 0), ("t", "y", 1)}
+    coded, names = CL.with_category_codes(test, codes, ["s", "t"])
+    assert names == ["s_idx", "t_idx"] and coded.columns == ["i", "s", "t", "s_idx", "t_idx"]
+    assert {r["i"]: (r["s_idx"], r["t_idx"]) for r in coded.collect()} == {1: (0, 0), 2: (2, 2), 3: (2, 1)}
+    nothing = CL.category_codes(train.limit(0), ["s", "t"])
+    assert {r["s_idx"] for r in CL.with_category_codes(test, nothing, ["s", "t"])[0].collect()} == {0}
