@@ -1,3 +1,4 @@
+import functools
 import re
 import zlib
 
@@ -14,6 +15,13 @@ def mid(spark):
     return docs, labels, X.train(docs, labels)
 
 
+@functools.lru_cache(None)
+def signs_of(word):
+    w = "".join(c.lower() if c.isascii() else c for c in word).encode()
+    b = next(terms.blocks(np.frombuffer(w, np.uint8), np.array([0, len(w)]), X.LONGEST))
+    return {int(b.hashes()[0])} | {int(b.prefix_hashes(k)[0]) for k in X.PREFIXES}
+
+
 def independent(text, model):
     """Score and offending sentences of one text by regular expressions and single-term hashes."""
     weight = dict(zip(model.signs.tolist(), model.weights))
@@ -21,9 +29,7 @@ def independent(text, model):
     for m in re.finditer(r"[^.!?\n]*(?:[.!?\n]|$)", text or ""):
         signs = set()
         for w in re.findall(r"[0-9A-Za-z\u0080-\U0010ffff]+", m[0]):
-            w = "".join(c.lower() if c.isascii() else c for c in w).encode()
-            b = next(terms.blocks(np.frombuffer(w, np.uint8), np.array([0, len(w)]), X.LONGEST))
-            signs |= {int(b.hashes()[0])} | {int(b.prefix_hashes(k)[0]) for k in X.PREFIXES}
+            signs |= signs_of(w)
         z = [weight[s] for s in signs if s in weight]
         if z:
             p = 1 / (1 + np.exp(-(model.bias + sum(z))))
