@@ -437,21 +437,33 @@ N_TRIALS = 100
 
 def random_search(base: DataFrame, feature_cols: list[str], weight_col: str | None = None, fold_col: str = "fold",
                   label: str = C.TARGET_COL, n_trials: int = N_TRIALS, seed: int = C.SEED, threads: int = 4,
-                  fixed: dict | None = None) -> DataFrame:
+                  fixed: dict | None = None, path: str | None = None) -> DataFrame:
     """One row per trial: its parameters, as fitted, and macro F1 after the threshold search on its
     out-of-fold probabilities.  Trials share one pool of driver threads, a trial's folds are boosted side by
-    side.  ``fixed``: parameters that all trials share."""
+    side.  ``fixed``: parameters that all trials share.  ``path``: folder in which each finished trial is
+    committed with its parameters; a restarted search runs the missing trials only."""
     from . import search as SR
 
     grid = C.threshold_grid(30)
     trials = sample_trials(n_trials, seed)
+    folder = Folder(base.sparkSession, path) if path else None
 
     def one(trial):
+        name = f"trial-{trial['trial']:04d}.json"
+        if folder and folder.exists(name):
+            held = json.loads(folder.read(name))
+            if {k: held[k] for k in trial} == trial:  # of the same seed and ranges
+                return tuple(held.values())
         params = (fixed or {}) | {k: v for k, v in trial.items() if k != "trial"} | ({"weightCol": weight_col} if weight_col else {})
         oof = cross_validate(base, feature_cols, fold_col, label, ["gbt"], {"gbt": params}, threads=2).oof
         cells = SR.grid_cells(oof.withColumn("y", F.col(label)), F.col("p1"), F.col("p2"), "y", grid)
         best = SR.first_best(SR.cube_scores(cells, len(grid)), "f1_macro", ["j2", "j1"]).select("f1_macro").first()
-        return (*[trial[k] for k in ("trial", *SEARCH_SPACE)], float(best[0]) if best else 0.0)
+        row = {k: trial[k] for k in ("trial", *SEARCH_SPACE)} | {"f1_macro": float(best[0]) if best else 0.0}
+        if folder:
+            passing = f".{name}-{uuid.uuid4().hex}"
+            folder.write(passing, json.dumps(row))
+            folder.rename_new(passing, name)
+        return tuple(row.values())
 
     with ThreadPoolExecutor(max_workers=threads) as ex:
         rows = list(ex.map(one, trials))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+
 from pyspark.sql import functions as F
 
 from .. import config as C
 from ..operators import folds as FO
 from ..operators import target_encoding as TE
 from ..sources import io as IO
+from ..sources import versions as VE
 from . import synthetic as SY
 from .q_prepare import cleaned
 from .registry import register
@@ -145,13 +148,19 @@ def q_te_fit(spark, sf_dir):
           "\nSELECT column_name, value, n, " + ", ".join(f"round(enc_{k}, 9) AS enc_{k}" for k in range(3)) +
           " FROM te_enc")
 def q_artifacts(spark, sf_dir):
-    """Fitted encodings written as a Parquet artifact in the shared checkpoint folder, read back."""
+    """Fitted encodings and shares committed as one version in the shared checkpoint folder, checked and read
+    back; a second writer of that version is refused, so what is read is the first one's."""
     import uuid
-    enc, _ = TE.fit(train_clean(spark, sf_dir))
-    base = f"{IO.checkpoint_dir(spark)}/artifacts-{uuid.uuid4().hex}"
-    IO.save_artifact(enc, base, "encodings")
-    back = IO.load_artifact(spark, base, "encodings")
-    return back.select("column_name", "value", "n", *_r9([f"enc_{k}" for k in range(3)]))
+    enc, g = TE.fit(train_clean(spark, sf_dir))
+    store = VE.Store(spark, f"{IO.checkpoint_dir(spark)}/artifacts-{uuid.uuid4().hex}")
+    one, two = store.draft(), store.draft()
+    one.table("encodings", enc)
+    one.table("encoding_shares", g)
+    two.table("encodings", enc.limit(0))
+    one.commit()
+    with contextlib.suppress(VE.Conflict):
+        two.commit()
+    return store.load("encodings", verify=True).select("column_name", "value", "n", *_r9([f"enc_{k}" for k in range(3)]))
 
 
 @register("target_encode_transform", sql=lambda: _tcl() + ",\n" + _fit_sql() + "\n" + _apply_sql("tcl"), bench=True)

@@ -172,6 +172,17 @@ def test_random_search_reports_what_it_fitted(small):
         assert r["maxDepth"] == t["maxDepth"] and r["minInstancesPerNode"] == t["minInstancesPerNode"] and 0 <= r["f1_macro"] <= 1
 
 
+def test_a_restarted_search_runs_missing_trials_only(small, tmp_path, monkeypatch):
+    from inclusio.operators import models as MD
+    ran, cv = [], MD.cross_validate
+    monkeypatch.setattr(MD, "cross_validate", lambda *a, **k: (ran.append(1), cv(*a, **k))[1])
+    search = lambda n: MD.random_search(small, ["a"], n_trials=n, fixed={"maxIter": 1}, path=str(tmp_path)).orderBy("trial").collect()
+    one = search(1)
+    assert len(ran) == 1
+    both = search(2)
+    assert len(ran) == 2 and both[:1] == one and search(2) == both and len(ran) == 2
+
+
 def test_versions_keep_the_best(spark, tmp_path):
     from inclusio.sources import io as IO
     base = str(tmp_path)
@@ -179,9 +190,9 @@ def test_versions_keep_the_best(spark, tmp_path):
     assert IO.count_versions(spark, base, "d") == 0
     assert IO.save_version(frame(0.5, 1.0), base, "d", "f1") is True
     assert IO.save_version(frame(0.4, 2.0), base, "d", "f1") is False
-    assert IO.best_version(spark, base, "d", "f1").first()["t"] == 1.0
+    assert IO.best_version(spark, base, "d").first()["t"] == 1.0
     assert IO.save_version(frame(0.6, 3.0), base, "d", "f1") is True
-    assert IO.best_version(spark, base, "d", "f1").first()["t"] == 3.0 and IO.count_versions(spark, base, "d") == 3
+    assert IO.best_version(spark, base, "d").first()["t"] == 3.0 and IO.count_versions(spark, base, "d") == 3
 
 
 def test_entry_and_contract(spark):
