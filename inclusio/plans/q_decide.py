@@ -10,6 +10,7 @@ from ..functions import decide as D
 from ..functions.encode import decode_target
 from ..operators import metrics as M
 from ..operators import search as SR
+from ..sources import io as IO
 from . import synthetic as SY
 from .q_prepare import cleaned
 from .registry import register
@@ -90,6 +91,19 @@ def q_keyed_align(spark, sf_dir):
     return o.join(c, "ID", "inner")
 
 
+#: Buckets of the aligned tables here (some 256 MB a bucket at scale).
+BUCKETS = 8
+
+
+@register("bucketed_align", sql=lambda: SY.oof_cte() + """
+SELECT o.ID, o.fold, o.y, c.country, c.has_credit_card FROM oof o JOIN clean c ON o.ID = c.ID""")
+def q_bucketed_align(spark, sf_dir):
+    """The same alignment of two tables that are laid out by ID: the join shuffles neither side."""
+    o = IO.bucketed_table(SY.oof_table(spark, sf_dir, folds=True).select("ID", "fold", "y"), "ID", BUCKETS, "oof")
+    c = IO.bucketed_table(cleaned(spark, sf_dir).select("ID", "country", "has_credit_card"), "ID", BUCKETS, "answers")
+    return o.join(c.hint("merge"), "ID", "inner")
+
+
 # ---------------------------------------------------------------- blends
 @register("blend_two", sql=lambda: SY.oof_cte() + "\nSELECT ID, " + ", ".join(
     f"{dl(0.6)} * lgb_p{c} + {dl(1.0 - 0.6)} * xgb_p{c} AS p{c}" for c in range(3)) + " FROM oof")

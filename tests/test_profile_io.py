@@ -94,3 +94,12 @@ def test_category_codes_of_all_columns(spark):
     assert {r["i"]: (r["s_idx"], r["t_idx"]) for r in coded.collect()} == {1: (0, 0), 2: (2, 2), 3: (2, 1)}
     nothing = CL.category_codes(train.limit(0), ["s", "t"])
     assert {r["s_idx"] for r in CL.with_category_codes(test, nothing, ["s", "t"])[0].collect()} == {0}
+
+
+def test_bucketed_tables_are_joined_without_a_shuffle(spark):
+    import __spark_entry__ as E
+    from conftest import SF_SMALL
+    joined = E.queries()["bucketed_align"](spark, SF_SMALL)
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    assert sorted(map(str, joined.collect())) == sorted(map(str, E.queries()["keyed_align"](spark, SF_SMALL).collect()))
