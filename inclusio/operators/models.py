@@ -39,7 +39,8 @@ SENTINEL = -1e9
 #: one pass over the rows if its statistics fit into maxMemoryInMB; their size, which is what a level
 #: shuffles, goes by nodes, features and bins (an answer has ten values at most).
 DEFAULT_PARAMS = {
-    "gbt": {"maxIter": 2000, "maxDepth": 4, "stepSize": 0.1, "subsamplingRate": 0.8, "seed": C.SEED},
+    # fixed values: least rows of a leaf and least gain of a split
+    "gbt": {"maxIter": 2000, "maxDepth": 4, "stepSize": 0.1, "subsamplingRate": 0.8, "seed": C.SEED, "minInstancesPerNode": 13, "minInfoGain": 0.2529},
     "rf": {"numTrees": 1000, "maxDepth": 6, "seed": C.SEED, "maxBins": 16, "maxMemoryInMB": 1024},
     "lr": {"maxIter": 1000, "regParam": 0.01},
 }

@@ -114,19 +114,21 @@ f AS (SELECT ID, Target, CAST((row_number() OVER (ORDER BY Target, (CAST(substr(
 @register("early_stopping", sql=lambda: S.clean_cte() + "," + _FOLDS_SQL + f"""
 SELECT fold, CAST({MD.DEFAULT_PARAMS['gbt']['maxIter']} AS BIGINT) AS max_rounds, TRUE AS by_patience, TRUE AS cut_at_best, count(*) AS n_validation FROM f GROUP BY fold""")
 def q_early_stopping(spark, sf_dir):
-    """Each fold's boosted fit with that fold as validation set: it ends when the patience is used up (or at
-    the last allowed round), and the model has the trees of the round with the least validation loss."""
+    """Each fold's boosted fit with that fold as validation set: it ends when the patience is used up (or no
+    split is left that gains enough, or at the last allowed round), and the model has the trees of the round
+    with the least validation loss."""
     base = _train_with_folds(_base(spark, sf_dir))
     most = MD.DEFAULT_PARAMS["gbt"]["maxIter"]
     cv = MD.cross_validate(base, _feature_cols(base), "fold", learners=["gbt"])
     rows = []  # one a fold
     for (f, _), (_, m) in cv.models.items():
         least = min(m.curve)
-        rows.append((int(f), m.rounds == min(m.best_round + BO.PATIENCE, most) and m.rounds == len(m.curve),
+        ended = m.rounds < m.best_round + BO.PATIENCE if m.exhausted else m.rounds == min(m.best_round + BO.PATIENCE, most)
+        rows.append((int(f), ended and m.rounds == len(m.curve),
                      m.curve[m.best_round - 1] == least and all(c > least for c in m.curve[:m.best_round - 1])
                      and all(len(trees) == m.best_round for trees in m.trees)))
-    ended = spark.createDataFrame(rows, "fold bigint, by_patience boolean, cut_at_best boolean")
-    return (base.groupBy("fold").agg(F.count(F.lit(1)).alias("n_validation")).join(F.broadcast(ended), "fold")
+    outcome = spark.createDataFrame(rows, "fold bigint, by_patience boolean, cut_at_best boolean")
+    return (base.groupBy("fold").agg(F.count(F.lit(1)).alias("n_validation")).join(F.broadcast(outcome), "fold")
             .select("fold", F.lit(most).cast("bigint").alias("max_rounds"), "by_patience", "cut_at_best", "n_validation"))
 
 
