@@ -103,3 +103,15 @@ def test_bucketed_tables_are_joined_without_a_shuffle(spark):
     plan = joined._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Exchange" not in plan
     assert sorted(map(str, joined.collect())) == sorted(map(str, E.queries()["keyed_align"](spark, SF_SMALL).collect()))
+
+
+def test_every_sql_text_is_parsed():
+    import __spark_entry__ as E
+    import duckdb
+    con, bad = duckdb.connect(), {}
+    for key, sql in E.oracle_sql().items():
+        try:
+            assert len(con.extract_statements(sql)) == 1
+        except Exception as e:  # noqa: BLE001
+            bad[key] = str(e)[:200]
+    assert bad == {} and set(E.oracle_sql()) <= set(E.queries())
