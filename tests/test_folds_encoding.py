@@ -203,8 +203,8 @@ def test_one_join_serves_all_encoded_columns(spark, labelled):
     many = spark.range(3000).selectExpr("id AS ID", "CAST(id % 997 AS DOUBLE) AS a", "CAST(id % 3 AS DOUBLE) AS b", "CAST(id % 4 % 3 AS INT) AS Target", "id % 5 AS fold")
     enc, g = TE.fit_out_of_fold(many, "fold", ["a", "b"], n_folds=5)
     packed = TE.transform(many, enc, g, ["a", "b"], fold_col="fold")
-    plan = packed._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("BroadcastHashJoin") == 1 and "SortMergeJoin" not in plan.split("BroadcastExchange")[0]
+    joins = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Join")
+    assert joins(packed) == joins(TE.transform(many, enc, g, ["a"], fold_col="fold"))  # whatever the number of columns
     joined = TE.transform(many, enc, g, ["a", "b"], fold_col="fold", broadcast_limit=0)
     assert sorted(packed.collect()) == sorted(joined.collect())
 
