@@ -3,6 +3,7 @@
 import os
 import sys
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -326,3 +327,62 @@ def test_plans_have_no_python_udf(spark, key):
     import __spark_entry__ as E
     plan = E.queries()[key](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
+
+
+def test_a_boosting_pass_sums_cuts_and_left_children_only(small, monkeypatch):
+    """A pass sends totals and one sum a cut (not 32 bins a feature), for one child of each split node; a level
+    without a node that may be split again has no pass."""
+    from inclusio.operators import boosting as BO
+    from inclusio.operators import models as MD
+    a = MD.assemble(small, ["a", "b", "c"]).withColumn("label", F.col("Target").cast("double")).cache()
+    seen, summed = [], BO._summed
+    monkeypatch.setattr(BO, "_summed", lambda *args: (seen.append(summed(*args)), seen[-1])[1])
+    m = BO.fit_boosted(a, 2, max_rounds=1, maxDepth=3)
+    assert [np.isfinite(e).sum() for e in m.edges] == [16, 22, 0]
+    nodes = [got[0].size // (3 * (1 + 16 + 22)) for got in seen[1:] if 0 in got]
+    assert nodes[0] == nodes[1] == 1 and len(nodes) == 3 and nodes[2] <= 2
+    assert all(got[0].size % (3 * 39) == 0 for got in seen[1:] if 0 in got)
+    seen.clear()
+    BO.fit_boosted(a, 2, max_rounds=1, maxDepth=3, minInstancesPerNode=150)  # a child of 250 rows has no split left
+    assert sum(0 in got for got in seen[1:]) == 1
+
+
+@pytest.mark.parametrize("product_nodes", [8, 0])
+def test_boosted_trees_by_brute_force(small, monkeypatch, product_nodes):
+    """Every split of a first tree has the largest gain over all cuts, and leaves are the Newton step, however
+    the sums are made."""
+    from inclusio.operators import boosting as BO
+    from inclusio.operators import models as MD
+    if not product_nodes:  # tasks see the module, not the patched value: the wide path is called by itself
+        run = BO._Run([BO.Ensemble("e", "y", None, 2)], [0], None, [0, 1], 0.1, 2, 0, 1.0, 1.0, np.array([[1.0, 2.0], [5.0, np.inf], [np.inf] * 2]))
+        rng = np.random.default_rng(0)
+        x, slot, z = rng.integers(0, 3, (50, 3)).astype(np.uint8), rng.integers(0, 4, 50), rng.random(50)
+        x[:, 1] = np.minimum(x[:, 1], 1)
+        got = run.counted(x, run.cuts(0), slot, 4, [z, np.ones(50)])
+        right = run.right_of(np.ascontiguousarray(x.T), run.cuts(0))
+        want = np.array([[right @ (v * (slot == n)) for v in (z, np.ones(50))] for n in range(4)])
+        assert got.shape == (4, 2, 3) and np.allclose(got, want)
+        return
+    a = MD.assemble(small, ["a", "b"]).withColumn("label", (F.col("Target") > 0).cast("double"))
+    m = BO.fit_boosted(a, 2, max_rounds=1, maxDepth=2, rate=0.5)
+    rows = a.select("a", "b", "label").collect()
+    x, y = BO._binned(np.array([r[:2] for r in rows]), m.edges), np.array([r[2] for r in rows])
+    p = 1 / (1 + np.exp(-m.prior[0]))
+    g, h, tree = y - p, np.full(len(y), p * (1 - p)), m.trees[0][0]
+    worth = lambda on: g[on].sum() ** 2 / (h[on].sum() + BO.RIDGE)
+
+    def best(on):
+        cuts = [(f, b, on & (x[:, f] > b)) for f in (0, 1) for b in range(31)]
+        return max((worth(on & ~r) + worth(r) - worth(on) for _, _, r in cuts if r.sum() >= 5 and (on & ~r).sum() >= 5), default=0)
+
+    at = np.zeros(len(y), int)
+    for depth in range(2):
+        at = tree.nodes(x, depth)
+        for node in range(1 << depth):
+            on, heap = at == node, (1 << depth) - 1 + node
+            gain = best(on)
+            assert tree.gain[heap] == pytest.approx(gain if gain > 1e-9 else 0, abs=1e-8) and (tree.feature[heap] >= 0) == (gain > 1e-9)
+    leaf = tree.nodes(x, 2)
+    for node in set(leaf):
+        on = leaf == node
+        assert tree.value[node] == pytest.approx(0.5 * g[on].sum() / (h[on].sum() + BO.RIDGE), abs=1e-9)
