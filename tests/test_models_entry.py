@@ -386,3 +386,22 @@ def test_boosted_trees_by_brute_force(small, monkeypatch, product_nodes):
     for node in set(leaf):
         on = leaf == node
         assert tree.value[node] == pytest.approx(0.5 * g[on].sum() / (h[on].sum() + BO.RIDGE), abs=1e-9)
+
+
+def test_boosting_keeps_its_checkpoints_for_as_long_as_it_runs(spark, small, monkeypatch):
+    """Scores are carried over checkpoints: the trees are those of a run without any, and no checkpoint stays.  A pass
+    is a job over cached blocks, without a query plan."""
+    import glob
+    from pyspark import RDD
+    from inclusio.operators import boosting as BO
+    from inclusio.operators import models as MD
+    from inclusio.session import ensure_checkpoint_dir
+    a = MD.assemble(small, ["a", "b"]).withColumn("label", F.col("Target").cast("double")).cache()
+    held = lambda: set(glob.glob(f"{ensure_checkpoint_dir(spark).removeprefix('file:').replace('//', '/')}/*/rdd-*"))
+    before, models, passes, summed = held(), [], [], BO._summed
+    monkeypatch.setattr(BO, "_summed", lambda *args: (passes.append(args[0]), summed(*args))[1])
+    for every in (1000, 2):
+        monkeypatch.setattr(BO, "REFRESH", every)
+        models.append(BO.fit_boosted(a, 3, max_rounds=7, maxDepth=2, rate=0.3, subsamplingRate=0.8, seed=1).to_json())
+    assert models[0] == models[1] and held() == before
+    assert len(passes) > 20 and all(isinstance(p, RDD) for p in passes)
