@@ -388,6 +388,27 @@ def test_boosted_trees_by_brute_force(small, monkeypatch, product_nodes):
         assert tree.value[node] == pytest.approx(0.5 * g[on].sum() / (h[on].sum() + BO.RIDGE), abs=1e-9)
 
 
+def test_boosted_models_of_an_ensemble_are_trained_on_all_rows(spark, monkeypatch):
+    """Class 2 has no row but held-back ones: a model that leaves them out never learns it.  The rounds are those
+    that the held-back rows ask for."""
+    from inclusio.operators import boosting as BO
+    from inclusio.operators import models as MD
+    rows = [(f"r{i}", float(i % 5), i % 2) for i in range(400)]
+    df = MD.held_back(spark.createDataFrame(rows, "ID string, a double, Target int"))
+    df = df.withColumn("Target", F.when(F.col("__val"), F.lit(2)).otherwise(F.col("Target"))).withColumn("a", F.when(F.col("__val"), F.lit(9.0)).otherwise(F.col("a"))).drop("__val").cache()
+    assert 10 < df.where("Target = 2").count() < 100
+    params = {"gbt": {"maxIter": 8, "stepSize": 0.5, "subsamplingRate": 1.0, "minInstancesPerNode": 1}}
+    got = MD.train_ensemble(df, ["a"], learners=["gbt"], params=params)
+    p = MD.score_ensemble(got, df, ["a"], ["ID", "Target"]).where("Target = 2").agg(F.min("p2")).first()[0]
+    assert p > 0.5
+    tasks = MD.train_ordinal(df, ["a"], learners=["gbt"], params=params)
+    assert MD.score_ordinal(tasks, df, ["a"], ["ID", "Target"]).where("Target = 2").agg(F.min("p_B")).first()[0] > 0.5
+    a = MD.held_back(MD.assemble(df, ["a"]).withColumn("label", F.col("Target").cast("double")))
+    one, whole = (BO.fit_boosted(a, 3, "label", "__val", whole=w, max_rounds=8, rate=0.5) for w in (False, True))
+    assert (one.best_round, one.rounds, one.curve) == (whole.best_round, whole.rounds, whole.curve)
+    assert all(len(trees) == whole.best_round for trees in whole.trees) and one.prior != whole.prior
+
+
 def test_boosting_keeps_its_checkpoints_for_as_long_as_it_runs(spark, small, monkeypatch):
     """Scores are carried over checkpoints: the trees are those of a run without any, and no checkpoint stays.  A pass
     is a job over cached blocks, without a query plan."""
@@ -405,3 +426,27 @@ def test_boosting_keeps_its_checkpoints_for_as_long_as_it_runs(spark, small, mon
         models.append(BO.fit_boosted(a, 3, max_rounds=7, maxDepth=2, rate=0.3, subsamplingRate=0.8, seed=1).to_json())
     assert models[0] == models[1] and held() == before
     assert len(passes) > 20 and all(isinstance(p, RDD) for p in passes)
+
+
+def test_fits_of_several_threads_ship_the_package_once(spark, monkeypatch):
+    import threading
+    from concurrent.futures import ThreadPoolExecutor
+    from inclusio import session as S
+    ready, sent = threading.Barrier(4), []
+
+    class Files:
+        applicationId = "shipped-by-many"
+
+        def addPyFile(self, path):
+            sent.append(path)
+
+    class Session:
+        sparkContext = Files()
+
+    def one(_):
+        ready.wait(10)
+        S.ship(Session())
+
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(one, range(4)))
+    assert len(sent) == 1
