@@ -450,3 +450,50 @@ def test_fits_of_several_threads_ship_the_package_once(spark, monkeypatch):
     with ThreadPoolExecutor(4) as pool:
         list(pool.map(one, range(4)))
     assert len(sent) == 1
+
+
+def test_the_search_query_runs_all_trials(spark, small, monkeypatch):
+    """The query asks for all 100 trials, as its SQL does."""
+    import re
+    from inclusio.operators import models as MD
+    from inclusio.plans import q_models as Q
+    from inclusio.plans.registry import REGISTRY
+    asked = []
+
+    def search(base, cols, weight_col=None, n_trials=MD.N_TRIALS, **kw):
+        asked.append(n_trials)
+        return spark.createDataFrame([(t["trial"], *[t[k] for k in MD.SEARCH_SPACE], 0.5) for t in MD.sample_trials(n_trials)],
+                                     ["trial", *MD.SEARCH_SPACE, "f1_macro"])
+
+    monkeypatch.setattr(Q, "_base", lambda *_: small)
+    monkeypatch.setattr(Q, "_train_with_folds", lambda base: base)
+    monkeypatch.setattr(MD, "random_search", search)
+    rows = Q.q_search(spark, "").collect()
+    assert asked == [100] and sorted(r["trial"] for r in rows) == list(range(100)) and all(r["in_space"] and r["scored"] for r in rows)
+    assert re.search(r"range\((\d+)\)", REGISTRY["hyperparameter_search"].sql).group(1) == "100"
+
+
+def test_trials_share_one_staged_copy_of_the_rows(small, monkeypatch):
+    from inclusio.operators import boosting as BO
+    from inclusio.operators import models as MD
+    staged, tables, one, two = [], [], BO.staged, MD._fold_table
+    monkeypatch.setattr(BO, "staged", lambda *a: (staged.append(1), one(*a))[1])
+    monkeypatch.setattr(MD, "_fold_table", lambda *a: (tables.append(1), two(*a))[1])
+    weighted = small.withColumn("w", F.lit(1.0))
+    got = MD.random_search(weighted, ["a", "b"], "w", n_trials=3, fixed={"maxIter": 1}).orderBy("trial").collect()
+    assert [r["trial"] for r in got] == [0, 1, 2] and staged == tables == [1]
+
+
+def test_large_sums_are_added_in_a_shuffle(small, monkeypatch):
+    """Sums of many tasks or many nodes don't all go to the driver; the trees are the same."""
+    from inclusio.operators import boosting as BO
+    from inclusio.operators import models as MD
+    a = MD.assemble(small.repartition(3), ["a", "b"]).withColumn("label", F.col("Target").cast("double")).cache()
+    asked, summed, models = [], BO._summed, []
+    monkeypatch.setattr(BO, "_summed", lambda *args: (asked.append(args[2]), summed(*args))[1])
+    for most in (BO.DIRECT_BYTES, 0):
+        asked.clear()
+        monkeypatch.setattr(BO, "DIRECT_BYTES", most)
+        models.append(BO.fit_boosted(a, 3, max_rounds=2, maxDepth=3, seed=1).to_json())
+        assert all((n > BO.DIRECT_TASKS) == (most == 0) for n in asked[1:])
+    assert [[t["feature"] for t in ts] for ts in models[0]["trees"]] == [[t["feature"] for t in ts] for ts in models[1]["trees"]]
